@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalogue import population  # noqa: F401
+    from catalogue import population, tables  # noqa: F401

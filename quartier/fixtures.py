@@ -40,10 +40,10 @@ SELECT (l_orderkey*13+l_linenumber*29)%200 AS prow, (l_orderkey*7+l_partkey*3)%2
        sum(l_quantity) AS b1
 FROM {lineitem} GROUP BY 1,2,3,4""",
     "f_pop_images": """
-SELECT l_linenumber AS image_order, l_returnflag AS dataset,
-       (l_orderkey*13+l_suppkey*29)%200 AS prow, (l_orderkey*7+l_partkey*3)%200 AS pcol,
+SELECT l_linenumber AS image_order, (l_orderkey*13+l_suppkey*29)%200 AS prow, (l_orderkey*7+l_partkey*3)%200 AS pcol,
+       50+100*((l_orderkey*7+l_partkey*3)%200) AS px, 19950-100*((l_orderkey*13+l_suppkey*29)%200) AS py,
        sum(l_quantity) AS b1
-FROM {lineitem} GROUP BY 1,2,3,4""",
+FROM {lineitem} GROUP BY 1,2,3,4,5""",
     "f_pois": """
 SELECT event_id AS id, props AS name_json, event_type AS category,
        (2*CAST(floor(value) AS BIGINT)+1)/2000 AS confidence,
@@ -68,6 +68,11 @@ SELECT o_orderkey AS uid, concat('city_', CAST(o_custkey%6 AS VARCHAR(8))) AS ci
        CAST(o_orderkey%101 AS DOUBLE)+CASE WHEN o_orderkey%997=0 THEN 5000 ELSE 0 END AS buildings_adjacency,
        CASE WHEN o_orderkey%50=0 THEN NULL ELSE CAST((o_orderkey*37)%501 AS DOUBLE) END AS buildings_neighbour_distance
 FROM {orders}""",
+    "f_scenes": """
+SELECT s_suppkey AS scene, 40+s_suppkey%17 AS height, 44+s_suppkey%23 AS width FROM {supplier}""",
+    "f_image_files": """
+SELECT concat('img/', r_name, '_', n_name, '_', CAST(s_suppkey AS VARCHAR(12)), '.tif') AS image_path
+FROM {supplier} JOIN {nation} ON s_nationkey=n_nationkey JOIN {region} ON n_regionkey=r_regionkey""",
     "f_registry": """
 SELECT c_custkey AS rid, c_name AS city, concat('img/', c_mktsegment, '/', CAST(c_custkey AS VARCHAR(12)), '_x.tif') AS image_path,
        concat('lab/', CAST(c_custkey AS VARCHAR(12)), '.geojson') AS labels_path,
