@@ -26,4 +26,9 @@ SHARE = """SELECT c.country, c.city, coalesce(t.v,0) AS total_population, coales
  LEFT JOIN inf i ON i.city=c.city AND i.country=c.country"""
 INFORMAL = f"""SELECT c.country, c.city, sum(coalesce(sp.v,0)) AS v FROM f_cities c JOIN f_settlements s
  ON s.country=c.country AND {MEETS_CITY} LEFT JOIN spop sp ON sp.sid=s.sid GROUP BY 1,2"""
+MEDIAN_POP = "SELECT px, py, median(b1) AS b1 FROM f_pop_images GROUP BY 1,2"
+MEDIAN_SHARE_CTES = ctes(
+    "f_cities", "f_settlements", "f_pop_images", f_pop=MEDIAN_POP, spop=SETTLEMENT_POP, tot=CITY_POP, inf=INFORMAL,
+    share=SHARE.replace("HRSL", "median"),
+)
 SHARE_CTES = ctes("f_cities", "f_settlements", "f_pop", spop=SETTLEMENT_POP, tot=CITY_POP, inf=INFORMAL, share=SHARE)

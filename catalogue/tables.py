@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalogue import query
 from catalogue.population import inputs, share
-from catalogue.sql import SHARE_CTES, ctes
+from catalogue.sql import MEDIAN_SHARE_CTES, SHARE_CTES, ctes
 from quartier.fixtures import fixture, vector_fixture
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
@@ -217,12 +217,12 @@ def d6(spark, sf):
 
 @query(
     "f14_row_status",
-    ctes("f_pois") + """SELECT CASE WHEN TRY_CAST(name_json AS BIGINT) IS NULL THEN 'rejected' ELSE 'ok' END AS status, count(*) AS n
- FROM f_pois GROUP BY 1""",
+    ctes("f_registry") + """SELECT CASE WHEN TRY_CAST(substring(city, 18, 1) AS BIGINT)>4 THEN 'ok' ELSE 'rejected' END AS status, count(*) AS n
+ FROM f_registry GROUP BY 1""",
 )
 def f14(spark, sf):
-    df = fixture(spark, sf, "f_pois").selectExpr("*", "try_cast(name_json AS BIGINT) AS number")
-    return df.selectExpr("*", "CASE WHEN number IS NULL THEN 'rejected' ELSE 'ok' END AS status").groupBy("status").agg(
+    df = fixture(spark, sf, "f_registry").selectExpr("*", "try_cast(substring(city, 18, 1) AS BIGINT) AS number")
+    return df.selectExpr("*", "CASE WHEN number > 4 THEN 'ok' ELSE 'rejected' END AS status").groupBy("status").agg(
         F.expr("count(1) AS n")
     )
 
@@ -538,7 +538,7 @@ def m10(spark, sf):
 
 @query(
     "x7_median_population_share",
-    SHARE_CTES.replace("f_pop AS (", "f_pop_images AS (", 1) if False else None,
+    MEDIAN_SHARE_CTES + "SELECT * FROM share",
 )
 def x7_median(spark, sf):
     cities, settlements, _ = inputs(spark, sf)

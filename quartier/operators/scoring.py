@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quartier.functions.scalars import over_threshold
 
@@ -91,7 +92,7 @@ def score_tiles(
     one row per tile. Tiles move in Arrow batches; logits are turned into probabilities here.
     """
     slim = tiles.select(*keys, *[c for c in inputs if c not in keys])
-    schema = slim.select(*keys).schema.add("model", "string").add("scores", "array<double>")
+    schema = T.StructType(slim.select(*keys).schema.fields).add("model", "string").add("scores", T.ArrayType(T.DoubleType()))
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = open_model()

@@ -33,19 +33,18 @@ def population_share(
         settlements.selectExpr("'settlement' AS kind", "country", "CAST(sid AS STRING) AS zone", "geom", "bbox")
     )
     sums = zonal_sum(pop, zones, ["kind", "country", "zone"], block=block)
-    totals = sums.where("kind = 'city'").selectExpr("country", "zone AS city", "total AS total_population")
-    parts = sums.where("kind = 'settlement'").selectExpr("country", "zone", "total")
     pairs = spatial_join(settlements, cities, cell, equal=["country"]).selectExpr(
-        "country", "r_city AS city", "CAST(l_sid AS STRING) AS zone"
-    )
-    informal = (
-        pairs.join(parts, ["country", "zone"])
-        .groupBy("country", "city")
-        .agg(F.expr("sum(total) AS informal_population"))
+        "'settlement' AS kind", "country", "CAST(l_sid AS STRING) AS zone", "r_city AS city"
     )
+    # a settlement row repeats per city it touches; a city row stands for itself
     return (
-        totals.join(informal, ["country", "city"], "left")
-        .selectExpr("country", "city", "total_population", "coalesce(informal_population, 0D) AS informal_population")
+        sums.join(pairs, ["kind", "country", "zone"], "left")
+        .where("kind = 'city' OR city IS NOT NULL")
+        .groupBy("country", F.expr("coalesce(city, zone) AS city"))
+        .agg(
+            F.expr("sum(total) FILTER (WHERE kind = 'city') AS total_population"),
+            F.expr("coalesce(sum(total) FILTER (WHERE kind = 'settlement'), 0D) AS informal_population"),
+        )
         .selectExpr(
             "*",
             f"{guarded_ratio('informal_population', 'total_population')} AS proportion_informal",

@@ -106,4 +106,5 @@ def prepare_tiles(
         scene, "tile_idx",
         f"coalesce(class_id, array_repeat(CAST(0 AS FLOAT), {b_size * b_size})) AS buildings",
     )
-    return fold_split(align_tiles(image_tiles, building_tiles, keys), keys, n_splits, test_ratio)
+    paired = align_tiles(image_tiles, building_tiles, keys).withColumnRenamed("b_buildings", "buildings")
+    return fold_split(paired, keys, n_splits, test_ratio)
