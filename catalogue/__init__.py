@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalogue import grids, population, shapes, tables  # noqa: F401
+    from catalogue import files, grids, population, settlements, shapes, tables  # noqa: F401
