@@ -64,11 +64,9 @@ def feature_source(spark, sf):
 @query("s11_x5_merged_predictions", ctes("f_settlements") + "SELECT country, kind AS city, count(*) AS n, round(sum((xmax-xmin)*(ymax-ymin)*CASE WHEN kind='rect' THEN 1.0e0 ELSE 0.5e0 END),3) AS area FROM f_settlements GROUP BY 1,2")
 def merged(spark, sf):
     path = folder(spark, "predictions")
-    lines = sinks.feature_lines(vector_fixture(spark, sf, "f_settlements"), ["country", "kind"])
-    for kind in ("tri", "rect"):
-        for row in lines.select("country").distinct().orderBy("country").collect():  # five folders of a file tree
-            part = lines.where((lines.kind == kind) & (lines.country == row.country)).select("value")
-            part.write.option("fileExtension", "json").text(f"{path}/{row.country}/{kind}/vector_output")
+    areas = vector_fixture(spark, sf, "f_settlements").selectExpr("country", "kind AS city", "sid", "geom")
+    pixels = fixture(spark, sf, "f_obs").selectExpr("'x' AS country", "'y' AS city", "prow", "pcol", "CAST(b8 > 1500 AS INT) AS m")
+    sinks.write_prediction_store(areas, pixels, path, 1, "slums")
     df = prediction.merge_predictions(spark, path)
     return df.groupBy("country", "city").agg(F.expr("count(1) AS n"), F.expr(f"round(sum({g.area('geom')}),3) AS area"))
 

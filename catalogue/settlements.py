@@ -11,6 +11,7 @@ from quartier.fixtures import fixture, vector_fixture
 from quartier.functions import geometry as g
 from quartier.operators import components, regions, skew, stats, tessellation
 from quartier.plans import morphology, prediction
+from quartier.session import materialise
 
 MEASURES = morphology.MEASURES
 
@@ -51,8 +52,9 @@ def built(spark, sf):
     )
 
 
-def owned(spark, sf):
-    return morphology.tessellate(vector_fixture(spark, sf, "f_settlements"), built(spark, sf), "country", float(RES), 400.0)
+def owned(spark, sf, buildings=None):
+    areas = vector_fixture(spark, sf, "f_settlements")
+    return morphology.tessellate(areas, buildings if buildings is not None else built(spark, sf), "country", float(RES), 400.0)
 
 
 @query("j13_nearest_owner", tess_ctes() + "SELECT country, cx, cy, owner FROM own")
@@ -76,15 +78,23 @@ def j14(spark, sf):
  JOIN built q ON q.country=e.country AND q.owner=e.b GROUP BY 1,2""",
 )
 def a30(spark, sf):
-    edges = tessellation.contiguity(owned(spark, sf), ["country"])
-    return tessellation.neighbour_distance(edges, built(spark, sf), ["country"]).selectExpr(
+    buildings = materialise(built(spark, sf))
+    edges = tessellation.contiguity(owned(spark, sf, buildings), ["country"])
+    return tessellation.neighbour_distance(edges, buildings, ["country"]).selectExpr(
         "country", "owner", "round(neighbour_distance,6) AS neighbour_distance"
     )
 
 
-@query("c1_touching_groups", tess_ctes("built", "touch", recursive=True) + "SELECT c.country, c.owner, c.component FROM comp c WHERE EXISTS (SELECT 1 FROM touch t WHERE t.country=c.country AND t.a=c.owner)")
+@query(
+    "c1_touching_groups",
+    ctes("f_settlements", t="""SELECT p.country, p.sid AS a, q.sid AS b FROM f_settlements p JOIN f_settlements q ON q.country=p.country AND p.sid<>q.sid
+ AND p.xmin<=q.xmax AND q.xmin<=p.xmax AND p.ymin<=q.ymax AND q.ymin<=p.ymax""").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """, r AS (SELECT country, a, a AS b FROM t UNION SELECT r.country, r.a, t.b FROM r JOIN t ON t.country=r.country AND t.a=r.b)
+ SELECT country, a AS owner, min(b) AS component FROM r GROUP BY 1,2""",
+)
 def touching(spark, sf):
-    return tessellation.touching_groups(built(spark, sf), ["country"], 500.0)
+    outlines = vector_fixture(spark, sf, "f_settlements").selectExpr("country", "sid AS bid", f"{g.envelope('bbox')} AS geom", "bbox")
+    return tessellation.touching_groups(outlines, ["country"], 500.0)
 
 
 @query(

@@ -189,15 +189,31 @@ def intersects_box(geom: str, bbox: str) -> str:
 
 
 def _point_segment(x: str, y: str, s: str) -> str:
+    """Distance to the nearer end, or to the line between the ends."""
     dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"
+    dot = f"(({x} - {s}.ax) * {dx} + ({y} - {s}.ay) * {dy})"
     length2 = f"({dx} * {dx} + {dy} * {dy})"
-    along = f"CASE WHEN {length2} > 0 THEN (({x} - {s}.ax) * {dx} + ({y} - {s}.ay) * {dy}) / {length2} ELSE 0D END"
-    return let(
-        f"least(greatest({along}, 0D), 1D)",
-        lambda t: f"hypot({x} - {s}.ax - {t} * {dx}, {y} - {s}.ay - {t} * {dy})",
+    return (
+        f"CASE WHEN {dot} <= 0 THEN hypot({x} - {s}.ax, {y} - {s}.ay) "
+        f"WHEN {dot} >= {length2} THEN hypot({x} - {s}.bx, {y} - {s}.by) "
+        f"ELSE abs({dx} * ({y} - {s}.ay) - {dy} * ({x} - {s}.ax)) / sqrt({length2}) END"
     )
 
 
+def box_gap(bbox: str, x: str, y: str) -> str:
+    """Distance from a point to a bounding box, 0 inside: a lower bound of the distance to its geometry."""
+    gap_x = f"greatest({bbox}.xmin - {x}, {x} - {bbox}.xmax, 0D)"
+    gap_y = f"greatest({bbox}.ymin - {y}, {y} - {bbox}.ymax, 0D)"
+    return f"hypot({gap_x}, {gap_y})"
+
+
+def box_far(bbox: str, x: str, y: str) -> str:
+    """Distance from a point to the farthest corner of a bounding box: an upper bound for its geometry."""
+    far_x = f"greatest(abs({x} - {bbox}.xmin), abs({x} - {bbox}.xmax))"
+    far_y = f"greatest(abs({y} - {bbox}.ymin), abs({y} - {bbox}.ymax))"
+    return f"hypot({far_x}, {far_y})"
+
+
 def point_distance(geom: str, x: str, y: str) -> str:
     """Distance from a point, 0 inside."""
     nearest = f"array_min({_fn(segments(geom), lambda s: _point_segment(x, y, s))})"

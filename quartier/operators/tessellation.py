@@ -19,8 +19,9 @@ def nearest_owner(
 
     ``pixels`` are (keys, cx, cy, px, py), ``buildings`` (keys, bid, geom, bbox). Candidates come from
     grid cells of side ``radius``; a pixel whose nearest candidate is within the radius is settled,
-    the rest go on with twice the radius, so the result does not depend on it. Stacked copies of one
-    outline are reduced to their smallest id first.
+    the rest go on with four times the radius, so the result does not depend on it. Box bounds leave few
+    candidates for the exact distance. Stacked copies of one outline are reduced to their smallest id
+    first.
     """
     keys = list(keys)
     outlines = materialise(
@@ -37,15 +38,22 @@ def nearest_owner(
             return f"CAST(floor(({value}) / {reach}) AS BIGINT)"
 
         spread = outlines.selectExpr(
-            *keys, "owner", "geom",
-            f"explode(sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')})) AS _gx", "bbox",
+            *keys, "owner", "geom", "bbox",
+            f"explode(sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')})) AS _gx",
         ).selectExpr(
-            *keys, "owner", "geom", "_gx",
+            *keys, "owner", "geom", "bbox", "_gx",
             f"explode(sequence({cell(f'bbox.ymin - {reach}')}, {cell(f'bbox.ymax + {reach}')})) AS _gy",
         )
+        placed = open_pixels.selectExpr("*", f"{cell('px')} AS _gx", f"{cell('py')} AS _gy")
+        # bounds first: the nearest building is no farther than the closest far corner of any candidate box
+        bounded = (
+            placed.join(spread.drop("geom", "owner"), [*keys, "_gx", "_gy"])
+            .groupBy(*keys, "cx", "cy", "px", "py", "_gx", "_gy")
+            .agg(F.expr(f"least(min({g.box_far('bbox', 'px', 'py')}), {reach}) AS _limit"))
+        )
         near = (
-            open_pixels.selectExpr("*", f"{cell('px')} AS _gx", f"{cell('py')} AS _gy")
-            .join(spread, [*keys, "_gx", "_gy"])
+            bounded.join(spread, [*keys, "_gx", "_gy"])
+            .where(f"{g.box_gap('bbox', 'px', 'py')} <= _limit")
             .selectExpr(*keys, "cx", "cy", "owner", f"{g.point_distance('geom', 'px', 'py')} AS dist")
             .where(f"dist <= {reach}")
             .groupBy(*keys, "cx", "cy")
@@ -54,11 +62,10 @@ def nearest_owner(
         )
         found = materialise(near)
         settled = found if settled is None else settled.unionByName(found)
-        rest = open_pixels.join(found, [*keys, "cx", "cy"], "left_anti")
-        if reach > 2 * extent or not rest.limit(1).count():
+        open_pixels = materialise(open_pixels.join(found, [*keys, "cx", "cy"], "left_anti"))
+        if reach > 2 * extent or open_pixels.isEmpty():
             return settled  # whatever is left has no building under its keys
-        open_pixels = materialise(rest)
-        reach *= 2
+        reach *= 4
 
 
 def cell_areas(owned: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
-from quartier.functions.scalars import path_part, stem
+from quartier.functions.scalars import stem
 from quartier.operators.spatial import inside_box
 from quartier.schemas import FEATURE
 from quartier.sources.wkb import decode_wkb
@@ -100,20 +100,25 @@ def infer_class(df: DataFrame, default: int) -> DataFrame:
 
 
 def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``country/city/vector_output/*.json`` files with city and country from the path.
+    """All class files below a folder with city and country from the path.
 
-    Missing folders and empty files give no rows.
+    Reads ``country/city/vector_output/*`` trees and partitioned prediction stores. Missing folders and
+    empty files give no rows.
     """
-    reader = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True)
     line = r"regexp_replace(trim(value), ',$', '')"
+    plain, stored = "/([^/=]+)/([^/=]+)/vector_output/", "/country=([^/]+)/city=([^/]+)/"
+
+    def part(i: int) -> str:
+        found = f"coalesce(nullif(regexp_extract(path, '{stored}', {i}), ''), regexp_extract(path, '{plain}', {i}))"
+        return f"url_decode(replace({found}, '+', '%2B'))"
+
+    lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(folder)
     return (
-        reader.option("pathGlobFilter", "*.json").text(folder)
-        .selectExpr("value", "_metadata.file_path AS path")
-        .where("path LIKE '%/vector_output/%' AND value LIKE '%\"Feature\"%'")
+        lines.selectExpr("value", "_metadata.file_path AS path")
+        .where("path LIKE '%vector_output%' AND value LIKE '%\"Feature\"%'")
         .selectExpr("path", f"from_json({line}, '{FEATURE}') AS f")
         .selectExpr(
-            f"{path_part('path', 4)} AS country", f"{path_part('path', 3)} AS city",
-            "f.properties AS properties",
+            f"{part(1)} AS country", f"{part(2)} AS city", "f.properties AS properties",
             f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
         )
     )
