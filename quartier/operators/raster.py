@@ -16,15 +16,19 @@ def _cell(value: str, resolution: float) -> str:
 def covered_cells(df: DataFrame, resolution: float, keep: Sequence[str], all_touched: bool = False) -> DataFrame:
     """Grid cells (cx, cy = floor(coordinate / resolution)) of each feature: centre inside, or any contact."""
     res = float(resolution)
-    spread = df.selectExpr(
-        *keep, "geom", "bbox",
-        f"explode(sequence({_cell('bbox.ymin', res)}, {_cell('bbox.ymax', res)})) AS cy",
-    ).selectExpr(
-        *keep, "geom", "cy", f"explode(sequence({_cell('bbox.xmin', res)}, {_cell('bbox.xmax', res)})) AS cx"
+    spread = (
+        df.selectExpr(
+            *keep, "geom",
+            f"sequence({_cell('bbox.ymin', res)}, {_cell('bbox.ymax', res)}) AS _rows",
+            f"sequence({_cell('bbox.xmin', res)}, {_cell('bbox.xmax', res)}) AS _cols",
+        )
+        .selectExpr(*keep, "geom", "_cols", "explode(_rows) AS cy")
+        .selectExpr(*keep, "geom", "cy", "explode(_cols) AS cx")
     )
     if all_touched:
-        cell = g.box(f"cx * {res}", f"cy * {res}", f"(cx + 1) * {res}", f"(cy + 1) * {res}")
-        test = g.let(cell, lambda b: g.intersects_box("geom", b))
+        cell = g.rectangle(f"cx * {res}", f"cy * {res}", f"(cx + 1) * {res}", f"(cy + 1) * {res}")
+        spread = spread.selectExpr("*", f"{cell} AS _cell")
+        test = g.intersects("geom", "_cell")
     else:
         test = g.contains_point("geom", f"(cx + 0.5D) * {res}", f"(cy + 0.5D) * {res}")
     return spread.where(test).select(*keep, "cx", "cy")
@@ -53,13 +57,20 @@ def rasterize(
         features.select(scene, "geom", "bbox", "class_id", order)
         .join(scenes, scene)
         .where(inside)
-        .selectExpr("*", f"explode(sequence(greatest(0L, {top}), least(height - 1L, {bottom}))) AS prow")
-        .selectExpr("*", f"explode(sequence(greatest(0L, {left}), least(width - 1L, {right}))) AS pcol")
+        .selectExpr(
+            scene, "geom", "class_id", order, "xmin", "ymax", "res",
+            f"sequence(greatest(0L, {top}), least(height - 1L, {bottom})) AS _rows",
+            f"sequence(greatest(0L, {left}), least(width - 1L, {right})) AS _cols",
+        )
+        .selectExpr("*", "explode(_rows) AS prow")
+        .selectExpr("*", "explode(_cols) AS pcol")
+        .drop("_rows", "_cols")
     )
     x, y = g.pixel_to_map("prow", "pcol", "xmin", "ymax", "res")
     if all_touched:
-        cell = g.box(f"{x} - res / 2", f"{y} - res / 2", f"{x} + res / 2", f"{y} + res / 2")
-        test = g.let(cell, lambda b: g.intersects_box("geom", b))
+        cell = g.rectangle(f"{x} - res / 2", f"{y} - res / 2", f"{x} + res / 2", f"{y} + res / 2")
+        spread = spread.selectExpr("*", f"{cell} AS _cell")
+        test = g.intersects("geom", "_cell")
     else:
         test = g.contains_point("geom", x, y)
     return spread.where(test).groupBy(scene, "prow", "pcol").agg(F.max_by("class_id", order).alias("class_id"))

@@ -32,9 +32,14 @@ def _spread(df: DataFrame, bbox: str, cell: float, prefix: str) -> DataFrame:
     size = f"({float(cell)}D * pow(2D, _level))"
     x0, x1 = _cell(f"{bbox}.xmin", size), _cell(f"{bbox}.xmax", size)
     y0, y1 = _cell(f"{bbox}.ymin", size), _cell(f"{bbox}.ymax", size)
-    return df.selectExpr(
-        "*", f"{x0} AS _{prefix}x", f"{y0} AS _{prefix}y", f"explode(sequence({x0}, {x1})) AS _cx"
-    ).selectExpr("*", f"explode(sequence({y0}, {y1})) AS _cy")
+    return (
+        df.selectExpr(
+            "*", f"{x0} AS _{prefix}x", f"{y0} AS _{prefix}y", f"sequence({x0}, {x1}) AS _cols", f"sequence({y0}, {y1}) AS _rows"
+        )
+        .selectExpr("*", "explode(_cols) AS _cx")
+        .selectExpr("*", "explode(_rows) AS _cy")
+        .drop("_cols", "_rows")
+    )
 
 
 def spatial_join(
@@ -64,7 +69,7 @@ def spatial_join(
     a = a.selectExpr(*[c for c in a.columns if c != "_used"], "explode(_used) AS _level")
     a = _spread(a, "l_bbox", cell, "a")
     b = _spread(b, "r_bbox", cell, "b")
-    condition = f"_ax <= _cx AND _cx = greatest(_ax, _bx) AND _cy = greatest(_ay, _by) AND {g.boxes_meet('l_bbox', 'r_bbox')}"
+    condition = f"_cx = greatest(_ax, _bx) AND _cy = greatest(_ay, _by) AND {g.boxes_meet('l_bbox', 'r_bbox')}"
     if predicate is not None:
         condition = f"{condition} AND {predicate('l_geom', 'r_geom')}"
     keys = [*equal, "_level", "_cx", "_cy"]

@@ -37,12 +37,14 @@ def nearest_owner(
         def cell(value: str) -> str:
             return f"CAST(floor(({value}) / {reach}) AS BIGINT)"
 
-        spread = outlines.selectExpr(
-            *keys, "owner", "geom", "bbox",
-            f"explode(sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')})) AS _gx",
-        ).selectExpr(
-            *keys, "owner", "geom", "bbox", "_gx",
-            f"explode(sequence({cell(f'bbox.ymin - {reach}')}, {cell(f'bbox.ymax + {reach}')})) AS _gy",
+        spread = (
+            outlines.selectExpr(
+                *keys, "owner", "geom", "bbox",
+                f"sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')}) AS _cols",
+                f"sequence({cell(f'bbox.ymin - {reach}')}, {cell(f'bbox.ymax + {reach}')}) AS _rows",
+            )
+            .selectExpr(*keys, "owner", "geom", "bbox", "_rows", "explode(_cols) AS _gx")
+            .selectExpr(*keys, "owner", "geom", "bbox", "_gx", "explode(_rows) AS _gy")
         )
         placed = open_pixels.selectExpr("*", f"{cell('px')} AS _gx", f"{cell('py')} AS _gy")
         # bounds first: the nearest building is no farther than the closest far corner of any candidate box

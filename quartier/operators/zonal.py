@@ -30,12 +30,14 @@ def zonal_sum(
     """
     zone_id = list(zone_id)
     geom = g.fill_holes("geom") if exterior_only else "geom"
-    cells = zones.selectExpr(
-        *zone_id, f"{geom} AS geom", "bbox",
-        f"explode(sequence({_block('bbox.xmin', block)}, {_block('bbox.xmax', block)})) AS bx",
-    ).selectExpr(
-        *zone_id, "geom", "bx",
-        f"explode(sequence({_block('bbox.ymin', block)}, {_block('bbox.ymax', block)})) AS by",
+    cells = (
+        zones.selectExpr(
+            *zone_id, f"{geom} AS geom",
+            f"sequence({_block('bbox.xmin', block)}, {_block('bbox.xmax', block)}) AS _cols",
+            f"sequence({_block('bbox.ymin', block)}, {_block('bbox.ymax', block)}) AS _rows",
+        )
+        .selectExpr(*zone_id, "geom", "_rows", "explode(_cols) AS bx")
+        .selectExpr(*zone_id, "geom", "bx", "explode(_rows) AS by")
     )
     frame = g.box(f"bx * {block}", f"by * {block}", f"(bx + 1) * {block}", f"(by + 1) * {block}")
     # a ring starting in the block may lie wholly inside it without touching its sides

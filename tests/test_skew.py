@@ -74,6 +74,7 @@ def test_spatial_join_matches_theta_join(spark):
 
 
 def test_box_filter_is_pushed_down(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     path = str(tmp_path / "t")
     frame(spark, [(i, square(i, i)) for i in range(50)]).write.parquet(path)
     df = spatial.inside_box(spark.read.parquet(path), 3, 3, 20, 20).select("id")
