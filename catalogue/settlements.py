@@ -54,7 +54,7 @@ def built(spark, sf):
 
 def owned(spark, sf, buildings=None):
     areas = vector_fixture(spark, sf, "f_settlements")
-    return morphology.tessellate(areas, buildings if buildings is not None else built(spark, sf), "country", float(RES), 400.0)
+    return morphology.tessellate(areas, buildings if buildings is not None else built(spark, sf), "country", float(RES))
 
 
 @query("j13_nearest_owner", tess_ctes() + "SELECT country, cx, cy, owner FROM own")
@@ -108,7 +108,7 @@ def touching(spark, sf):
 )
 def x8(spark, sf):
     df = morphology.morphometrics(
-        vector_fixture(spark, sf, "f_buildings"), vector_fixture(spark, sf, "f_settlements"), "country", float(RES), 400.0
+        vector_fixture(spark, sf, "f_buildings"), vector_fixture(spark, sf, "f_settlements"), "country", float(RES)
     )
     return df.selectExpr(
         "country", "uid", "round(tessellation_car,8) AS tessellation_car", "buildings_wall",

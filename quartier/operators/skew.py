@@ -133,7 +133,8 @@ def exact_percentiles(
     """
     group = list(group)
     by = ", ".join(group)
-    counts = df.where(f"{value} IS NOT NULL").groupBy(*group, value).agg(F.expr("count(1) AS _c"))
+    # written once: the cut points and the ranking both read it
+    counts = materialise(df.where(f"{value} IS NOT NULL").groupBy(*group, value).agg(F.expr("count(1) AS _c")))
     tagged = _range_bucket(counts, group, value, buckets)
     offsets = tagged.groupBy(*group, "_b").agg(F.expr("sum(_c) AS _s")).selectExpr(
         *group, "_b",

@@ -1,6 +1,7 @@
 """Nearest-building cells on a pixel grid and the neighbour measures derived from them."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,12 +14,13 @@ from quartier.session import materialise
 
 
 def nearest_owner(
-    pixels: DataFrame, buildings: DataFrame, keys: Sequence[str], radius: float, building: str = "bid"
+    pixels: DataFrame, buildings: DataFrame, keys: Sequence[str], resolution: float, radius: float | None = None,
+    building: str = "bid",
 ) -> DataFrame:
     """Building owning each pixel centre (px, py): the nearest one, smallest id on ties.
 
     ``pixels`` are (keys, cx, cy, px, py), ``buildings`` (keys, bid, geom, bbox). Candidates come from
-    grid cells of side ``radius``; a pixel whose nearest candidate is within the radius is settled,
+    grid cells of side ``radius`` (default: the mean spacing of buildings on the pixels' ground); a pixel whose nearest candidate is within the radius is settled,
     the rest go on with four times the radius, so the result does not depend on it. Box bounds leave few
     candidates for the exact distance. Stacked copies of one outline are reduced to their smallest id
     first.
@@ -31,6 +33,8 @@ def nearest_owner(
     extent = open_pixels.selectExpr("least(min(px), min(py)) AS lo", "greatest(max(px), max(py)) AS hi").unionByName(
         outlines.selectExpr("least(min(bbox.xmin), min(bbox.ymin)) AS lo", "greatest(max(bbox.xmax), max(bbox.ymax)) AS hi")
     ).selectExpr("max(hi) - min(lo)").first()[0] or 0.0
+    if radius is None:
+        radius = resolution * max(1.0, math.sqrt(open_pixels.count() / max(1, outlines.count())))
     settled = None
     reach = float(radius)
     while True:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators.raster import dissolve_cells
@@ -27,25 +28,25 @@ MEASURE_NAMES = {
 def buildings_in_areas(buildings: DataFrame, areas: DataFrame, city: str, cell: float) -> DataFrame:
     """Valid buildings touching any area of a city, once per city: (city, bid, geom, bbox)."""
     pairs = spatial_join(
-        buildings.where(g.is_valid("geom")).selectExpr("id", "geom", "bbox"),
-        areas.where(g.is_valid("geom")).select(city, "geom", "bbox"),
-        cell,
+        buildings.selectExpr("id", "geom", "bbox"), areas.where(g.is_valid("geom")).select(city, "geom", "bbox"), cell
+    )
+    # a building appears once per area it meets; only those few rows are checked for validity
+    once = pairs.groupBy(f"r_{city}", "l_id").agg(F.expr("any_value(struct(l_geom, l_bbox)) AS shape"))
+    return once.selectExpr(f"r_{city} AS {city}", "l_id AS bid", "shape.l_geom AS geom", "shape.l_bbox AS bbox").where(
+        g.is_valid("geom")
     )
-    once = pairs.selectExpr(f"r_{city} AS {city}", "l_id AS bid").distinct()
-    return once.join(buildings.selectExpr("id AS bid", "geom", "bbox"), "bid")
 
 
-def tessellate(areas: DataFrame, built: DataFrame, city: str, resolution: float, radius: float) -> DataFrame:
+def tessellate(areas: DataFrame, built: DataFrame, city: str, resolution: float) -> DataFrame:
     """Owner of every area pixel: (city, cx, cy, owner, dist)."""
     cells = dissolve_cells(areas, resolution, [city]).selectExpr(
         "*", f"(cx + 0.5D) * {resolution} AS px", f"(cy + 0.5D) * {resolution} AS py"
     )
-    return nearest_owner(cells, built, [city], radius)
+    return nearest_owner(cells, built, [city], resolution)
 
 
 def morphometrics(
-    buildings: DataFrame, areas: DataFrame, city: str, resolution: float = 2.0, radius: float = 50.0,
-    cell: float = 500.0, steps: int = 3,
+    buildings: DataFrame, areas: DataFrame, city: str, resolution: float = 2.0, cell: float = 500.0, steps: int = 3,
 ) -> DataFrame:
     """Per building inside the areas: covered area ratio, perimeter, adjacency and neighbour distance.
 
@@ -53,7 +54,7 @@ def morphometrics(
     """
     keys = [city]
     built = materialise(buildings_in_areas(buildings, areas, city, cell))
-    owned = tessellate(areas, built, city, resolution, radius)
+    owned = materialise(tessellate(areas, built, city, resolution))
     edges = materialise(contiguity(owned, keys))
     near = within_steps(edges, keys, steps)
     owners = built.selectExpr(city, "bid AS owner")

@@ -182,8 +182,8 @@ def test_nearest_owner(spark):
         return np.hypot(max(p[0]["x"] - x, 0, x - p[2]["x"]), max(p[0]["y"] - y, 0, y - p[2]["y"]))
 
     want = {(x, y): min((round(gap(s, x * 5 + 2.5, y * 5 + 2.5), 9), i) for _, i, s in built)[1] for k, x, y in cells if k == "a"}
-    for radius in (4.0, 60.0):
-        got = {(r["cx"], r["cy"]): r["owner"] for r in tessellation.nearest_owner(px, df, ["city"], radius).collect()}
+    for radius in (4.0, 60.0, None):
+        got = {(r["cx"], r["cy"]): r["owner"] for r in tessellation.nearest_owner(px, df, ["city"], 5.0, radius).collect()}
         assert got == want
 
 
