@@ -20,8 +20,8 @@ def nearest_owner(
     """Building owning each pixel centre (px, py): the nearest one, smallest id on ties.
 
     ``pixels`` are (keys, cx, cy, px, py), ``buildings`` (keys, bid, geom, bbox). Candidates come from
-    grid cells of side ``radius`` (default: the mean spacing of buildings on the pixels' ground); a pixel whose nearest candidate is within the radius is settled,
-    the rest go on with four times the radius, so the result does not depend on it. Box bounds leave few
+    grid cells of side ``radius`` (default: twice the mean spacing of buildings on the pixels' ground); a pixel whose nearest candidate is within the radius is settled,
+    the rest go on with three times the radius, so the result does not depend on it. Box bounds leave few
     candidates for the exact distance. Stacked copies of one outline are reduced to their smallest id
     first.
     """
@@ -34,7 +34,7 @@ def nearest_owner(
         outlines.selectExpr("least(min(bbox.xmin), min(bbox.ymin)) AS lo", "greatest(max(bbox.xmax), max(bbox.ymax)) AS hi")
     ).selectExpr("max(hi) - min(lo)").first()[0] or 0.0
     if radius is None:
-        radius = resolution * max(1.0, math.sqrt(open_pixels.count() / max(1, outlines.count())))
+        radius = 2 * resolution * max(1.0, math.sqrt(open_pixels.count() / max(1, outlines.count())))
     settled = None
     reach = float(radius)
     while True:
@@ -71,7 +71,7 @@ def nearest_owner(
         open_pixels = materialise(open_pixels.join(found, [*keys, "cx", "cy"], "left_anti"))
         if reach > 2 * extent or open_pixels.isEmpty():
             return settled  # whatever is left has no building under its keys
-        reach *= 4
+        reach *= 3
 
 
 def cell_areas(owned: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:
