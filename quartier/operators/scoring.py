@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quartier.functions.geometry import let
 from quartier.functions.scalars import over_threshold
 
 # Band means and deviations in working order (near infrared, red, green, blue).
@@ -45,8 +46,11 @@ def chip_statistics(pixels: DataFrame, tile: Sequence[str], band: str) -> DataFr
 
 def stretch(values: str) -> str:
     """Scale an array to [0, 1]; a constant array gives zeros."""
-    low, high = f"array_min({values})", f"array_max({values})"
-    return f"transform({values}, v -> CASE WHEN {high} > {low} THEN (v - {low}) / ({high} - {low}) ELSE v - v END)"
+    limits = f"named_struct('low', array_min({values}), 'high', array_max({values}))"
+    return let(
+        limits,
+        lambda b: f"transform({values}, v -> CASE WHEN {b}.high > {b}.low THEN (v - {b}.low) / ({b}.high - {b}.low) ELSE v - v END)",
+    )
 
 
 def clean_tiles(tiles: DataFrame, images: Sequence[str], labels: Sequence[str]) -> DataFrame:
