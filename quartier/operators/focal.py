@@ -1,7 +1,7 @@
 """Neighbourhood operators on pixel grids.
 
-Kernels are applied line by line with range frames: first along rows, then along columns. A task holds
-one grid line, whose length is bounded by the raster, and no pixel is copied per kernel cell.
+Kernels are applied line by line with range frames. A task holds a few grid lines, whose length is
+bounded by the raster, and no pixel is copied per kernel cell.
 """
 from __future__ import annotations
 
@@ -23,19 +23,28 @@ def _along(keys: Sequence[str], line: str, axis: str, low: int, high: int, func:
 def focal(
     pixels: DataFrame, keys: Sequence[str], value: str, radius: float, func: str, shape: str = "circle", out: str | None = None
 ) -> DataFrame:
-    """Minimum or maximum over a circle or square of the given radius; missing pixels are ignored."""
+    """Minimum or maximum over a circle or square of the given radius; missing pixels are ignored.
+
+    Each pixel is listed on every row its kernel reaches (2 * radius + 1 copies), tagged with the
+    kernel's half width there. One pass along the rows then sees all neighbours, also where the pixel
+    above or below is missing.
+    """
     if func not in ("min", "max"):
         raise ValueError("func must be min or max")
     r = math.floor(radius)
     widths = {dy: r if shape == "square" else math.floor(math.sqrt(radius * radius - dy * dy)) for dy in range(-r, r + 1)}
-    names = {w: f"_w{w}" for w in set(widths.values())}
-    horizontal = [f"{_along(keys, 'prow', 'pcol', -w, w, func, value)} AS {n}" for w, n in names.items()]
-    rows = pixels.selectExpr("*", *horizontal)
-    parts = [_along(keys, "pcol", "prow", dy, dy, func, names[w]) for dy, w in widths.items()]
+    reach = ", ".join(f"struct({dy} AS dy, {w} AS w)" for dy, w in widths.items())
+    others = [c for c in pixels.columns if c not in (value, "prow")]
+    listed = pixels.selectExpr(*others, "prow", value, f"explode(array({reach})) AS _k").selectExpr(
+        *others, "prow + _k.dy AS prow", "_k.dy AS _dy", "_k.w AS _w", value
+    )
+    parts = [
+        _along(keys, "prow", "pcol", -w, w, func, f"CASE WHEN _w = {w} THEN {value} END") for w in sorted(set(widths.values()))
+    ]
     pick = "least" if func == "min" else "greatest"
     combined = f"{pick}({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    out = out or value
-    return rows.selectExpr(*[c for c in pixels.columns if c != out], f"{combined} AS {out}")
+    kept = [c for c in pixels.columns if c != value]
+    return listed.selectExpr(*kept, "_dy", f"{combined} AS _f").where("_dy = 0").selectExpr(*kept, f"_f AS {out or value}")
 
 
 def opening(mask: DataFrame, keys: Sequence[str], value: str = "m", size: int = 8) -> DataFrame:
