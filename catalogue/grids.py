@@ -573,7 +573,7 @@ def prepared(spark, sf, labelled_only):
     ).selectExpr(
         "city", "tile_idx", "ymin", "xmin", "fold",
         "aggregate(buildings, 0D, (a, v) -> a + v) AS built",
-        "round(aggregate(b8, 0D, (a, v) -> a + v), 3) AS nir",
+        "aggregate(b8, 0D, (a, v) -> a + v) AS nir",
     )
 
 
@@ -586,16 +586,16 @@ PREP_CTES = ctes(
     b="SELECT w.city, w.tile_idx, count(*) AS built FROM w JOIN fine f ON f.city=w.city AND f.prow>=2*w.ymin AND f.prow<2*w.ymin+32 AND f.pcol>=2*w.xmin AND f.pcol<2*w.xmin+32 GROUP BY 1,2",
     t="""SELECT w.city, w.tile_idx, o.b8, (o.b8-2581.270e0)/586.279e0 AS v FROM w JOIN f_obs o ON o.image_id=w.city AND o.prow>=w.ymin AND o.prow<w.ymin+16 AND o.pcol>=w.xmin AND o.pcol<w.xmin+16""",
     g="SELECT city, tile_idx, stddev_pop(v) AS s FROM t GROUP BY 1,2",
-    n="SELECT t.city, t.tile_idx, sum(CASE WHEN b8=0 THEN 0 ELSE v/s END) AS nir FROM t JOIN g USING (city, tile_idx) GROUP BY 1,2",
+    n="SELECT t.city, t.tile_idx, sum(CAST(CAST(CASE WHEN b8=0 OR s=0 THEN 0 ELSE v/s END AS FLOAT) AS DOUBLE)) AS nir FROM t JOIN g USING (city, tile_idx) GROUP BY 1,2",
 )
 
 
 @query(
     "x2_prepared_tiles",
-    PREP_CTES + """SELECT w.city, w.tile_idx, w.ymin, w.xmin, coalesce(CAST(b.built AS DOUBLE),0) AS built, round(n.nir,1) AS nir FROM w JOIN n USING (city, tile_idx) LEFT JOIN b USING (city, tile_idx)""",
+    PREP_CTES + """SELECT w.city, w.tile_idx, w.ymin, w.xmin, coalesce(CAST(b.built AS DOUBLE),0) AS built, round(coalesce(n.nir,0),3) AS nir FROM w LEFT JOIN n USING (city, tile_idx) LEFT JOIN b USING (city, tile_idx)""",
 )
 def x2(spark, sf):
-    return prepared(spark, sf, False).selectExpr("city", "tile_idx", "ymin", "xmin", "built", "round(nir,1) AS nir")
+    return prepared(spark, sf, False).selectExpr("city", "tile_idx", "ymin", "xmin", "built", "round(nir,3) AS nir")
 
 
 @query(

@@ -98,7 +98,11 @@ def prepare_tiles(
 
     image = tile_pixels(pixels.select(scene, "prow", "pcol", *BANDS), windows, keys, size, stride)
     normal = normalise_bands(image, [scene, "tile_idx"], BANDS)
-    image_tiles = windows.join(assemble_tiles(normal, [scene, "tile_idx"], BANDS, size), [scene, "tile_idx"])
+    # a window without any pixel reads as no data: zeros in every band
+    empty = f"array_repeat(CAST(0 AS FLOAT), {size * size})"
+    image_tiles = windows.join(
+        assemble_tiles(normal, [scene, "tile_idx"], BANDS, size), [scene, "tile_idx"], "left"
+    ).selectExpr(*windows.columns, *[f"coalesce({b}, {empty}) AS {b}" for b in BANDS])
 
     b_size, b_stride = size * building_factor, stride * building_factor
     covered = tile_pixels(footprint, fine_windows, keys, b_size, b_stride)
