@@ -62,7 +62,7 @@ def grid_windows(scenes: DataFrame, scene: Sequence[str], size) -> DataFrame:
 
 
 def labelled_windows(windows: DataFrame, labels: DataFrame, scene: Sequence[str], size) -> DataFrame:
-    """Grid windows holding at least one non-zero label pixel, re-numbered is not needed: the index stays.
+    """Grid windows holding at least one non-zero label pixel; they keep their grid index.
 
     Labels are reduced to the distinct windows they fall in before the join.
     """
