@@ -42,12 +42,17 @@ _NEEDS = {
 }
 
 
+def _struct(**fields: Column) -> Column:
+    """A struct whose names hold inside lambda functions too."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+
 def _running(lengths: Column, start: Column) -> Column:
     """Starts of spans whose gap and size are g and n, one after the other from ``start``."""
     return F.aggregate(
         lengths,
-        F.struct(start.alias("at"), F.array().cast("array<long>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["g"]).alias("out")),
+        _struct(at=start, out=F.array().cast("array<long>")),
+        lambda acc, x: _struct(at=acc["at"] + x["g"] + x["n"], out=F.array_append(acc["out"], acc["at"] + x["g"])),
         lambda acc: acc["out"],
     )
 
@@ -62,18 +67,17 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.transform(
         F.sequence(F.lit(0), F.size(found) - 1),
-        lambda i: F.struct(F.length(F.get(between, i)).cast("long").alias("g"), F.length(F.get(found, i)).cast("long").alias("n")),
+        lambda i: _struct(g=F.length(F.get(between, i)).cast("long"), n=F.length(F.get(found, i)).cast("long")),
     )
     blocks = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(BLOCK)), lambda i: F.slice(both, i, BLOCK))
     sums = F.transform(
-        blocks, lambda b: F.struct(F.lit(0).cast("long").alias("g"), F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["g"] + x["n"]).alias("n"))
+        blocks, lambda b: _struct(g=F.lit(0).cast("long"), n=F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["g"] + x["n"]))
     )
     starts = F.flatten(F.zip_with(blocks, _running(sums, F.lit(0).cast("long")), _running))
     spans = F.zip_with(
         starts, F.sequence(F.lit(0), F.size(found) - 1),
-        lambda s, i: F.struct(
-            s.alias("start"), F.get(found, i).alias("found"),
-            F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("after"),
+        lambda s, i: _struct(
+            start=s, found=F.get(found, i), before=F.right(F.get(between, i), F.lit(CONTEXT)), after=F.left(F.get(between, i + 1), F.lit(CONTEXT))
         ),
     )
     empty = F.array().cast("array<struct<start:bigint,found:string,before:string,after:string>>")
@@ -111,7 +115,7 @@ def _valid(kind: str, found: Column) -> Column:
 def _numbered(array: Column, k: int, valid=None) -> Column:
     """(kind number, start, end) of spans."""
     kept = F.filter(array, lambda s: valid(s["found"])) if valid else array
-    return F.transform(kept, lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("s"), (s["start"] + F.length(s["found"])).alias("e")))
+    return F.transform(kept, lambda s: _struct(k=F.lit(k), s=s["start"], e=s["start"] + F.length(s["found"])))
 
 
 def span_text(spans: Column) -> Column:
@@ -130,25 +134,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _base_spans(text_or_empty()).alias("spans"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """One row per span that a wide generator proposes: the row's uid, k, s, e, found, before, after. They may overlap."""
+def candidates(text: Column) -> Column:
+    """array<struct<k, s, e, found, before, after>> of all spans that the wide generators propose. They may overlap."""
     wide = [
         F.transform(
-            _matches(F.col("text"), WIDE[k], _NEEDS[k][1]),
-            lambda m, i=i: F.struct(
-                F.lit(i).alias("k"), m["start"].alias("s"), (m["start"] + F.length(m["found"])).alias("e"),
-                m["found"].alias("found"), m["before"].alias("before"), m["after"].alias("after"),
+            _matches(text, WIDE[k], _NEEDS[k][1]),
+            lambda m, i=i: _struct(
+                k=F.lit(i), s=m["start"], e=m["start"] + F.length(m["found"]), found=m["found"], before=m["before"], after=m["after"]
             ),
         )
         for i, k in enumerate(KINDS)
     ]
-    return docs.withColumn("c", F.explode(F.concat(*wide))).select(*[c for c in docs.columns if c != "text"], "c.*")
+    return F.concat(*wide)
 
 
 def with_features(rows: DataFrame) -> DataFrame:
     """Adds ``features``: the candidate's format and context, but not the marks by which the rules tell their spans (a
     leading plus, an at sign), so that like spans without them can be told too."""
-    found, digits, before, after = F.col("found"), _digits(F.col("found")), F.lower("before"), F.lower("after")
+    found, digits = F.regexp_replace("found", r"^\+", ""), _digits(F.col("found"))
+    before, after = F.lower("before"), F.lower("after")
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     is_in = lambda c, p: F.rlike(c, F.lit(p)).cast("double")
     features = [
@@ -175,8 +179,7 @@ def fit_spans(docs: DataFrame, sample: int = SAMPLE):
     share = min(1.0, sample / max(docs.count(), 1))
     h = F.pmod(F.xxhash64(id_text()), F.lit(1_000_000))
     rows = docs.select("doc_id", text_or_empty().alias("text"), h.alias("_h")).where(F.col("_h") < int(share * 1_000_000))
-    rows = rows.withColumn("_rule", _base_spans(F.col("text")))
-    given = candidates(rows.select("doc_id", "_h", "_rule", "text"))
+    given = rows.select("_h", _base_spans(F.col("text")).alias("_rule"), F.explode(candidates(F.col("text"))).alias("c")).select("_h", "_rule", "c.*")
     given = materialise(given.select(
         "k", "found", "before", "after", (F.col("_h") % 3 == 0).alias("held"),
         F.array_contains("_rule", F.struct("k", "s", "e")).cast("double").alias("label"),
@@ -211,18 +214,8 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     own = docs.select("doc_id", text_or_empty().alias("text"))
     if not limits:
         return base_spans(docs).select("doc_id", F.col("spans").alias("base"), "spans")
-    # one read: the rules' spans, and the candidates that are none of them
-    wide = [
-        F.transform(
-            _matches(F.col("text"), WIDE[k], _NEEDS[k][1]),
-            lambda m, i=i: F.struct(
-                F.lit(i).alias("k"), m["start"].alias("s"), (m["start"] + F.length(m["found"])).alias("e"),
-                m["found"].alias("found"), m["before"].alias("before"), m["after"].alias("after"),
-            ),
-        )
-        for i, k in enumerate(KINDS)
-    ]
-    read = own.select("doc_id", _base_spans(F.col("text")).alias("base"), F.concat(*wide).alias("wide"))
+    # one read: the rules' spans, and the candidates that meet none of them
+    read = own.select("doc_id", _base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("wide"))
     clear = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
     read = materialise(
         read.select("doc_id", "base", F.filter("wide", clear).alias("wide")).withColumn("uid", F.monotonically_increasing_id())
@@ -231,7 +224,7 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     scored = trees.transform(with_features(read.select("uid", F.explode("wide").alias("c")).select("uid", "c.*")))
     scored = scored.withColumn("chance", vector_to_array("probability")[1]).where(F.col("chance") >= limit)
     # of candidates for the same place the best chance stays
-    best = scored.groupBy("uid", "s").agg(F.max(F.struct("chance", F.col("k").alias("k"), "e")).alias("b"))
+    best = scored.groupBy("uid", "s").agg(F.max(F.struct("chance", "k", "e")).alias("b"))
     added = best.groupBy("uid").agg(F.collect_list(F.struct("b.k", "s", "b.e")).alias("added"))
     joined = read.join(added, "uid", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:bigint,e:bigint>>"))))
@@ -244,15 +237,15 @@ def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Overlapping spans are replaced once, from the first one's start to the last one's end. doc_id must be unique.
     """
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    ordered = F.array_sort(F.transform("spans", lambda x: _struct(s=x["s"], e=x["e"], k=x["k"])))
+    start = _struct(at=F.lit(0).cast("long"), parts=F.array().cast("array<string>"))
 
     def step(acc, x):
         piece = F.when(
             x["s"] >= acc["at"],
             F.array_append(F.array_append(acc["parts"], F.substring("_t", (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))), F.get(names, x["k"])),
         ).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), piece.alias("parts"))
+        return _struct(at=F.greatest(acc["at"], x["e"]), parts=piece)
 
     text = F.aggregate(
         ordered, start, step,

@@ -146,7 +146,7 @@ def test_op2(table, request):
 
 def test_op2_learns_unmarked_spans(spark):
     """Addresses in one format: the trees take those whose mark is missing, and no plain numbers."""
-    texts = [f"word word +1 ({i % 900 + 100}) 555-{i % 9000 + 1000} word" if i % 3 else f"total {i} of {i * 7} items" for i in range(1500)]
+    texts = [f"word word +1 ({i % 900 + 100}) 555-{i % 9000 + 1000} word" if i % 3 else f"total {i % 9000 + 1000} {i * 7 % 9000 + 1000} items" for i in range(1500)]
     texts += ["word word 1 (321) 555-1234 word"] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.find_spans(df).collect()}
@@ -324,7 +324,7 @@ def test_op8_joined_words_agree(spark, docs, monkeypatch):
 
 
 def test_op8_chances_sum_to_one():
-    words = [(bytes([97 + i % 26]) * (1 + i // 26), 1000 - i) for i in range(1200)]
+    words = [(bytes([97 + i % 26]) * (1 + i // 26), 2000 - i) for i in range(1200)]
     tail_n, tail_v = np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES)
     model = lm.LanguageModel(words, 10**6, 1200, tail_n, tail_v)
     h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
@@ -333,9 +333,9 @@ def test_op8_chances_sum_to_one():
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_op8_gradient():
+def test_op8_gradient(monkeypatch):
     """Backpropagation of one window against finite differences of its loss."""
-    words = [(bytes([97 + i % 26]) * (1 + i // 26), 1000 - i) for i in range(1200)]
+    words = [(bytes([97 + i % 26]) * (1 + i // 26), 2000 - i) for i in range(1200)]
     model = lm.LanguageModel(words, 10**6, 1200, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(1)
@@ -343,17 +343,18 @@ def test_op8_gradient():
     loss = lambda: -model.log_likelihoods([doc])[0] * np.log(10) / len(doc)
     before = {k: v.copy() for k, v in model.p.items()}
     base = loss()
+    monkeypatch.setattr(lm, "PASSES", 1)
     model.fit([doc])  # one Adam step from zero moments goes against the gradient's sign
     moved = {k: model.p[k] - before[k] for k in before}
     model.p = {k: v.copy() for k, v in before.items()}
     checked = 0
     for k in ("state", "input", "class", "word"):
-        flat = np.argsort(-np.abs(moved[k]).ravel())[:40]
-        for i in rng.choice(flat, 6, replace=False):
+        flat = np.flatnonzero(np.abs(moved[k]).ravel() > 0.9 * lm.RATE)
+        for i in rng.choice(flat, 8, replace=False):
             model.p[k].flat[i] += 1e-3
             slope = (loss() - base) / 1e-3
             model.p[k].flat[i] -= 1e-3
-            if abs(slope) > 2e-4:
+            if abs(slope) > 1e-4:
                 assert np.sign(slope) == -np.sign(moved[k].flat[i]), k
                 checked += 1
     assert checked >= 8
