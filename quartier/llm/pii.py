@@ -136,16 +136,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def candidates(text: Column) -> Column:
     """array<struct<k, s, e, found, before, after>> of all spans that the wide generators propose. They may overlap."""
-    wide = [
-        F.transform(
-            _matches(text, WIDE[k], _NEEDS[k][1]),
-            lambda m, i=i: _struct(
+    def of(i: int, kind: str) -> Column:
+        return F.transform(
+            _matches(text, WIDE[kind], _NEEDS[kind][1]),
+            lambda m: _struct(
                 k=F.lit(i), s=m["start"], e=m["start"] + F.length(m["found"]), found=m["found"], before=m["before"], after=m["after"]
             ),
         )
-        for i, k in enumerate(KINDS)
-    ]
-    return F.concat(*wide)
+
+    return F.concat(*[of(i, kind) for i, kind in enumerate(KINDS)])
 
 
 def with_features(rows: DataFrame) -> DataFrame:
