@@ -57,31 +57,42 @@ def _running(lengths: Column, start: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often lambda functions in the body use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(spans: Column) -> Column:
+    """Starts of spans (g code points after the one before, n long), by sums of blocks and then within each block."""
+    total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["g"] + x["n"])
+    blocks = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), lambda i: F.slice(spans, i, BLOCK))
+    return _let(
+        blocks,
+        lambda b: F.flatten(F.zip_with(b, _running(F.transform(b, lambda x: _struct(g=F.lit(0).cast("long"), n=total(x))), F.lit(0).cast("long")), _running)),
+    )
+
+
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<start, found, before, after>> of all leftmost matches; positions in code points.
 
     What lies between matches comes from a split by the same pattern, so positions are sums of lengths, taken block by
     block: the work stays near the number of matches.
     """
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.transform(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        lambda i: _struct(g=F.length(F.get(between, i)).cast("long"), n=F.length(F.get(found, i)).cast("long")),
-    )
-    blocks = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(BLOCK)), lambda i: F.slice(both, i, BLOCK))
-    sums = F.transform(
-        blocks, lambda b: _struct(g=F.lit(0).cast("long"), n=F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["g"] + x["n"]))
-    )
-    starts = F.flatten(F.zip_with(blocks, _running(sums, F.lit(0).cast("long")), _running))
-    spans = F.zip_with(
-        starts, F.sequence(F.lit(0), F.size(found) - 1),
-        lambda s, i: _struct(
-            start=s, found=F.get(found, i), before=F.right(F.get(between, i), F.lit(CONTEXT)), after=F.left(F.get(between, i + 1), F.lit(CONTEXT))
-        ),
-    )
+    read = _struct(between=F.split(text, pattern, -1), found=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+    def spans(r: Column) -> Column:
+        n = F.size(r["found"])
+        placed = F.zip_with(F.slice(r["between"], F.lit(1), n), r["found"], lambda b, f: _struct(g=F.length(b).cast("long"), n=F.length(f).cast("long")))
+        around = F.zip_with(
+            F.slice(r["between"], F.lit(1), n), F.slice(r["between"], F.lit(2), n),
+            lambda b, a: _struct(before=F.right(b, F.lit(CONTEXT)), after=F.left(a, F.lit(CONTEXT))),
+        )
+        whole = F.zip_with(r["found"], around, lambda f, c: _struct(found=f, before=c["before"], after=c["after"]))
+        starts = _let(placed, _starts)
+        return F.when(n > 0, F.zip_with(starts, whole, lambda s, w: _struct(start=s, found=w["found"], before=w["before"], after=w["after"])))
+
     empty = F.array().cast("array<struct<start:bigint,found:string,before:string,after:string>>")
-    return F.when(F.rlike(text, F.lit(needs)) & (F.size(found) > 0), spans).otherwise(empty)
+    return F.coalesce(F.when(F.rlike(text, F.lit(needs)), _let(read, spans)), empty)
 
 
 def _digits(found: Column) -> Column:
@@ -214,11 +225,11 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if not limits:
         return base_spans(docs).select("doc_id", F.col("spans").alias("base"), "spans")
     # one read: the rules' spans, and the candidates that meet none of them
-    read = own.select("doc_id", _base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("wide"))
-    clear = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    read = materialise(
-        read.select("doc_id", "base", F.filter("wide", clear).alias("wide")).withColumn("uid", F.monotonically_increasing_id())
+    both = _let(
+        _struct(base=_base_spans(F.col("text")), wide=candidates(F.col("text"))),
+        lambda r: _struct(base=r["base"], wide=F.filter(r["wide"], lambda c: ~F.exists(r["base"], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))),
     )
+    read = materialise(own.select("doc_id", both.alias("r"), F.monotonically_increasing_id().alias("uid"))).select("doc_id", "uid", "r.base", "r.wide")
     limit = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("k"))
     scored = trees.transform(with_features(read.select("uid", F.explode("wide").alias("c")).select("uid", "c.*")))
     scored = scored.withColumn("chance", vector_to_array("probability")[1]).where(F.col("chance") >= limit)
