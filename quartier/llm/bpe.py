@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quartier.llm.common import text_or_empty
 
 #: Code points of documents handled at once, distinct pieces in one recursive query, and pieces a worker remembers.
-CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 400_000
+CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 800_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
 
@@ -126,11 +126,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids, joined by spaces, of each text."""
         split = [self.pattern.findall(t) for t in texts]
-        own = {p: self.known[p] for pieces in split for p in pieces if p in self.known}
-        new = self.learn({p for pieces in split for p in pieces if p not in own})
+        distinct = set().union(*split)
+        new = self.learn(distinct.difference(self.known))
         if len(self.known) < REMEMBERED:
             self.known |= new
-        own |= new
+            own = self.known
+        else:
+            own = {p: self.known[p] for p in distinct if p in self.known} | new
         return [" ".join(map(own.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
