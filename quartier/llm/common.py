@@ -44,6 +44,17 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.withColumn("_llm_tag", tag).join(right.withColumn("_llm_tag", tag), [*keys, "_llm_tag"], how).drop("_llm_tag")
 
 
+def hash_sample(rows: DataFrame, by: list[Column], bound: int) -> DataFrame:
+    """At most ``bound`` rows, those of least hash of ``by``.
+
+    Rows are first cut by hash to little more than ``bound`` of all, so that the tasks together send no more than that.
+    """
+    share = 1.2 * bound / max(rows.count(), 1)
+    place = F.xxhash64(*by)
+    cut = rows if share >= 1 else rows.where(F.pmod(place, F.lit(2**40)) < int(share * 2**40))
+    return cut.orderBy(place, *by).limit(bound)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 

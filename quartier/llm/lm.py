@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartier.llm.common import id_text, spread_join, text_or_empty
+from quartier.llm.common import hash_sample, id_text, spread_join, text_or_empty
 from quartier.session import materialise
 
 #: Hidden units; words with outputs of their own (the end included), their classes, classes of all other words.
@@ -18,8 +18,8 @@ HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 32
 LOOKUP, SAMPLE = 200_000, 1_500
 #: Tokens of a window of truncated backpropagation, documents side by side in the fit and in scoring, learning rate, passes.
 WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 48, 512, 0.005, 3
-#: Distinct words a task counts before it hands them on, and tokens of the texts held at once.
-COUNTED, HELD = 300_000, 1_000_000
+#: Distinct words a task counts before it hands them on, and code points of the texts scored at once (or one longer text).
+COUNTED, HELD = 200_000, 3_000_000
 
 PER_CLASS = HEAD // HEAD_CLASSES
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
@@ -281,14 +281,32 @@ class _Numbers(dict):
         return -1 - (tail_class(word) - HEAD_CLASSES)
 
 
+def frequent_words(counts: DataFrame, bound: int) -> list[tuple[bytes, int]]:
+    """At most ``bound`` words (word, n), most frequent first: all those from a frequency on.
+
+    Words are counted by frequency (in steps of a few per cent above 1,000, so in a few thousand rows) to find the
+    least frequency with which they fit; only they come to the driver.
+    """
+    step = F.expr("CASE WHEN n <= 1000 THEN n ELSE 1000 + floor(32 * log2(n / 1000)) END").cast("long")
+    least, words = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        words += r["words"]
+        if words > bound:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    got = counts.where(step >= least).select("word", "n").toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def fit_language_model(training: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Counts (word, n) of all of ``training`` give the vocabulary; at most ``sample`` of its rows fit the network.
 
-    The driver gets the LOOKUP most frequent words, one row per tail class, and the sampled texts (those of
-    least hash of doc_id).
+    The driver gets at most LOOKUP of the most frequent words, one row per tail class, and the sampled texts (those of
+    least hash).
     """
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).collect()
-    lookup = [(bytes(r["word"]), int(r["n"])) for r in top]
+    lookup = frequent_words(counts, LOOKUP)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tail_n, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in counts.selectExpr(f"{_tail_class_sql()} AS c", "n").groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -297,8 +315,8 @@ def fit_language_model(training: DataFrame, counts: DataFrame, sample: int = SAM
         tail_n[tail_class(w) - HEAD_CLASSES] -= n
         tail_v[tail_class(w) - HEAD_CLASSES] -= 1
     model = LanguageModel(lookup, int(sums["n"]), int(sums["v"]), tail_n, tail_v)
-    chosen = training.select(F.xxhash64(id_text()).alias("h"), text_or_empty().alias("text")).orderBy("h", "text").limit(sample)
-    model.fit([model.numbers(tokens(r["text"])) for r in chosen.collect()])
+    chosen = hash_sample(training.select(id_text().alias("id"), text_or_empty().alias("text")), [F.col("id"), F.col("text")], sample)
+    model.fit([model.numbers(tokens(r["text"])) for r in chosen.select("text").toLocalIterator()])
     return model
 
 
@@ -320,7 +338,7 @@ def likelihoods(docs: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            part = batch["text"].str.len().cumsum() // (HELD * 4)
+            part = batch["text"].str.len().cumsum() // HELD
             for _, chunk in batch.groupby(part.to_numpy(), sort=False):
                 yield pd.concat([chunk[["doc_id"]].reset_index(drop=True).astype({"doc_id": "Int64"}), own.score(chunk["text"].tolist())], axis=1)
 

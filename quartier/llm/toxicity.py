@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartier.llm.common import text_or_empty
+from quartier.llm.common import hash_sample, text_or_empty
 from quartier.session import materialise
 
 #: Labelled rows that the fit uses at most (those of least hash), words that get a weight, rows a word must be in.
@@ -73,7 +73,7 @@ class OrdinalModel:
 def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` rows (doc_id, label): one for each labelled id, those of least hash."""
     rows = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return hash_sample(rows, [F.col("doc_id")], sample)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
