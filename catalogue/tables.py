@@ -306,10 +306,12 @@ def j6(spark, sf):
 @query(
     "j9_country_lookup",
     ctes("f_cities", "f_settlements") + """SELECT c.city, count(s.sid) AS settlements FROM f_cities c LEFT JOIN f_settlements s
- ON s.country=c.country AND s.kind='tri' GROUP BY 1""",
+ ON s.country=c.country AND s.country<>'ASIA' GROUP BY 1""",
 )
 def j9(spark, sf):
-    counts = fixture(spark, sf, "f_settlements").where("kind = 'tri'").groupBy("country").agg(F.expr("count(1) AS n"))
+    # all settlements are read; those of one country count for none, so the lookup misses it
+    counted = fixture(spark, sf, "f_settlements").groupBy(F.expr("nullif(country, 'ASIA') AS country"))
+    counts = counted.agg(F.expr("count(1) AS n"))
     return lookup_join(fixture(spark, sf, "f_cities"), counts, ["country"], "left").selectExpr(
         "city", "coalesce(n, 0) AS settlements"
     )

@@ -71,9 +71,8 @@ FROM {orders}""",
     "f_scenes": """
 SELECT s_suppkey AS scene, 40+s_suppkey%17 AS height, 44+s_suppkey%23 AS width FROM {supplier}""",
     "f_image_files": """
-SELECT concat('img/', r_name, '_', n_name, '_', CAST(s_suppkey AS VARCHAR(12)), '.tif') AS image_path
-FROM {supplier} JOIN {nation} ON s_nationkey=n_nationkey JOIN {region} ON n_regionkey=r_regionkey
-WHERE s_acctbal > 8000""",
+SELECT concat(CASE WHEN n_nationkey%7=3 THEN 'img/old_' ELSE 'img/' END, r_name, '_', n_name, '_', CAST(s_suppkey AS VARCHAR(12)), '.tif') AS image_path
+FROM {supplier} JOIN {nation} ON s_nationkey=n_nationkey JOIN {region} ON n_regionkey=r_regionkey""",
     "f_registry": """
 SELECT c_custkey AS rid, c_name AS city, concat('img/', c_mktsegment, '/', CAST(c_custkey AS VARCHAR(12)), '_x.tif') AS image_path,
        concat('lab/', CAST(c_custkey AS VARCHAR(12)), '.geojson') AS labels_path,

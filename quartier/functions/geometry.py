@@ -178,9 +178,10 @@ def borders_touch(a: str, b: str) -> str:
 def intersects(a: str, b: str) -> str:
     """Share at least one point: one part lies inside the other geometry (tested first, being cheap), or borders meet."""
     def starts_inside(geom: str, other: str) -> str:
-        return _fn(exteriors(geom), lambda r: contains_point(other, f"{r}[0].x", f"{r}[0].y"), "exists")
+        # only areas have an inside
+        return f"{is_areal(other)} AND " + _fn(exteriors(geom), lambda r: contains_point(other, f"{r}[0].x", f"{r}[0].y"), "exists")
 
-    return f"({starts_inside(a, b)} OR {starts_inside(b, a)} OR {borders_touch(a, b)})"
+    return f"(({starts_inside(a, b)}) OR ({starts_inside(b, a)}) OR {borders_touch(a, b)})"
 
 
 def intersects_box(geom: str, bbox: str) -> str:
@@ -358,20 +359,30 @@ def to_geojson(geom: str) -> str:
     )
     return let(
         coords,
-        lambda c: f"CASE WHEN {geom}.type = 'Polygon' "
+        lambda c: f"CASE WHEN {geom}.type = 'Point' "
+        f"THEN to_json(named_struct('type', 'Point', 'coordinates', {c}[0][0][0])) "
+        f"WHEN {geom}.type = 'LineString' "
+        f"THEN to_json(named_struct('type', 'LineString', 'coordinates', {c}[0][0])) "
+        f"WHEN {geom}.type = 'Polygon' "
         f"THEN to_json(named_struct('type', 'Polygon', 'coordinates', {c}[0])) "
         f"ELSE to_json(named_struct('type', 'MultiPolygon', 'coordinates', {c})) END",
     )
 
 
 def from_geojson(kind: str, coordinates: str) -> str:
-    """Geometry from the type and coordinate text of a GeoJSON geometry; NULL for kinds without area."""
+    """Geometry from the type and coordinate text of a GeoJSON geometry; NULL for other kinds than points, lines and areas."""
     def vertices(rings: str) -> str:
         return _fn(rings, lambda ring: _fn(ring, lambda v: point(f"{v}[0]", f"{v}[1]")))
 
     single = f"array({vertices(f'''from_json({coordinates}, 'array<array<array<double>>>')''')})"
     multi = _fn(f"from_json({coordinates}, 'array<array<array<array<double>>>>')", vertices)
+    as_line = f"array(from_json({coordinates}, 'array<array<double>>'))"
+    as_spot = f"array(array(from_json({coordinates}, 'array<double>')))"
+    line = f"array({vertices(as_line)})"
+    spot = f"array({vertices(as_spot)})"
     return (
-        f"CASE {kind} WHEN 'Polygon' THEN named_struct('type', {kind}, 'polys', {single}) "
+        f"CASE {kind} WHEN 'Point' THEN named_struct('type', {kind}, 'polys', {spot}) "
+        f"WHEN 'LineString' THEN named_struct('type', {kind}, 'polys', {line}) "
+        f"WHEN 'Polygon' THEN named_struct('type', {kind}, 'polys', {single}) "
         f"WHEN 'MultiPolygon' THEN named_struct('type', {kind}, 'polys', {multi}) END"
     )

@@ -38,13 +38,6 @@ def to_lonlat(geom: str) -> str:
     return map_vertices(geom, lambda v: point(mercator_lon(f"{v}.x"), mercator_lat(f"{v}.y")))
 
 
-def box_to_lonlat(bbox: str) -> str:
-    return box(
-        mercator_lon(f"{bbox}.xmin"), mercator_lat(f"{bbox}.ymin"),
-        mercator_lon(f"{bbox}.xmax"), mercator_lat(f"{bbox}.ymax"),
-    )
-
-
 def square_around(lon: str, lat: str, size: str | float) -> str:
     """Longitude/latitude box of a square of ``size`` map metres centred on a point."""
     return let(

@@ -80,11 +80,6 @@ def nan_to_zero(value: str) -> str:
     return f"nanvl(coalesce({value}, 0D), 0D)"
 
 
-def nan_to_null(value: str) -> str:
-    """NaN compares as the largest double in Spark; the operators expect NULL instead."""
-    return f"CASE WHEN NOT isnan({value}) THEN {value} END"
-
-
 def class_weight(class_id: str) -> str:
     """Burn value of a feature class: 1 -> 1.0, 2 -> 0.5, else 0."""
     return f"CASE {class_id} WHEN 1 THEN 1D WHEN 2 THEN 0.5D ELSE 0D END"

@@ -69,23 +69,6 @@ def stack_channels(tiles: DataFrame, bands: Sequence[str], out: str = "channels"
     return tiles.selectExpr(*[c for c in tiles.columns if c not in bands], f"array({arrays}) AS {out}")
 
 
-def onnx_scorer(path: str, inputs: Sequence[str]) -> Callable:
-    """Opens a network file once per Python worker; the file must be reachable from the executors."""
-    def open_model() -> Callable[[pd.DataFrame], np.ndarray]:
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
-        names = [i.name for i in session.get_inputs()]
-
-        def run(batch: pd.DataFrame) -> np.ndarray:
-            feed = {n: np.stack([np.asarray(v, dtype=np.float32) for v in batch[c]]) for n, c in zip(names, inputs)}
-            return session.run(None, feed)[0].reshape(len(batch), -1)
-
-        return run
-
-    return open_model
-
-
 def score_tiles(
     tiles: DataFrame, open_model: Callable, inputs: Sequence[str], keys: Sequence[str], model: str = "model",
     logits: bool = True,

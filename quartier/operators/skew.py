@@ -9,22 +9,17 @@ from pyspark.sql import functions as F
 from quartier.session import materialise
 
 ROWS_PER_TASK = 4_000_000
-HOT_KEYS = 1_000
-LOOKUP_ROWS = 200_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The heaviest keys and the number of pieces each should be cut into.
+    """All keys with more than ``rows_per_task`` rows and the number of pieces each should be cut into.
 
-    At most ``HOT_KEYS`` rows by construction, so it can be broadcast whatever the input size. A key
-    that is not among them holds less than 1/HOT_KEYS of the rows, which one task can take.
+    There are at most rows / rows_per_task of them: a few million short rows for 1e13 input rows.
     """
     return (
         df.groupBy(*keys)
         .agg(F.expr("count(1) AS _n"))
         .where(f"_n > {rows_per_task}")
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HOT_KEYS)
         .selectExpr(*keys, f"CAST(ceil(_n / {rows_per_task}) AS INT) AS _pieces")
     )
 
@@ -39,14 +34,14 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which hot keys of ``big`` are cut into pieces and ``other`` repeated per piece.
 
-    ``how`` may be inner, left or left_semi (seen from ``big``). Columns besides ``keys`` must differ.
+    ``how`` may be inner, left or left_semi (seen from ``big``). Columns besides ``keys`` must differ. Pieces are
+    dealt by row number, so equal rows spread too and columns may be of any type; ``big`` should come from files or
+    a checkpoint, whose order holds when a task runs again.
     """
     keys = list(keys)
     hot = F.broadcast(hot_keys(big, keys, rows_per_task))
-    spread = ", ".join(big.columns)
-    left = big.join(hot, keys, "left").selectExpr(
-        *big.columns,
-        f"CAST(CASE WHEN _pieces > 1 THEN pmod(xxhash64({spread}), _pieces) ELSE 0 END AS INT) AS _piece",
+    left = big.selectExpr("*", "monotonically_increasing_id() AS _row").join(hot, keys, "left").selectExpr(
+        *big.columns, "CAST(CASE WHEN _pieces > 1 THEN pmod(_row, _pieces) ELSE 0 END AS INT) AS _piece",
     )
     right = other.join(hot, keys, "left").selectExpr(
         *[f"{c} AS _k_{c}" if c in keys else c for c in other.columns],
@@ -58,13 +53,15 @@ def salted_join(
     return left.join(right, F.expr(match), how).drop("_piece", *[f"_k_{c}" for c in [*keys, "_piece"]])
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = LOOKUP_ROWS
-) -> DataFrame:
-    """Join with a table expected to be small: broadcast when a count proves it, else a salted join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, how)
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table expected to be small; adaptive execution broadcasts it by its measured bytes.
+
+    Beyond that size it is a shuffled join. One more key, derived from the others, makes Spark exchange both sides
+    anew even after an aggregate by ``keys``: only such exchanges can be split at a hot key.
+    """
+    tag = F.xxhash64(*keys)
+    joined = big.withColumn("_tag", tag).join(small.withColumn("_tag", tag), [*keys, "_tag"], how)
+    return joined.drop("_tag")
 
 
 def shuffled_rank(

@@ -24,7 +24,3 @@ MORPHOMETRIC = (
 )
 # one line of a GeoJSON file, coordinates left as text until the geometry type is known
 FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
-
-# Class names, ids and colours of the label raster.
-CLASSES = [(0, "background", "lightgray"), (1, "slums", "darkred")]
-NULL_CLASS_ID = 0

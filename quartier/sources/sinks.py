@@ -69,8 +69,3 @@ def write_composite(composite: DataFrame, path: str, mode: str = "errorifexists"
     composite.repartitionByRange("country", "city", "prow", "pcol").sortWithinPartitions(
         "country", "city", "prow", "pcol"
     ).write.mode(mode).partitionBy("country", "city").parquet(path)
-
-
-def skipped_report(requested: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Requested items that produced no output."""
-    return requested.select(*keys).join(written.select(*keys).distinct(), list(keys), "left_anti")

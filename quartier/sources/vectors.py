@@ -4,11 +4,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
-from quartier.functions.scalars import stem
 from quartier.operators.spatial import inside_box
 from quartier.schemas import FEATURE
 from quartier.sources.wkb import decode_wkb
@@ -17,6 +17,13 @@ from quartier.sources.wkb import decode_wkb
 BUILDING, ROAD, POI = 1, 2, 3
 
 
+# Features of a line: a collection's, or the one feature it holds (a comma may follow).
+LINE_FEATURES = (
+    f"CASE WHEN value LIKE '%\"FeatureCollection\"%' THEN from_json(trim(value), 'features array<{FEATURE}>').features "
+    f"ELSE array(from_json(regexp_replace(trim(value), ',$', ''), '{FEATURE}')) END"
+)
+
+
 def _published(df: DataFrame, columns: Sequence[str], class_id: int, mercator: bool) -> DataFrame:
     geom = proj.to_mercator("geom") if mercator else "geom"
     return df.selectExpr(*columns, f"{geom} AS geom", f"{class_id} AS class_id")
@@ -48,8 +55,8 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry")
 def read_geojson(spark: SparkSession, paths: str | list[str], whole_file: bool = False) -> DataFrame:
     """GeoJSON features: (path, properties map, kind, geom, bbox).
 
-    Files with one feature per line, with or without the enclosing collection, are split between
-    tasks. ``whole_file`` reads collections with free line breaks, one file per task.
+    Files with one feature or one whole collection per line, with or without an enclosing collection, are split
+    between tasks. ``whole_file`` reads collections with free line breaks, one file per task.
     """
     if whole_file:
         rows = (
@@ -59,11 +66,10 @@ def read_geojson(spark: SparkSession, paths: str | list[str], whole_file: bool =
             .selectExpr("_metadata.file_path AS path", "explode(features) AS f")
         )
     else:
-        line = r"regexp_replace(trim(value), ',$', '')"
         rows = (
             spark.read.text(paths)
             .where("value LIKE '%\"Feature\"%'")
-            .selectExpr("_metadata.file_path AS path", f"from_json({line}, '{FEATURE}') AS f")
+            .selectExpr("_metadata.file_path AS path", f"explode({LINE_FEATURES}) AS f")
         )
     return rows.selectExpr(
         "path", "f.properties AS properties", "f.geometry.type AS kind",
@@ -79,7 +85,9 @@ def features(
     if frame is None and not uris:
         raise ValueError("give a frame or at least one path")
     if frame is None:
-        parts = [read_geojson(spark, u).selectExpr("properties['id'] AS id", "geom") for u in uris]
+        parts = [read_geojson(spark, u).selectExpr(
+            "properties['id'] AS id", "CAST(properties['class_id'] AS INT) AS class_id", "properties", "geom"
+        ) for u in uris]
         frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if from_mercator:
         others = [c for c in frame.columns if c not in ("geom", "bbox")]
@@ -105,18 +113,22 @@ def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
     Reads ``country/city/vector_output/*`` trees and partitioned prediction stores. Missing folders and
     empty files give no rows.
     """
-    line = r"regexp_replace(trim(value), ',$', '')"
     plain, stored = "/([^/=]+)/([^/=]+)/vector_output/", "/country=([^/]+)/city=([^/]+)/"
 
     def part(i: int) -> str:
         found = f"coalesce(nullif(regexp_extract(path, '{stored}', {i}), ''), regexp_extract(path, '{plain}', {i}))"
         return f"url_decode(replace({found}, '+', '%2B'))"
 
-    lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(folder)
+    try:
+        lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.range(0).selectExpr("CAST(NULL AS STRING) AS value", "named_struct('file_path', '') AS _metadata")
     return (
         lines.selectExpr("value", "_metadata.file_path AS path")
         .where("path LIKE '%vector_output%' AND value LIKE '%\"Feature\"%'")
-        .selectExpr("path", f"from_json({line}, '{FEATURE}') AS f")
+        .selectExpr("path", f"explode({LINE_FEATURES}) AS f")
         .selectExpr(
             f"{part(1)} AS country", f"{part(2)} AS city", "f.properties AS properties",
             f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
@@ -124,11 +136,6 @@ def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def with_source_name(df: DataFrame, path: str = "path", name: str = "source_name") -> DataFrame:
-    """Name of the file a row came from, without extension."""
-    return df.selectExpr("*", f"{stem(path)} AS {name}")
-
-
 def check_features(df: DataFrame) -> DataFrame:
     """Rows that cannot be burned into a raster, with the reason: wrong geometry kind or no class id."""
     reason = (

@@ -16,16 +16,21 @@ KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 6: "MultiPolygon"}
 
 
 def _read(buf: bytes, at: int) -> tuple[str, list, int]:
+    """Kind, parts and the place after them. Heights and measures are read over; so is an SRID."""
     order = "<" if buf[at] == 1 else ">"
-    kind = KINDS.get(struct.unpack_from(order + "I", buf, at + 1)[0] % 1000)
-    at += 5
+    code = struct.unpack_from(order + "I", buf, at + 1)[0]
+    plain = code & 0x0FFFFFFF
+    kind = KINDS.get(plain % 1000)
+    # thousands (1: z, 2: m, 3: both) or the flag bits for z and m
+    dims = 2 + (0, 1, 1, 2)[plain // 1000 % 4] + bool(code & 0x80000000) + bool(code & 0x40000000)
+    at += 9 if code & 0x20000000 else 5
 
     def number(pos: int) -> int:
         return struct.unpack_from(order + "I", buf, pos)[0]
 
     def vertices(pos: int, n: int) -> tuple[list, int]:
-        flat = struct.unpack_from(f"{order}{2 * n}d", buf, pos)
-        return [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])], pos + 16 * n
+        flat = struct.unpack_from(f"{order}{dims * n}d", buf, pos)
+        return [{"x": x, "y": y} for x, y in zip(flat[::dims], flat[1::dims])], pos + 8 * dims * n
 
     if kind == "Point":
         ring, at = vertices(at, 1)
@@ -45,7 +50,7 @@ def _read(buf: bytes, at: int) -> tuple[str, list, int]:
             _, part, at = _read(buf, at)
             polys.extend(part)
         return kind, polys, at
-    return "Unsupported", [], at
+    raise ValueError(f"geometry type {code}")
 
 
 def _write(geom) -> bytes | None:
@@ -59,6 +64,10 @@ def _write(geom) -> bytes | None:
         return out
 
     polys = geom["polys"]
+    if geom["type"] in ("Point", "LineString"):
+        line = polys[0][0]
+        head = struct.pack("<BI", 1, 1) if geom["type"] == "Point" else struct.pack("<BII", 1, 2, len(line))
+        return head + b"".join(struct.pack("<dd", v["x"], v["y"]) for v in line)
     if geom["type"] == "Polygon":
         return body(polys[0])
     return struct.pack("<BII", 1, 6, len(polys)) + b"".join(body(rings) for rings in polys)
@@ -70,7 +79,7 @@ def decode_wkb(df: DataFrame, column: str = "geometry") -> DataFrame:
         try:
             kind, polys, _ = _read(bytes(value), 0)
             return {"type": kind, "polys": polys}
-        except (TypeError, struct.error, IndexError):
+        except (TypeError, ValueError, struct.error, IndexError):
             return None
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

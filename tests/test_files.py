@@ -76,3 +76,49 @@ def test_registry(spark, tmp_path):
 def test_checkpoint_dir_is_read_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_points_lines_heights_and_srid(spark):
+    import struct
+
+    from quartier.sources.wkb import _read, _write
+
+    line = {"type": "LineString", "polys": [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 2.0}]]]}
+    spot = {"type": "Point", "polys": [[[{"x": 3.0, "y": 4.0}]]]}
+    for geom in (line, spot):
+        kind, polys, _ = _read(_write(geom), 0)
+        assert {"type": kind, "polys": polys} == geom
+    ring = [(0, 0, 9), (1, 0, 9), (1, 1, 9), (0, 0, 9)]
+    body = struct.pack("<I", 1) + struct.pack("<I", 4) + b"".join(struct.pack("<ddd", *v) for v in ring)
+    want = [[[{"x": x, "y": y} for x, y, _ in ring]]]
+    assert _read(struct.pack("<BI", 1, 1003) + body, 0)[:2] == ("Polygon", want)
+    assert _read(struct.pack("<BII", 1, 0xA0000003, 4326) + body, 0)[:2] == ("Polygon", want)
+
+
+def test_geojson_of_one_line_and_kinds(spark, tmp_path):
+    from quartier.functions import geometry as g
+    from quartier.sources.vectors import city_predictions, features, read_geojson
+
+    parts = [
+        '{"type":"Feature","properties":{"id":"a","class_id":"2"},"geometry":{"type":"Point","coordinates":[1,2]}}',
+        '{"type":"Feature","properties":{"id":"b"},"geometry":{"type":"LineString","coordinates":[[0,0],[3,4]]}}',
+    ]
+    (tmp_path / "one.geojson").write_text('{"type":"FeatureCollection","features":[' + ",".join(parts) + "]}\n")
+    got = read_geojson(spark, str(tmp_path / "one.geojson")).selectExpr("kind", f"{g.to_geojson('geom')} AS text").collect()
+    assert {r["kind"]: r["text"] for r in got} == {
+        "Point": '{"type":"Point","coordinates":[1.0,2.0]}', "LineString": '{"type":"LineString","coordinates":[[0.0,0.0],[3.0,4.0]]}',
+    }
+    rows = features(spark, uris=[str(tmp_path / "one.geojson")], default_class=1).collect()
+    assert {r["id"]: (r["class_id"], r["properties"].get("class_id")) for r in rows} == {"a": (2, "2"), "b": (1, None)}
+    assert city_predictions(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_line_beside_a_square(spark):
+    from quartier.functions import geometry as g
+
+    df = spark.sql(
+        "SELECT from_json('{\"type\":\"LineString\",\"polys\":[[[{\"x\":-5,\"y\":-5},{\"x\":10,\"y\":-5},{\"x\":10,\"y\":10}]]]}', "
+        "'type string, polys array<array<array<struct<x:double,y:double>>>>') AS a, "
+        f"{g.rectangle('0D', '0D', '1D', '1D')} AS b, {g.rectangle('9D', '0D', '11D', '1D')} AS c"
+    )
+    assert df.selectExpr(g.intersects("a", "b"), g.intersects("a", "c")).first()[:] == (False, True)
