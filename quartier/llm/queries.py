@@ -115,7 +115,7 @@ WITH sized AS (
     sum(w) OVER (ORDER BY 2.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
   FROM sources
 ), level AS (
-  SELECT min((1.5 * (SELECT sum(n) FROM sources) - capped) / weight_left) FILTER ((1.5 * (SELECT sum(n) FROM sources) - capped) / weight_left <= cap_level) AS level FROM ordered
+  SELECT max((1.5 * (SELECT sum(n) FROM sources) - capped) / weight_left) FILTER ((1.5 * (SELECT sum(n) FROM sources) - capped) / weight_left <= cap_level) AS level FROM ordered
 ), budgets AS (
   SELECT source, n, least(2.0 * n, w * level) AS target, CASE WHEN n > 0 THEN floor(least(2.0 * n, w * level) / n) ELSE 0 END AS whole FROM sources, level
 ), ranked AS (
