@@ -16,29 +16,31 @@ from pyspark.sql import functions as F
 
 from quartier.llm.common import text_or_empty
 
-#: Code points of documents handled at once, distinct pieces in one recursive query, and pieces a worker remembers.
-CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 800_000
+#: Code points of documents handled at once, distinct pieces in one recursive query, and pieces in each generation that a worker remembers.
+CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 80_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
 
+# A position's key p is its piece's number times 1,024 plus its place, a pair's key k is a token times 2^32 plus the next.
 _CONTRACT = """
-WITH RECURSIVE state(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM start
+WITH RECURSIVE state(step, p, tok) AS (
+  SELECT 0, p, tok FROM start
   UNION ALL
-  SELECT s.step + 1, s.w, s.pos - (s.pos > c.pos)::INTEGER, CASE WHEN s.pos = c.pos THEN c.merged ELSE s.tok END
+  SELECT s.step + 1, s.p - (s.p > c.p)::BIGINT, CASE WHEN s.p = c.p THEN c.merged ELSE s.tok END
   FROM (
-    SELECT w, (least_key & 1023)::INTEGER AS pos, (least_key >> 10)::INTEGER AS merged
+    SELECT w, w * 1024 + (least_key & 1023) AS p, least_key >> 10 AS merged
     FROM (
-      SELECT s.w, min((m.merged::BIGINT << 10) + s.pos) AS least_key
-      FROM state s JOIN state n ON n.w = s.w AND n.pos = s.pos + 1 JOIN merges m ON m.a = s.tok AND m.b = n.tok
-      GROUP BY s.w
+      SELECT s.p >> 10 AS w, min((m.merged << 10) + (s.p & 1023)) AS least_key
+      FROM state s JOIN state n ON n.p = s.p + 1 JOIN merges m ON m.k = s.tok * 4294967296 + n.tok
+      GROUP BY 1
     )
-  ) c JOIN state s ON s.w = c.w AND s.pos <> c.pos + 1
+  ) c JOIN state s ON s.p >> 10 = c.w AND s.p <> c.p + 1
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) GROUP BY w
+SELECT p >> 10 AS w, list(tok ORDER BY p) AS ids
+FROM state s JOIN (SELECT p >> 10 AS w, max(step) AS step FROM state GROUP BY 1) l ON l.w = s.p >> 10 AND l.step = s.step
+GROUP BY 1
 """
-_DECODE = "SELECT d, list(v.bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
+_DECODE = "SELECT d, list(tok ORDER BY pos) AS toks FROM ids GROUP BY d ORDER BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,11 +50,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes and decodes texts; holds one in-memory DuckDB connection with the vocabulary and its merge table."""
+    """Encodes and decodes texts; holds one in-memory DuckDB connection with the merge table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.ranks, self.pattern, self.known, self.older = ranks, regex.compile(pattern), {}, {}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         a, b, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -60,21 +62,24 @@ class Encoder:
                 if left is not None and right is not None:
                     a.append(left), b.append(right), merged.append(rank)
         self.pairs = dict(zip(zip(a, b, strict=True), merged, strict=True))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        whole = pa.array(list(ranks.values()), pa.int32())
-        self.con.register("given", pa.table({"tok": whole, "bytes": pa.array(list(ranks), pa.binary())}))
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.con.register("given", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())}))
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        # all tokens' bytes one after the other, and where each begins
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), dtype=np.uint8)
+        self.con.register("given", pa.table({"k": np.array(a, dtype=np.int64) * 4294967296 + np.array(b, dtype=np.int64), "merged": np.array(merged, dtype=np.int64)}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
 
     def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of distinct pieces of 2 to LONG_PIECE bytes."""
         n = np.array([len(p) for p in pieces], dtype=np.int64)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        pos = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        piece = np.repeat(np.arange(len(pieces)), n)
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         tok = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        self.con.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
+        self.con.register("start", pa.table({"p": piece * 1024 + place, "tok": tok}))
         got = self.con.sql(_CONTRACT).to_arrow_table().combine_chunks()
         self.con.unregister("start")
         lists = got["ids"].chunk(0)
@@ -105,7 +110,7 @@ class Encoder:
                     heapq.heappush(heap, (r, k, tok[k], tok[after[k]]))
         return [t for t in tok if t is not None]
 
-    def learn(self, pieces: set[str]) -> dict[str, str]:
+    def learn(self, pieces: list[str]) -> dict[str, str]:
         """Decimal ids, joined by spaces, of pieces."""
         found, rest, names = {}, [], []
         for p in pieces:
@@ -126,13 +131,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids, joined by spaces, of each text."""
         split = [self.pattern.findall(t) for t in texts]
-        distinct = set().union(*split)
-        new = self.learn(distinct.difference(self.known))
-        if len(self.known) < REMEMBERED:
-            self.known |= new
-            own = self.known
-        else:
-            own = {p: self.known[p] for p in distinct if p in self.known} | new
+        own, new = {}, []
+        for p in set().union(*split):
+            ids = self.known.get(p) or self.older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                own[p] = ids
+        own |= self.learn(new)
+        # two generations: a piece that doesn't return while the younger one fills is forgotten
+        self.known |= own
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         return [" ".join(map(own.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -145,15 +155,15 @@ class Encoder:
         self.con.register("ids", pa.table({"d": d, "pos": pos, "tok": np.concatenate(ids).astype(np.int32)}))
         got = self.con.sql(_DECODE).to_arrow_table().combine_chunks()
         self.con.unregister("ids")
-        lists = got["parts"].chunk(0)
-        # the parts of a list lie side by side: its bytes run from its first part's start to its last one's end
-        parts, ends = lists.values, lists.offsets.to_numpy()
-        kind = np.int64 if pa.types.is_large_binary(parts.type) else np.int32
-        at = np.frombuffer(parts.buffers()[1], dtype=kind)[parts.offset : parts.offset + len(parts) + 1]
-        data = memoryview(parts.buffers()[2])
+        lists = got["toks"].chunk(0)
+        toks, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        size = self.size[toks]
+        after = np.cumsum(size)
+        data = self.bytes[np.repeat(self.at[toks] - (after - size), size) + np.arange(after[-1])]
+        ends = np.concatenate([[0], after])[ends]
         result = [b""] * len(ids)
         for i, k in enumerate(got["d"].to_numpy()):
-            result[k] = bytes(data[at[ends[i]] : at[ends[i + 1]]])
+            result[k] = data[ends[i] : ends[i + 1]].tobytes()
         return result
 
 
@@ -195,6 +205,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
                     "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in encoder.decode(tokens)],
                 }
                 yield pd.DataFrame(out | ({"ids": tokens} if ids else {}))
+        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
