@@ -28,7 +28,7 @@ TESS = {
     "cand": """SELECT f.country, f.cx, f.cy, b.owner, sqrt(pow(greatest(b.xmin-(f.cx*40+20), f.cx*40+20-b.xmax, 0),2)+pow(greatest(b.ymin-(f.cy*40+20), f.cy*40+20-b.ymax, 0),2)) AS d
  FROM fine f JOIN built b ON b.country=f.country""",
     "own": "SELECT country, cx, cy, owner FROM (SELECT *, row_number() OVER (PARTITION BY country, cx, cy ORDER BY d, owner) AS k FROM cand) WHERE k=1",
-    "side": """SELECT a.country, a.owner AS a, b.owner AS b FROM own a JOIN own b ON b.country=a.country AND ((b.cx=a.cx+1 AND b.cy=a.cy) OR (b.cx=a.cx AND b.cy=a.cy+1)) WHERE a.owner<>b.owner""",
+    "side": """SELECT a.country, a.owner AS a, b.owner AS b FROM own a JOIN own b ON b.country=a.country AND ((b.cx=a.cx+1 AND b.cy BETWEEN a.cy-1 AND a.cy+1) OR (b.cx=a.cx AND b.cy=a.cy+1)) WHERE a.owner<>b.owner""",
     "edge": "SELECT country, a, b FROM side UNION SELECT country, b, a FROM side",
     "two": "SELECT DISTINCT x.country, x.a, y.b FROM edge x JOIN edge y ON y.country=x.country AND y.a=x.b WHERE x.a<>y.b",
     "three": "SELECT DISTINCT x.country, x.a, y.b FROM two x JOIN edge y ON y.country=x.country AND y.a=x.b WHERE x.a<>y.b",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartier.operators.skew import lookup_join
 from quartier.session import materialise
 
 
@@ -13,13 +14,13 @@ def _shrink(edges: DataFrame, keys: list[str]) -> DataFrame:
     """One large-star and one small-star step on edges (keys, u, v) with u > v.
 
     Every group is reduced to its minimum by a mergeable aggregate and joined back, so a hub is never
-    collected; adaptive execution splits its join partition.
+    collected; ``lookup_join`` lets adaptive execution split its join partition.
     """
     both = edges.unionByName(edges.selectExpr(*keys, "v AS u", "u AS v"))
     smallest = both.groupBy(*keys, "u").agg(F.expr("least(u, min(v)) AS m"))
-    large = both.join(smallest, [*keys, "u"]).where("v > u").selectExpr(*keys, "v AS u", "m AS v").distinct()
+    large = lookup_join(both, smallest, [*keys, "u"]).where("v > u").selectExpr(*keys, "v AS u", "m AS v").distinct()
     parents = large.groupBy(*keys, "u").agg(F.expr("min(v) AS m"))
-    joined = large.join(parents, [*keys, "u"])
+    joined = lookup_join(large, parents, [*keys, "u"])
     return (
         joined.where("v <> m").selectExpr(*keys, "v AS u", "m AS v")
         .unionByName(parents.selectExpr(*keys, "u", "m AS v"))
@@ -58,19 +59,22 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] =
 def chain_order(links: DataFrame, keys: Sequence[str], node: str = "node", following: str = "following") -> DataFrame:
     """Distance to the end of each node's chain, by pointer doubling: rows (keys, node, to_end).
 
-    ``following`` is NULL at the end of a chain. Rounds grow with the logarithm of the longest chain.
+    ``following`` is NULL at the end of a chain. Rounds grow with the logarithm of the longest chain. Nodes whose
+    pointer has reached an end leave the loop and only serve as targets; the other pointers of a chain all differ.
     """
     keys = list(keys)
-    current = materialise(
+    start = materialise(
         links.selectExpr(
             *keys, f"{node} AS node", f"{following} AS ptr", f"CAST({following} IS NOT NULL AS BIGINT) AS to_end"
         )
     )
-    while current.where("ptr IS NOT NULL").limit(1).count():
-        ahead = current.selectExpr(*keys, "node AS ptr", "ptr AS _ptr", "to_end AS _d")
-        current = materialise(
-            current.join(ahead, [*keys, "ptr"], "left").selectExpr(
+    settled, moving = start.where("ptr IS NULL"), start.where("ptr IS NOT NULL")
+    while not moving.isEmpty():
+        ahead = settled.unionByName(moving).selectExpr(*keys, "node AS ptr", "ptr AS _ptr", "to_end AS _d")
+        stepped = materialise(
+            moving.join(ahead, [*keys, "ptr"], "left").selectExpr(
                 *keys, "node", "_ptr AS ptr", "to_end + coalesce(_d, 0) AS to_end"
             )
         )
-    return current.drop("ptr")
+        settled, moving = settled.unionByName(stepped.where("ptr IS NULL")), stepped.where("ptr IS NOT NULL")
+    return settled.drop("ptr")

@@ -1,11 +1,12 @@
 """Spatial joins rewritten as equi-joins on grid cells.
 
 A feature is listed in every cell its bounding box meets; a pair is reported only in the first cell
-both share, so no distinct is needed. Features of the right side that would cover many cells move to
-a coarser grid level, and left features are listed once per level in use. Hot cells are salted.
+both share, so no distinct is needed. A feature that would cover many cells moves to a coarser grid level
+of its own; a pair meets at the coarser level of the two. Hot cells are salted.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,6 @@ from quartier.functions import geometry as g
 from quartier.operators.skew import ROWS_PER_TASK, salted_join
 
 MAX_CELLS = 64
-MAX_LEVEL = 20
 
 
 def _cell(value: str, size: str) -> str:
@@ -22,9 +22,9 @@ def _cell(value: str, size: str) -> str:
 
 
 def _level(bbox: str, cell: float, max_cells: int) -> str:
-    """Smallest grid level at which the box covers about ``max_cells`` cells or fewer."""
-    cells = f"(({bbox}.xmax - {bbox}.xmin) / {cell} + 1) * (({bbox}.ymax - {bbox}.ymin) / {cell} + 1)"
-    return f"CAST(least(ceil(log2(greatest({cells} / {max_cells}, 1D)) / 2), {MAX_LEVEL}) AS INT)"
+    """Smallest grid level at which the box covers about ``max_cells`` cells or fewer, whatever its shape."""
+    side = f"greatest({bbox}.xmax - {bbox}.xmin, {bbox}.ymax - {bbox}.ymin) / {cell * math.sqrt(max_cells)}"
+    return f"CAST(ceil(log2(greatest({side}, 1D))) AS INT)"
 
 
 def _spread(df: DataFrame, bbox: str, cell: float, prefix: str) -> DataFrame:
@@ -63,19 +63,23 @@ def spatial_join(
     def prefixed(df: DataFrame, prefix: str) -> list[str]:
         return [c if c in equal else f"{c} AS {prefix}{c}" for c in df.columns]
 
-    b = right.selectExpr(*prefixed(right, "r_"), f"{_level('bbox', cell, max_cells)} AS _level")
-    levels = b.selectExpr("collect_set(_level) AS used")  # one row of at most MAX_LEVEL + 1 numbers
-    a = left.selectExpr(*prefixed(left, "l_")).withColumn("_used", levels.scalar())
-    a = a.selectExpr(*[c for c in a.columns if c != "_used"], "explode(_used) AS _level")
+    def listed(df: DataFrame, other: DataFrame, prefix: str, own: str) -> DataFrame:
+        """The feature's level and the coarser ones that the other side uses (one row of a few numbers)."""
+        used = other.selectExpr(f"collect_set({_level('bbox', cell, max_cells)}) AS used").scalar()
+        tagged = df.selectExpr(*prefixed(df, prefix), f"{_level('bbox', cell, max_cells)} AS {own}").withColumn("_used", used)
+        levels = f"array_union(array({own}), filter(_used, u -> u > {own}))"
+        return tagged.selectExpr(*[c for c in tagged.columns if c != "_used"], f"explode({levels}) AS _level")
+
+    a, b = listed(left, right, "l_", "_al"), listed(right, left, "r_", "_bl")
     a = _spread(a, "l_bbox", cell, "a")
     b = _spread(b, "r_bbox", cell, "b")
-    condition = f"_cx = greatest(_ax, _bx) AND _cy = greatest(_ay, _by) AND {g.boxes_meet('l_bbox', 'r_bbox')}"
+    condition = f"_level = greatest(_al, _bl) AND _cx = greatest(_ax, _bx) AND _cy = greatest(_ay, _by) AND {g.boxes_meet('l_bbox', 'r_bbox')}"
     if predicate is not None:
         condition = f"{condition} AND {predicate('l_geom', 'r_geom')}"
     keys = [*equal, "_level", "_cx", "_cy"]
     big, other = (b, a) if right_is_hot else (a, b)
     joined = salted_join(big, other, keys, "inner", condition, rows_per_task)
-    return joined.drop("_level", "_cx", "_cy", "_ax", "_ay", "_bx", "_by")
+    return joined.drop("_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by")
 
 
 def spatial_semi(

@@ -80,25 +80,23 @@ def cell_areas(owned: DataFrame, keys: Sequence[str], resolution: float) -> Data
 
 
 def contiguity(owned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs (keys, a, b), a <> b in both directions, of buildings whose cells share a pixel side.
+    """Pairs (keys, a, b), a <> b in both directions, of buildings whose cells share a pixel side or corner.
 
-    Every pixel lists its right and upper side and those of its left and lower neighbour; one
-    aggregate per side finds the two owners, without a self-join.
+    Every pixel lists its four corners; a corner has at most four pixels and so four owners, whose pairs one
+    aggregate finds without a self-join. Pixels with a common side have common corners.
     """
     keys = list(keys)
-    slots = (
-        "array(struct('v' AS o, cx AS x, cy AS y), struct('v' AS o, cx - 1 AS x, cy AS y), "
-        "struct('h' AS o, cx AS x, cy AS y), struct('h' AS o, cx AS x, cy - 1 AS y))"
-    )
-    pairs = (
-        owned.selectExpr(*keys, "owner", f"explode({slots}) AS s")
-        .groupBy(*keys, "s.o", "s.x", "s.y")
-        .agg(F.expr("min(owner) AS a"), F.expr("max(owner) AS b"))
+    corners = ", ".join(f"struct(cx + {i} AS x, cy + {j} AS y)" for i in (0, 1) for j in (0, 1))
+    return (
+        owned.selectExpr(*keys, "owner", f"explode(array({corners})) AS s")
+        .groupBy(*keys, "s.x", "s.y")
+        .agg(F.expr("collect_set(owner) AS _owners"))
+        .where("size(_owners) > 1")
+        .selectExpr(*keys, "_owners", "explode(_owners) AS a")
+        .selectExpr(*keys, "a", "explode(_owners) AS b")
         .where("a <> b")
-        .select(*keys, "a", "b")
         .distinct()
     )
-    return pairs.unionByName(pairs.selectExpr(*keys, "b AS a", "a AS b"))
 
 
 def within_steps(edges: DataFrame, keys: Sequence[str], steps: int = 3) -> DataFrame:

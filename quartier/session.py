@@ -22,6 +22,8 @@ def build_session(app: str = "quartier", master: str | None = None, partitions:
         # geometry work is heavy per byte: keep small shuffles spread over the cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # checkpoints of finished rounds go once nothing refers to them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
