@@ -168,10 +168,10 @@ BURN = """SELECT z.city, p.i AS prow, q.i AS pcol, arg_max(1+s.sid%2, s.sid) AS
 BURN_CTES = ctes("f_settlements", z=SCENE7, burn=BURN)
 
 
-def burned(spark, sf):
+def burned(spark, sf, **options):
     areas = vector_fixture(spark, sf, "f_settlements").selectExpr("sid AS order_id", "geom", "bbox", "1 + sid % 2 AS class_id")
     scenes = scenes7(spark, sf)
-    return raster.rasterize(preparation.scene_features(areas, scenes, "city", 1000.0), scenes, "city", "order_id")
+    return raster.rasterize(preparation.scene_features(areas, scenes, "city", 1000.0), scenes, "city", "order_id", **options)
 
 
 @query("r1_rasterize", BURN_CTES + "SELECT * FROM burn")
@@ -192,8 +192,7 @@ def r3(spark, sf):
 @query("r2_r8_window_chip", BURN_CTES.rstrip() + f", full_image AS ({FULL}) " + "SELECT * FROM full_image WHERE prow>=10 AND prow<42 AND pcol>=20 AND pcol<52")
 def r2(spark, sf):
     grid = raster.window_pixels(raster.scene_grid(scenes7(spark, sf), "city"), 10, 20, 32, 32)
-    chip = raster.window_pixels(burned(spark, sf), 10, 20, 32, 32)
-    return raster.fill_grid(grid, chip, ["city", "prow", "pcol"], "class_id")
+    return raster.fill_grid(grid, burned(spark, sf, window=(10, 20, 32, 32)), ["city", "prow", "pcol"], "class_id")
 
 
 @query(

@@ -126,23 +126,93 @@ def perimeter(geom: str) -> str:
     return f"CASE WHEN {is_areal(geom)} THEN {_sum(_fn(exteriors(geom), length))} ELSE 0D END"
 
 
+def straddles(s: str, y: str) -> str:
+    """One end of the segment lies above ``y``, the other does not."""
+    return f"(({s}.ay > ({y})) <> ({s}.by > ({y})))"
+
+
+def left_of(s: str, x: str, y: str) -> str:
+    """A point lies strictly left of a segment that straddles its height."""
+    lhs = f"(({x}) - {s}.ax) * ({s}.by - {s}.ay)"
+    rhs = f"({s}.bx - {s}.ax) * (({y}) - {s}.ay)"
+    return f"CASE WHEN {s}.by > {s}.ay THEN {lhs} < {rhs} ELSE {lhs} > {rhs} END"
+
+
 def contains_point(geom: str, x: str, y: str) -> str:
     """Even-odd rule, half open: the lower and left borders belong to the polygon."""
-    def hit(s: str) -> str:
-        lhs = f"(({x}) - {s}.ax) * ({s}.by - {s}.ay)"
-        rhs = f"({s}.bx - {s}.ax) * (({y}) - {s}.ay)"
-        return (
-            f"(({s}.ay > ({y})) <> ({s}.by > ({y}))) AND "
-            f"CASE WHEN {s}.by > {s}.ay THEN {lhs} < {rhs} ELSE {lhs} > {rhs} END"
-        )
-
     def odd(rings: str) -> str:
         edges = f"flatten({_fn(rings, ring_segments)})"
-        return f"size({_fn(edges, hit, 'filter')}) % 2 = 1"
+        hit = _fn(edges, lambda s: f"{straddles(s, y)} AND {left_of(s, x, y)}", "filter")
+        return f"size({hit}) % 2 = 1"
 
     return _fn(f"{geom}.polys", odd, "exists")
 
 
+SPANS = "array<struct<row: bigint, c0: bigint, c1: bigint>>"
+
+
+def cell_spans(
+    geom: str, row_at: Callable[[str], str], col_at: Callable[[str], str], y_of: Callable[[str], str],
+    x_of: Callable[[str], str], rows: tuple[str, str] | None = None, cols: tuple[str, str] | None = None,
+) -> str:
+    """Grid cells whose centre lies in an area (as ``contains_point`` says), as runs (row, c0, c1) of columns.
+
+    ``y_of`` and ``x_of`` give the centre of a row and column, ``row_at`` and ``col_at`` are their inverses (not
+    rounded). Each edge lists the rows it crosses and the first column right of it; a row's crossings, sorted, begin
+    and end its runs. The array grows with the outline's length in cells, not with its area or its vertices times
+    rows. ``rows`` and ``cols`` are the limits (inclusive) of the grid. Other kinds of geometry have no cells.
+    """
+    def crossing(s: str, r: str) -> str:
+        def column(y: str) -> str:
+            def fit(k: str) -> str:
+                # the quotient may be rounded: the exact test decides between its neighbours
+                found = (
+                    f"CASE WHEN NOT ({left_of(s, x_of(k), y)}) THEN {k} "
+                    f"WHEN NOT ({left_of(s, x_of(f'({k} + 1L)'), y)}) THEN {k} + 1L ELSE {k} + 2L END"
+                )
+                return f"greatest({cols[0]}, least({cols[1]} + 1L, {found}))" if cols else found
+
+            x = f"({s}.ax + ({y} - {s}.ay) * ({s}.bx - {s}.ax) / ({s}.by - {s}.ay))"
+            return let(f"CAST(ceil({col_at(x)}) AS BIGINT) - 1L", fit)
+
+        return f"named_struct('row', {r}, 'col', {let(y_of(r), column)})"
+
+    def crossings(s: str) -> str:
+        a, b = row_at(f"{s}.ay"), row_at(f"{s}.by")
+        low, high = f"CAST(floor(least({a}, {b})) AS BIGINT)", f"CAST(ceil(greatest({a}, {b})) AS BIGINT)"
+        if rows:
+            low, high = f"greatest({rows[0]}, {low})", f"least({rows[1]}, {high})"
+
+        def listed(span: str) -> str:
+            crossed = _fn(f"sequence({span}.low, {span}.high)", lambda r: straddles(s, y_of(r)), "filter")
+            none = "CAST(array() AS array<struct<row: bigint, col: bigint>>)"
+            return f"CASE WHEN {span}.low <= {span}.high THEN {_fn(crossed, lambda r: crossing(s, r))} ELSE {none} END"
+
+        return let(f"named_struct('low', {low}, 'high', {high})", listed)
+
+    def runs(rings: str) -> str:
+        sloped = _fn(f"flatten({_fn(rings, ring_segments)})", lambda s: f"{s}.ay <> {s}.by", "filter")
+
+        def paired(e: str) -> str:
+            run = lambda i: f"named_struct('row', {e}[2 * {i}].row, 'c0', {e}[2 * {i}].col, 'c1', {e}[2 * {i} + 1].col - 1L)"
+            full = _fn(_fn(f"sequence(0, CAST(size({e}) DIV 2 AS INT) - 1)", run), lambda r: f"{r}.c0 <= {r}.c1", "filter")
+            return f"CASE WHEN size({e}) > 1 THEN {full} ELSE CAST(array() AS {SPANS}) END"
+
+        return let(f"array_sort(flatten({_fn(sloped, crossings)}))", paired)
+
+    def united(e: str) -> str:
+        # parts of a valid geometry never overlap; those of others give each cell once
+        i = next(_names) % 1000
+        twice = (
+            f"exists(zip_with(slice({e}, 1, size({e}) - 1), slice({e}, 2, size({e}) - 1), "
+            f"(p{i}, q{i}) -> p{i}.row = q{i}.row AND q{i}.c0 <= p{i}.c1), t{i} -> t{i})"
+        )
+        single = _fn(e, lambda r: _fn(f"sequence({r}.c0, {r}.c1)", lambda c: f"named_struct('row', {r}.row, 'c0', {c}, 'c1', {c})"))
+        return f"CASE WHEN size({e}) > 1 AND {twice} THEN array_distinct(flatten({single})) ELSE {e} END"
+
+    return f"CASE WHEN {is_areal(geom)} THEN {let(f'array_sort(flatten({_fn(f"{geom}.polys", runs)}))', united)} END"
+
+
 def _side(p: tuple[str, str], q: tuple[str, str], r: tuple[str, str]) -> str:
     return f"(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
 

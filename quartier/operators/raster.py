@@ -1,7 +1,7 @@
 """Vector to pixel conversion and pixel grid reductions."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,20 @@ def _cell(value: str, resolution: float) -> str:
 
 
 def covered_cells(df: DataFrame, resolution: float, keep: Sequence[str], all_touched: bool = False) -> DataFrame:
-    """Grid cells (cx, cy = floor(coordinate / resolution)) of each feature: centre inside, or any contact."""
+    """Grid cells (cx, cy = floor(coordinate / resolution)) of each feature: centre inside, or any contact.
+
+    Cells are found along the outline and filled row by row; no row carries an outline per cell. Contact tests the
+    cells of the bounding box instead.
+    """
     res = float(resolution)
+    if not all_touched:
+        spans = g.cell_spans(
+            "geom", lambda y: f"({y} / {res} - 0.5D)", lambda x: f"({x} / {res} - 0.5D)",
+            lambda r: f"(({r} + 0.5D) * {res})", lambda c: f"(({c} + 0.5D) * {res})",
+        )
+        return df.selectExpr(*keep, f"explode({spans}) AS _s").selectExpr(
+            *keep, "explode(sequence(_s.c0, _s.c1)) AS cx", "_s.row AS cy"
+        )
     spread = (
         df.selectExpr(
             *keep, "geom",
@@ -25,13 +37,8 @@ def covered_cells(df: DataFrame, resolution: float, keep: Sequence[str], all_tou
         .selectExpr(*keep, "geom", "_cols", "explode(_rows) AS cy")
         .selectExpr(*keep, "geom", "cy", "explode(_cols) AS cx")
     )
-    if all_touched:
-        cell = g.rectangle(f"cx * {res}", f"cy * {res}", f"(cx + 1) * {res}", f"(cy + 1) * {res}")
-        spread = spread.selectExpr("*", f"{cell} AS _cell")
-        test = g.intersects("geom", "_cell")
-    else:
-        test = g.contains_point("geom", f"(cx + 0.5D) * {res}", f"(cy + 0.5D) * {res}")
-    return spread.where(test).select(*keep, "cx", "cy")
+    cell = g.rectangle(f"cx * {res}", f"cy * {res}", f"(cx + 1) * {res}", f"(cy + 1) * {res}")
+    return spread.selectExpr("*", f"{cell} AS _cell").where(g.intersects("geom", "_cell")).select(*keep, "cx", "cy")
 
 
 def dissolve_cells(df: DataFrame, resolution: float, group: Sequence[str] = ()) -> DataFrame:
@@ -40,40 +47,54 @@ def dissolve_cells(df: DataFrame, resolution: float, group: Sequence[str] = ())
 
 
 def rasterize(
-    features: DataFrame, scenes: DataFrame, scene: str, order: str, all_touched: bool = False
+    features: DataFrame, scenes: DataFrame, scene: str, order: str, all_touched: bool = False,
+    window: tuple[int, int, int, int] | None = None, classes: Mapping[int, float] | None = None,
 ) -> DataFrame:
     """Class id per covered pixel of each scene: (scene, prow, pcol, class_id); the last feature wins.
 
     ``scenes`` holds scene, xmin, ymax, res, height and width. ``features`` carry the scene they belong
     to. Uncovered pixels have no row; ``fill_grid`` adds the background. One pixel is reduced by a
-    mergeable aggregate, so stacked features never meet in one list.
+    mergeable aggregate, so stacked features never meet in one list. ``window`` (row0, col0, height, width) lists
+    only its pixels. ``classes`` gives the value burned for each class id; features of other classes burn 0.
     """
+    row0, col0, high, wide = window or (0, 0, None, None)
+    last_row = "height - 1L" if high is None else f"least(height - 1L, {row0 + high - 1}L)"
+    last_col = "width - 1L" if wide is None else f"least(width - 1L, {col0 + wide - 1}L)"
     inside = (
         "bbox.xmin < xmin + width * res AND bbox.xmax >= xmin AND bbox.ymax > ymax - height * res AND bbox.ymin <= ymax"
     )
-    top, left = g.map_to_pixel("bbox.xmin", "bbox.ymax", "xmin", "ymax", "res")
-    bottom, right = g.map_to_pixel("bbox.xmax", "bbox.ymin", "xmin", "ymax", "res")
-    spread = (
-        features.select(scene, "geom", "bbox", "class_id", order)
-        .join(scenes, scene)
-        .where(inside)
-        .selectExpr(
-            scene, "geom", "class_id", order, "xmin", "ymax", "res",
-            f"sequence(greatest(0L, {top}), least(height - 1L, {bottom})) AS _rows",
-            f"sequence(greatest(0L, {left}), least(width - 1L, {right})) AS _cols",
-        )
-        .selectExpr("*", "explode(_rows) AS prow")
-        .selectExpr("*", "explode(_cols) AS pcol")
-        .drop("_rows", "_cols")
-    )
+    value = "class_id"
+    if classes is not None:
+        cases = " ".join(f"WHEN class_id = {k} THEN {float(v)}D" for k, v in classes.items())
+        value = f"CASE {cases} ELSE 0D END AS class_id"
+    met = features.selectExpr(scene, "geom", "bbox", value, order).join(scenes, scene).where(inside)
     x, y = g.pixel_to_map("prow", "pcol", "xmin", "ymax", "res")
     if all_touched:
+        top, left = g.map_to_pixel("bbox.xmin", "bbox.ymax", "xmin", "ymax", "res")
+        bottom, right = g.map_to_pixel("bbox.xmax", "bbox.ymin", "xmin", "ymax", "res")
         cell = g.rectangle(f"{x} - res / 2", f"{y} - res / 2", f"{x} + res / 2", f"{y} + res / 2")
-        spread = spread.selectExpr("*", f"{cell} AS _cell")
-        test = g.intersects("geom", "_cell")
+        spread = (
+            met.selectExpr(
+                scene, "geom", "class_id", order, "xmin", "ymax", "res",
+                f"filter(sequence({top}, {bottom}), r -> r BETWEEN {row0} AND {last_row}) AS _rows",
+                f"filter(sequence({left}, {right}), c -> c BETWEEN {col0} AND {last_col}) AS _cols",
+            )
+            .selectExpr("*", "explode(_rows) AS prow")
+            .selectExpr("*", "explode(_cols) AS pcol")
+            .drop("_rows", "_cols")
+            .selectExpr("*", f"{cell} AS _cell")
+            .where(g.intersects("geom", "_cell"))
+        )
     else:
-        test = g.contains_point("geom", x, y)
-    return spread.where(test).groupBy(scene, "prow", "pcol").agg(F.max_by("class_id", order).alias("class_id"))
+        spans = g.cell_spans(
+            "geom", lambda v: f"((ymax - {v}) / res - 0.5D)", lambda v: f"(({v} - xmin) / res - 0.5D)",
+            lambda r: g.pixel_to_map(r, "0", "xmin", "ymax", "res")[1], lambda c: g.pixel_to_map("0", c, "xmin", "ymax", "res")[0],
+            (f"{row0}L", last_row), (f"{col0}L", last_col),
+        )
+        spread = met.selectExpr(scene, "class_id", order, f"explode({spans}) AS _s").selectExpr(
+            scene, "class_id", order, "_s.row AS prow", "explode(sequence(_s.c0, _s.c1)) AS pcol"
+        )
+    return spread.groupBy(scene, "prow", "pcol").agg(F.max_by("class_id", order).alias("class_id"))
 
 
 def scene_grid(scenes: DataFrame, scene: str) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators.skew import salted_join
+from quartier.session import materialise
+
+# Place of a block's reference point: shares that round coordinates do not meet.
+SHARE_X, SHARE_Y = 0.6180339887498949, 0.4142135623730951
+EDGE = "struct<ax: double, ay: double, bx: double, by: double>"
 
 
 def _block(value: str, block: float) -> str:
@@ -24,41 +29,74 @@ def zonal_sum(
 ) -> DataFrame:
     """Sum of the pixels whose centre (px, py) lies in each zone: rows (zone_id, total), 0 if none.
 
-    Zones are cut into grid blocks. Blocks wholly inside a zone use one pre-summed row; only blocks on
-    a zone border are joined with their pixels and tested exactly. Work grows with zone borders, not
-    zone areas, and a block never holds more pixels than fit its area.
+    Zones are cut into grid blocks. Blocks wholly inside a zone use one pre-summed row; only blocks that an edge
+    meets are joined with their pixels. A border block carries just the edges that meet it and whether its own
+    reference point lies inside: a pixel is inside if the way to that point, along its row and then up or down the
+    point's column, crosses edges an even number of times (odd, if the point lies outside). Work grows with the
+    length of the zones' borders and their number of blocks, never with vertices times blocks or pixels.
     """
     zone_id = list(zone_id)
     geom = g.fill_holes("geom") if exterior_only else "geom"
-    cells = (
-        zones.selectExpr(
-            *zone_id, f"{geom} AS geom",
-            f"sequence({_block('bbox.xmin', block)}, {_block('bbox.xmax', block)}) AS _cols",
-            f"sequence({_block('bbox.ymin', block)}, {_block('bbox.ymax', block)}) AS _rows",
+    slim = materialise(
+        zones.where(g.is_areal("geom")).selectExpr(*zone_id, f"{geom} AS geom")
+        .selectExpr(*zone_id, "monotonically_increasing_id() AS _z", "posexplode(geom.polys) AS (_part, _rings)")
+        .selectExpr(*zone_id, "_z", "_part", "named_struct('type', 'Polygon', 'polys', array(_rings)) AS geom")
+    )
+    at = [*zone_id, "_z", "_part"]
+
+    def centre(i: str, share: float) -> str:
+        return f"(({i} + {share}D) * {block}D)"
+
+    # blocks whose reference point lies inside
+    spans = g.cell_spans(
+        "geom", lambda y: f"({y} / {block}D - {SHARE_Y}D)", lambda x: f"({x} / {block}D - {SHARE_X}D)",
+        lambda r: centre(r, SHARE_Y), lambda c: centre(c, SHARE_X),
+    )
+    inside = slim.selectExpr(*at, f"explode({spans}) AS _s").selectExpr(
+        *at, "explode(sequence(_s.c0, _s.c1)) AS bx", "_s.row AS by", f"CAST(NULL AS {EDGE}) AS _e"
+    )
+    # blocks that an edge meets: along the edge, one row of blocks after the other
+    edges = slim.selectExpr(*at, f"explode({g.segments('geom')}) AS _e").selectExpr(
+        *at, "_e", f"explode(sequence({_block('least(_e.ay, _e.by)', block)}, {_block('greatest(_e.ay, _e.by)', block)})) AS by"
+    )
+    reach = [
+        f"CASE WHEN _e.ay = _e.by THEN _e.{end}x ELSE _e.ax + ({y} - _e.ay) / (_e.by - _e.ay) * (_e.bx - _e.ax) END"
+        for end, y in (
+            ("a", f"greatest(least(_e.ay, _e.by), by * {block}D)"), ("b", f"least(greatest(_e.ay, _e.by), (by + 1) * {block}D)"),
         )
-        .selectExpr(*zone_id, "geom", "_rows", "explode(_cols) AS bx")
-        .selectExpr(*zone_id, "geom", "bx", "explode(_rows) AS by")
+    ]
+    slack = block * 1e-6
+    met = edges.selectExpr(*at, "_e", "by", f"{reach[0]} AS _x0", f"{reach[1]} AS _x1").selectExpr(
+        *at, f"explode(sequence({_block(f'(least(_x0, _x1) - {slack})', block)}, {_block(f'(greatest(_x0, _x1) + {slack})', block)})) AS bx",
+        "by", "_e",
     )
-    frame = g.box(f"bx * {block}", f"by * {block}", f"(bx + 1) * {block}", f"(by + 1) * {block}")
-    # a ring starting in the block may lie wholly inside it without touching its sides
-    starts_here = (
-        "exists(flatten(geom.polys), r -> r[0].x BETWEEN frame.xmin AND frame.xmax "
-        "AND r[0].y BETWEEN frame.ymin AND frame.ymax)"
+    parts = inside.unionByName(met).groupBy(*at, "bx", "by").agg(
+        F.expr("collect_list(_e) AS edges"), F.expr("count_if(_e IS NULL) AS ref")
     )
-    border = f"{starts_here} OR {g.let(g.envelope('frame'), lambda e: g.borders_touch('geom', e))}"
-    centre_in = g.contains_point("geom", "(frame.xmin + frame.xmax) / 2", "(frame.ymin + frame.ymax) / 2")
-    cells = (
-        cells.selectExpr("*", f"{frame} AS frame")
-        .selectExpr(*zone_id, "geom", "bx", "by", f"CASE WHEN {border} THEN 'border' WHEN {centre_in} THEN 'inside' END AS cover")
-        .where("cover IS NOT NULL")
+    blocks = materialise(
+        parts.groupBy(*zone_id, "_z", "bx", "by").agg(
+            F.expr("bool_or(size(edges) = 0) AS _whole"), F.expr("collect_list(struct(ref, edges)) AS _parts")
+        )
     )
     grid = pixels.selectExpr(
         f"{_block('px', block)} AS bx", f"{_block('py', block)} AS by", "px", "py", f"{value} AS _v"
     )
     block_sums = grid.groupBy("bx", "by").agg(F.expr("sum(_v) AS _v"))
-    whole = cells.where("cover = 'inside'").select(*zone_id, "bx", "by").join(block_sums, ["bx", "by"])
-    on_border = cells.where("cover = 'border'").select(*zone_id, "geom", "bx", "by")
-    partial = salted_join(on_border, grid, ["bx", "by"], "inner", g.contains_point("geom", "px", "py"))
-    parts = whole.select(*zone_id, "_v").unionByName(partial.select(*zone_id, "_v"))
-    sums = parts.groupBy(*zone_id).agg(F.expr("sum(_v) AS total"))
+    whole = blocks.where("_whole").select(*zone_id, "bx", "by").join(block_sums, ["bx", "by"])
+    x, y = centre("bx", SHARE_X), centre("by", SHARE_Y)
+
+    def above(y_at: str) -> str:
+        return (
+            f"CASE WHEN e.bx > e.ax THEN ({x} - e.ax) * (e.by - e.ay) > ({y_at} - e.ay) * (e.bx - e.ax) "
+            f"ELSE ({x} - e.ax) * (e.by - e.ay) < ({y_at} - e.ay) * (e.bx - e.ax) END"
+        )
+
+    in_row = f"({g.straddles('e', 'py')} AND (({g.left_of('e', 'px', 'py')}) <> ({g.left_of('e', x, 'py')})))"
+    in_column = f"(((e.ax > {x}) <> (e.bx > {x})) AND (({above('py')}) <> ({above(y)})))"
+    crossed = f"size(filter(p.edges, e -> {in_row} <> {in_column}))"
+    partial = salted_join(
+        blocks.where("NOT _whole").select(*zone_id, "_parts", "bx", "by"), grid, ["bx", "by"], "inner",
+        f"exists(_parts, p -> (p.ref + {crossed}) % 2 = 1)",
+    )
+    sums = whole.select(*zone_id, "_v").unionByName(partial.select(*zone_id, "_v")).groupBy(*zone_id).agg(F.expr("sum(_v) AS total"))
     return zones.select(*zone_id).join(sums, zone_id, "left").selectExpr(*zone_id, "coalesce(total, 0D) AS total")
