@@ -26,6 +26,14 @@ def geoparquet(spark, sf):
     return bounds_of(vectors.read_geoparquet(spark, path), "sid", "country")
 
 
+@query("s1_s5_geoparquet_box", ctes("f_settlements") + "SELECT sid FROM f_settlements WHERE xmin>3000 AND xmax<9000 AND ymin>3000 AND ymax<9000")
+def geoparquet_box(spark, sf):
+    path = folder(spark, "geoparquet")
+    sinks.write_geoparquet(vector_fixture(spark, sf, "f_settlements"), path)
+    box = (3000, 3000, 9000, 9000)
+    return spatial.inside_box(vectors.read_geoparquet(spark, path, box=box), *box).select("sid")
+
+
 @query("s4_k1_geojson", ctes("f_settlements") + BOUNDS)
 def geojson(spark, sf):
     path = folder(spark, "geojson")

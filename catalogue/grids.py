@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalogue import query
 from catalogue.sql import ctes
-from quartier.fixtures import fixture, vector_fixture
+from quartier.fixtures import fixture, vector_fixture, with_box
 from quartier.operators import focal, metrics, raster, scoring, tiles
 from quartier.plans import composite as comp
 from quartier.plans import evaluation, prediction, preparation, training
@@ -31,6 +31,37 @@ def r4_padded(spark, sf):
     return tiles.sliding_windows(fixture(spark, sf, "f_scenes"), SC, 8, 4, 2, "both")
 
 
+AREAS = """SELECT scene, xmin, ymin, xmax, ymax FROM (SELECT scene, 5 AS xmin, 3 AS ymin, width-9 AS xmax, height-6 AS ymax FROM f_scenes
+ UNION ALL SELECT scene, 0, 0, 12, 12 FROM f_scenes WHERE scene%2=0)"""
+
+
+def in_areas(spark, sf, within):
+    scenes = fixture(spark, sf, "f_scenes")
+    boxes = scenes.selectExpr("scene", "5 AS xmin", "3 AS ymin", "width - 9 AS xmax", "height - 6 AS ymax").unionByName(
+        scenes.where("scene % 2 = 0").selectExpr("scene", "0 AS xmin", "0 AS ymin", "12 AS xmax", "12 AS ymax")
+    )
+    windows = tiles.sliding_windows(scenes, SC, 8, 4)
+    return tiles.windows_in_areas(windows, with_box(boxes), SC, within, 16.0)
+
+
+@query(
+    "r4_windows_in_areas",
+    ctes("f_scenes", w=WINDOWS.format(x0=0, pad=0), a=AREAS)
+    + "SELECT w.* FROM w WHERE EXISTS (SELECT 1 FROM a WHERE a.scene=w.scene AND w.xmin>=a.xmin AND w.xmax<=a.xmax AND w.ymin>=a.ymin AND w.ymax<=a.ymax)",
+)
+def r4_within(spark, sf):
+    return in_areas(spark, sf, True)
+
+
+@query(
+    "r4_windows_meeting_areas",
+    ctes("f_scenes", w=WINDOWS.format(x0=0, pad=0), a=AREAS)
+    + "SELECT w.* FROM w WHERE EXISTS (SELECT 1 FROM a WHERE a.scene=w.scene AND w.xmin<=a.xmax AND w.xmax>=a.xmin AND w.ymin<=a.ymax AND w.ymax>=a.ymin)",
+)
+def r4_meeting(spark, sf):
+    return in_areas(spark, sf, False)
+
+
 GRIDS = """SELECT scene, (row_number() OVER (PARTITION BY scene ORDER BY ymin, xmin)-1) AS tile_idx, ymin, xmin, ymin+16 AS ymax, xmin+16 AS xmax FROM
  (SELECT scene, ymin, unnest(range(0, width, 16)) AS xmin FROM (SELECT *, unnest(range(0, height, 16)) AS ymin FROM f_scenes))"""
 LABELS = "SELECT 1+o_orderkey%(SELECT count(*) FROM supplier) AS scene, o_custkey%56 AS prow, (o_orderkey*7)%66 AS pcol, max(CASE WHEN o_totalprice>300000 THEN 1 ELSE 0 END) AS class_id FROM orders GROUP BY 1,2,3"
@@ -568,33 +599,41 @@ def prepared(spark, sf, labelled_only):
     built = vector_fixture(spark, sf, "f_buildings").withColumnRenamed("id", "order_id")
     areas = vector_fixture(spark, sf, "f_settlements").selectExpr("sid AS order_id", "geom", "bbox", "1 AS class_id")
     return preparation.prepare_tiles(
-        scenes7(spark, sf), pixels, built, areas, "city", 16, 8, labelled_only, cell=1000.0
-    ).selectExpr(
-        "city", "tile_idx", "ymin", "xmin", "fold",
-        "aggregate(buildings, 0D, (a, v) -> a + v) AS built",
-        "aggregate(b8, 0D, (a, v) -> a + v) AS nir",
+        scenes7(spark, sf), pixels, built, areas, "city", 16, 8, labelled_only, cell=1000.0, classes={1: 0.5}
     )
 
 
+def by_place(values):
+    """Sum of values times their place in reading order: differs if a tile is turned or shifted."""
+    return f"aggregate(transform({values}, (v, i) -> CAST(v AS DOUBLE) * (i + 1)), 0D, (a, v) -> a + v)"
+
+
 PREP_CTES = ctes(
     "f_settlements", "f_buildings", "f_obs", z=SCENE7, burn=BURN,
     w="""SELECT city, (row_number() OVER (PARTITION BY city ORDER BY ymin, xmin)-1) AS tile_idx, ymin, xmin FROM
  (SELECT city, ymin, unnest(range(0, 64-15, 8)) AS xmin FROM (SELECT *, unnest(range(0, 64-15, 8)) AS ymin FROM z))""",
     fine="""SELECT DISTINCT z.city, p.i AS prow, q.i AS pcol FROM z JOIN f_buildings s ON s.xmin<=z.xmin+640 AND s.xmax>=z.xmin AND s.ymin<=12000 AND s.ymax>=12000-640
  JOIN range(0,128) p(i) ON 12000-(p.i+0.5e0)*5>=s.ymin AND 12000-(p.i+0.5e0)*5<s.ymax JOIN range(0,128) q(i) ON z.xmin+(q.i+0.5e0)*5>=s.xmin AND z.xmin+(q.i+0.5e0)*5<s.xmax""",
-    b="SELECT w.city, w.tile_idx, count(*) AS built FROM w JOIN fine f ON f.city=w.city AND f.prow>=2*w.ymin AND f.prow<2*w.ymin+32 AND f.pcol>=2*w.xmin AND f.pcol<2*w.xmin+32 GROUP BY 1,2",
-    t="""SELECT w.city, w.tile_idx, o.b8, (o.b8-2581.270e0)/586.279e0 AS v FROM w JOIN f_obs o ON o.image_id=w.city AND o.prow>=w.ymin AND o.prow<w.ymin+16 AND o.pcol>=w.xmin AND o.pcol<w.xmin+16""",
+    b="SELECT w.city, w.tile_idx, 0.5e0*sum((f.prow-2*w.ymin)*32+f.pcol-2*w.xmin+1) AS built FROM w JOIN fine f ON f.city=w.city AND f.prow>=2*w.ymin AND f.prow<2*w.ymin+32 AND f.pcol>=2*w.xmin AND f.pcol<2*w.xmin+32 GROUP BY 1,2",
+    lab="""SELECT w.city, w.tile_idx, list((f.prow-w.ymin)*16+f.pcol-w.xmin ORDER BY f.prow, f.pcol) AS places FROM w JOIN burn f
+ ON f.city=w.city AND f.prow>=w.ymin AND f.prow<w.ymin+16 AND f.pcol>=w.xmin AND f.pcol<w.xmin+16 GROUP BY 1,2""",
+    r=RANK.replace("scene", "city"), f=FOLDS.replace("scene", "city"), d=FOLD.replace("scene", "city").replace("m%3", "m%2").replace("m//3", "m//2"),
+    t="""SELECT w.city, w.tile_idx, (o.prow-w.ymin)*16+o.pcol-w.xmin+1 AS i, o.b8, (o.b8-2581.270e0)/586.279e0 AS v FROM w JOIN f_obs o ON o.image_id=w.city AND o.prow>=w.ymin AND o.prow<w.ymin+16 AND o.pcol>=w.xmin AND o.pcol<w.xmin+16""",
     g="SELECT city, tile_idx, stddev_pop(v) AS s FROM t GROUP BY 1,2",
-    n="SELECT t.city, t.tile_idx, sum(CAST(CAST(CASE WHEN b8=0 OR s=0 THEN 0 ELSE v/s END AS FLOAT) AS DOUBLE)) AS nir FROM t JOIN g USING (city, tile_idx) GROUP BY 1,2",
+    n="SELECT t.city, t.tile_idx, sum(CAST(CAST(CASE WHEN b8=0 OR s=0 THEN 0 ELSE v/s END AS FLOAT) AS DOUBLE)*i) AS nir FROM t JOIN g USING (city, tile_idx) GROUP BY 1,2",
 )
 
 
 @query(
     "x2_prepared_tiles",
-    PREP_CTES + """SELECT w.city, w.tile_idx, w.ymin, w.xmin, coalesce(CAST(b.built AS DOUBLE),0) AS built, round(coalesce(n.nir,0),3) AS nir FROM w LEFT JOIN n USING (city, tile_idx) LEFT JOIN b USING (city, tile_idx)""",
+    PREP_CTES + """SELECT w.city, w.tile_idx, w.ymin, w.xmin, d.fold, coalesce(CAST(b.built AS DOUBLE),0) AS built, round(coalesce(n.nir,0),3) AS nir,
+ coalesce(array_to_string(lab.places, ','), '') AS labels FROM w JOIN d USING (city, tile_idx) LEFT JOIN n USING (city, tile_idx) LEFT JOIN b USING (city, tile_idx) LEFT JOIN lab USING (city, tile_idx)""",
 )
 def x2(spark, sf):
-    return prepared(spark, sf, False).selectExpr("city", "tile_idx", "ymin", "xmin", "built", "round(nir,3) AS nir")
+    return prepared(spark, sf, False).selectExpr(
+        "city", "tile_idx", "ymin", "xmin", "fold", f"{by_place('buildings')} AS built", f"round({by_place('b8')},3) AS nir",
+        "array_join(filter(transform(labels, (v, i) -> CASE WHEN v > 0 THEN CAST(i AS STRING) END), x -> x IS NOT NULL), ',') AS labels",
+    )
 
 
 @query(

@@ -120,12 +120,14 @@ def promoted(spark, sf):
 @query(
     "g12_polygon_distance",
     ctes("f_cities", "f_settlements") + """SELECT s.sid, c.city, round(sqrt(pow(greatest(c.xmin-s.xmax, s.xmin-c.xmax, 0),2)+pow(greatest(c.ymin-s.ymax, s.ymin-c.ymax, 0),2)),6) AS distance
- FROM f_settlements s JOIN f_cities c ON c.country=s.country""",
+ FROM f_settlements s JOIN f_cities c ON c.country=s.country WHERE greatest(c.xmin-s.xmax, s.xmin-c.xmax, c.ymin-s.ymax, s.ymin-c.ymax)<=1000""",
 )
 def polygon_distance(spark, sf):
-    s = vector_fixture(spark, sf, "f_settlements").selectExpr("sid", "country", f"{g.envelope('bbox')} AS geom_a")
-    c = vector_fixture(spark, sf, "f_cities").selectExpr("city", "country", "geom AS geom_b")
-    return s.join(c, "country").selectExpr("sid", "city", f"round({g.distance('geom_a', 'geom_b')},6) AS distance")
+    """Distances between settlements and the cities of their country whose bounds come within 1,000 m per axis."""
+    s = vector_fixture(spark, sf, "f_settlements").selectExpr("sid", "country", f"{g.envelope('bbox')} AS geom", f"{g.expand('bbox', '1000D')} AS bbox")
+    c = vector_fixture(spark, sf, "f_cities").select("city", "country", "geom", "bbox")
+    near = spatial_join(s, c, 2000.0, None, ["country"])
+    return near.selectExpr("l_sid AS sid", "r_city AS city", f"round({g.distance('l_geom', 'r_geom')},6) AS distance")
 
 
 @query(

@@ -259,6 +259,21 @@ def intersects_box(geom: str, bbox: str) -> str:
     return let(envelope(bbox), lambda frame: intersects(geom, frame))
 
 
+def box_within(bbox: str, geom: str) -> str:
+    """The rectangle of a bounding box lies in the area: its centre does, and no edge enters its interior."""
+    def enters(s: str) -> str:
+        def part(c: str) -> tuple[str, str]:
+            d, low, high = f"({s}.b{c} - {s}.a{c})", f"({bbox}.{c}min - {s}.a{c})", f"({bbox}.{c}max - {s}.a{c})"
+            first = f"CASE WHEN {d} <> 0 THEN least({low} / {d}, {high} / {d}) WHEN {low} < 0 AND {high} > 0 THEN 0D ELSE 2D END"
+            return first, f"CASE WHEN {d} <> 0 THEN greatest({low} / {d}, {high} / {d}) ELSE 1D END"
+
+        (x0, x1), (y0, y1) = part("x"), part("y")
+        return f"greatest(0D, {x0}, {y0}) < least(1D, {x1}, {y1})"
+
+    centre = contains_point(geom, f"({bbox}.xmin + {bbox}.xmax) / 2", f"({bbox}.ymin + {bbox}.ymax) / 2")
+    return f"({is_areal(geom)} AND {centre} AND NOT {_fn(segments(geom), enters, 'exists')})"
+
+
 def _point_segment(x: str, y: str, s: str) -> str:
     """Distance to the nearer end, or to the line between the ends."""
     dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartier.functions import geometry as g
 from quartier.functions.scalars import as_pair
 from quartier.operators.skew import shuffled_rank
+from quartier.operators.spatial import spatial_join
 
 # Tile and stride in pixels of the image and of the building raster, and the split seed.
 IMAGE_TILE, IMAGE_STRIDE = 256, 128
@@ -61,6 +63,21 @@ def grid_windows(scenes: DataFrame, scene: Sequence[str], size) -> DataFrame:
     return _windows(scenes, scene, rows, cols, (h, w), (h, w))
 
 
+def windows_in_areas(
+    windows: DataFrame, areas: DataFrame, scene: Sequence[str], within: bool = True, cell: float = 1024.0
+) -> DataFrame:
+    """Windows lying in (``within``) or meeting one of the scene's areas of interest; they keep their grid index.
+
+    ``areas`` hold scene, geom and bbox in pixels (x: column, y: row). A scene without areas keeps no window. Windows
+    and areas meet on grid cells of side ``cell``.
+    """
+    corners = ("xmin", "ymin", "xmax", "ymax")
+    framed = windows.selectExpr(*scene, "tile_idx", f"{g.rectangle(*corners)} AS geom", f"{g.box(*corners)} AS bbox")
+    test = (lambda _, area: g.box_within("l_bbox", area)) if within else g.intersects
+    hits = spatial_join(framed, areas.select(*scene, "geom", "bbox"), cell, test, scene)
+    return windows.join(hits.selectExpr(*scene, "l_tile_idx AS tile_idx").distinct(), [*scene, "tile_idx"], "left_semi")
+
+
 def labelled_windows(windows: DataFrame, labels: DataFrame, scene: Sequence[str], size) -> DataFrame:
     """Grid windows holding at least one non-zero label pixel; they keep their grid index.
 

@@ -55,9 +55,9 @@ def region_features(regions: DataFrame, scenes: DataFrame, scene: Sequence[str])
     )
 
 
-def merge_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """All city prediction files below a folder as one table with country and city."""
-    return city_predictions(spark, folder)
+def merge_predictions(spark: SparkSession, folder: str, by_country: bool = False) -> DataFrame:
+    """All city (or merged country) prediction files below a folder as one table with country and city."""
+    return city_predictions(spark, folder, by_country)
 
 
 def merge_splits(parts: dict[int, DataFrame]) -> DataFrame:

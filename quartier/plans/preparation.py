@@ -1,7 +1,7 @@
 """Aligned, normalised and labelled tiles of two resolutions."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,9 @@ from quartier.functions import geometry as g
 from quartier.operators.raster import rasterize
 from quartier.operators.scoring import normalise_bands
 from quartier.operators.spatial import spatial_join
-from quartier.operators.tiles import align_tiles, fold_split, grid_windows, labelled_windows, sliding_windows
+from quartier.operators.tiles import (
+    align_tiles, fold_split, grid_windows, labelled_windows, sliding_windows, windows_in_areas,
+)
 
 BANDS = ["b8", "b4", "b3", "b2"]
 
@@ -73,44 +75,50 @@ def assemble_tiles(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str],
 def prepare_tiles(
     scenes: DataFrame, pixels: DataFrame, buildings: DataFrame, labels: DataFrame, scene: str = "city",
     size: int = 256, stride: int = 128, labelled_only: bool = True, n_splits: int = 2, test_ratio: float = 0.1,
-    cell: float = 2000.0, building_factor: int = 2,
+    cell: float = 2000.0, building_factor: int = 2, areas: DataFrame | None = None, within: bool = True,
+    transform: Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame] = normalise_bands,
+    classes: Mapping[int, float] | None = None,
 ) -> DataFrame:
-    """Tiles of image and building raster of every scene with their fold.
+    """Tiles of image bands, building raster (``buildings``) and burned labels (``labels``) of every scene with their fold.
 
     ``scenes`` give extent and pixel size of the image; the building raster is ``building_factor`` times
     finer with windows grown alike, so equal indices cover equal ground. ``labelled_only`` uses the
-    non-overlapping windows with any label, else all sliding windows.
+    non-overlapping windows with any label, else all sliding windows, of these those in or meeting ``areas`` if given.
+    ``transform`` maps raw tile pixels (keys, i, bands) to the ones stored; ``classes`` gives the value burned into
+    the building raster for each class. Arrays are in reading order. Folds are dealt on the tiles' keys alone.
     """
     keys = [scene]
+    tile = [scene, "tile_idx"]
     fine = scenes.selectExpr(
         scene, "xmin", "ymax", f"res / {building_factor} AS res", f"height * {building_factor} AS height",
         f"width * {building_factor} AS width",
     )
+    burned = rasterize(scene_features(labels, scenes, scene, cell), scenes, scene, "order_id")
     if labelled_only:
         stride = size
-        burned = rasterize(scene_features(labels, scenes, scene, cell), scenes, scene, "order_id")
         windows = labelled_windows(grid_windows(scenes, keys, size), burned, keys, size)
         fine_windows = grid_windows(fine, keys, size * building_factor)
     else:
         windows = sliding_windows(scenes, keys, size, stride)
+        if areas is not None:
+            windows = windows_in_areas(windows, areas, keys, within, 4.0 * size)
         fine_windows = sliding_windows(fine, keys, size * building_factor, stride * building_factor)
-    footprint = rasterize(scene_features(buildings, fine, scene, cell), fine, scene, "order_id")
+    footprint = rasterize(scene_features(buildings, fine, scene, cell), fine, scene, "order_id", classes=classes)
 
-    image = tile_pixels(pixels.select(scene, "prow", "pcol", *BANDS), windows, keys, size, stride)
-    normal = normalise_bands(image, [scene, "tile_idx"], BANDS)
-    # a window without any pixel reads as no data: zeros in every band
-    empty = f"array_repeat(CAST(0 AS FLOAT), {size * size})"
-    image_tiles = windows.join(
-        assemble_tiles(normal, [scene, "tile_idx"], BANDS, size), [scene, "tile_idx"], "left"
-    ).selectExpr(*windows.columns, *[f"coalesce({b}, {empty}) AS {b}" for b in BANDS])
+    def gathered(found: DataFrame, of: DataFrame, bands: Sequence[str], names: Sequence[str], n: int) -> DataFrame:
+        # a window without any pixel reads as no data: zeros in every band
+        empty = f"array_repeat(CAST(0 AS FLOAT), {n * n})"
+        return of.join(assemble_tiles(found, tile, bands, n), tile, "left").selectExpr(
+            *of.columns, *[f"coalesce({b}, {empty}) AS {name}" for b, name in zip(bands, names)]
+        )
 
+    image = tile_pixels(pixels.select(scene, "prow", "pcol", *BANDS), windows, keys, size, stride)
+    image_tiles = gathered(transform(image, tile, BANDS), windows, BANDS, BANDS, size)
+    label_tiles = gathered(
+        tile_pixels(burned, windows, keys, size, stride), windows.select(*tile), ["class_id"], ["labels"], size
+    )
     b_size, b_stride = size * building_factor, stride * building_factor
     covered = tile_pixels(footprint, fine_windows, keys, b_size, b_stride)
-    building_tiles = fine_windows.join(
-        assemble_tiles(covered, [scene, "tile_idx"], ["class_id"], b_size), [scene, "tile_idx"], "left"
-    ).selectExpr(
-        scene, "tile_idx",
-        f"coalesce(class_id, array_repeat(CAST(0 AS FLOAT), {b_size * b_size})) AS buildings",
-    )
-    paired = align_tiles(image_tiles, building_tiles, keys).withColumnRenamed("b_buildings", "buildings")
-    return fold_split(paired, keys, n_splits, test_ratio)
+    building_tiles = gathered(covered, fine_windows.select(*tile), ["class_id"], ["buildings"], b_size)
+    paired = align_tiles(image_tiles.join(label_tiles, tile), building_tiles, keys).withColumnRenamed("b_buildings", "buildings")
+    return paired.join(fold_split(windows.select(*tile), keys, n_splits, test_ratio), tile)

@@ -47,9 +47,18 @@ def pois_in_box(places: DataFrame, box: tuple, mercator: bool = True) -> DataFra
     return _published(inside_box(places, *box), columns, POI, mercator)
 
 
-def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
-    """Parquet table with a WKB column, decoded."""
-    return decode_wkb(spark.read.parquet(path), geometry)
+def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry", box: tuple | None = None) -> DataFrame:
+    """Parquet table with a WKB column, decoded.
+
+    ``box`` (xmin, ymin, xmax, ymax) keeps features whose bounds meet it. Where the table stores a ``bbox``, the test
+    reaches the scan as four pushed filters, and only what it leaves is decoded.
+    """
+    table = spark.read.parquet(path)
+    if box is None:
+        return decode_wkb(table, geometry)
+    xmin, ymin, xmax, ymax = box
+    meets = f"bbox.xmin <= {xmax} AND bbox.xmax >= {xmin} AND bbox.ymin <= {ymax} AND bbox.ymax >= {ymin}"
+    return decode_wkb(table.where(meets) if "bbox" in table.columns else table, geometry).where(meets)
 
 
 def read_geojson(spark: SparkSession, paths: str | list[str], whole_file: bool = False) -> DataFrame:
@@ -107,11 +116,12 @@ def infer_class(df: DataFrame, default: int) -> DataFrame:
     return df.selectExpr(*others, f"coalesce(class_id, {default}) AS class_id")
 
 
-def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
+def city_predictions(spark: SparkSession, folder: str, by_country: bool = False) -> DataFrame:
     """All class files below a folder with city and country from the path.
 
     Reads ``country/city/vector_output/*`` trees and partitioned prediction stores. Missing folders and
-    empty files give no rows.
+    empty files give no rows. ``by_country`` reads the merged ``country/averaged_predictions.geojson`` files instead, whose
+    features name their city.
     """
     plain, stored = "/([^/=]+)/([^/=]+)/vector_output/", "/country=([^/]+)/city=([^/]+)/"
 
@@ -119,6 +129,10 @@ def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
         found = f"coalesce(nullif(regexp_extract(path, '{stored}', {i}), ''), regexp_extract(path, '{plain}', {i}))"
         return f"url_decode(replace({found}, '+', '%2B'))"
 
+    country, city = part(1), part(2)
+    if by_country:
+        merged = "regexp_extract(path, '/(?:country=)?([^/]+)/averaged_predictions.geojson', 1)"
+        country, city = f"url_decode(replace({merged}, '+', '%2B'))", "f.properties['city']"
     try:
         lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(folder)
     except AnalysisException as e:
@@ -127,10 +141,10 @@ def city_predictions(spark: SparkSession, folder: str) -> DataFrame:
         lines = spark.range(0).selectExpr("CAST(NULL AS STRING) AS value", "named_struct('file_path', '') AS _metadata")
     return (
         lines.selectExpr("value", "_metadata.file_path AS path")
-        .where("path LIKE '%vector_output%' AND value LIKE '%\"Feature\"%'")
+        .where(f"path LIKE '{'%/averaged_predictions.geojson%' if by_country else '%vector_output%'}' AND value LIKE '%\"Feature\"%'")
         .selectExpr("path", f"explode({LINE_FEATURES}) AS f")
         .selectExpr(
-            f"{part(1)} AS country", f"{part(2)} AS city", "f.properties AS properties",
+            f"{country} AS country", f"{city} AS city", "f.properties AS properties",
             f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
         )
     )
