@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from catalogue import query
 from catalogue.grids import MODELS, score_tiles, settlement_mask
+from catalogue.scratch import folder
 from catalogue.shapes import COVERED, GRID
 from catalogue.sql import ctes
 from quartier.fixtures import fixture, vector_fixture
@@ -224,6 +225,49 @@ def predicted(spark, sf):
     return features.selectExpr("city_id", "region", f"{g.area('geom')} AS area", f"({g.bounds('geom')}).xmin AS x0")
 
 
+def open_bright():
+    import numpy as np
+
+    return lambda batch: (np.stack(batch["b8"].to_numpy()).astype("float64") - 3600.5) / 1000
+
+
+@query(
+    "x4_city_chain",
+    ctes("f_cities", "f_image_files", "f_obs", m="SELECT image_id, prow, pcol FROM f_obs WHERE b8>3600",
+         z="""SELECT c.country, c.city, min(i.image_path) AS image_path FROM f_cities c LEFT JOIN f_image_files i
+ ON starts_with(i.image_path, concat('img/', c.country, '_', c.city)) GROUP BY 1,2""").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+ s(img, seed, r, c) AS (SELECT image_id, prow*64+pcol, prow, pcol FROM m UNION SELECT s.img, s.seed, n.prow, n.pcol FROM s JOIN m n
+  ON n.image_id=s.img AND n.prow BETWEEN s.r-1 AND s.r+1 AND n.pcol BETWEEN s.c-1 AND s.c+1),
+ lab AS (SELECT img, r, c, min(seed) AS region FROM s GROUP BY 1,2,3),
+ n AS (SELECT img, count(*) AS pixels, count(DISTINCT region) AS regions FROM lab GROUP BY 1)
+ SELECT z.country, z.city, coalesce(n.pixels,0) AS pixels, coalesce(n.regions,0) AS regions, z.image_path IS NULL AS skipped
+ FROM z LEFT JOIN n ON n.img=1+CAST(regexp_extract(z.image_path, '_([0-9]+)[.]tif', 1) AS BIGINT)%7""",
+)
+def city_chain(spark, sf):
+    """Names to images, tiles, scores, smoothed masks, regions and the store, which is read back."""
+    path = folder(spark, "chain")
+    number = "CAST(regexp_extract(image_path, '_([0-9]+)[.]tif', 1) AS BIGINT)"
+    cities = fixture(spark, sf, "f_cities").select("country", "city")
+    images = fixture(spark, sf, "f_image_files")
+    scenes = images.selectExpr(
+        "image_path", f"1000D * ({number} % 20) AS xmin", "12000D AS ymax", "10D AS res", "64L AS height", "64L AS width"
+    )
+    pixels = images.selectExpr("image_path", f"1 + {number} % 7 AS image_id").join(
+        fixture(spark, sf, "f_obs").select("image_id", "prow", "pcol", "b2", "b3", "b4", "b8"), "image_id"
+    ).drop("image_id")
+    buildings = vector_fixture(spark, sf, "f_buildings").withColumnRenamed("id", "order_id")
+    skipped = prediction.predict_cities(
+        cities, images, scenes, pixels, buildings, {"bright": open_bright}, ["b8", "buildings"], path, 1, "slums",
+        16, 8, kernel=0, block=16, cell=1000.0, transform=lambda tiles, keys, bands: tiles,
+    )
+    keys = ["country", "city"]
+    regions_ = prediction.merge_predictions(spark, path).groupBy(*keys).agg(F.expr("count(1) AS regions"))
+    marked = spark.read.parquet(f"{path}/labels").where("m = 1").groupBy(*keys).agg(F.expr("count(1) AS pixels"))
+    return cities.join(marked, keys, "left").join(regions_, keys, "left").join(
+        skipped.selectExpr(*keys, "true AS _skipped"), keys, "left"
+    ).selectExpr(*keys, "coalesce(pixels, 0) AS pixels", "coalesce(regions, 0) AS regions", "_skipped IS NOT NULL AS skipped")
+
+
 @query(
     "w1_percentiles",
     ctes("f_pois") + "SELECT category, round(quantile_cont(x,0.1),6) AS p10, round(quantile_cont(x,0.5),6) AS p50, round(quantile_cont(x,0.9),6) AS p90 FROM f_pois GROUP BY 1",

@@ -92,9 +92,12 @@ def shuffled_rank(
 def _range_bucket(df: DataFrame, group: list[str], order: str, buckets: int) -> DataFrame:
     """Add ``_b``, a value range number: equal rows per range as far as ties allow.
 
+    There are ``buckets`` ranges, or more where the largest group would put over ROWS_PER_TASK rows into one.
     The cut points come from one mergeable sketch per group and are written out once, so every use of
     the bucket sees the same ranges.
     """
+    most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(buckets, -(-most // ROWS_PER_TASK))
     points = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     sketch = f"percentile_approx({order}, array({points}), {20 * buckets}) AS _cuts"
     cuts = materialise(df.groupBy(*group).agg(F.expr(sketch)))

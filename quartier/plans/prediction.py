@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quartier.functions import geometry as g
 from quartier.operators.focal import opening
 from quartier.operators.regions import label_regions, outer_rings, ring_polygons
-from quartier.operators.scoring import discretise, ensemble_mean, explode_scores, score_tiles, smooth
+from quartier.operators.scoring import discretise, ensemble_mean, explode_scores, normalise_bands, score_tiles, smooth
+from quartier.operators.skew import lookup_join
+from quartier.operators.tiles import IMAGE_STRIDE, IMAGE_TILE
+from quartier.plans.preparation import prepare_tiles
 from quartier.session import materialise
+from quartier.sources.imagery import match_images, skipped_cities
+from quartier.sources.sinks import write_prediction_store
 from quartier.sources.vectors import city_predictions
 
 THRESHOLD = 0.5
@@ -55,6 +60,30 @@ def region_features(regions: DataFrame, scenes: DataFrame, scene: Sequence[str])
     )
 
 
+def predict_cities(
+    cities: DataFrame, images: DataFrame, scenes: DataFrame, pixels: DataFrame, buildings: DataFrame,
+    models: dict[str, Callable], inputs: Sequence[str], path: str, class_id: int, class_name: str,
+    size: int = IMAGE_TILE, stride: int = IMAGE_STRIDE, kernel: int = KERNEL, block: int = 256, cell: float = 2000.0,
+    transform: Callable = normalise_bands,
+) -> DataFrame:
+    """From city names to the prediction store below ``path``; returns the cities skipped for want of an image.
+
+    ``cities`` are (country, city), ``images`` (image_path); ``scenes`` and ``pixels`` carry the image_path they
+    belong to, ``buildings`` order_id, class_id, geom and bbox. The building raster is burned on each image's own
+    extent, so both cover the same ground. All cities run in one plan.
+    """
+    matched = materialise(match_images(cities, images))
+    found = matched.where("image_path IS NOT NULL").selectExpr("*", "to_json(struct(country, city)) AS scene")
+    placed = materialise(lookup_join(scenes, found.select("image_path", "scene"), ["image_path"]))
+    own = lookup_join(pixels, found.select("image_path", "scene"), ["image_path"])
+    tiles = prepare_tiles(placed, own, buildings, None, "scene", size, stride, cell=cell, transform=transform)
+    mask, regions = predict(tiles.selectExpr("*", "ymin AS row0", "xmin AS col0"), models, inputs, ["scene"], size, kernel, block)
+    names = found.select("scene", "country", "city")
+    areas = lookup_join(region_features(regions, placed, ["scene"]), names, ["scene"]).drop("scene")
+    write_prediction_store(areas, lookup_join(mask, names, ["scene"]).drop("scene"), path, class_id, class_name)
+    return skipped_cities(matched)
+
+
 def merge_predictions(spark: SparkSession, folder: str, by_country: bool = False) -> DataFrame:
     """All city (or merged country) prediction files below a folder as one table with country and city."""
     return city_predictions(spark, folder, by_country)

@@ -73,7 +73,7 @@ def assemble_tiles(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str],
 
 
 def prepare_tiles(
-    scenes: DataFrame, pixels: DataFrame, buildings: DataFrame, labels: DataFrame, scene: str = "city",
+    scenes: DataFrame, pixels: DataFrame, buildings: DataFrame, labels: DataFrame | None, scene: str = "city",
     size: int = 256, stride: int = 128, labelled_only: bool = True, n_splits: int = 2, test_ratio: float = 0.1,
     cell: float = 2000.0, building_factor: int = 2, areas: DataFrame | None = None, within: bool = True,
     transform: Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame] = normalise_bands,
@@ -86,14 +86,16 @@ def prepare_tiles(
     non-overlapping windows with any label, else all sliding windows, of these those in or meeting ``areas`` if given.
     ``transform`` maps raw tile pixels (keys, i, bands) to the ones stored; ``classes`` gives the value burned into
     the building raster for each class. Arrays are in reading order. Folds are dealt on the tiles' keys alone.
+    Without ``labels`` (for prediction) there is no label array and all sliding windows are used.
     """
+    labelled_only = labelled_only and labels is not None
     keys = [scene]
     tile = [scene, "tile_idx"]
     fine = scenes.selectExpr(
         scene, "xmin", "ymax", f"res / {building_factor} AS res", f"height * {building_factor} AS height",
         f"width * {building_factor} AS width",
     )
-    burned = rasterize(scene_features(labels, scenes, scene, cell), scenes, scene, "order_id")
+    burned = None if labels is None else rasterize(scene_features(labels, scenes, scene, cell), scenes, scene, "order_id")
     if labelled_only:
         stride = size
         windows = labelled_windows(grid_windows(scenes, keys, size), burned, keys, size)
@@ -114,11 +116,11 @@ def prepare_tiles(
 
     image = tile_pixels(pixels.select(scene, "prow", "pcol", *BANDS), windows, keys, size, stride)
     image_tiles = gathered(transform(image, tile, BANDS), windows, BANDS, BANDS, size)
-    label_tiles = gathered(
-        tile_pixels(burned, windows, keys, size, stride), windows.select(*tile), ["class_id"], ["labels"], size
-    )
+    if burned is not None:
+        in_windows = tile_pixels(burned, windows, keys, size, stride)
+        image_tiles = image_tiles.join(gathered(in_windows, windows.select(*tile), ["class_id"], ["labels"], size), tile)
     b_size, b_stride = size * building_factor, stride * building_factor
     covered = tile_pixels(footprint, fine_windows, keys, b_size, b_stride)
     building_tiles = gathered(covered, fine_windows.select(*tile), ["class_id"], ["buildings"], b_size)
-    paired = align_tiles(image_tiles.join(label_tiles, tile), building_tiles, keys).withColumnRenamed("b_buildings", "buildings")
+    paired = align_tiles(image_tiles, building_tiles, keys).withColumnRenamed("b_buildings", "buildings")
     return paired.join(fold_split(windows.select(*tile), keys, n_splits, test_ratio), tile)
