@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators.components import connected_components
+from quartier.operators.skew import lookup_join
 from quartier.operators.spatial import spatial_join
 from quartier.session import materialise
 
@@ -43,23 +44,24 @@ def nearest_owner(
 
         spread = (
             outlines.selectExpr(
-                *keys, "owner", "geom", "bbox",
+                *keys, "owner", "bbox",
                 f"sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')}) AS _cols",
                 f"sequence({cell(f'bbox.ymin - {reach}')}, {cell(f'bbox.ymax + {reach}')}) AS _rows",
             )
-            .selectExpr(*keys, "owner", "geom", "bbox", "_rows", "explode(_cols) AS _gx")
-            .selectExpr(*keys, "owner", "geom", "bbox", "_gx", "explode(_rows) AS _gy")
+            .selectExpr(*keys, "owner", "bbox", "_rows", "explode(_cols) AS _gx")
+            .selectExpr(*keys, "owner", "bbox", "_gx", "explode(_rows) AS _gy")
         )
         placed = open_pixels.selectExpr("*", f"{cell('px')} AS _gx", f"{cell('py')} AS _gy")
         # bounds first: the nearest building is no farther than the closest far corner of any candidate box
         bounded = (
-            placed.join(spread.drop("geom", "owner"), [*keys, "_gx", "_gy"])
+            placed.join(spread.drop("owner"), [*keys, "_gx", "_gy"])
             .groupBy(*keys, "cx", "cy", "px", "py", "_gx", "_gy")
             .agg(F.expr(f"least(min({g.box_far('bbox', 'px', 'py')}), {reach}) AS _limit"))
         )
+        # boxes and ids only: outlines join the few candidates left
+        pairs = bounded.join(spread, [*keys, "_gx", "_gy"]).where(f"{g.box_gap('bbox', 'px', 'py')} <= _limit")
         near = (
-            bounded.join(spread, [*keys, "_gx", "_gy"])
-            .where(f"{g.box_gap('bbox', 'px', 'py')} <= _limit")
+            lookup_join(pairs.select(*keys, "cx", "cy", "px", "py", "owner"), outlines.select(*keys, "owner", "geom"), [*keys, "owner"])
             .selectExpr(*keys, "cx", "cy", "owner", f"{g.point_distance('geom', 'px', 'py')} AS dist")
             .where(f"dist <= {reach}")
             .groupBy(*keys, "cx", "cy")

@@ -38,8 +38,8 @@ def zonal_sum(
     zone_id = list(zone_id)
     geom = g.fill_holes("geom") if exterior_only else "geom"
     slim = materialise(
-        zones.where(g.is_areal("geom")).selectExpr(*zone_id, f"{geom} AS geom")
-        .selectExpr(*zone_id, "monotonically_increasing_id() AS _z", "posexplode(geom.polys) AS (_part, _rings)")
+        zones.where(g.is_areal("geom")).selectExpr(*zone_id, f"{geom} AS geom", "monotonically_increasing_id() AS _z")
+        .selectExpr(*zone_id, "_z", "posexplode(geom.polys) AS (_part, _rings)")
         .selectExpr(*zone_id, "_z", "_part", "named_struct('type', 'Polygon', 'polys', array(_rings)) AS geom")
     )
     at = [*zone_id, "_z", "_part"]

@@ -122,3 +122,31 @@ def test_line_beside_a_square(spark):
         f"{g.rectangle('0D', '0D', '1D', '1D')} AS b, {g.rectangle('9D', '0D', '11D', '1D')} AS c"
     )
     assert df.selectExpr(g.intersects("a", "b"), g.intersects("a", "c")).first()[:] == (False, True)
+
+
+def test_country_files(spark, tmp_path):
+    def feature(x, city):
+        return {"type": "Feature", "properties": {"city": city}, "geometry": {"type": "Polygon", "coordinates": [[[x, 0], [x + 1, 0], [x, 1], [x, 0]]]}}
+
+    for country, cities, gap in (("Panama", ["Colon", "David"], None), ("El Salvador", ["Sonsonate"], 0)):
+        (tmp_path / country).mkdir()
+        lines = ",\n".join(json.dumps(feature(i, c)) for i, c in enumerate(cities))
+        body = '{"type": "FeatureCollection", "features": [' + ("\n" if gap is None else "") + lines + ("\n" if gap is None else "") + "]}"
+        (tmp_path / country / "averaged_predictions.geojson").write_text(body)
+    folder = tmp_path / "Panama" / "Colon" / "vector_output"
+    os.makedirs(folder)
+    (folder / "class-1-slums.json").write_text(json.dumps(feature(5, "x")))
+    got = prediction.merge_predictions(spark, str(tmp_path), by_country=True).collect()
+    assert sorted((r["country"], r["city"]) for r in got) == [("El Salvador", "Sonsonate"), ("Panama", "Colon"), ("Panama", "David")]
+    assert all(r["geom"]["type"] == "Polygon" for r in got)
+    assert prediction.merge_predictions(spark, str(tmp_path)).count() == 1
+
+
+def test_geoparquet_box_reaches_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    path = str(tmp_path / "g")
+    sinks.write_geoparquet(frame(spark, [(i, square(i, i)) for i in range(50)]), path)
+    df = vectors.read_geoparquet(spark, path, box=(3, 3, 8, 8))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert all(f in plan for f in ("LessThanOrEqual(bbox.xmin,8.0)", "GreaterThanOrEqual(bbox.ymax,3.0)"))
+    assert sorted(r["id"] for r in df.collect()) == list(range(2, 9))

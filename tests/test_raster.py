@@ -273,3 +273,84 @@ def test_pixel_scorer_learns(spark):
     scored = training.score_pixels(model, df, ["a", "b"])
     wrong = scored.where("(score > 0.5) <> (truth = 1)").count()
     assert wrong < 100
+
+
+def outline(n, seed):
+    """Star-shaped ring of n corners around (500, 500) with a hole, and whether points lie inside."""
+    rng = np.random.default_rng(seed)
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = 250 + 150 * rng.random(n)
+    outer = ring(*zip(500 + far * np.cos(turn), 500 + far * np.sin(turn)))
+    hole = ring((450, 450), (450, 560), (555, 560), (555, 450))
+
+    def inside(x, y):
+        hit = np.zeros(np.broadcast(x, y).shape, dtype=bool)
+        for rg in (outer, hole):
+            for a, b in zip(rg, rg[1:]):
+                row = (a["y"] > y) != (b["y"] > y)
+                if row.any():
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        hit ^= row & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+        return hit
+
+    return geom([outer, hole]), inside
+
+
+def test_long_outline_equals_brute_force(spark):
+    shape, inside = outline(10_000, 4)
+    x, y = np.meshgrid(np.arange(100) * 10 + 5.0, np.arange(100) * 10 + 5.0)
+    hit = inside(x, y)
+    want = {(int(px // 10), int(py // 10)) for px, py in zip(x[hit], y[hit])}
+    df = frame(spark, [(1, shape)])
+    cells = raster.covered_cells(df, 10.0, ["id"])
+    assert {(r["cx"], r["cy"]) for r in cells.collect()} == want and cells.count() == len(want)
+    scenes = spark.createDataFrame([(1, 0.0, 1000.0, 10.0, 100, 100)], "id long, xmin double, ymax double, res double, height int, width int")
+    burned = raster.rasterize(df.selectExpr("*", "7 AS class_id", "1 AS o"), scenes, "id", "o")
+    assert {(r["pcol"], 99 - r["prow"]) for r in burned.collect()} == want
+    part = raster.rasterize(df.selectExpr("*", "7 AS class_id", "1 AS o"), scenes, "id", "o", window=(20, 30, 40, 25), classes={7: 0.5})
+    got = part.collect()
+    assert {(r["pcol"], 99 - r["prow"]) for r in got} == {(c, y) for c, y in want if 30 <= c < 55 and 20 <= 99 - y < 60}
+    assert {r["class_id"] for r in got} == {0.5}
+    pixels = spark.createDataFrame([(float(a), float(b), 1.0) for a, b in zip(x.ravel(), y.ravel())], "px double, py double, b1 double")
+    for block in (37.0, 200.0):
+        total = zonal.zonal_sum(pixels, df, ["id"], block=block, exterior_only=False).first()["total"]
+        assert total == len(want)
+
+
+def test_cells_of_odd_geometries(spark):
+    rows = [
+        (1, geom([ring((0, 0), (4, 0), (4, 4), (0, 4))], [ring((2, 2), (6, 2), (6, 6), (2, 6))])),  # parts that overlap
+        (2, geom([ring((0, 0), (9, 9), close=False)], kind="LineString")), (3, geom([ring((1, 1), close=False)], kind="Point")),
+        (4, None), (5, square(0.6, 0.6, 0.2)),
+    ]
+    got = raster.covered_cells(frame(spark, rows), 1.0, ["id"]).collect()
+    assert {r["id"] for r in got} == {1} and len(got) == len(set(got)) == 16 + 16 - 4
+    pixels = spark.createDataFrame([(x + 0.5, y + 0.5, 1.0) for x in range(10) for y in range(10)], "px double, py double, b1 double")
+    sums = {r["id"]: r["total"] for r in zonal.zonal_sum(pixels, frame(spark, rows), ["id"], block=3.0).collect()}
+    assert sums == {1: 28.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
+def test_cells_meeting_at_a_corner_are_contiguous(spark):
+    df = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 1, 2), ("a", 3, 3, 3)], "city string, cx long, cy long, owner long")
+    assert {(r["a"], r["b"]) for r in tessellation.contiguity(df, ["city"]).collect()} == {(1, 2), (2, 1)}
+
+
+def test_box_within(spark):
+    areas = {
+        "all": square(0, 0, 10), "same": square(2, 2, 3), "smaller": square(3, 3, 5), "line": geom([ring((0, 0), (9, 9), close=False)], kind="LineString"),
+        "hole": geom([ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((3, 3), (4, 3), (4, 4), (3, 4))]),
+        "notch": geom([ring((0, 0), (10, 0), (10, 10), (3, 10), (3, 4), (2.5, 10), (0, 10))]),
+    }
+    df = frame(spark, list(areas.items()), "name string").selectExpr("name", "geom", f"{g.box('2', '2', '5', '5')} AS w")
+    got = {r["name"] for r in df.where(g.box_within("w", "geom")).collect()}
+    assert got == {"all", "same"}
+
+
+def test_cross_scores_leave_the_fold_out(spark):
+    # fold 0 says the opposite of fold 1: models of the other fold rank its pixels the wrong way
+    df = spark.range(400).selectExpr("CAST(id % 20 AS DOUBLE) AS b", "CAST(id % 2 AS INT) AS fold", "id").selectExpr(
+        "*", "CAST(CASE WHEN fold = 0 THEN b < 10 ELSE b >= 10 END AS INT) AS truth"
+    ).unionByName(spark.range(5).selectExpr("1D AS b", "CAST(NULL AS INT) AS fold", "id", "1 AS truth"))
+    got = training.cross_score(df, ["b"], 2).groupBy("truth").avg("score").collect()
+    means = {r["truth"]: r[1] for r in got}
+    assert training.cross_score(df, ["b"], 2).count() == 400 and means[1] < means[0]

@@ -115,3 +115,20 @@ def test_geometry_prefix_of_plan(spark):
     plan = spatial.spatial_join(a, a, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     assert g.intersects("a", "b")
+
+
+def test_large_features_take_few_cells(spark):
+    # one left feature covers a million cells of the base grid, a thin one a thousand
+    left = frame(spark, [(1, square(-500, -500, 1000)), (2, square(0, 0)), (3, g_strip())])
+    right = frame(spark, [(i, square(i * 20, 0.2, 0.5)) for i in range(-30, 31)] + [(99, square(-400, -400, 900))])
+    listed = spatial.spatial_join(left, right, 1.0).select("l_id", "r_id").collect()
+    near = [i for i in range(-30, 31) if -25 <= i <= 25]
+    want = {(1, i) for i in near} | {(1, 99), (2, 0), (2, 99), (3, 99)} | {(3, i) for i in near}
+    assert {tuple(r) for r in listed} == want and len(listed) == len(want)
+    level = spatial._level("bbox", 1.0, 64)
+    spread = spatial._spread(left.selectExpr("*", f"{level} AS _level"), "bbox", 1.0, "a").groupBy("id").count().collect()
+    assert max(r["count"] for r in spread) <= 81
+
+
+def g_strip():
+    return {"type": "Polygon", "polys": [[[{"x": float(x), "y": float(y)} for x, y in ((-500, 0.3), (500, 0.3), (500, 0.4), (-500, 0.4), (-500, 0.3))]]]}
