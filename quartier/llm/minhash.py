@@ -29,7 +29,7 @@ def order_minhash(text: str) -> np.ndarray:
 
     Each k-mer is numbered among its equals and hashed with its number; the hash deals it to a sketch and ranks
     it there. A sketch takes its TUPLE least, puts them in text order and hashes the tuple. A text shorter than a
-    k-mer is one k-mer; an empty text has none. Memory is a few words per code point of one text.
+    k-mer is one k-mer; an empty text has none. A numbered k-mer has one hash in texts of any length. Memory is a few words per code point of one text.
     """
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     result = np.zeros(SKETCHES, dtype=np.uint16)
@@ -43,31 +43,38 @@ def order_minhash(text: str) -> np.ndarray:
         width *= 2
     kmers = _mixed(kmers)
     n = len(kmers)
-    low = np.uint64((1 << n.bit_length()) - 1)
-    place = np.arange(n, dtype=np.uint64)
-    # equal k-mers side by side in text order, to number them
-    packed = np.sort((kmers & ~low) | place)
-    at = (packed & low).astype(np.int64)
+    # equal k-mers side by side in text order, to number them: nothing here may depend on the text's length
+    at = np.argsort(kmers)
+    ordered = kmers[at]
     starts = np.ones(n, dtype=bool)
-    starts[1:] = (packed[1:] ^ packed[:-1]) > low
+    starts[1:] = ordered[1:] != ordered[:-1]
+    if not starts.all():
+        at = np.sort((np.cumsum(starts) << 32) | at) & 0xFFFFFFFF
     rank = np.arange(n)
     number = rank - np.maximum.accumulate(np.where(starts, rank, 0))
-    ordered = _mixed((packed & ~low) + _A * (number + 1).astype(np.uint64))
-    # sketch by sketch (the top bits), least hash first
-    least = np.sort((ordered & ~low) | at.astype(np.uint64))
-    sketch = (least >> np.uint64(64 - SKETCHES.bit_length() + 1)).astype(np.int64)
-    begin = np.searchsorted(sketch, np.arange(SKETCHES))
+    hashes = np.empty(n, dtype=np.uint64)
+    hashes[at] = _mixed(ordered + _A * (number + 1).astype(np.uint64))
+    # sketch by sketch (the top bits), least hash first; of equal hashes the first in the text
+    shift = np.uint64(64 - SKETCHES.bit_length() + 1)
+    least = np.sort(hashes)
+    begin = np.searchsorted((least >> shift).astype(np.int64), np.arange(SKETCHES))
     end = np.append(begin[1:], n)
+    filled = begin < end
+    last = np.zeros(SKETCHES, dtype=np.uint64)
+    last[filled] = least[np.minimum(begin + TUPLE, end)[filled] - 1]
+    few = np.flatnonzero(hashes <= last[(hashes >> shift).astype(np.int64)])
+    few = few[np.argsort(hashes[few], kind="stable")]
+    begin = np.searchsorted((hashes[few] >> shift).astype(np.int64), np.arange(SKETCHES))
+    end = np.append(begin[1:], len(few))
     value = np.zeros(SKETCHES, dtype=np.uint64)
     chosen = np.full((SKETCHES, TUPLE), n, dtype=np.int64)
     for i in range(TUPLE):
         has = begin + i < end
-        chosen[has, i] = (least[begin[has] + i] & low).astype(np.int64)
+        chosen[has, i] = few[begin[has] + i]
     chosen.sort(axis=1)
     for i in range(TUPLE):
         has = chosen[:, i] < n
         value[has] = _mixed(value[has] * _A + kmers[chosen[has, i]])
-    filled = begin < end
     result[filled] = (value[filled] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
     return result
 

@@ -74,6 +74,44 @@ def test_order_minhash_minds_order():
     assert minhash.likeness(minhash.order_minhash(""), minhash.order_minhash("")) == 1.0
 
 
+def plain_order_minhash(text):
+    """The definition with whole 64-bit hashes, for texts of a k-mer or more."""
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & top
+        x = ((x ^ (x >> 29)) * 0xC2B2AE3D27D4EB4F) & top
+        return x ^ (x >> 32)
+
+    a, seen, sketches = 0x9E3779B97F4A7C15, {}, [[] for _ in range(minhash.SKETCHES)]
+    # pow(a, 7 - j) is what doubling the width three times gives the j-th code point
+    kmers = [mixed(sum(ord(text[i + j]) * pow(a, 7 - j, 1 << 64) for j in range(8)) & top) for i in range(len(text) - 7)]
+    for i, k in enumerate(kmers):
+        seen[k] = seen.get(k, 0) + 1
+        h = mixed((k + a * seen[k]) & top)
+        sketches[h >> 57].append((h, i))
+    out = []
+    for s in sketches:
+        value = 0
+        for i in sorted(i for _, i in sorted(s)[: minhash.TUPLE]):
+            value = mixed((value * a + kmers[i]) & top)
+        out.append(value % 65535 + 1 if s else 0)
+    return out
+
+
+def test_order_minhash_whole_hashes(rows):
+    for text in [rows[0][1][:700], "abcabcabc" * 30, rows[5][1][:300], "a" * 3000, "abcdefgh"]:
+        assert minhash.order_minhash(text).tolist() == plain_order_minhash(text)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_order_minhash_across_powers_of_two(n):
+    """Near copies whose k-mer counts lie on different sides of a power of two stay alike."""
+    text = "".join(map(chr, np.random.default_rng(n).integers(97, 123, n + 20)))
+    shorter, longer = (minhash.order_minhash(text[: k + 7]) for k in (n - 10, n + 10))
+    assert minhash.likeness(shorter, longer) > 0.85
+
+
 @pytest.mark.parametrize("table", ["docs", "odd", "none"])
 def test_op1(table, request):
     df = request.getfixturevalue(table)
