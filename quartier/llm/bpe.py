@@ -20,6 +20,8 @@ from quartier.llm.common import text_or_empty
 CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 80_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
+#: Sum of squared bytes of the pieces of one query: its memory, as every step's rows stay (at most half as many rows as this).
+SQUARES = 4_000_000
 
 # A position's key p is its piece's number times 1,024 plus its place, a pair's key k is a token times 2^32 plus the next.
 _CONTRACT = """
@@ -49,6 +51,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _queries(sizes: list[int]) -> Iterator[list[int]]:
+    """Numbers of the pieces of each query, by size: at most PIECES, and SQUARES of the sizes squared (or one piece).
+
+    Pieces of like size share a query, so that few queries take the many steps of long ones.
+    """
+    own, squares = [], 0
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if own and (len(own) == PIECES or squares + sizes[i] ** 2 > SQUARES):
+            yield own
+            own, squares = [], 0
+        own.append(i)
+        squares += sizes[i] ** 2
+    if own:
+        yield own
+
+
 class Encoder:
     """Encodes and decodes texts; holds one in-memory DuckDB connection with the merge table."""
 
@@ -123,9 +141,9 @@ class Encoder:
             else:
                 rest.append(b)
                 names.append(p)
-        for i in range(0, len(rest), PIECES):
-            for p, ids in zip(names[i : i + PIECES], self._contract(rest[i : i + PIECES]), strict=True):
-                found[p] = " ".join(map(str, ids.tolist()))
+        for at in _queries([len(b) for b in rest]):
+            for i, ids in zip(at, self._contract([rest[i] for i in at]), strict=True):
+                found[names[i]] = " ".join(map(str, ids.tolist()))
         return found
 
     def encode(self, texts: list[str]) -> list[str]:

@@ -222,6 +222,24 @@ def test_long_pieces_agree():
         assert encoder._long(piece) == encoder._contract([piece])[0].tolist()
 
 
+def test_many_long_runs(spark):
+    """Thousands of distinct runs of 30 to 500 bytes, more than one query can hold, in one text and in one chunk of texts."""
+    rng = np.random.default_rng(4)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ACGT", "的一是不了人我在有他这为之大来以个中上们", "กขคงจฉชซญดตถทธนบปผพฟ"]
+    runs = []
+    for i in range(2400):
+        some = letters[i % 4]
+        size = int(rng.integers(30, 501)) // len(some[0].encode())
+        runs.append("".join(some[k] for k in rng.integers(0, len(some), size)))
+    texts = [" ".join(runs[:1200]), *runs[1200:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i]["ids"]) == encoding.encode_ordinary(t)
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("digest", [True, False])
