@@ -10,7 +10,7 @@ from quartier.llm.common import id_text, text_or_empty
 from quartier.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents (by hash of doc_id, in expectation) that the trees are fitted and calibrated on; trees, depth, seed.
+#: Documents (by hash of doc_id, in expectation) that the trees take two thirds of; trees, depth, seed.
 SAMPLE, TREES, DEPTH, SEED = 20_000, 12, 3, 3
 #: Share of rule-true spans that a calibrated threshold must reach among the candidates above it; candidates it takes at least.
 PRECISION, LEAST = 0.95, 30
@@ -179,21 +179,32 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*[f.cast("double") for f in features])))
 
 
-def fit_spans(docs: DataFrame, sample: int = SAMPLE):
-    """(trees, threshold by kind) from the candidates of about ``sample`` documents, or (None, {}) where one class is missing.
+def read_spans(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, h (hash), base and wide (candidates with label, 1 for a rule's span, and meets, whether one meets a base span)."""
+    number = ["k", "s", "e"]
+    both = _let(
+        _struct(base=_base_spans(F.col("text")), wide=candidates(F.col("text"))),
+        lambda r: _struct(base=r["base"], wide=F.transform(r["wide"], lambda c: _struct(
+            **{f: c[f] for f in (*number, "found", "before", "after")},
+            label=F.array_contains(r["base"], _struct(**{f: c[f] for f in number})).cast("double"),
+            meets=F.exists(r["base"], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])),
+        ))),
+    )
+    h = F.pmod(F.xxhash64(id_text()), F.lit(1_000_000))
+    rows = docs.select("doc_id", h.alias("h"), text_or_empty().alias("text"))
+    return materialise(rows.select("doc_id", "h", both.alias("r"), F.monotonically_increasing_id().alias("uid"))).select("doc_id", "uid", "h", "r.base", "r.wide")
+
 
-    A candidate is true where it is a rule's span. Trees are fitted on two thirds of the documents; on the rest each kind's
-    threshold is the least chance above which at least PRECISION of the candidates are true. Only candidates and counts by
-    level of chance leave the tasks; the driver gets one row per kind and level.
+def fit_spans(read: DataFrame, sample: int = SAMPLE):
+    """(trees, threshold by kind) from the candidates of ``read``, or (None, {}) where one class is missing.
+
+    A candidate is true where it is a rule's span. Trees are fitted on two thirds of about ``sample`` documents. On all
+    other documents each kind's threshold is the least chance above which at least PRECISION of the candidates are true.
+    Only candidates and counts by level of chance leave the tasks; the driver gets one row per kind and level.
     """
-    share = min(1.0, sample / max(docs.count(), 1))
-    h = F.pmod(F.xxhash64(id_text()), F.lit(1_000_000))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), h.alias("_h")).where(F.col("_h") < int(share * 1_000_000))
-    given = rows.select("_h", _base_spans(F.col("text")).alias("_rule"), F.explode(candidates(F.col("text"))).alias("c")).select("_h", "_rule", "c.*")
-    given = materialise(given.select(
-        "k", "found", "before", "after", (F.col("_h") % 3 == 0).alias("held"),
-        F.array_contains("_rule", F.struct("k", "s", "e")).cast("double").alias("label"),
-    ))
+    share = min(1.0, sample / max(read.count(), 1))
+    held = (F.col("h") >= int(share * 1_000_000)) | (F.col("h") % 3 == 0)
+    given = read.select(held.alias("held"), F.explode("wide").alias("c")).select("held", "c.*")
     fit = with_features(given.where("NOT held"))
     if fit.select("label").distinct().count() < 2:
         return None, {}
@@ -220,18 +231,13 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     candidate's start. A null text is empty; empty texts have no spans. Repeated rows get equal spans; extra columns are
     not used; an empty table gives an empty result. Texts are not shuffled: added spans return to their row by a number.
     """
-    trees, limits = fit_spans(docs, sample)
-    own = docs.select("doc_id", text_or_empty().alias("text"))
+    # one read: the rules' spans and all candidates
+    read = read_spans(docs)
+    trees, limits = fit_spans(read, sample)
     if not limits:
-        return base_spans(docs).select("doc_id", F.col("spans").alias("base"), "spans")
-    # one read: the rules' spans, and the candidates that meet none of them
-    both = _let(
-        _struct(base=_base_spans(F.col("text")), wide=candidates(F.col("text"))),
-        lambda r: _struct(base=r["base"], wide=F.filter(r["wide"], lambda c: ~F.exists(r["base"], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))),
-    )
-    read = materialise(own.select("doc_id", both.alias("r"), F.monotonically_increasing_id().alias("uid"))).select("doc_id", "uid", "r.base", "r.wide")
+        return read.select("doc_id", "base", F.col("base").alias("spans"))
     limit = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("k"))
-    scored = trees.transform(with_features(read.select("uid", F.explode("wide").alias("c")).select("uid", "c.*")))
+    scored = trees.transform(with_features(read.select("uid", F.explode("wide").alias("c")).select("uid", "c.*").where("NOT meets")))
     scored = scored.withColumn("chance", vector_to_array("probability")[1]).where(F.col("chance") >= limit)
     # of candidates for the same place the best chance stays
     best = scored.groupBy("uid", "s").agg(F.max(F.struct("chance", "k", "e")).alias("b"))

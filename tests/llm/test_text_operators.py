@@ -192,6 +192,16 @@ def test_op2_learns_unmarked_spans(spark):
     assert not any(got[i] for i in range(0, 1500, 3))
 
 
+def test_op2_thresholds_cover_all_rows(spark):
+    """A kind too rare for the sample's held third has its threshold from all rows, and its unmarked spans are added."""
+    texts = [f"word word +1 ({i % 900 + 100}) 555-{i % 9000 + 1000} word" if i % 10 == 0 else f"total {i % 9000 + 1000} {i * 7 % 9000 + 1000} items" for i in range(1500)]
+    texts += ["word word 1 (321) 555-1234 word"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(df, sample=240).collect()}
+    assert all(any(x["k"] == 3 for x in got[i]) for i in range(1500, 1503))
+    assert not any(got[i] for i in range(1500) if i % 10)
+
+
 def test_op2_has_no_python(spark, docs):
     plan = pii.find_spans(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
