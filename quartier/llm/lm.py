@@ -1,28 +1,30 @@
 """Document log-likelihood under a gated recurrent language model with a class-factored softmax."""
 from __future__ import annotations
 
+import copy
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartier.llm.common import hash_sample, id_text, spread_join, text_or_empty
+from quartier.llm.common import id_text, spread_join, text_or_empty
 from quartier.session import materialise
 
-#: Hidden units; words with outputs of their own (the end included), their classes, classes of all other words.
+#: Hidden units; words with outputs of their own (the end included) and their classes at least, classes of all other words.
 HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 32
-#: Words whose counts each worker holds (the most frequent ones); the others are joined. Rows the fit uses at most.
-LOOKUP, SAMPLE = 200_000, 1_500
+#: Words whose counts each worker holds (the most frequent ones); the others are joined. Times from which a word of the lookup has an output of its own.
+LOOKUP, OFTEN = 200_000, 1_000
 #: Tokens of a window of truncated backpropagation, documents side by side in the fit and in scoring, learning rate, passes.
 WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 48, 512, 0.005, 3
+#: One document of so many only judges the weights; weights of a row that is summed.
+JUDGES, BLOCK = 10, 4_096
 #: Distinct words a task counts before it hands them on, and code points of the texts scored at once (or one longer text).
 COUNTED, HELD = 200_000, 3_000_000
 
-PER_CLASS = HEAD // HEAD_CLASSES
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
 END = b""
 
 
@@ -38,6 +40,12 @@ def tail_class(word: bytes) -> int:
     return HEAD_CLASSES + (word[-1] if word else 0) % TAIL_CLASSES
 
 
+def head_side(lookup: list[tuple[bytes, int]]) -> int:
+    """Classes of the head words, and words of each: the head grows with the words that occur OFTEN, up to the lookup."""
+    often = sum(n >= OFTEN for _, n in lookup)
+    return max(HEAD_CLASSES, min(math.isqrt(often), math.isqrt(LOOKUP)))
+
+
 def _tail_class_sql() -> str:
     return f"CASE WHEN length(word) = 0 THEN 0 ELSE cast(conv(hex(substring(word, length(word), 1)), 16, 10) AS int) % {TAIL_CLASSES} END"
 
@@ -74,7 +82,9 @@ class LanguageModel:
 
     def __init__(self, lookup: list[tuple[bytes, int]], total: int, distinct: int, tail_n: np.ndarray, tail_v: np.ndarray, seed: int = 5):
         self.total, self.distinct = total, distinct
-        head = [w for w, _ in lookup[:HEAD]]
+        self.side = head_side(lookup)
+        self.head = self.side**2
+        head = [w for w, _ in lookup[: self.head]]
         counts = np.array([c for _, c in lookup], dtype=float)
         # head words side by side in classes, most frequent first
         self.place = {w: i for i, w in enumerate(head)}
@@ -83,19 +93,19 @@ class LanguageModel:
         # what a word of the lookup adds: output number and log10(count + 1)
         self.number = {w: i for i, (w, _) in enumerate(lookup)}
         self.log_count = np.log10(counts + 1) if len(counts) else np.zeros(0)
-        self.output = np.array([i if i < HEAD else HEAD + tail_class(w) - HEAD_CLASSES for i, (w, _) in enumerate(lookup)], dtype=np.int64)
+        self.output = np.array([i if i < self.head else self.head + tail_class(w) - HEAD_CLASSES for i, (w, _) in enumerate(lookup)], dtype=np.int64)
         rng = np.random.default_rng(seed)
-        in_class = np.zeros((HEAD_CLASSES, PER_CLASS))
+        in_class = np.zeros((self.side, self.side))
         in_class.flat[: len(head)] = counts[: len(head)]
         share = np.concatenate([in_class.sum(axis=1), tail_n]) + 1
         self.p = {
-            "input": rng.normal(0, 0.1, (HEAD + TAIL_CLASSES, 3 * HIDDEN)).astype(np.float32),
+            "input": rng.normal(0, 0.1, (self.head + TAIL_CLASSES, 3 * HIDDEN)).astype(np.float32),
             "state": rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
-            "class": rng.normal(0, 0.05, (HIDDEN, CLASSES)).astype(np.float32),
+            "class": rng.normal(0, 0.05, (HIDDEN, self.side + TAIL_CLASSES)).astype(np.float32),
             "class_0": np.log(share / share.sum()).astype(np.float32),
-            "word": rng.normal(0, 0.05, (HEAD_CLASSES, HIDDEN, PER_CLASS)).astype(np.float32),
+            "word": rng.normal(0, 0.05, (self.side, HIDDEN, self.side)).astype(np.float32),
             # places without a word never get a share
-            "word_0": np.where(np.arange(HEAD).reshape(HEAD_CLASSES, PER_CLASS) < len(head), np.log(in_class + 1), -30.0).astype(np.float32),
+            "word_0": np.where(np.arange(self.head).reshape(self.side, self.side) < len(head), np.log(in_class + 1), -30.0).astype(np.float32),
         }
 
     # --- the network ---------------------------------------------------------------------------------------------
@@ -114,7 +124,7 @@ class LanguageModel:
 
     def log_chances(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log P(output y | h) of each row, without the tail words' shares; with grads, adds to them and returns d/dh."""
-        cls = np.where(y < HEAD, y // PER_CLASS, y - HEAD + HEAD_CLASSES)
+        cls = np.where(y < self.head, y // self.side, y - self.head + self.side)
         a = h @ self.p["class"] + self.p["class_0"]
         a -= a.max(axis=1, keepdims=True)
         e = np.exp(a)
@@ -128,16 +138,16 @@ class LanguageModel:
             grads["class"] += h.T @ d
             grads["class_0"] += d.sum(axis=0)
             d_h = d @ self.p["class"].T
-        heads = np.flatnonzero(y < HEAD)
+        heads = np.flatnonzero(y < self.head)
         order = heads[np.argsort(cls[heads], kind="stable")]
-        ends = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+        ends = np.searchsorted(cls[order], np.arange(self.side + 1))
         for c in np.flatnonzero(np.diff(ends)):
             rows = order[ends[c] : ends[c + 1]]
             b = h[rows] @ self.p["word"][c] + self.p["word_0"][c]
             b -= b.max(axis=1, keepdims=True)
             f = np.exp(b)
             sums = f.sum(axis=1)
-            k, own = np.arange(len(rows)), y[rows] % PER_CLASS
+            k, own = np.arange(len(rows)), y[rows] % self.side
             result[rows] += b[k, own] - np.log(sums)
             if grads is not None:
                 d = f / sums[:, None]
@@ -148,76 +158,94 @@ class LanguageModel:
         return result, d_h
 
     def fit(self, documents: list[np.ndarray]) -> None:
-        """Adam with truncated backpropagation: gradients end at a window's edge, the state goes on to the next window.
-
-        Documents follow each other in FIT_ROWS streams; each starts from the empty state. A tenth of them only judges:
-        the weights that serve it best, before the first or after any pass, stay.
-        """
-        start = self.input_of(END)
-        judges, documents = documents[9::10], [d for i, d in enumerate(documents) if i % 10 != 9]
+        """PASSES over documents at hand, by the rule of ``fit_language_model`` with one partition."""
+        judges, documents = documents[JUDGES - 1 :: JUDGES], [d for i, d in enumerate(documents) if i % JUDGES != JUDGES - 1]
         kept, best = {k: v.copy() for k, v in self.p.items()}, self.log_likelihoods(judges).sum()
-        streams: list[list[np.ndarray]] = [[] for _ in range(FIT_ROWS)]
-        for i, d in enumerate(sorted(documents, key=len, reverse=True)):
-            min(streams, key=lambda s: sum(map(len, s)) if s else 0).append(d) if i < 4 * FIT_ROWS else streams[i % FIT_ROWS].append(d)
-        length = max((sum(map(len, s)) for s in streams), default=0)
-        y = np.full((FIT_ROWS, length), -1, dtype=np.int64)
-        first = np.zeros((FIT_ROWS, length), dtype=bool)
-        for row, s in enumerate(streams):
-            at = 0
-            for d in s:
-                y[row, at : at + len(d)], first[row, at] = d, True
-                at += len(d)
-        x = np.where(first, start, np.roll(y, 1, axis=1))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
         for _ in range(PASSES):
-            h = np.zeros((FIT_ROWS, HIDDEN), dtype=np.float32)
-            for at in range(0, length, WINDOW):
-                keep: list = []
-                states, live = [], []
-                for t in range(at, min(at + WINDOW, length)):
-                    h = np.where(first[:, t, None], np.float32(0), h)
-                    h = self.advance(np.maximum(x[:, t], 0), h, keep)
-                    states.append(h)
-                    live.append(y[:, t] >= 0)
-                on = np.concatenate(live)
-                if not on.any():
-                    break
-                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                hs = np.concatenate(states)
-                ys = y[:, at : at + len(states)].T.ravel()
-                d_hs = np.zeros_like(hs)
-                _, d = self.log_chances(hs[on], ys[on], grads)
-                d_hs[on] = d
-                d_hs = d_hs.reshape(len(states), FIT_ROWS, HIDDEN)
-                back = np.zeros((FIT_ROWS, HIDDEN), dtype=np.float32)
-                for i in range(len(states) - 1, -1, -1):
-                    xs, before, z, r, un, new = keep[i]
-                    d = d_hs[i] + back
-                    d_new = d * (1 - z) * (1 - new * new)
-                    d_z = d * (before - new) * z * (1 - z)
-                    d_r = d_new * un * r * (1 - r)
-                    d_u = np.hstack([d_z, d_r, d_new * r])
-                    np.add.at(grads["input"], xs, np.hstack([d_z, d_r, d_new]))
-                    grads["state"] += before.T @ d_u
-                    back = (d * z + d_u @ self.p["state"].T) * ~first[:, at + i, None]
-                step += 1
-                scale = np.float32(1 / on.sum())
-                for k, g in grads.items():
-                    g *= scale
-                    m[k] += 0.1 * (g - m[k])
-                    v2[k] += 0.01 * (g * g - v2[k])
-                    self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-6)
+            self.train(documents)
             if not judges or (reached := self.log_likelihoods(judges).sum()) > best:
                 kept, best = {k: v.copy() for k, v in self.p.items()}, reached if judges else 0.0
         self.p = {k: v.astype(np.float32) for k, v in kept.items()}
 
+    def train(self, documents: Iterable[np.ndarray]) -> int:
+        """One pass of Adam with truncated backpropagation; returns the tokens learned from.
+
+        Gradients end at a window's edge, the state goes on to the next window. FIT_ROWS documents are read side by side;
+        each starts from the empty state, and where one ends the next begins. Only these are held. Inputs and
+        classes that a window doesn't have keep their weights and moments.
+        """
+        start, source, seen, step = self.input_of(END), iter(documents), 0, 0
+        own: list = [None] * FIT_ROWS
+        done = [0] * FIT_ROWS
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        h = np.zeros((FIT_ROWS, HIDDEN), dtype=np.float32)
+        before = np.zeros(FIT_ROWS, dtype=np.int64)
+        while True:
+            y = np.full((FIT_ROWS, WINDOW), -1, dtype=np.int64)
+            first = np.zeros((FIT_ROWS, WINDOW), dtype=bool)
+            for row in range(FIT_ROWS):
+                at = 0
+                while at < WINDOW:
+                    if own[row] is None:
+                        own[row], done[row] = next(source, None), 0
+                        if own[row] is None:
+                            break
+                        first[row, at] = True
+                    part = own[row][done[row] : done[row] + WINDOW - at]
+                    y[row, at : at + len(part)] = part
+                    at, done[row] = at + len(part), done[row] + len(part)
+                    if done[row] >= len(own[row]):
+                        own[row] = None
+            on = y.T.ravel() >= 0
+            if not on.any():
+                return seen
+            x = np.maximum(np.where(first, start, np.hstack([before[:, None], y[:, :-1]])), 0)
+            before = y[:, -1]
+            keep: list = []
+            states = np.empty((WINDOW, FIT_ROWS, HIDDEN), dtype=self.p["state"].dtype)
+            for t in range(WINDOW):
+                h = np.where(first[:, t, None], np.float32(0), h)
+                h = self.advance(x[:, t], h, keep)
+                states[t] = h
+            grads = {k: np.zeros(v.shape, v.dtype) for k, v in self.p.items()}
+            ys = y.T.ravel()
+            d_hs = np.zeros((len(on), HIDDEN), dtype=states.dtype)
+            _, d_hs[on] = self.log_chances(states.reshape(-1, HIDDEN)[on], ys[on], grads)
+            d_hs = d_hs.reshape(states.shape)
+            back = np.zeros_like(d_hs[0])
+            d_in = np.empty((WINDOW, FIT_ROWS, 3 * HIDDEN), dtype=states.dtype)
+            d_us = np.empty_like(d_in)
+            for t in range(WINDOW - 1, -1, -1):
+                _, was, z, r, un, new = keep[t]
+                d = d_hs[t] + back
+                d_new = d * (1 - z) * (1 - new * new)
+                d_in[t, :, :HIDDEN] = d * (was - new) * z * (1 - z)
+                d_in[t, :, HIDDEN : 2 * HIDDEN] = d_new * un * r * (1 - r)
+                d_in[t, :, 2 * HIDDEN :] = d_new
+                d_us[t] = d_in[t]
+                d_us[t, :, 2 * HIDDEN :] *= r
+                back = (d * z + d_us[t] @ self.p["state"].T) * ~first[:, t, None]
+            grads["state"] += np.concatenate([k[1] for k in keep]).T @ d_us.reshape(-1, 3 * HIDDEN)
+            xs = x.T.ravel()
+            order = np.argsort(xs, kind="stable")
+            inputs, begin = np.unique(xs[order], return_index=True)
+            grads["input"][inputs] = np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], begin)
+            classes = np.unique(ys[on & (ys < self.head)] // self.side)
+            step, seen = step + 1, seen + int(on.sum())
+            scale = np.float32(1 / on.sum())
+            for k in grads:
+                rows = {"input": inputs, "word": classes, "word_0": classes}.get(k, slice(None))
+                g = grads[k][rows] * scale
+                m[k][rows] += 0.1 * (g - m[k][rows])
+                v2[k][rows] += 0.01 * (g * g - v2[k][rows])
+                self.p[k][rows] -= RATE * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(v2[k][rows] / (1 - 0.99**step)) + 1e-6)
+
     # --- texts ---------------------------------------------------------------------------------------------------
 
     def input_of(self, word: bytes) -> int:
         i = self.place.get(word)
-        return i if i is not None else HEAD + tail_class(word) - HEAD_CLASSES
+        return i if i is not None else self.head + tail_class(word) - HEAD_CLASSES
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Outputs of words: head number, or HEAD and the tail class."""
@@ -261,12 +289,12 @@ class LanguageModel:
             there = n >= 0
             out = np.empty(len(n), dtype=np.int64)
             out[there] = self.output[n[there]]
-            out[~there] = HEAD - 1 - n[~there]
+            out[~there] = self.head - 1 - n[~there]
             counted = self.log_count[n[there]]
-            tail = out >= HEAD
+            tail = out >= self.head
             rare = Counter(w for w, i in zip(words, n.tolist(), strict=True) if i < 0) if not there.all() else {}
             base = counted.sum() - len(n) * self.base_z
-            share = self.log_count[n[there & tail]].sum() - self.tail_z[out[tail] - HEAD].sum()
+            share = self.log_count[n[there & tail]].sum() - self.tail_z[out[tail] - self.head].sum()
             rows.append((len(n), int(there.sum()), base, share, list(rare), list(rare.values())))
             outputs.append(out)
         frame = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "words", "times"])
@@ -300,23 +328,88 @@ def frequent_words(counts: DataFrame, bound: int) -> list[tuple[bytes, int]]:
     return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def fit_language_model(training: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Counts (word, n) of all of ``training`` give the vocabulary; at most ``sample`` of its rows fit the network.
+def _blocks(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in weights.values()])
+
 
-    The driver gets at most LOOKUP of the most frequent words, one row per tail class, and the sampled texts (those of
-    least hash).
+def _weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
+def _fit_pass(rows: DataFrame, shared, weights: dict[str, np.ndarray], learn: bool) -> tuple[dict[str, np.ndarray], float | None]:
+    """Mean weights after each partition of ``rows`` (text, judges) has trained a copy of ``weights`` on its texts, by tokens,
+    and the judging texts' log likelihood under ``weights`` (None without such texts). Weights are summed through the shuffle."""
+    given = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, judge = copy.copy(shared.value), copy.copy(shared.value)
+        judge.p = given.value
+        model.p = {k: v.copy() for k, v in given.value.items()}
+        held: list[np.ndarray] = []
+        reached: list[float] = []
+
+        def judged() -> None:
+            reached.append(float(judge.log_likelihoods(held).sum()))
+            held.clear()
+
+        def learned() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for text, judges in zip(batch["text"], batch["judges"], strict=True):
+                    if not judges:
+                        yield model.numbers(tokens(text))
+                        continue
+                    held.append(model.numbers(tokens(text)))
+                    if len(held) == SCORE_ROWS or sum(map(len, held)) > HELD:
+                        judged()
+
+        seen = model.train(learned())
+        if held:
+            judged()
+        if reached:
+            yield pd.DataFrame({"block": [-1], "n": [1.0], "w": [[sum(reached)]]})
+        if seen:
+            flat = _blocks(model.p).astype(float)
+            for i in range(0, len(flat), BLOCK):
+                yield pd.DataFrame({"block": [i // BLOCK], "n": [float(seen)], "w": [flat[i : i + BLOCK]]})
+
+    texts = rows if learn else rows.where("judges")
+    sums = texts.mapInPandas(run, "block long, n double, w array<double>").select("block", "n", F.posexplode("w").alias("at", "w"))
+    got = sums.groupBy("block", "at").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n")).toArrow()
+    given.unpersist()
+    block, at, w, n = (got[c].to_numpy() for c in ("block", "at", "w", "n"))
+    own = block >= 0
+    flat = np.zeros(int(own.sum()))
+    flat[block[own] * BLOCK + at[own]] = w[own] / n[own]
+    return _weights(flat, weights) if len(flat) else weights, float(w[~own][0]) if (~own).any() else None
+
+
+def fit_language_model(training: DataFrame, counts: DataFrame) -> LanguageModel:
+    """Counts (word, n) of all of ``training`` give the vocabulary, and all its rows fit the network.
+
+    In each pass every partition trains a copy of the weights on its rows; their mean, by tokens, begins the next pass. One
+    row of JUDGES (by hash) only judges: the weights that serve these best, before the first or after any pass, stay. The
+    driver gets at most LOOKUP of the most frequent words, one row per tail class, and one sum per weight.
     """
     lookup = frequent_words(counts, LOOKUP)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tail_n, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in counts.selectExpr(f"{_tail_class_sql()} AS c", "n").groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tail_n[r["c"]], tail_v[r["c"]] = r["n"], r["v"]
-    for w, n in lookup[:HEAD]:
+    for w, n in lookup[: head_side(lookup) ** 2]:
         tail_n[tail_class(w) - HEAD_CLASSES] -= n
         tail_v[tail_class(w) - HEAD_CLASSES] -= 1
     model = LanguageModel(lookup, int(sums["n"]), int(sums["v"]), tail_n, tail_v)
-    chosen = hash_sample(training.select(id_text().alias("id"), text_or_empty().alias("text")), [F.col("id"), F.col("text")], sample)
-    model.fit([model.numbers(tokens(r["text"])) for r in chosen.select("text").toLocalIterator()])
+    judges = F.pmod(F.xxhash64(id_text(), text_or_empty()), F.lit(JUDGES)) == JUDGES - 1
+    rows = training.select(text_or_empty().alias("text"), judges.alias("judges"))
+    shared = training.sparkSession.sparkContext.broadcast(model)
+    weights, kept, best = model.p, model.p, None
+    for i in range(PASSES + 1):  # each pass judges the weights of the one before
+        after, reached = _fit_pass(rows, shared, weights, learn=i < PASSES)
+        if reached is None or best is None or reached > best:
+            kept, best = weights, reached
+        weights = after
+    model.p = kept
     return model
 
 

@@ -441,6 +441,26 @@ def test_op8_state_crosses_windows(monkeypatch, rows):
     assert model.log_likelihoods(docs) == pytest.approx(want, rel=1e-5)
 
 
+def test_op8_learns_from_all_rows(spark, monkeypatch):
+    """Each of 2,400 documents has a word of its own; all but the judging ones move their word's input weights."""
+    monkeypatch.setattr(lm, "OFTEN", 1)
+    df = spark.createDataFrame([(i, f"w{i} " + "the of " * 15) for i in range(2400)], "doc_id long, text string").repartition(2)
+    counts = lm.count_words(df)
+    model = lm.fit_language_model(df, counts)
+    before = lm.LanguageModel(lm.frequent_words(counts, lm.LOOKUP), model.total, model.distinct, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
+    moved = np.abs(model.p["input"] - before.p["input"]).max(axis=1) > 1e-6
+    assert moved.sum() > 0.8 * 2400
+
+
+def test_op8_head_follows_the_counts():
+    words = [(b"w%d" % i, 5000) for i in range(2500)]
+    model = lm.LanguageModel(words, 12_500_000, 2500, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
+    assert model.head == 2500 and model.input_of(b"w2400") == 2400
+    every = np.arange(model.head + lm.TAIL_CLASSES)
+    logs, _ = model.log_chances(np.ones((len(every), lm.HIDDEN), dtype=np.float32), every)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_op8_odd(odd, none):
     got = lm.likelihoods(odd, odd.where("doc_id > 3")).collect()
     assert len(got) == odd.count() and all(np.isfinite(r["score"]) for r in got)
