@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartier.llm import bpe, exact, langid, lm, minhash, mixing, pii, quality, simhash, toxicity
+from quartier.llm import bpe, bursttrie, centroids, credentials, exact, langid, lm, minhash, mixing, pii, quality, simhash, toxicity
 from quartier.llm.common import documents, id_remainder
 
 
@@ -76,6 +76,23 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bursttrie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(documents(spark, sf_dir))
+    number = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    return found.select(
+        "doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(credentials.KINDS[: credentials.RULES])],
+        F.sha2(credentials.span_text(F.col("base")), 256).alias("base_sha256"), credentials.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op13_native_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_with_inertia(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,11 +103,78 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_order_minhash, op2_pii, op3_byte_bpe, op4_exact_dedup, op5_language_codes, op6_source_mix, op7_fourier_quality,
-        op8_recurrent_lm, op9_ordinal_toxicity, op10_simhash_bktree, pipeline,
+        op8_recurrent_lm, op9_ordinal_toxicity, op10_simhash_bktree, op11_burst_trie, op12_credential_links, op13_native_centroids, pipeline,
     )
 }
 
+#: CRC-32 of an id's decimal digits, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+)
+_ROUNDS = "".join(
+    f"""near{i} AS MATERIALIZED (
+  SELECT r, min((d, k)) AS best FROM (
+    SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM parts v JOIN c{i} c USING (i) GROUP BY v.r, c.k
+  ) GROUP BY r
+), """ + (f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT n.best[2] AS k, v.i, floor((sum(v.x) - (sum(v.x) % count(*) + count(*)) % count(*)) / count(*))::BIGINT AS x
+    FROM near{i} n JOIN parts v USING (r) GROUP BY 1, 2
+  ) m USING (k, i)
+), """ if i < 5 else "") for i in range(6)
+)
+
 ORACLE = {
+    "op11_burst_trie": rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id, ({_CRC.format("conv_id")} % 4)::BIGINT AS h FROM turns
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.p, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 20 AND t.p <= i.h
+  UNION ALL SELECT i.conv_id, 1, t.p, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.p > i.h
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, sha256(concat(length(role), ':', role, text)) AS t,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM rebuilt
+), members AS (
+  SELECT conv_id, d, list(t) OVER w AS path, words FROM numbered WINDOW w AS (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, [], 0 FROM ids
+), ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, d) AS path FROM members GROUP BY conv_id) GROUP BY path
+), nodes AS (
+  SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM members GROUP BY path
+), children AS (
+  SELECT path[:-2] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), above AS (
+  SELECT n.path, n.path[:i] AS top, (n.n - 1) * n.words AS saved, c.n IS NULL AS leaf
+  FROM nodes n LEFT JOIN children c USING (path), unnest(range(0, n.depth + 1)) AS u(i)
+), sums AS (
+  SELECT top AS path, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM above GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (path) LEFT JOIN children c USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:-2]""",
+    "op13_native_centroids": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), parts AS MATERIALIZED (
+  SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept
+), c0 AS MATERIALIZED (
+  SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k FROM kept
+  ) WHERE k < 40
+), {_ROUNDS}found AS (
+  SELECT k.vec_id, n.best[2] AS cluster, n.best[1] AS distance FROM near5 n JOIN kept k USING (r)
+), names AS (
+  SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c5 GROUP BY k
+)
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM found JOIN names ON names.k = found.cluster""",
     "op4_exact_dedup": r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents
