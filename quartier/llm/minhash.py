@@ -35,12 +35,17 @@ def order_minhash(text: str) -> np.ndarray:
     result = np.zeros(SKETCHES, dtype=np.uint16)
     if not len(points):
         return result
-    kmers = points
-    width = 1
-    while width < KMER and len(kmers) > width:  # hashes of twice the width from two neighbours
-        factor = np.uint64(pow(int(_A), width, 1 << 64))
-        kmers = kmers[:-width] * factor + kmers[width:]
-        width *= 2
+    if len(points) < KMER:
+        value = len(points)
+        for x in points.tolist():
+            value = (value * int(_A) + x) % (1 << 64)
+        kmers = np.array([value], dtype=np.uint64)
+    else:
+        kmers, width = points, 1
+        while width < KMER:  # hashes of twice the width from two neighbours
+            factor = np.uint64(pow(int(_A), width, 1 << 64))
+            kmers = kmers[:-width] * factor + kmers[width:]
+            width *= 2
     kmers = _mixed(kmers)
     n = len(kmers)
     # equal k-mers side by side in text order, to number them: nothing here may depend on the text's length
