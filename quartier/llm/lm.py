@@ -19,9 +19,11 @@ HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 32
 #: Words whose counts each worker holds (the most frequent ones); the others are joined. Times from which a word of the lookup has an output of its own.
 LOOKUP, OFTEN = 200_000, 1_000
 #: Tokens of a window of truncated backpropagation, documents side by side in the fit and in scoring, learning rate, passes.
-WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 48, 512, 0.005, 3
-#: One document of so many only judges the weights; weights of a row that is summed.
-JUDGES, BLOCK = 10, 4_096
+WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 256, 512, 0.02, 1
+#: Tokens of a document that a row of the fit reads on from one state; the next ones begin anew, so that no row is left alone with a long text.
+STRETCH = 1_024
+#: One document of so many only judges the weights; weights of a row that is summed, and tokens for each weight that a task trains on at least.
+JUDGES, BLOCK, TOKENS_A_WEIGHT = 10, 16_384, 8
 #: Distinct words a task counts before it hands them on, and code points of the texts scored at once (or one longer text).
 COUNTED, HELD = 200_000, 3_000_000
 
@@ -87,7 +89,7 @@ class LanguageModel:
         head = [w for w, _ in lookup[: self.head]]
         counts = np.array([c for _, c in lookup], dtype=float)
         # head words side by side in classes, most frequent first
-        self.place = {w: i for i, w in enumerate(head)}
+        self.places = _Places(head, self.head)
         self.tail_z = np.log10(tail_n + tail_v + 1)
         self.base_z = float(np.log10(total + distinct + 1))
         # what a word of the lookup adds: output number and log10(count + 1)
@@ -105,56 +107,72 @@ class LanguageModel:
             "class_0": np.log(share / share.sum()).astype(np.float32),
             "word": rng.normal(0, 0.05, (self.side, HIDDEN, self.side)).astype(np.float32),
             # places without a word never get a share
-            "word_0": np.where(np.arange(self.head).reshape(self.side, self.side) < len(head), np.log(in_class + 1), -30.0).astype(np.float32),
+            "word_0": np.where(np.arange(self.head).reshape(self.side, self.side) < len(head), np.log((in_class + 1) / (in_class.max(axis=1, keepdims=True) + 1)), -60.0).astype(np.float32),
         }
 
     # --- the network ---------------------------------------------------------------------------------------------
 
-    def advance(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """State after inputs x (numbers) in state h; keep: gets what backpropagation needs."""
-        g = self.p["input"][x]
+    def advance(self, g: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """State after inputs with weights g in state h; keep: gets what backpropagation needs."""
         u = h @ self.p["state"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
+        zr = g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         un = u[:, 2 * HIDDEN :]
-        new = np.tanh(g[:, 2 * HIDDEN :] + r * un)
+        new = r * un
+        new += g[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
         if keep is not None:
-            keep.append((x, h, z, r, un, new))
+            keep.append((h, z, r, un, new))
         return new + z * (h - new)
 
     def log_chances(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log P(output y | h) of each row, without the tail words' shares; with grads, adds to them and returns d/dh."""
-        cls = np.where(y < self.head, y // self.side, y - self.head + self.side)
-        a = h @ self.p["class"] + self.p["class_0"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-        at = np.arange(len(y))
-        result = (a[at, cls] - np.log(total)).astype(np.float64)
+        """Natural log P(output y | h) of each row, without the tail words' shares; with grads, fills them (those of words by class) and returns d/dh.
+
+        Places run along columns, so sums over them add whole rows. Logits begin at 0 or below and states lie within -1 and
+        1, so no maximum needs to be taken off before the exponential.
+        """
+        cls = np.where(y < self.head, y // self.side, y - self.head + self.side).astype(np.int16)
+        at, states = np.arange(len(y)), np.ascontiguousarray(h.T)
+        a = self.p["class"].T @ states
+        a += self.p["class_0"][:, None]
+        result = a[cls, at].astype(np.float64)
+        np.exp(a, out=a)
+        total = a.sum(axis=0)
+        result -= np.log(total)
         d_h = None
         if grads is not None:
-            d = e / total[:, None]
-            d[at, cls] -= 1
-            grads["class"] += h.T @ d
-            grads["class_0"] += d.sum(axis=0)
-            d_h = d @ self.p["class"].T
-        heads = np.flatnonzero(y < self.head)
-        order = heads[np.argsort(cls[heads], kind="stable")]
+            a /= total
+            a[cls, at] -= 1
+            grads["class"], grads["class_0"] = states @ a.T, a.sum(axis=1)
+            grads["word"], grads["word_0"] = {}, {}
+            d_h = (self.p["class"] @ a).T
+        # head words side by side by class
+        order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.side + 1))
+        order = order[: ends[-1]]
+        own_states, place = states[:, order], y[order] % self.side
+        logs, d_own = np.empty(len(order)), np.empty_like(own_states) if grads is not None else None
         for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            b = h[rows] @ self.p["word"][c] + self.p["word_0"][c]
-            b -= b.max(axis=1, keepdims=True)
-            f = np.exp(b)
-            sums = f.sum(axis=1)
-            k, own = np.arange(len(rows)), y[rows] % self.side
-            result[rows] += b[k, own] - np.log(sums)
+            i, j = ends[c], ends[c + 1]
+            b = self.p["word"][c].T @ own_states[:, i:j]
+            b += self.p["word_0"][c][:, None]
+            k, own = at[: j - i], place[i:j]
+            logs[i:j] = b[own, k]
+            np.exp(b, out=b)
+            sums = b.sum(axis=0)
+            logs[i:j] -= np.log(sums)
             if grads is not None:
-                d = f / sums[:, None]
-                d[k, own] -= 1
-                grads["word"][c] += h[rows].T @ d
-                grads["word_0"][c] += d.sum(axis=0)
-                d_h[rows] += d @ self.p["word"][c].T
+                b /= sums
+                b[own, k] -= 1
+                grads["word"][c], grads["word_0"][c] = own_states[:, i:j] @ b.T, b.sum(axis=1)
+                d_own[:, i:j] = self.p["word"][c] @ b
+        result[order] += logs
+        if grads is not None:
+            d_h[order] += d_own.T
         return result, d_h
 
     def fit(self, documents: list[np.ndarray]) -> None:
@@ -170,86 +188,106 @@ class LanguageModel:
     def train(self, documents: Iterable[np.ndarray]) -> int:
         """One pass of Adam with truncated backpropagation; returns the tokens learned from.
 
-        Gradients end at a window's edge, the state goes on to the next window. FIT_ROWS documents are read side by side;
-        each starts from the empty state, and where one ends the next begins. Only these are held. Inputs and
-        classes that a window doesn't have keep their weights and moments.
+        Gradients end at a window's edge, the state goes on to the next window. FIT_ROWS stretches are read side by side;
+        each starts from the empty state, and where one ends the next begins; a row without a next one goes. Only these are
+        held. Inputs and classes that a window doesn't have keep their weights and moments, and have no gradients.
         """
-        start, source, seen, step = self.input_of(END), iter(documents), 0, 0
-        own: list = [None] * FIT_ROWS
-        done = [0] * FIT_ROWS
+        start, seen, step = self.input_of(END), 0, 0
+        source = (d[i : i + STRETCH] for d in documents for i in range(0, len(d), STRETCH))
+        own: list = [x for x in (next(source, None) for _ in range(FIT_ROWS)) if x is not None]
+        done, fresh = [0] * len(own), [True] * len(own)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        h = np.zeros((FIT_ROWS, HIDDEN), dtype=np.float32)
-        before = np.zeros(FIT_ROWS, dtype=np.int64)
-        while True:
-            y = np.full((FIT_ROWS, WINDOW), -1, dtype=np.int64)
-            first = np.zeros((FIT_ROWS, WINDOW), dtype=bool)
-            for row in range(FIT_ROWS):
+        h = np.zeros((len(own), HIDDEN), dtype=self.p["state"].dtype)
+        before = np.zeros(len(own), dtype=np.int64)
+        while own:
+            y = np.full((len(own), WINDOW), -1, dtype=np.int64)
+            first = np.zeros((len(own), WINDOW), dtype=bool)
+            for row, doc in enumerate(own):
                 at = 0
-                while at < WINDOW:
-                    if own[row] is None:
-                        own[row], done[row] = next(source, None), 0
-                        if own[row] is None:
-                            break
-                        first[row, at] = True
-                    part = own[row][done[row] : done[row] + WINDOW - at]
+                while doc is not None and at < WINDOW:
+                    first[row, at] = fresh[row]
+                    part = doc[done[row] : done[row] + WINDOW - at]
                     y[row, at : at + len(part)] = part
-                    at, done[row] = at + len(part), done[row] + len(part)
-                    if done[row] >= len(own[row]):
-                        own[row] = None
-            on = y.T.ravel() >= 0
-            if not on.any():
-                return seen
+                    at, done[row], fresh[row] = at + len(part), done[row] + len(part), False
+                    if done[row] >= len(doc):
+                        doc, done[row], fresh[row] = next(source, None), 0, True
+                own[row] = doc
             x = np.maximum(np.where(first, start, np.hstack([before[:, None], y[:, :-1]])), 0)
             before = y[:, -1]
-            keep: list = []
-            states = np.empty((WINDOW, FIT_ROWS, HIDDEN), dtype=self.p["state"].dtype)
-            for t in range(WINDOW):
-                h = np.where(first[:, t, None], np.float32(0), h)
-                h = self.advance(x[:, t], h, keep)
-                states[t] = h
-            grads = {k: np.zeros(v.shape, v.dtype) for k, v in self.p.items()}
-            ys = y.T.ravel()
-            d_hs = np.zeros((len(on), HIDDEN), dtype=states.dtype)
-            _, d_hs[on] = self.log_chances(states.reshape(-1, HIDDEN)[on], ys[on], grads)
-            d_hs = d_hs.reshape(states.shape)
-            back = np.zeros_like(d_hs[0])
-            d_in = np.empty((WINDOW, FIT_ROWS, 3 * HIDDEN), dtype=states.dtype)
-            d_us = np.empty_like(d_in)
-            for t in range(WINDOW - 1, -1, -1):
-                _, was, z, r, un, new = keep[t]
-                d = d_hs[t] + back
-                d_new = d * (1 - z) * (1 - new * new)
-                d_in[t, :, :HIDDEN] = d * (was - new) * z * (1 - z)
-                d_in[t, :, HIDDEN : 2 * HIDDEN] = d_new * un * r * (1 - r)
-                d_in[t, :, 2 * HIDDEN :] = d_new
-                d_us[t] = d_in[t]
-                d_us[t, :, 2 * HIDDEN :] *= r
-                back = (d * z + d_us[t] @ self.p["state"].T) * ~first[:, t, None]
-            grads["state"] += np.concatenate([k[1] for k in keep]).T @ d_us.reshape(-1, 3 * HIDDEN)
-            xs = x.T.ravel()
-            order = np.argsort(xs, kind="stable")
-            inputs, begin = np.unique(xs[order], return_index=True)
-            grads["input"][inputs] = np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], begin)
-            classes = np.unique(ys[on & (ys < self.head)] // self.side)
-            step, seen = step + 1, seen + int(on.sum())
-            scale = np.float32(1 / on.sum())
-            for k in grads:
-                rows = {"input": inputs, "word": classes, "word_0": classes}.get(k, slice(None))
-                g = grads[k][rows] * scale
-                m[k][rows] += 0.1 * (g - m[k][rows])
-                v2[k][rows] += 0.01 * (g * g - v2[k][rows])
-                self.p[k][rows] -= RATE * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(v2[k][rows] / (1 - 0.99**step)) + 1e-6)
+            h, n = self._learn(x, y, first, h, m, v2, step := step + 1)
+            seen += n
+            live = np.array([d is not None for d in own])
+            if not live.all():
+                kept = np.flatnonzero(live)
+                own, done, fresh = ([z[i] for i in kept] for z in (own, done, fresh))
+                h, before = h[kept], before[kept]
+        return seen
+
+    def _learn(self, x, y, first, h, m, v2, step) -> tuple[np.ndarray, int]:
+        """One step of Adam (moments m, v2) from a window of inputs x and outputs y; the state after it and its tokens.
+
+        A window that isn't full takes a step as much shorter.
+        """
+        rows = len(x)
+        keep: list = []
+        states = np.empty((WINDOW, rows, HIDDEN), dtype=h.dtype)
+        given, starts = self.p["input"][x.T], first.any(axis=0)
+        for t in range(WINDOW):
+            if starts[t]:
+                h = np.where(first[:, t, None], h.dtype.type(0), h)
+            h = self.advance(given[t], h, keep)
+            states[t] = h
+        ys = y.T.ravel()
+        on = ys >= 0
+        grads: dict = {}
+        d_hs = np.zeros((len(on), HIDDEN), dtype=states.dtype)
+        _, d_hs[on] = self.log_chances(states.reshape(-1, HIDDEN)[on], ys[on], grads)
+        d_hs = d_hs.reshape(states.shape)
+        back = np.zeros_like(d_hs[0])
+        d_in = np.empty((WINDOW, rows, 3 * HIDDEN), dtype=states.dtype)
+        d_us = np.empty_like(d_in)
+        for t in range(WINDOW - 1, -1, -1):
+            was, z, r, un, new = keep[t]
+            d = d_hs[t] + back
+            back = d * z
+            d_new = d - back
+            d_new *= 1 - new * new
+            d_in[t, :, :HIDDEN] = back * (was - new) * (1 - z)
+            d_in[t, :, HIDDEN : 2 * HIDDEN] = d_new * un * (r - r * r)
+            d_in[t, :, 2 * HIDDEN :] = d_new
+            d_us[t, :, : 2 * HIDDEN] = d_in[t, :, : 2 * HIDDEN]
+            d_us[t, :, 2 * HIDDEN :] = d_new * r
+            back += d_us[t] @ self.p["state"].T
+            if starts[t]:
+                back *= ~first[:, t, None]
+        grads["state"] = np.concatenate([k[0] for k in keep]).T @ d_us.reshape(-1, 3 * HIDDEN)
+        xs = x.T.ravel()
+        order = np.argsort(xs.astype(np.int16) if len(self.p["input"]) < 2**15 else xs, kind="stable")
+        inputs, begin = np.unique(xs[order], return_index=True)
+        grads["input"] = np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], begin)
+        classes = np.array(sorted(grads["word"]), dtype=np.int64)
+        for k in ("word", "word_0"):
+            grads[k] = np.stack([grads[k][c] for c in classes]) if len(classes) else np.zeros((0, *self.p[k].shape[1:]), h.dtype)
+        n = int(on.sum())
+        scale, rate = h.dtype.type(1 / n), RATE * n / (FIT_ROWS * WINDOW)
+        for k, g in grads.items():
+            at = {"input": inputs, "word": classes, "word_0": classes}.get(k, slice(None))
+            g = g * scale
+            m_at = m[k][at] * 0.9 + 0.1 * g
+            v_at = v2[k][at] * 0.99 + 0.01 * (g * g)
+            m[k][at], v2[k][at] = m_at, v_at
+            self.p[k][at] -= rate * (m_at / (1 - 0.9**step)) / (np.sqrt(v_at / (1 - 0.99**step)) + 1e-6)
+        return h, n
 
     # --- texts ---------------------------------------------------------------------------------------------------
 
     def input_of(self, word: bytes) -> int:
-        i = self.place.get(word)
-        return i if i is not None else self.head + tail_class(word) - HEAD_CLASSES
+        return self.places[word]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Outputs of words: head number, or HEAD and the tail class."""
-        return np.array([self.input_of(w) for w in words], dtype=np.int64)
+        return np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
 
     def log_likelihoods(self, documents: list[np.ndarray]) -> np.ndarray:
         """log10 P of each document's outputs; the state is carried through its windows to its end."""
@@ -267,12 +305,13 @@ class LanguageModel:
                 for k in range(live):
                     own = documents[rows[k]][at : at + WINDOW]
                     y[k, : len(own)] = own
-                h, x = h[:live], x[:live]
+                h = h[:live]
                 states = np.empty((WINDOW, live, HIDDEN), dtype=np.float32)
+                given = self.p["input"][np.maximum(np.vstack([x[:live], y.T[:-1]]), 0)]
+                x = y[:, -1]
                 for t in range(WINDOW):
-                    h = self.advance(x, h)
+                    h = self.advance(given[t], h)
                     states[t] = h
-                    x = np.maximum(y[:, t], 0)
                 on = y.T.ravel() >= 0
                 logs = np.zeros(len(on))
                 logs[on], _ = self.log_chances(states.reshape(-1, HIDDEN)[on], y.T.ravel()[on])
@@ -302,6 +341,23 @@ class LanguageModel:
         return frame
 
 
+class _Places(dict):
+    """Output of a word: its place in the head, or after the head its tail class."""
+
+    def __init__(self, head: list[bytes], after: int):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.head, self.after, self.most = head, after, len(head) + 100_000
+
+    def __reduce__(self):
+        return _Places, (self.head, self.after)
+
+    def __missing__(self, word):
+        i = self.after + (tail_class(word) - HEAD_CLASSES)
+        if len(self) < self.most:  # frequent ones among the others are found as fast
+            self[word] = i
+        return i
+
+
 class _Numbers(dict):
     """Number of a word; of a word that isn't there, -1 less its tail class."""
 
@@ -328,7 +384,7 @@ def frequent_words(counts: DataFrame, bound: int) -> list[tuple[bytes, int]]:
     return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def _blocks(weights: dict[str, np.ndarray]) -> np.ndarray:
+def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in weights.values()])
 
 
@@ -337,9 +393,21 @@ def _weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
 
 
-def _fit_pass(rows: DataFrame, shared, weights: dict[str, np.ndarray], learn: bool) -> tuple[dict[str, np.ndarray], float | None]:
-    """Mean weights after each partition of ``rows`` (text, judges) has trained a copy of ``weights`` on its texts, by tokens,
-    and the judging texts' log likelihood under ``weights`` (None without such texts). Weights are summed through the shuffle."""
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum of w by block, weighted by n; only the sums of the task's blocks are held."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for block, n, w in zip(batch["block"], batch["n"], batch["w"], strict=True):
+            own = held.setdefault(block, [0.0, 0.0])
+            own[0], own[1] = own[0] + n, own[1] + n * np.asarray(w, dtype=float)
+    for block, (n, w) in held.items():
+        yield pd.DataFrame({"block": [block], "n": [n], "w": [w]})
+
+
+def _fit_pass(rows: DataFrame, shared, weights: dict[str, np.ndarray], tasks: int | None) -> tuple[dict[str, np.ndarray], float | None]:
+    """Mean weights after each of ``tasks`` (None: no learning) has trained a copy of ``weights`` on its part of ``rows`` (text, judges), by tokens,
+    and the judging texts' log likelihood under ``weights`` (None without such texts). Weights go through the shuffle in arrays
+    of BLOCK and are summed as they come."""
     given = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,27 +437,28 @@ def _fit_pass(rows: DataFrame, shared, weights: dict[str, np.ndarray], learn: bo
         if reached:
             yield pd.DataFrame({"block": [-1], "n": [1.0], "w": [[sum(reached)]]})
         if seen:
-            flat = _blocks(model.p).astype(float)
+            flat = _flat(model.p)
             for i in range(0, len(flat), BLOCK):
                 yield pd.DataFrame({"block": [i // BLOCK], "n": [float(seen)], "w": [flat[i : i + BLOCK]]})
 
-    texts = rows if learn else rows.where("judges")
-    sums = texts.mapInPandas(run, "block long, n double, w array<double>").select("block", "n", F.posexplode("w").alias("at", "w"))
-    got = sums.groupBy("block", "at").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n")).toArrow()
+    texts = rows.where("judges") if tasks is None else rows.coalesce(tasks)
+    trained = texts.mapInPandas(run, "block long, n double, w array<float>")
+    got = trained.repartition("block").mapInPandas(_sums, "block long, n double, w array<double>").toArrow()
     given.unpersist()
-    block, at, w, n = (got[c].to_numpy() for c in ("block", "at", "w", "n"))
-    own = block >= 0
-    flat = np.zeros(int(own.sum()))
-    flat[block[own] * BLOCK + at[own]] = w[own] / n[own]
-    return _weights(flat, weights) if len(flat) else weights, float(w[~own][0]) if (~own).any() else None
+    sums = {b: (n, w) for b, n, w in zip(*(got[c].to_pylist() for c in ("block", "n")), (np.asarray(w.values) for w in got["w"]), strict=True)}
+    reached = float(sums[-1][1][0]) if -1 in sums else None
+    own = [sums[b][1] / sums[b][0] for b in sorted(sums) if b >= 0]
+    return _weights(np.concatenate(own), weights) if own else weights, reached
 
 
 def fit_language_model(training: DataFrame, counts: DataFrame) -> LanguageModel:
     """Counts (word, n) of all of ``training`` give the vocabulary, and all its rows fit the network.
 
-    In each pass every partition trains a copy of the weights on its rows; their mean, by tokens, begins the next pass. One
+    In each pass every task trains a copy of the weights on its rows; their mean, by tokens, begins the next pass. There are
+    as many tasks as leave each TOKENS_A_WEIGHT tokens for each weight, so the weights sent stay a share of the input. One
     row of JUDGES (by hash) only judges: the weights that serve these best, before the first or after any pass, stay. The
-    driver gets at most LOOKUP of the most frequent words, one row per tail class, and one sum per weight.
+    driver gets at most LOOKUP of the most frequent words, one row per tail class, and one sum per weight. An empty table leaves the
+    weights as they begin.
     """
     lookup = frequent_words(counts, LOOKUP)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -404,8 +473,9 @@ def fit_language_model(training: DataFrame, counts: DataFrame) -> LanguageModel:
     rows = training.select(text_or_empty().alias("text"), judges.alias("judges"))
     shared = training.sparkSession.sparkContext.broadcast(model)
     weights, kept, best = model.p, model.p, None
+    tasks = max(1, model.total // (TOKENS_A_WEIGHT * sum(v.size for v in weights.values())))
     for i in range(PASSES + 1):  # each pass judges the weights of the one before
-        after, reached = _fit_pass(rows, shared, weights, learn=i < PASSES)
+        after, reached = _fit_pass(rows, shared, weights, tasks if i < PASSES else None)
         if reached is None or best is None or reached > best:
             kept, best = weights, reached
         weights = after
@@ -418,7 +488,7 @@ def likelihoods(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     Whole texts; a null text is empty and scores as one end. ``base_score`` is the smoothed unigram log10 likelihood
     by the exact counts of all of ``training``, ``score`` the model's. Without training every count is 0. Repeated rows
-    get equal results; extra columns are not used.
+    get equal results; extra columns are not used; an empty table gives an empty result.
 
     Workers hold the counts of the LOOKUP most frequent words. Each document's other words go, with how often
     they occur, to a join with the full counts; adaptive execution may split a frequent one, and their sums return to
