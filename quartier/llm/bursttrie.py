@@ -98,48 +98,51 @@ def _shared_records() -> Column:
     return F.when(n == 0, 0).otherwise(F.when(differ == 0, n).otherwise(differ - 1))
 
 
-def burst(seqs: DataFrame, limit: int = LIMIT, most: int = BYTES) -> tuple[DataFrame, DataFrame | None]:
+HEAD = "box binary, at int, up long, path binary, low binary, sha string, n long, first long, till int"
+
+
+def burst(seqs: DataFrame, limit: int = LIMIT, most: int = BYTES) -> tuple[DataFrame, DataFrame]:
     """(containers' rows, heads) of the trie over ``seqs``.
 
     A container holds the sequences below one node: ``box`` (its id), ``at`` (the node's depth), ``up`` (the parent's
     conv_id) and ``path`` (ids of the heads above). The root's container, and each with over ``limit`` sequences or ``most``
     bytes, bursts: what all its sequences share becomes a head, a chain of nodes from ``at`` to ``till``, and the sequences
     move to containers by their next turn. The smallest and largest sequence tell how far all agree, so a burst always parts
-    sequences and no round is spent on a shared stretch. One sequence alone never bursts.
+    sequences and no round is spent on a shared stretch. One sequence alone never bursts. A round is one aggregate and one
+    join over the sequences that the round before moved.
     """
-    rows = seqs.selectExpr("CAST(repeat('0', 16) AS BINARY) AS box", "0 AS at", "CAST(NULL AS LONG) AS up", "X'' AS path", "*")
-    ready, heads, root = [], [], True
-    while True:
-        if root:
-            large = member = rows
-        else:
-            sizes = rows.groupBy("box").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("key")).alias("b"))
-            large = materialise(sizes.where(f"c > 1 AND (c > {limit} OR b > {most})").select("box"))
-            if large.isEmpty():
-                ready.append(rows)
-                break
-            ready.append(spread_join(rows, large, ["box"], "left_anti"))
-            member = spread_join(rows, large, ["box"], "left_semi")
-        head = member.groupBy("box").agg(
-            F.any_value("at").alias("at"), F.any_value("up").alias("up"), F.any_value("path").alias("path"),
-            F.min(F.struct("key", "sha")).alias("least"), F.max("key").alias("high"), F.sum("n").alias("n"), F.min("first").alias("first"),
-        ).selectExpr("box", "at", "up", "path", "least.key AS low", "least.sha AS sha", "high", "n", "first")
-        head = materialise(head.withColumn("till", _shared_records()).drop("high"))
-        heads.append(head)
-        near = head.select("box", F.col("first").alias("_up"), "till")
-        below = spread_join(member.drop("up", "at"), near, ["box"]).where(f"length(key) > till * {RECORD}")
+    spark = seqs.sparkSession
+    whole = seqs.agg(F.min(F.struct("key", "sha")).alias("least"), F.max("key").alias("high"), F.sum("n").alias("n"), F.min("first").alias("first")).first()
+    if whole["n"] is None:
+        return seqs.selectExpr("X'' AS box", "0 AS at", "0L AS up", "X'' AS path", "*"), spark.createDataFrame([], HEAD)
+    low, root = bytes(whole["least"]["key"]), bytes(16)
+    till = shared(low, bytes(whole["high"]))
+    heads = spark.createDataFrame([(root, 0, None, b"", low, whole["least"]["sha"], whole["n"], whole["first"], till)], HEAD)
+
+    def moved(rows: DataFrame) -> DataFrame:
+        """Sequences that go on below the heads of ``rows``, in their new containers."""
         turn = F.expr(f"substring(key, till * {RECORD} + 1, {RECORD})")
-        rows = materialise(below.select(
+        return rows.where(f"length(key) > till * {RECORD}").select(
             _short(F.concat("box", turn)).alias("box"), (F.col("till") + 1).alias("at"), F.col("_up").alias("up"),
             F.concat("path", "box").alias("path"), "key", "n", "first", "sha",
-        ))
-        root = False
-    joined, above = ready[0], heads[0]
-    for x in ready[1:]:
-        joined = joined.unionByName(x)
-    for x in heads[1:]:
-        above = above.unionByName(x)
-    return joined, above
+        )
+
+    rows = moved(seqs.select(F.lit(root).alias("box"), F.lit(b"").alias("path"), F.lit(whole["first"]).cast("long").alias("_up"), F.lit(till).alias("till"), "*"))
+    ready = None
+    while True:
+        large = rows.groupBy("box").agg(
+            F.count(F.lit(1)).alias("c"), F.sum(F.length("key")).alias("b"), F.any_value("at").alias("at"), F.any_value("up").alias("up"),
+            F.any_value("path").alias("path"), F.min(F.struct("key", "sha")).alias("least"), F.max("key").alias("high"), F.sum("n").alias("n"), F.min("first").alias("first"),
+        ).where(f"c > 1 AND (c > {limit} OR b > {most})")
+        head = large.selectExpr("box", "at", "up", "path", "least.key AS low", "least.sha AS sha", "high", "n", "first")
+        head = materialise(head.withColumn("till", _shared_records()).drop("high"))
+        if head.isEmpty():
+            return (rows if ready is None else ready.unionByName(rows)), heads
+        heads = heads.unionByName(head)
+        marked = materialise(spread_join(rows, head.select("box", F.col("first").alias("_up"), "till"), ["box"], "left"))
+        small = marked.where("till IS NULL").drop("_up", "till")
+        ready = small if ready is None else ready.unionByName(small)
+        rows = moved(marked.where("till IS NOT NULL"))
 
 
 class _Run:
