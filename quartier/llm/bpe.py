@@ -4,7 +4,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -128,6 +127,11 @@ class Encoder:
                     heapq.heappush(heap, (r, k, tok[k], tok[after[k]]))
         return [t for t in tok if t is not None]
 
+    def close(self) -> None:
+        """Gives back the merge table and what is remembered."""
+        self.con.close()
+        self.known, self.older = {}, {}
+
     def learn(self, pieces: list[str]) -> dict[str, str]:
         """Decimal ids, joined by spaces, of pieces."""
         found, rest, names = {}, [], []
@@ -185,12 +189,6 @@ class Encoder:
         return result
 
 
-@lru_cache(maxsize=1)
-def _encoder(lines: bytes, pattern: str) -> Encoder:
-    """One for each worker process and vocabulary."""
-    return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}, pattern)
-
-
 def _chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     part = batch["text"].str.len().cumsum() // CHUNK
     for _, chunk in batch.groupby(part.to_numpy(), sort=False):
@@ -211,19 +209,25 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(lines.value, pattern)
-        for batch in batches:
-            for chunk in _chunks(batch):
-                joined = encoder.encode(chunk["text"].tolist())
-                tokens = [np.fromstring(s, dtype=np.int32, sep=" ") if s else np.zeros(0, np.int32) for s in joined]
-                out = {
-                    "doc_id": chunk["doc_id"].to_numpy(),
-                    "n_tokens": [len(t) for t in tokens],
-                    "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in joined],
-                    "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in encoder.decode(tokens)],
-                }
-                yield pd.DataFrame(out | ({"ids": tokens} if ids else {}))
-        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
+        # one for each task: idle workers, of which an executor may keep several, hold no encoder
+        encoder = None
+        try:
+            for batch in batches:
+                encoder = encoder or Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.value.splitlines())}, pattern)
+                for chunk in _chunks(batch):
+                    joined = encoder.encode(chunk["text"].tolist())
+                    tokens = [np.fromstring(s, dtype=np.int32, sep=" ") if s else np.zeros(0, np.int32) for s in joined]
+                    out = {
+                        "doc_id": chunk["doc_id"].to_numpy(),
+                        "n_tokens": [len(t) for t in tokens],
+                        "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in joined],
+                        "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in encoder.decode(tokens)],
+                    }
+                    yield pd.DataFrame(out | ({"ids": tokens} if ids else {}))
+        finally:
+            if encoder:
+                encoder.close()
+            pa.default_memory_pool().release_unused()
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
