@@ -17,9 +17,9 @@ from quartier.session import materialise
 #: Hidden units; words with outputs of their own (the end included) and their classes at least, classes of all other words.
 HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 32
 #: Words whose counts each worker holds (the most frequent ones); the others are joined. Times from which a word of the lookup has an output of its own.
-LOOKUP, OFTEN = 200_000, 1_000
+LOOKUP, OFTEN = 200_000, 5_000
 #: Tokens of a window of truncated backpropagation, documents side by side in the fit and in scoring, learning rate, passes.
-WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 256, 512, 0.02, 1
+WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 512, 512, 0.02, 1
 #: Tokens of a document that a row of the fit reads on from one state; the next ones begin anew, so that no row is left alone with a long text.
 STRETCH = 1_024
 #: One document of so many only judges the weights; weights of a row that is summed, and tokens for each weight that a task trains on at least.
@@ -290,7 +290,7 @@ class LanguageModel:
         return np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
 
     def log_likelihoods(self, documents: list[np.ndarray]) -> np.ndarray:
-        """log10 P of each document's outputs; the state is carried through its windows to its end."""
+        """log10 P of each document's outputs; the state is carried from its start to its end."""
         result = np.zeros(len(documents))
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         start = self.input_of(END)
@@ -299,23 +299,27 @@ class LanguageModel:
             sizes = np.array([len(documents[k]) for k in rows])
             h = np.zeros((len(rows), HIDDEN), dtype=np.float32)
             x = np.full(len(rows), start, dtype=np.int64)
-            for at in range(0, int(sizes[0]), WINDOW):
+            at = 0
+            while at < sizes[0]:
                 live = int((sizes > at).sum())
-                y = np.full((live, WINDOW), -1, dtype=np.int64)
+                # the fewer documents are left, the more of each is looked at together: the work stays near the tokens
+                span = min(WINDOW * (SCORE_ROWS // live), int(sizes[0]) - at)
+                y = np.full((live, span), -1, dtype=np.int64)
                 for k in range(live):
-                    own = documents[rows[k]][at : at + WINDOW]
+                    own = documents[rows[k]][at : at + span]
                     y[k, : len(own)] = own
+                at += span
                 h = h[:live]
-                states = np.empty((WINDOW, live, HIDDEN), dtype=np.float32)
-                given = self.p["input"][np.maximum(np.vstack([x[:live], y.T[:-1]]), 0)]
+                states = np.empty((span, live, HIDDEN), dtype=np.float32)
+                numbers = np.maximum(np.vstack([x[:live], y.T[:-1]]), 0)
                 x = y[:, -1]
-                for t in range(WINDOW):
-                    h = self.advance(given[t], h)
+                for t in range(span):
+                    h = self.advance(self.p["input"][numbers[t]], h)
                     states[t] = h
                 on = y.T.ravel() >= 0
                 logs = np.zeros(len(on))
                 logs[on], _ = self.log_chances(states.reshape(-1, HIDDEN)[on], y.T.ravel()[on])
-                result[rows[:live]] += logs.reshape(WINDOW, live).sum(axis=0)
+                result[rows[:live]] += logs.reshape(span, live).sum(axis=0)
         return result / np.log(10)
 
     def score(self, texts: list[str]) -> pd.DataFrame:
