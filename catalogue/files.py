@@ -42,19 +42,42 @@ def geojson(spark, sf):
     return bounds_of(df, "CAST(properties['sid'] AS BIGINT) AS sid", "properties['country'] AS country")
 
 
+def pretty(spark, df, name, by=("country",)):
+    """Collections with free line breaks, of at most a few dozen features each, so none grows with the table; one folder per value of ``by``."""
+    path = folder(spark, name)
+    lines = sinks.feature_lines(df.selectExpr("*", "CAST(floor(sid / 40) AS BIGINT) AS piece"), ["piece", *by])
+    spread = "regexp_replace(replace(value, ',\"', ',\\n      \"'), '([\\\\[{])', '$1\\n  ')"
+    body = lines.selectExpr("piece", *by, f"{spread} AS value").groupBy("piece", *by).agg(F.expr("concat_ws(',\n', collect_list(value)) AS value"))
+    text = "concat('{\\n  \"type\": \"FeatureCollection\",\\n  \"crs\": {\"type\": \"name\", \"properties\": {\"name\": \"a } in a string {\"}},\\n  \"features\": [\\n', value, '\\n]\\n}') AS value"
+    body.selectExpr(*by, text).write.partitionBy(*by).text(path)
+    return path
+
+
 @query("s4_whole_file_geojson", ctes("f_settlements") + BOUNDS)
 def whole_geojson(spark, sf):
-    """Collections with free line breaks, one file per country."""
-    path = folder(spark, "collections")
-    lines = sinks.feature_lines(vector_fixture(spark, sf, "f_settlements"), ["country"])
-    collections = lines.groupBy("country").agg(
-        F.expr("concat('{\"type\": \"FeatureCollection\",\n\"features\": [\n', concat_ws(',\n', collect_list(value)), '\n]}') AS value")
-    )
-    collections.write.partitionBy("country").text(path)
-    df = vectors.read_geojson(spark, f"{path}/*/*.txt", whole_file=True)
+    """Pretty-printed collections."""
+    path = pretty(spark, vector_fixture(spark, sf, "f_settlements").withColumn("folder", F.col("country")), "collections", ("folder",))
+    df = vectors.read_geojson(spark, f"{path}/*/*.txt")
     return bounds_of(df, "CAST(properties['sid'] AS BIGINT) AS sid", "properties['country'] AS country")
 
 
+@query(
+    "s6_pretty_feature_source",
+    ctes("f_settlements") + "SELECT sid, 2 AS class_id, round(degrees(xmin/6378137.0e0),9) AS x0, round(degrees(2*atan(exp(ymax/6378137.0e0))-pi()/2),9) AS y1 FROM f_settlements",
+)
+def pretty_feature_source(spark, sf):
+    path = pretty(spark, vector_fixture(spark, sf, "f_settlements").withColumn("folder", F.col("country")), "sources", ("folder",))
+    df = vectors.features(spark, uris=[f"{path}/*/*.txt"], default_class=2, from_mercator=True)
+    return df.selectExpr("CAST(properties['sid'] AS BIGINT) AS sid", "class_id", "round(bbox.xmin,9) AS x0", "round(bbox.ymax,9) AS y1")
+
+
+@query("s11_pretty_predictions", ctes("f_settlements") + "SELECT country, kind AS city, count(*) AS n FROM f_settlements GROUP BY 1,2")
+def pretty_predictions(spark, sf):
+    areas = vector_fixture(spark, sf, "f_settlements").selectExpr("country", "kind AS city", "'vector_output' AS part", "sid", "geom")
+    path = pretty(spark, areas, "tree", ("country", "city", "part"))
+    return vectors.city_predictions(spark, path).groupBy("country", "city").agg(F.expr("count(1) AS n"))
+
+
 @query(
     "s6_feature_source",
     ctes("f_settlements") + "SELECT sid, 2 AS class_id, round(degrees(xmin/6378137.0e0),9) AS x0, round(degrees(2*atan(exp(ymax/6378137.0e0))-pi()/2),9) AS y1 FROM f_settlements",

@@ -4,26 +4,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
 from quartier.operators.spatial import inside_box
-from quartier.schemas import FEATURE
+from quartier.sources.geojson import read_features
 from quartier.sources.wkb import decode_wkb
 
 # Class ids of the three feature kinds.
 BUILDING, ROAD, POI = 1, 2, 3
 
 
-# Features of a line: a collection's, or the one feature it holds (a comma may follow).
-LINE_FEATURES = (
-    f"CASE WHEN value LIKE '%\"FeatureCollection\"%' THEN from_json(trim(value), 'features array<{FEATURE}>').features "
-    f"ELSE array(from_json(regexp_replace(trim(value), ',$', ''), '{FEATURE}')) END"
-)
-
-
 def _published(df: DataFrame, columns: Sequence[str], class_id: int, mercator: bool) -> DataFrame:
     geom = proj.to_mercator("geom") if mercator else "geom"
     return df.selectExpr(*columns, f"{geom} AS geom", f"{class_id} AS class_id")
@@ -61,26 +53,12 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry",
     return decode_wkb(table.where(meets) if "bbox" in table.columns else table, geometry).where(meets)
 
 
-def read_geojson(spark: SparkSession, paths: str | list[str], whole_file: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """GeoJSON features: (path, properties map, kind, geom, bbox).
 
-    Files with one feature or one whole collection per line, with or without an enclosing collection, are split
-    between tasks. ``whole_file`` reads collections with free line breaks, one file per task.
+    Any layout and line breaks; a file is split between tasks whatever its layout.
     """
-    if whole_file:
-        rows = (
-            spark.read.schema(f"features array<{FEATURE}>")
-            .option("multiLine", True)
-            .json(paths)
-            .selectExpr("_metadata.file_path AS path", "explode(features) AS f")
-        )
-    else:
-        rows = (
-            spark.read.text(paths)
-            .where("value LIKE '%\"Feature\"%'")
-            .selectExpr("_metadata.file_path AS path", f"explode({LINE_FEATURES}) AS f")
-        )
-    return rows.selectExpr(
+    return read_features(spark, paths).selectExpr(
         "path", "f.properties AS properties", "f.geometry.type AS kind",
         f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
     ).selectExpr("*", f"{g.bounds('geom')} AS bbox")
@@ -133,20 +111,10 @@ def city_predictions(spark: SparkSession, folder: str, by_country: bool = False)
     if by_country:
         merged = "regexp_extract(path, '/(?:country=)?([^/]+)/averaged_predictions.geojson', 1)"
         country, city = f"url_decode(replace({merged}, '+', '%2B'))", "f.properties['city']"
-    try:
-        lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        lines = spark.range(0).selectExpr("CAST(NULL AS STRING) AS value", "named_struct('file_path', '') AS _metadata")
-    return (
-        lines.selectExpr("value", "_metadata.file_path AS path")
-        .where(f"path LIKE '{'%/averaged_predictions.geojson%' if by_country else '%vector_output%'}' AND value LIKE '%\"Feature\"%'")
-        .selectExpr("path", f"explode({LINE_FEATURES}) AS f")
-        .selectExpr(
-            f"{country} AS country", f"{city} AS city", "f.properties AS properties",
-            f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
-        )
+    wanted = f"path LIKE '{'%/averaged_predictions.geojson%' if by_country else '%vector_output%'}'"
+    return read_features(spark, folder, recursive=True, files=wanted).selectExpr(
+        f"{country} AS country", f"{city} AS city", "f.properties AS properties",
+        f"{g.from_geojson('f.geometry.type', 'f.geometry.coordinates')} AS geom",
     )
 
 

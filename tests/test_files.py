@@ -150,3 +150,60 @@ def test_geoparquet_box_reaches_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert all(f in plan for f in ("LessThanOrEqual(bbox.xmin,8.0)", "GreaterThanOrEqual(bbox.ymax,3.0)"))
     assert sorted(r["id"] for r in df.collect()) == list(range(2, 9))
+
+
+def layouts(features, crs):
+    """The same features in every layout a file may have."""
+    head = {"type": "FeatureCollection", "name": 'a "{[ name }\\', "crs": crs}
+    return {
+        "pretty": json.dumps(head | {"features": features}, indent=2),
+        "tabs": json.dumps({"features": features} | head, indent="\t", ensure_ascii=False),
+        "one": json.dumps(head | {"features": features}),
+        "close": json.dumps({"type": "FeatureCollection", "features": features}, separators=(",", ":")) + "\n",
+        "lines": '{"type": "FeatureCollection", "features": [\n' + ",\n".join(map(json.dumps, features)) + "\n]}",
+        "plain": "\n".join(map(json.dumps, features)) + "\n",
+        "windows": json.dumps(head | {"features": features}, indent=1).replace("\n", "\r\n"),
+        "several": "\n".join(json.dumps(head | {"features": features[i : i + 7]}, indent=1) for i in range(0, len(features), 7)),
+        "stretched": "\n\n".join(json.dumps(f, indent=1) for f in features),
+    }
+
+
+@pytest.mark.parametrize("size", ["200", "1500", "128m"])
+def test_geojson_layouts_and_splits(spark, tmp_path, size):
+    """Equal rows from every layout, whether a file is read by one task or by dozens whose borders fall anywhere."""
+    names = ["plain", "with } brace", '"{"', "\\", "\\\"}", "line\nbreak }{", "Straße 😀 }", "", '"features":[{', "x" * 900]
+    features = [
+        {"type": "Feature", "properties": {"id": i, "name": names[i % len(names)], "deep": {"a": [{"b": "}"}]} if i % 3 else None}, "geometry":
+         {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i, 1.5], [i, 0]]]} if i % 4 else {"type": "MultiPolygon", "coordinates": [[[[i, 0], [i + 1, 0], [i, 2], [i, 0]]]] * (1 + 40 * (i == 8))}}
+        for i in range(41)
+    ]
+    files = layouts(features, {"type": "name", "properties": {"name": "urn:}:{"}})
+    for name, text in files.items():
+        (tmp_path / f"{name}.geojson").write_bytes(text.encode())
+    before = {k: spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = vectors.read_geojson(spark, str(tmp_path))
+        rows = df.selectExpr("path", "CAST(properties['id'] AS INT) AS id", "properties['name'] AS name", "kind", "geom", "bbox.ymax").collect()
+        tasks = spark.read.text(str(tmp_path / "pretty.geojson")).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+    assert tasks > 50 or size != "200"
+    want = sorted((i, names[i % len(names)], "Polygon" if i % 4 else "MultiPolygon", 1.5 if i % 4 else 2.0, 1 + 40 * (i == 8)) for i in range(41))
+    for name in files:
+        got = sorted((r["id"], r["name"], r["kind"], r["ymax"], len(r["geom"]["polys"])) for r in rows if r["path"].endswith(f"/{name}.geojson"))
+        assert got == want, name
+
+
+def test_geojson_of_nothing(spark, tmp_path):
+    for name, text in {"a": "", "b": "\n", "c": '{"type": "FeatureCollection", "features": []}', "d": "{}", "e": '{"type": "FeatureCollection",\n"features": [\n]\n}\n'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert vectors.read_geojson(spark, str(tmp_path)).count() == 0
+
+
+def test_features_without_geometry(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"type":"Feature","properties":null,"geometry":null}\n{"type":"Feature","properties":{"id":1},"geometry":{"type":"Point","coordinates":[1,2]}}')
+    got = vectors.read_geojson(spark, str(tmp_path)).collect()
+    assert sorted((r["kind"] or "", r["geom"] is None) for r in got) == [("", True), ("Point", False)]
