@@ -236,13 +236,80 @@ def segments_cross(s: str, t: str) -> str:
     return f"({p} * {q} < 0 AND {r} * {u} < 0)"
 
 
-def borders_touch(a: str, b: str) -> str:
-    return let(
-        segments(b),
-        lambda other: _fn(
-            segments(a), lambda s: _fn(other, lambda t: segments_touch(s, t), "exists"), "exists"
-        ),
+#: Pairs of segments up to which all are compared; beyond, only those that share a strip.
+FEW = 1024
+
+
+def _met(s: str, bbox: str, reach: str = "0D") -> str:
+    """A segment's bounds come within ``reach`` of a box."""
+    return " AND ".join(
+        f"least({s}.a{c}, {s}.b{c}) <= {bbox}.{c}max + {reach} AND greatest({s}.a{c}, {s}.b{c}) >= {bbox}.{c}min - {reach}" for c in "xy"
+    )
+
+
+def _in_strips(a: str, b: str, test: Callable[[str, str], str]) -> str:
+    """Whether any segment of ``a`` and one of ``b`` that run through a common strip pass ``test``.
+
+    Strips run along the axis along which segments are shorter for the extent. They are as high as a segment on average, so
+    the list of segments by strip is at most about twice as long as the segments, however long some of them are. The list is
+    sorted; the part of it that a segment's strips take is found by halving.
+    """
+    i = next(_names) % 1000
+    low, high = (lambda s: f"least({s}.ay, {s}.by)"), (lambda s: f"greatest({s}.ay, {s}.by)")
+    extent = lambda c: f"greatest(array_max(m{i}.a{c}), array_max(m{i}.b{c})) - least(array_min(m{i}.a{c}), array_min(m{i}.b{c}))"
+    spread = lambda c: _sum(f"m{i}", lambda t, s: f"{t} + abs({s}.b{c} - {s}.a{c})")
+    turned = lambda segs: _fn(segs, lambda s: f"IF(w{i}.turn, named_struct('ax', {s}.ay, 'ay', {s}.ax, 'bx', {s}.by, 'by', {s}.bx), {s})")
+    sums = f"named_struct('tx', {spread('x')}, 'ty', {spread('y')}, 'ex', {extent('x')}, 'ey', {extent('y')}, 'n', size(m{i}))"
+    shorter = f"t{i}.tx * t{i}.ey < t{i}.ty * t{i}.ex"
+    # w: whether x and y change places, the height of a strip
+    choose = (
+        f"transform(array({sums}), t{i} -> named_struct('turn', {shorter}, 'high', "
+        f"greatest(IF({shorter}, t{i}.tx, t{i}.ty) / t{i}.n, 1e-9D * (t{i}.ex + t{i}.ey), 1e-300D)))[0]"
     )
+    strip = lambda v: f"CAST(floor({v} / w{i}.high) AS BIGINT)"
+    listed = f"transform(sequence({strip(low(f's{i}'))}, {strip(high(f's{i}'))}), k{i} -> named_struct('k', k{i}, 's', s{i}))"
+    entries = f"array_sort(flatten(transform(b{i}, s{i} -> {listed})))"
+    top = f"CAST(floor(log2(size(e{i}))) AS INT)"
+    halves = f"transform(sequence(0, {top}), j{i} -> shiftleft(1, {top} - j{i}))"
+
+    def first(k: str) -> str:
+        """Number of entries below strip k."""
+        j = next(_names) % 1000
+        step = f"IF(c{j} + d{j} <= size(e{i}) AND e{i}[c{j} + d{j} - 1].k < {k}, c{j} + d{j}, c{j})"
+        return f"aggregate(h{i}, 0, (c{j}, d{j}) -> {step})"
+
+    span = f"named_struct('f', {first(strip(low(f'q{i}')))}, 'l', {first(f'{strip(high(f"q{i}"))} + 1L')})"
+    found = f"slice(e{i}, r{i}.f + 1, r{i}.l - r{i}.f)"
+    each = f"exists(a{i}, q{i} -> transform(array({span}), r{i} -> {_fn(found, lambda t: test(f'q{i}', f'{t}.s'), 'exists')})[0])"
+    inner = f"transform(array({entries}), e{i} -> transform(array({halves}), h{i} -> {each})[0])[0]"
+    placed = f"transform(array({turned(a)}), a{i} -> transform(array({turned(b)}), b{i} -> {inner})[0])[0]"
+    return f"transform(array(concat({a}, {b})), m{i} -> transform(array({choose}), w{i} -> {placed})[0])[0]"
+
+
+def _any_pair(a: str, b: str, test: Callable[[str, str], str]) -> str:
+    """Whether any segment of ``a`` and one of ``b`` (names of bound arrays) pass ``test``."""
+    every = _fn(a, lambda s: _fn(b, lambda t: test(s, t), "exists"), "exists")
+    strips = _in_strips(a, b, test)
+    return f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN false WHEN CAST(size({a}) AS BIGINT) * size({b}) <= {FEW} THEN {every} ELSE {strips} END"
+
+
+def _bounds_of(segs: str) -> str:
+    edge = lambda outer, f, c: f"{outer}({f}({segs}.a{c}), {f}({segs}.b{c}))"
+    return box(*[edge("least", "array_min", c) for c in "xy"], *[edge("greatest", "array_max", c) for c in "xy"])
+
+
+def borders_touch(a: str, b: str) -> str:
+    """Any two segments have a common point; only those near the other's bounds are compared."""
+    def pruned(own: str, other: str) -> str:
+        return let(
+            let(_bounds_of(other), lambda box_b: _fn(own, lambda s: _met(s, box_b), "filter")),
+            lambda left: let(
+                let(_bounds_of(own), lambda box_a: _fn(other, lambda s: _met(s, box_a), "filter")),
+                lambda right: _any_pair(left, right, segments_touch),
+            ),
+        )
+
+    return f"coalesce({let(segments(a), lambda own: let(segments(b), lambda other: pruned(own, other)))}, false)"
 
 
 def intersects(a: str, b: str) -> str:
@@ -300,6 +367,16 @@ def box_far(bbox: str, x: str, y: str) -> str:
     return f"hypot({far_x}, {far_y})"
 
 
+def boxes_gap(a: str, b: str) -> str:
+    """Distance between two bounding boxes: a lower bound of the distance from any point of one to what the other holds."""
+    return f"hypot(greatest({a}.xmin - {b}.xmax, {b}.xmin - {a}.xmax, 0D), greatest({a}.ymin - {b}.ymax, {b}.ymin - {a}.ymax, 0D))"
+
+
+def boxes_far(a: str, b: str) -> str:
+    """Largest distance between points of two bounding boxes."""
+    return f"hypot(greatest({a}.xmax - {b}.xmin, {b}.xmax - {a}.xmin), greatest({a}.ymax - {b}.ymin, {b}.ymax - {a}.ymin))"
+
+
 def point_distance(geom: str, x: str, y: str) -> str:
     """Distance from a point, 0 inside."""
     nearest = f"array_min({_fn(segments(geom), lambda s: _point_segment(x, y, s))})"
@@ -307,15 +384,46 @@ def point_distance(geom: str, x: str, y: str) -> str:
 
 
 def distance(a: str, b: str) -> str:
-    """Polygon to polygon distance, 0 when they intersect."""
+    """Polygon to polygon distance, 0 when they intersect.
+
+    Of long outlines only segments within the least distance of a corner from the other's bounds count. They are taken in
+    runs of neighbours, and only runs whose bounds lie as near as the nearest two corners of runs are compared.
+    """
     def ends(s: str, t: str) -> str:
         parts = [_point_segment(f"{m}.{e}x", f"{m}.{e}y", o) for m, o in ((s, t), (t, s)) for e in "ab"]
         return f"least({', '.join(parts)})"
 
-    nearest = let(
-        segments(b),
-        lambda other: f"array_min({_fn(segments(a), lambda s: f'array_min({_fn(other, lambda t: ends(s, t))})')})",
-    )
+    def least(own: str, other: str) -> str:
+        return f"array_min({_fn(own, lambda s: f'array_min({_fn(other, lambda t: ends(s, t))})')})"
+
+    def runs(segs: str, n: str) -> str:
+        one = lambda k: let(f"slice({segs}, {k} * {n} + 1, {n})", lambda r: f"named_struct('segs', {r}, 'box', {_bounds_of(r)}, 'x', {r}[0].ax, 'y', {r}[0].ay)")
+        return f"CASE WHEN size({segs}) > 0 THEN {_fn(f'sequence(0, (size({segs}) - 1) DIV {n})', one)} END"
+
+    def compared(a: str, b: str, limit: str) -> str:
+        corners = f"array_min({_fn(a, lambda p: f'array_min({_fn(b, lambda q: f"hypot({p}.x - {q}.x, {p}.y - {q}.y)")})')})"
+        near = lambda p, u: _fn(b, lambda q: f"{boxes_gap(f'{p}.box', f'{q}.box')} <= {u}", "filter")
+        found = lambda u: f"array_min({_fn(a, lambda p: f'array_min({_fn(near(p, u), lambda q: least(f"{p}.segs", f"{q}.segs"))})')})"
+        return let(f"least({corners}, {limit}) * 1.000000001D", found)
+
+    def searched(own: str, other: str, box_a: str, box_b: str) -> str:
+        corner = f"array_min({_fn(own, lambda s: f"named_struct('d', {box_gap(box_b, f'{s}.ax', f'{s}.ay')}, 'x', {s}.ax, 'y', {s}.ay)")})"
+        limit = let(corner, lambda c: f"array_min({_fn(other, lambda t: _point_segment(f'{c}.x', f'{c}.y', t))})")
+
+        def within(reach: str) -> str:
+            wide = f"({reach} * 1.000000001D)"
+            left, right = _fn(own, lambda s: _met(s, box_b, wide), "filter"), _fn(other, lambda t: _met(t, box_a, wide), "filter")
+            n = lambda m: f"CAST(ceil(pow(size({m}), 0.34D)) AS INT)"
+            parts = lambda m: let(n(m), lambda k: runs(m, k))
+            return let(let(left, parts), lambda p: let(let(right, parts), lambda q: compared(p, q, reach)))
+
+        return let(limit, within)
+
+    def sized(own: str, other: str) -> str:
+        bounded = let(_bounds_of(own), lambda box_a: let(_bounds_of(other), lambda box_b: searched(own, other, box_a, box_b)))
+        return f"CASE WHEN CAST(size({own}) AS BIGINT) * size({other}) <= 64 THEN {least(own, other)} ELSE {bounded} END"
+
+    nearest = let(segments(a), lambda own: let(segments(b), lambda other: sized(own, other)))
     return f"CASE WHEN {intersects(a, b)} THEN 0D ELSE {nearest} END"
 
 
@@ -366,14 +474,8 @@ def clip(geom: str, bbox: str) -> str:
 
 
 def _self_crosses(ring: str) -> str:
-    """Any two segments cross properly; only later ones are compared."""
-    def any_later(segs: str) -> str:
-        i = next(_names) % 1000
-        later = f"slice({segs}, i{i} + 2, size({segs}))"
-        found = f"transform({segs}, (s{i}, i{i}) -> {_fn(later, lambda t: segments_cross(f's{i}', t), 'exists')})"
-        return _fn(found, lambda f: f, "exists")
-
-    return let(ring_segments(ring), any_later)
+    """Any two segments cross properly; neighbours and a segment itself never do."""
+    return let(ring_segments(ring), lambda segs: _any_pair(segs, segs, segments_cross))
 
 
 def is_valid(geom: str) -> str:

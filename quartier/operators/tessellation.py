@@ -14,66 +14,133 @@ from quartier.operators.spatial import spatial_join
 from quartier.session import materialise
 
 
+#: Levels of the pyramids are a factor 2**FAN apart. Blocks of at most 2**(FAN * WIDEST) pixels a side are settled at once.
+FAN, WIDEST = 2, 2
+#: Outlines that a block of pixels may have to choose from before it is divided, and outlines of one cell in one list.
+ENOUGH, CHUNK = 24, 64
+_BOX = "named_struct('xmin', min({0}.xmin), 'ymin', min({0}.ymin), 'xmax', max({0}.xmax), 'ymax', max({0}.ymax))"
+
+
+def _children(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, kids): the nodes (keys, x, y, n, box) below each node of the next level, 4**FAN at most."""
+    return nodes.selectExpr(*keys, f"shiftright(x, {FAN}) AS _x", f"shiftright(y, {FAN}) AS _y", "struct(x, y, n, box) AS kid").groupBy(
+        *keys, F.col("_x").alias("x"), F.col("_y").alias("y")
+    ).agg(F.collect_list("kid").alias("kids"))
+
+
+def _pyramid(nodes: DataFrame, keys: list[str], steps: int) -> dict[int, DataFrame]:
+    """Children by level 1 to ``steps`` of the nodes of level 0, and the nodes of the top under 0."""
+    lowest = materialise(_children(nodes, keys))
+    own = lowest.selectExpr(*keys, "x", "y", "aggregate(kids, 0L, (s, k) -> s + k.n) AS n", f"{g.box('array_min(kids.box.xmin)', 'array_min(kids.box.ymin)', 'array_max(kids.box.xmax)', 'array_max(kids.box.ymax)')} AS box")
+    levels = own.selectExpr(*keys, f"explode(sequence(0, {steps - 1})) AS l", "x", "y", "n", "box").selectExpr(
+        *keys, "l + 1 AS level", f"shiftright(x, {FAN} * l) AS x", f"shiftright(y, {FAN} * l) AS y", "n", "box"
+    )
+    upper = materialise(levels.groupBy(*keys, "level", "x", "y").agg(F.sum("n").alias("n"), F.expr(f"{_BOX.format('box')} AS box")))
+    return {1: lowest, 0: upper.where(f"level = {steps}")} | {i + 1: _children(upper.where(f"level = {i}"), keys) for i in range(1, steps)}
+
+
+def _possible(box: str, found: str) -> str:
+    """Of the boxes ``found`` (array of structs with ``box``) those that may hold what is nearest to some point of ``box``."""
+    def near(limit: str) -> str:
+        # the factor covers rounding, so no tie is lost
+        return f"filter({found}, f -> {g.boxes_gap(box, 'f.box')} <= {limit} * 1.000000000001D)"
+
+    return g.let(f"array_min(transform({found}, f -> {g.boxes_far(box, 'f.box')}))", near)
+
+
+def candidate_blocks(pixels: DataFrame, outlines: DataFrame, keys: Sequence[str], resolution: float, enough: int = ENOUGH) -> DataFrame:
+    """Blocks of pixels and the outlines that may be nearest to one of their centres: (keys, level, x, y, chunk, owners).
+
+    ``pixels`` are (keys, cx, cy, px, py), ``outlines`` (keys, owner, box). Both are nodes of a pyramid; level by level every
+    block meets the children of the cells it met before and keeps those no farther off than the nearest one's far corner. So each block searches
+    as far as its own surroundings ask for, and a cell is passed on only while it may matter. A block of ``enough`` outlines or
+    fewer is settled; others are divided, down to one pixel.
+    """
+    keys = list(keys)
+    dots = pixels.selectExpr(*keys, "CAST(cx AS BIGINT) AS x", "CAST(cy AS BIGINT) AS y", "1L AS n", f"{g.box('px', 'py', 'px', 'py')} AS box")
+    place = lambda c: f"CAST(floor((box.{c}min + box.{c}max) / {2 * resolution}) AS BIGINT)"
+    placed = outlines.selectExpr(*keys, "owner", "box", f"{place('x')} AS x", f"{place('y')} AS y")
+    cells = placed.groupBy(*keys, "x", "y").agg(F.expr("count(1) AS n"), F.expr(f"{_BOX.format('box')} AS box"))
+    spans = [d.selectExpr("greatest(max(x) - min(x), max(y) - min(y)) AS d").first()[0] or 0 for d in (dots, cells)]
+    steps = max(1, math.ceil(math.log2(max(spans) + 1) / FAN))
+    blocks, nodes = _pyramid(dots, keys, steps), _pyramid(cells, keys, steps)
+    tops = nodes[0].groupBy(*keys).agg(F.collect_list(F.expr("struct(x, y, n, box)")).alias("cands"))
+    # at the top a key has a few blocks and cells
+    state = blocks[0].select(*keys, "x", "y", "box").join(tops, keys)
+    ready = []
+    for level in range(steps, -1, -1):
+        if level <= WIDEST:
+            state = materialise(state.selectExpr("*", "aggregate(cands, 0L, (s, c) -> s + c.n) AS n"))
+            settled = state if level == 0 else state.where(f"n <= {enough}")
+            ready.append(settled.selectExpr(*keys, f"{level} AS level", "x", "y", "box", "cands"))
+            state = state.where(f"n > {enough}")
+        if level == 0:
+            break
+        met = state.selectExpr(*keys, "x AS bx", "y AS by", "explode(cands) AS c").selectExpr(*keys, "bx", "by", "c.x AS x", "c.y AS y")
+        below = lookup_join(met, nodes[level], [*keys, "x", "y"]).groupBy(*keys, F.col("bx").alias("x"), F.col("by").alias("y")).agg(
+            F.flatten(F.collect_list("kids")).alias("found")
+        )
+        # first for the whole block, then for each of its parts
+        near = state.select(*keys, "x", "y", "box").join(below, [*keys, "x", "y"]).selectExpr(*keys, "x", "y", f"{_possible('box', 'found')} AS found")
+        parts = near.join(blocks[level], [*keys, "x", "y"]).selectExpr(*keys, "explode(kids) AS b", "found")
+        state = parts.selectExpr(*keys, "b.x AS x", "b.y AS y", "b.box AS box", f"{_possible('b.box', 'found')} AS cands")
+    settled = ready[0]
+    for r in ready[1:]:
+        settled = settled.unionByName(r)
+    # outlines by cell of every level that blocks are settled at, in lists of about CHUNK where a cell has more
+    listed = placed.selectExpr(*keys, "owner", "box", f"explode(sequence(0, {WIDEST})) AS level", "x", "y").selectExpr(
+        *keys, "owner", "box", "level", f"shiftright(x, {FAN} * level) AS x", f"shiftright(y, {FAN} * level) AS y"
+    )
+    at = [*keys, "level", "x", "y"]
+    full = listed.groupBy(*at).agg(F.expr("count(1) AS _n")).where(f"_n > {CHUNK}")
+    piece = f"CASE WHEN _n IS NULL THEN 0 ELSE CAST(pmod(xxhash64(owner), CAST(ceil(_n / {CHUNK}) AS INT)) AS INT) END AS chunk"
+    lists = lookup_join(listed, full, at, "left").selectExpr(*at, piece, "struct(owner, box) AS o").groupBy(*at, "chunk").agg(F.collect_list("o").alias("own"))
+    met = settled.selectExpr(*keys, "level", "x AS bx", "y AS by", "box", "explode(cands) AS c").selectExpr(*keys, "level", "bx", "by", "box", "c.x AS x", "c.y AS y")
+    group = [*keys, "level", "bx", "by"]
+    found = lookup_join(met, lists, at).groupBy(*group, "chunk").agg(F.flatten(F.collect_list("own")).alias("own"), F.any_value("box").alias("box"))
+    # the least limit of a block's lists holds for all of them
+    bounded = found.selectExpr("*", f"min(array_min(transform(own, f -> {g.boxes_far('box', 'f.box')}))) OVER (PARTITION BY {', '.join(group)}) AS _limit")
+    return bounded.selectExpr(
+        *keys, "level", "bx AS x", "by AS y", "chunk", f"filter(own, f -> {g.boxes_gap('box', 'f.box')} <= _limit * 1.000000000001D).owner AS owners"
+    ).where("size(owners) > 0")
+
+
 def nearest_owner(
-    pixels: DataFrame, buildings: DataFrame, keys: Sequence[str], resolution: float, radius: float | None = None,
-    building: str = "bid",
+    pixels: DataFrame, buildings: DataFrame, keys: Sequence[str], resolution: float, building: str = "bid", enough: int = ENOUGH,
 ) -> DataFrame:
-    """Building owning each pixel centre (px, py): the nearest one, smallest id on ties.
+    """Building owning each pixel centre (px, py): the nearest one, smallest id on ties; (keys, cx, cy, owner, dist).
 
-    ``pixels`` are (keys, cx, cy, px, py), ``buildings`` (keys, bid, geom, bbox). Candidates come from
-    grid cells of side ``radius`` (default: twice the mean spacing of buildings on the pixels' ground); a pixel whose nearest candidate is within the radius is settled,
-    the rest go on with three times the radius, so the result does not depend on it. Box bounds leave few
-    candidates for the exact distance. Stacked copies of one outline are reduced to their smallest id
-    first.
+    ``pixels`` are (keys, cx, cy, px, py), unique by (keys, cx, cy), ``buildings`` (keys, bid, geom, bbox). ``candidate_blocks`` leaves each
+    block a short list whatever the density around; a pixel compares box bounds, then the exact distances of the few left.
+    Outlines reach a block once, not each of its pixels. Stacked copies of one outline are reduced to their smallest id first. A pixel without a building under its keys has no row.
     """
     keys = list(keys)
     outlines = materialise(
-        buildings.groupBy(*keys, "geom").agg(F.expr(f"min({building}) AS owner")).selectExpr("*", f"{g.bounds('geom')} AS bbox")
+        buildings.groupBy(*keys, "geom").agg(F.expr(f"min({building}) AS owner")).selectExpr("*", f"{g.bounds('geom')} AS box")
     )
-    open_pixels = materialise(pixels.select(*keys, "cx", "cy", "px", "py"))
-    extent = open_pixels.selectExpr("least(min(px), min(py)) AS lo", "greatest(max(px), max(py)) AS hi").unionByName(
-        outlines.selectExpr("least(min(bbox.xmin), min(bbox.ymin)) AS lo", "greatest(max(bbox.xmax), max(bbox.ymax)) AS hi")
-    ).selectExpr("max(hi) - min(lo)").first()[0] or 0.0
-    if radius is None:
-        radius = 2 * resolution * max(1.0, math.sqrt(open_pixels.count() / max(1, outlines.count())))
-    settled = None
-    reach = float(radius)
-    while True:
-        def cell(value: str) -> str:
-            return f"CAST(floor(({value}) / {reach}) AS BIGINT)"
-
-        spread = (
-            outlines.selectExpr(
-                *keys, "owner", "bbox",
-                f"sequence({cell(f'bbox.xmin - {reach}')}, {cell(f'bbox.xmax + {reach}')}) AS _cols",
-                f"sequence({cell(f'bbox.ymin - {reach}')}, {cell(f'bbox.ymax + {reach}')}) AS _rows",
-            )
-            .selectExpr(*keys, "owner", "bbox", "_rows", "explode(_cols) AS _gx")
-            .selectExpr(*keys, "owner", "bbox", "_gx", "explode(_rows) AS _gy")
-        )
-        placed = open_pixels.selectExpr("*", f"{cell('px')} AS _gx", f"{cell('py')} AS _gy")
-        # bounds first: the nearest building is no farther than the closest far corner of any candidate box
-        bounded = (
-            placed.join(spread.drop("owner"), [*keys, "_gx", "_gy"])
-            .groupBy(*keys, "cx", "cy", "px", "py", "_gx", "_gy")
-            .agg(F.expr(f"least(min({g.box_far('bbox', 'px', 'py')}), {reach}) AS _limit"))
-        )
-        # boxes and ids only: outlines join the few candidates left
-        pairs = bounded.join(spread, [*keys, "_gx", "_gy"]).where(f"{g.box_gap('bbox', 'px', 'py')} <= _limit")
-        near = (
-            lookup_join(pairs.select(*keys, "cx", "cy", "px", "py", "owner"), outlines.select(*keys, "owner", "geom"), [*keys, "owner"])
-            .selectExpr(*keys, "cx", "cy", "owner", f"{g.point_distance('geom', 'px', 'py')} AS dist")
-            .where(f"dist <= {reach}")
-            .groupBy(*keys, "cx", "cy")
-            .agg(F.expr("min(struct(dist, owner)) AS best"))
-            .selectExpr(*keys, "cx", "cy", "best.owner AS owner", "best.dist AS dist")
-        )
-        found = materialise(near)
-        settled = found if settled is None else settled.unionByName(found)
-        open_pixels = materialise(open_pixels.join(found, [*keys, "cx", "cy"], "left_anti"))
-        if reach > 2 * extent or open_pixels.isEmpty():
-            return settled  # whatever is left has no building under its keys
-        reach *= 3
+    pixels = materialise(pixels.selectExpr(*keys, "cx", "cy", "px", "py"))
+    at = [*keys, "level", "x", "y"]
+    blocks = materialise(candidate_blocks(pixels, outlines.drop("geom"), keys, resolution, enough))
+    named = lookup_join(blocks.selectExpr(*at, "chunk", "explode(owners) AS owner"), outlines, [*keys, "owner"])
+    lists = named.groupBy(*at, "chunk").agg(F.collect_list(F.struct("owner", "box", "geom")).alias("own"))
+    placed = pixels.selectExpr(*keys, f"explode(sequence(0, {WIDEST})) AS level", "struct(cx, cy, px, py) AS p").selectExpr(
+        *keys, "level", f"shiftright(CAST(p.cx AS BIGINT), {FAN} * level) AS x", f"shiftright(CAST(p.cy AS BIGINT), {FAN} * level) AS y", "p"
+    )
+    members = placed.join(blocks.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.collect_list("p").alias("pixels"))
+
+    def best(p: str) -> str:
+        def nearest(limit: str) -> str:
+            near = f"filter(own, o -> {g.box_gap('o.box', f'{p}.px', f'{p}.py')} <= {limit} * 1.000000000001D)"
+            return f"array_min(transform({near}, o -> named_struct('dist', {g.point_distance('o.geom', f'{p}.px', f'{p}.py')}, 'owner', o.owner)))"
+
+        return g.let(f"array_min(transform(own, o -> {g.box_far('o.box', f'{p}.px', f'{p}.py')}))", nearest)
+
+    each = members.join(lists, at).selectExpr(*keys, "level", "x", "y", "chunk", f"inline(transform(pixels, p -> named_struct('cx', p.cx, 'cy', p.cy, 'best', {best('p')})))")
+    many = blocks.where("chunk > 0").select(*at).distinct()
+    # pixels whose candidates filled several lists take the best of all
+    whole = lookup_join(each, many, at, "left_semi").groupBy(*keys, "cx", "cy").agg(F.min("best").alias("best"))
+    single = lookup_join(each, many, at, "left_anti").select(*keys, "cx", "cy", "best")
+    return single.unionByName(whole.select(*keys, "cx", "cy", "best")).selectExpr(*keys, "cx", "cy", "best.owner AS owner", "best.dist AS dist")
 
 
 def cell_areas(owned: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:

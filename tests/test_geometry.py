@@ -110,3 +110,94 @@ def test_strings(spark):
     with pytest.raises(ValueError):
         sc.as_pair((1, 2, 3))
     assert math.isclose(spark.range(1).selectExpr(sc.sigmoid("0D") + " AS s").first()["s"], 0.5)
+
+
+def wavy(n, radius, cx=0.0, cy=0.0, depth=0.1, waves=400, turn=0.0):
+    """An outline of n vertices round a centre, its border going in and out."""
+    steps = [2 * math.pi * i / n + turn for i in range(n)]
+    return geom([ring(*[(cx + radius * (1 + depth * math.sin(waves * t)) * math.cos(t), cy + radius * (1 + depth * math.sin(waves * t)) * math.sin(t)) for t in steps])])
+
+
+def comb(n, left=0.0, teeth=10.0, along="x"):
+    """A comb of about n vertices: long teeth side by side, so that along one axis every edge spans the whole extent."""
+    points = [(left + i * 0.5, 0.0 if i % 2 else teeth) for i in range(n)] + [(left + n * 0.5, -1.0), (left - 1, -1.0)]
+    return geom([ring(*([(x, y) for x, y in points] if along == "x" else [(y, x) for x, y in points]))])
+
+
+def edges_of(shape):
+    return [(a["x"], a["y"], b["x"], b["y"]) for poly in shape["polys"] for r in poly for a, b in zip(r, r[1:])]
+
+
+def brute_distance(a, b):
+    """Least distance between the borders, edge by edge."""
+    import numpy as np
+
+    s, t = np.array(edges_of(a)), np.array(edges_of(b))
+    best = np.inf
+    for p, q in ((s, t), (t, s)):
+        d = q[:, 2:] - q[:, :2]
+        length = (d**2).sum(axis=1)
+        for x in np.array_split(p[:, :2], max(1, len(p) // 200)):
+            away = x[:, None, :] - q[None, :, :2]
+            share = np.clip((away * d).sum(axis=2) / length, 0, 1)
+            best = min(best, np.sqrt(((away - share[..., None] * d) ** 2).sum(axis=2)).min())
+    return best
+
+
+def shapes_of(n):
+    ring_land = geom([*wavy(n, 100)["polys"][0], wavy(n, 85, turn=0.1)["polys"][0][0]])
+    return {
+        "beside": (wavy(n, 100), wavy(n, 100, 223.0)), "diagonal": (wavy(n, 100), wavy(n, 100, 160.0, 160.0)), "around": (ring_land, wavy(n, 60, 0.3)),
+        "combs": (comb(n), comb(n, left=n / 2 + 5.0)), "upright": (comb(n, along="y"), wavy(n, 30, 60.0, n / 4)), "square": (wavy(n, 100), square(150, -3, 6)),
+    }
+
+
+@pytest.mark.parametrize("name", list(shapes_of(9)))
+def test_outlines_against_brute_force(spark, name):
+    a, b = shapes_of(1_200)[name]
+    assert one(spark, g.distance("a", "b"), a=a, b=b) == pytest.approx(brute_distance(a, b), rel=1e-9)
+    assert not one(spark, g.intersects("a", "b"), a=a, b=b)
+    for dx in (-45.0, 45.0):  # moved until the borders meet
+        moved = geom([[{"x": v["x"] + dx, "y": v["y"] + dx / 3} for v in r] for r in b["polys"][0]])
+        meets = one(spark, g.borders_touch("a", "b"), a=a, b=moved)
+        assert meets == (brute_distance(a, moved) < 0.5 and crosses(a, moved))
+
+
+def crosses(a, b):
+    """Any two edges share a point: signs of the corners' sides, edge by edge."""
+    import numpy as np
+
+    s, t = np.array(edges_of(a)), np.array(edges_of(b))
+    side = lambda p, q, x, y: (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])
+    for e in s:
+        p, q = e[:2], e[2:]
+        one_side = side(p, q, t[:, 0], t[:, 1]) * side(p, q, t[:, 2], t[:, 3]) <= 0
+        d = t[:, 2:] - t[:, :2]
+        other = (d[:, 0] * (p[1] - t[:, 1]) - d[:, 1] * (p[0] - t[:, 0])) * (d[:, 0] * (q[1] - t[:, 1]) - d[:, 1] * (q[0] - t[:, 0])) <= 0
+        boxes = (np.minimum(t[:, 0], t[:, 2]) <= max(p[0], q[0])) & (np.maximum(t[:, 0], t[:, 2]) >= min(p[0], q[0])) & (np.minimum(t[:, 1], t[:, 3]) <= max(p[1], q[1])) & (np.maximum(t[:, 1], t[:, 3]) >= min(p[1], q[1]))
+        if (one_side & other & boxes).any():
+            return True
+    return False
+
+
+@pytest.mark.parametrize("name", list(shapes_of(9)))
+def test_long_outlines(spark, name):
+    """10,000 vertices on each side: seconds, not the product of the numbers."""
+    import time
+
+    a, b = shapes_of(10_000)[name]
+    start = time.time()
+    assert not one(spark, g.borders_touch("a", "b"), a=a, b=b)
+    found = one(spark, g.distance("a", "b"), a=a, b=b)
+    assert time.time() - start < 60
+    # found edge by edge, in half a minute each
+    assert found == pytest.approx({"beside": 3.152059045248355, "diagonal": 6.369407640329062}.get(name, found), rel=1e-9) and found > 0
+
+
+def test_long_outline_validity(spark):
+    shape = wavy(10_000, 100)
+    assert one(spark, g.is_valid("a"), a=shape) and one(spark, g.is_valid("a"), a=comb(10_000))
+    crossed = geom([[*shape["polys"][0][0]]])
+    crossed["polys"][0][0][4000], crossed["polys"][0][0][4001] = crossed["polys"][0][0][4001], crossed["polys"][0][0][4000]
+    crossed["polys"][0][0][7000] = {"x": 0.0, "y": 130.0}
+    assert not one(spark, g.is_valid("a"), a=crossed)

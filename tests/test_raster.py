@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators import focal, raster, regions, scoring, tessellation, tiles, zonal
@@ -182,11 +183,34 @@ def test_nearest_owner(spark):
         return np.hypot(max(p[0]["x"] - x, 0, x - p[2]["x"]), max(p[0]["y"] - y, 0, y - p[2]["y"]))
 
     want = {(x, y): min((round(gap(s, x * 5 + 2.5, y * 5 + 2.5), 9), i) for _, i, s in built)[1] for k, x, y in cells if k == "a"}
-    for radius in (4.0, 60.0, None):
-        got = {(r["cx"], r["cy"]): r["owner"] for r in tessellation.nearest_owner(px, df, ["city"], 5.0, radius).collect()}
+    for enough in (1, 5, 24):
+        got = {(r["cx"], r["cy"]): r["owner"] for r in tessellation.nearest_owner(px, df, ["city"], 5.0, enough=enough).collect()}
         assert got == want
 
 
+def test_nearest_owner_dense_and_empty(spark):
+    """A dense quarter, a very dense cell and a lone hut in wide empty land: few candidates for every pixel, at every distance."""
+    rnd = random.Random(5)
+    built = [("a", 100 * i + j, square(3000 + 8 * i, 3000 + 8 * j, 5)) for i in range(40) for j in range(40)]
+    built += [("a", 10_000 + i, square(-2000 + rnd.uniform(0, 3), -2000 + rnd.uniform(0, 3), 0.5)) for i in range(300)] + [("a", 20_000, square(-4000, 5000, 4))]
+    df = frame(spark, built, "city string, bid long")
+    cells = sorted({(rnd.randrange(-420, 520), rnd.randrange(-420, 520)) for _ in range(900)} | {(x, y) for x in range(296, 330, 2) for y in range(296, 330, 2)} | {(x, y) for x in range(-204, -196) for y in range(-204, -196)})
+    px = spark.createDataFrame([("a", *c) for c in cells], "city string, cx long, cy long").selectExpr("*", "cx * 10 + 5D AS px", "cy * 10 + 5D AS py")
+    corners = np.array([[s["polys"][0][0][0]["x"], s["polys"][0][0][0]["y"], s["polys"][0][0][2]["x"], s["polys"][0][0][2]["y"]] for _, _, s in built])
+    ids = np.array([i for _, i, _ in built])
+    got = {(r["cx"], r["cy"]): (r["owner"], r["dist"]) for r in tessellation.nearest_owner(px, df, ["city"], 10.0).collect()}
+    assert sorted(got) == cells
+    for (x, y), (owner, dist) in got.items():
+        cx, cy = 10 * x + 5, 10 * y + 5
+        gaps = np.hypot(np.maximum(np.maximum(corners[:, 0] - cx, cx - corners[:, 2]), 0), np.maximum(np.maximum(corners[:, 1] - cy, cy - corners[:, 3]), 0))
+        assert dist == pytest.approx(gaps.min(), rel=1e-9, abs=1e-9) and gaps[ids == owner][0] == pytest.approx(gaps.min(), rel=1e-9, abs=1e-9)
+    blocks = tessellation.candidate_blocks(px, df.selectExpr("city", "bid AS owner", "bbox AS box"), ["city"], 10.0)
+    sizes = blocks.groupBy("level", "x", "y").agg(F.sum(F.size("owners")).alias("n"), F.min(F.array_min("owners")).alias("least"))
+    most = {r["quarter"]: r["n"] for r in sizes.groupBy((F.col("least") < 10_000).alias("quarter")).agg(F.max("n").alias("n")).collect()}
+    # of 1,901 outlines, wherever the pixel lies; the heap's boxes lie within fractions of a pixel, so more of them may be nearest
+    assert most[True] <= tessellation.ENOUGH and most[False] <= 300
+
+
 def test_tessellation_measures(spark):
     owners = {(0, 0): 1, (1, 0): 1, (2, 0): 2, (0, 1): 3, (1, 1): 3, (2, 1): 2, (3, 0): 4, (4, 0): 5}
     df = spark.createDataFrame([("a", x, y, o) for (x, y), o in owners.items()], "city string, cx long, cy long, owner long")
