@@ -9,7 +9,7 @@ from catalogue.tables import lonlat
 from quartier.fixtures import fixture, vector_fixture
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
-from quartier.operators.raster import covered_cells, dissolve_cells
+from quartier.operators.raster import covered_cells, dissolved_area
 from quartier.operators.spatial import spatial_join
 from quartier.plans.boxes import city_boxes
 from quartier.plans.prediction import common_pixel_boxes
@@ -224,9 +224,7 @@ def touched_cells(spark, sf):
     ctes("f_settlements", grid=GRID, cov=COVERED) + "SELECT country, count(DISTINCT (cx, cy))*10000.0e0 AS area FROM cov GROUP BY 1",
 )
 def dissolved(spark, sf):
-    return dissolve_cells(vector_fixture(spark, sf, "f_settlements"), 100.0, ["country"]).groupBy("country").agg(
-        F.expr("count(1) * 10000D AS area")
-    )
+    return dissolved_area(vector_fixture(spark, sf, "f_settlements"), 100.0, ["country"])
 
 
 @query(

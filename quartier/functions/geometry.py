@@ -213,6 +213,58 @@ def cell_spans(
     return f"CASE WHEN {is_areal(geom)} THEN {let(f'array_sort(flatten({_fn(f"{geom}.polys", runs)}))', united)} END"
 
 
+def touched_spans(
+    geom: str, row_at: Callable[[str], str], col_at: Callable[[str], str], y_of: Callable[[str], str],
+    x_of: Callable[[str], str], rows: tuple[str, str], cols: tuple[str, str], inside: str,
+) -> str:
+    """Grid cells that an outline meets, as runs (row, c0, c1) along its edges, and the runs ``inside`` (``cell_spans``); runs may overlap.
+
+    ``y_of`` and ``x_of`` give the upper left corner of a cell, ``row_at`` and ``col_at`` are their inverses (not
+    rounded); ``rows`` and ``cols`` are the limits (inclusive) of the cells. The cells that an edge meets in one row are neighbours:
+    their ends are estimated and told by the exact test, so the work grows with the outline's length in cells.
+    """
+    def meets(s: str, r: str, c: str) -> str:
+        x, y = (x_of(c), x_of(f"({c} + 1L)")), (y_of(r), y_of(f"({r} + 1L)"))
+        overlap = " AND ".join(
+            f"least({s}.a{k}, {s}.b{k}) <= greatest({v[0]}, {v[1]}) AND greatest({s}.a{k}, {s}.b{k}) >= least({v[0]}, {v[1]})" for k, v in (("x", x), ("y", y))
+        )
+        sides = ", ".join(f"({s}.bx - {s}.ax) * ({v} - {s}.ay) - ({s}.by - {s}.ay) * ({u} - {s}.ax)" for u in x for v in y)
+        return f"({overlap} AND least({sides}) <= 0 AND greatest({sides}) >= 0)"
+
+    def strip(s: str, r: str) -> tuple[str, str]:
+        low, high = (f"{f}({y_of(r)}, {y_of(f'({r} + 1L)')})" for f in ("least", "greatest"))
+        return f"greatest(least({s}.ay, {s}.by), {low})", f"least(greatest({s}.ay, {s}.by), {high})"
+
+    def run(s: str, r: str) -> str:
+        x = [f"IF({s}.ay = {s}.by, {s}.{e}x, {s}.ax + ({y} - {s}.ay) * ({s}.bx - {s}.ax) / ({s}.by - {s}.ay))" for e, y in zip("ab", strip(s, r), strict=True)]
+        ends = f"named_struct('p', {col_at(x[0])}, 'q', {col_at(x[1])})"
+
+        def told(e: str) -> str:
+            guess = f"named_struct('l', CAST(floor(least({e}.p, {e}.q)) AS BIGINT) - 1L, 'h', CAST(floor(greatest({e}.p, {e}.q)) AS BIGINT) + 1L)"
+
+            def exact(k: str) -> str:
+                first = f"CASE WHEN {meets(s, r, f'{k}.l')} THEN {k}.l WHEN {meets(s, r, f'({k}.l + 1L)')} THEN {k}.l + 1L ELSE {k}.l + 2L END"
+                last = f"CASE WHEN {meets(s, r, f'{k}.h')} THEN {k}.h WHEN {meets(s, r, f'({k}.h - 1L)')} THEN {k}.h - 1L ELSE {k}.h - 2L END"
+                return f"named_struct('row', {r}, 'c0', greatest({first}, {cols[0]}), 'c1', least({last}, {cols[1]}))"
+
+            return let(guess, exact)
+
+        return let(ends, told)
+
+    def along(s: str) -> str:
+        a, b = row_at(f"{s}.ay"), row_at(f"{s}.by")
+        low, high = f"greatest({rows[0]}, CAST(floor(least({a}, {b})) AS BIGINT) - 1L)", f"least({rows[1]}, CAST(floor(greatest({a}, {b})) AS BIGINT) + 1L)"
+
+        def listed(span: str) -> str:
+            met = _fn(f"sequence({span}.low, {span}.high)", lambda r: f"{strip(s, r)[0]} <= {strip(s, r)[1]}", "filter")
+            full = _fn(_fn(met, lambda r: run(s, r)), lambda t: f"{t}.c0 <= {t}.c1", "filter")
+            return f"CASE WHEN {span}.low <= {span}.high THEN {full} ELSE CAST(array() AS {SPANS}) END"
+
+        return let(f"named_struct('low', {low}, 'high', {high})", listed)
+
+    return f"concat(flatten({_fn(segments(geom), along)}), coalesce({inside}, CAST(array() AS {SPANS})))"
+
+
 def _side(p: tuple[str, str], q: tuple[str, str], r: tuple[str, str]) -> str:
     return f"(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
 

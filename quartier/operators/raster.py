@@ -13,37 +13,69 @@ def _cell(value: str, resolution: float) -> str:
     return f"CAST(floor({value} / {resolution}) AS BIGINT)"
 
 
+#: Columns of a stripe in which runs of one grid row are united.
+STRIPE_BITS = 12
+
+
+def _spans(resolution: float, all_touched: bool) -> str:
+    """Runs of grid cells of ``geom``: centre inside, or any contact (these may overlap)."""
+    res = float(resolution)
+    inside = g.cell_spans(
+        "geom", lambda y: f"({y} / {res} - 0.5D)", lambda x: f"({x} / {res} - 0.5D)",
+        lambda r: f"(({r} + 0.5D) * {res})", lambda c: f"(({c} + 0.5D) * {res})",
+    )
+    if not all_touched:
+        return inside
+    return g.touched_spans(
+        "geom", lambda y: f"({y} / {res})", lambda x: f"({x} / {res})", lambda r: f"({r} * {res})", lambda c: f"({c} * {res})",
+        (_cell("bbox.ymin", res), _cell("bbox.ymax", res)), (_cell("bbox.xmin", res), _cell("bbox.xmax", res)), inside,
+    )
+
+
 def covered_cells(df: DataFrame, resolution: float, keep: Sequence[str], all_touched: bool = False) -> DataFrame:
     """Grid cells (cx, cy = floor(coordinate / resolution)) of each feature: centre inside, or any contact.
 
-    Cells are found along the outline and filled row by row; no row carries an outline per cell. Contact tests the
-    cells of the bounding box instead.
+    Cells are found along the outline and filled row by row; no row carries an outline per cell. With contact, a
+    feature's cells are united in its row.
     """
-    res = float(resolution)
+    spans = _spans(resolution, all_touched)
     if not all_touched:
-        spans = g.cell_spans(
-            "geom", lambda y: f"({y} / {res} - 0.5D)", lambda x: f"({x} / {res} - 0.5D)",
-            lambda r: f"(({r} + 0.5D) * {res})", lambda c: f"(({c} + 0.5D) * {res})",
-        )
         return df.selectExpr(*keep, f"explode({spans}) AS _s").selectExpr(
             *keep, "explode(sequence(_s.c0, _s.c1)) AS cx", "_s.row AS cy"
         )
-    spread = (
-        df.selectExpr(
-            *keep, "geom",
-            f"sequence({_cell('bbox.ymin', res)}, {_cell('bbox.ymax', res)}) AS _rows",
-            f"sequence({_cell('bbox.xmin', res)}, {_cell('bbox.xmax', res)}) AS _cols",
-        )
-        .selectExpr(*keep, "geom", "_cols", "explode(_rows) AS cy")
-        .selectExpr(*keep, "geom", "cy", "explode(_cols) AS cx")
+    # a cell as one number, as arrays of numbers are united by hash
+    whole = f"array_distinct(flatten(transform({spans}, s -> transform(sequence(s.c0, s.c1), c -> shiftleft(s.row, 32) + c + 2147483648L))))"
+    return df.selectExpr(*keep, f"explode({whole}) AS _c").selectExpr(*keep, "(_c & 4294967295L) - 2147483648L AS cx", "shiftright(_c, 32) AS cy")
+
+
+def dissolve_runs(df: DataFrame, resolution: float, group: Sequence[str] = (), all_touched: bool = False) -> DataFrame:
+    """Union of areas as disjoint runs of grid cells: (group, cy, c0, c1); no row per cell.
+
+    Runs are cut at stripes of columns. Of the runs that begin in one cell the longest is kept before the shuffle, so
+    a stripe's row has a bounded number of them, however many areas lie on each other; the largest end so far tells where a new run begins.
+    """
+    group = list(group)
+    runs = df.selectExpr(*group, f"explode({_spans(resolution, all_touched)}) AS _s").selectExpr(
+        *group, "_s.row AS cy", "_s.c0 AS c0", "_s.c1 AS c1", f"explode(sequence(shiftright(_s.c0, {STRIPE_BITS}), shiftright(_s.c1, {STRIPE_BITS}))) AS _stripe"
+    ).selectExpr(
+        *group, "cy", "_stripe", f"greatest(c0, shiftleft(_stripe, {STRIPE_BITS})) AS c0", f"least(c1, shiftleft(_stripe + 1L, {STRIPE_BITS}) - 1L) AS c1"
     )
-    cell = g.rectangle(f"cx * {res}", f"cy * {res}", f"(cx + 1) * {res}", f"(cy + 1) * {res}")
-    return spread.selectExpr("*", f"{cell} AS _cell").where(g.intersects("geom", "_cell")).select(*keep, "cx", "cy")
+    at = [*group, "cy", "_stripe"]
+    longest = runs.groupBy(*at, "c0").agg(F.max("c1").alias("c1"))
+    over = f"OVER (PARTITION BY {', '.join(at)} ORDER BY c0 ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    marked = longest.selectExpr("*", f"CAST(coalesce(c0 > max(c1) {over} 1 PRECEDING) + 1L, true) AS INT) AS _new")
+    numbered = marked.selectExpr("*", f"sum(_new) {over} CURRENT ROW) AS _run")
+    return numbered.groupBy(*at, "_run").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select(*group, "cy", "c0", "c1")
 
 
 def dissolve_cells(df: DataFrame, resolution: float, group: Sequence[str] = ()) -> DataFrame:
-    """Union of areas as the distinct cells they cover."""
-    return covered_cells(df, resolution, group).distinct()
+    """Union of areas as the distinct cells they cover, listed from their runs."""
+    return dissolve_runs(df, resolution, group).selectExpr(*group, "explode(sequence(c0, c1)) AS cx", "cy")
+
+
+def dissolved_area(df: DataFrame, resolution: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, area) of the union of areas, from run lengths."""
+    return dissolve_runs(df, resolution, group).groupBy(*group).agg(F.expr(f"sum(c1 - c0 + 1) * {float(resolution) ** 2}D AS area"))
 
 
 def rasterize(
@@ -68,32 +100,21 @@ def rasterize(
         cases = " ".join(f"WHEN class_id = {k} THEN {float(v)}D" for k, v in classes.items())
         value = f"CASE {cases} ELSE 0D END AS class_id"
     met = features.selectExpr(scene, "geom", "bbox", value, order).join(scenes, scene).where(inside)
-    x, y = g.pixel_to_map("prow", "pcol", "xmin", "ymax", "res")
+    spans = g.cell_spans(
+        "geom", lambda v: f"((ymax - {v}) / res - 0.5D)", lambda v: f"(({v} - xmin) / res - 0.5D)",
+        lambda r: g.pixel_to_map(r, "0", "xmin", "ymax", "res")[1], lambda c: g.pixel_to_map("0", c, "xmin", "ymax", "res")[0],
+        (f"{row0}L", last_row), (f"{col0}L", last_col),
+    )
     if all_touched:
         top, left = g.map_to_pixel("bbox.xmin", "bbox.ymax", "xmin", "ymax", "res")
         bottom, right = g.map_to_pixel("bbox.xmax", "bbox.ymin", "xmin", "ymax", "res")
-        cell = g.rectangle(f"{x} - res / 2", f"{y} - res / 2", f"{x} + res / 2", f"{y} + res / 2")
-        spread = (
-            met.selectExpr(
-                scene, "geom", "class_id", order, "xmin", "ymax", "res",
-                f"filter(sequence({top}, {bottom}), r -> r BETWEEN {row0} AND {last_row}) AS _rows",
-                f"filter(sequence({left}, {right}), c -> c BETWEEN {col0} AND {last_col}) AS _cols",
-            )
-            .selectExpr("*", "explode(_rows) AS prow")
-            .selectExpr("*", "explode(_cols) AS pcol")
-            .drop("_rows", "_cols")
-            .selectExpr("*", f"{cell} AS _cell")
-            .where(g.intersects("geom", "_cell"))
-        )
-    else:
-        spans = g.cell_spans(
-            "geom", lambda v: f"((ymax - {v}) / res - 0.5D)", lambda v: f"(({v} - xmin) / res - 0.5D)",
-            lambda r: g.pixel_to_map(r, "0", "xmin", "ymax", "res")[1], lambda c: g.pixel_to_map("0", c, "xmin", "ymax", "res")[0],
-            (f"{row0}L", last_row), (f"{col0}L", last_col),
-        )
-        spread = met.selectExpr(scene, "class_id", order, f"explode({spans}) AS _s").selectExpr(
-            scene, "class_id", order, "_s.row AS prow", "explode(sequence(_s.c0, _s.c1)) AS pcol"
+        spans = g.touched_spans(
+            "geom", lambda v: f"((ymax - {v}) / res)", lambda v: f"(({v} - xmin) / res)", lambda r: f"(ymax - {r} * res)", lambda c: f"(xmin + {c} * res)",
+            (f"greatest({row0}L, {top})", f"least({last_row}, {bottom})"), (f"greatest({col0}L, {left})", f"least({last_col}, {right})"), spans,
         )
+    spread = met.selectExpr(scene, "class_id", order, f"explode({spans}) AS _s").selectExpr(
+        scene, "class_id", order, "_s.row AS prow", "explode(sequence(_s.c0, _s.c1)) AS pcol"
+    )
     return spread.groupBy(scene, "prow", "pcol").agg(F.max_by("class_id", order).alias("class_id"))
 
 

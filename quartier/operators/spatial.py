@@ -2,7 +2,8 @@
 
 A feature is listed in every cell its bounding box meets; a pair is reported only in the first cell
 both share, so no distinct is needed. A feature that would cover many cells moves to a coarser grid level
-of its own; a pair meets at the coarser level of the two. Hot cells are salted.
+of its own; a pair meets at the coarser level of the two. The join's partitions are cut at run time where a cell is hot
+(adaptive execution), whichever side it is hot on; nothing is dealt by row number, so a task that runs again gives its rows again.
 """
 from __future__ import annotations
 
@@ -10,9 +11,9 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
-from quartier.operators.skew import ROWS_PER_TASK, salted_join
 
 MAX_CELLS = 64
 
@@ -49,14 +50,12 @@ def spatial_join(
     predicate: Callable[[str, str], str] | None = g.intersects,
     equal: Sequence[str] = (),
     max_cells: int = MAX_CELLS,
-    rows_per_task: int = ROWS_PER_TASK,
-    right_is_hot: bool = False,
 ) -> DataFrame:
     """Pairs of features whose boxes meet and for which ``predicate(left geom, right geom)`` holds.
 
     Both sides carry ``geom`` and ``bbox``; ``predicate=None`` compares boxes only. Output columns are
-    prefixed ``l_`` and ``r_`` except those in ``equal``, which must match. ``right_is_hot`` salts the
-    right side instead of the left when that one is the larger.
+    prefixed ``l_`` and ``r_`` except those in ``equal``, which must match. Each side is listed once; the
+    levels in use are read from the boxes before.
     """
     equal = list(equal)
 
@@ -77,9 +76,9 @@ def spatial_join(
     if predicate is not None:
         condition = f"{condition} AND {predicate('l_geom', 'r_geom')}"
     keys = [*equal, "_level", "_cx", "_cy"]
-    big, other = (b, a) if right_is_hot else (a, b)
-    joined = salted_join(big, other, keys, "inner", condition, rows_per_task)
-    return joined.drop("_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by")
+    right = b.selectExpr(*[f"{c} AS _k_{c}" if c in keys else c for c in b.columns])
+    joined = a.join(right, F.expr(" AND ".join([*[f"{c} = _k_{c}" for c in keys], condition])))
+    return joined.drop(*[f"_k_{c}" for c in keys], "_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by")
 
 
 def spatial_semi(

@@ -17,7 +17,7 @@ from quartier.session import materialise
 #: Levels of the pyramids are a factor 2**FAN apart. Blocks of at most 2**(FAN * WIDEST) pixels a side are settled at once.
 FAN, WIDEST = 2, 2
 #: Outlines that a block of pixels may have to choose from before it is divided, and outlines of one cell in one list.
-ENOUGH, CHUNK = 24, 64
+ENOUGH, CHUNK = 96, 128
 _BOX = "named_struct('xmin', min({0}.xmin), 'ymin', min({0}.ymin), 'xmax', max({0}.xmax), 'ymax', max({0}.ymax))"
 
 
@@ -39,13 +39,25 @@ def _pyramid(nodes: DataFrame, keys: list[str], steps: int) -> dict[int, DataFra
     return {1: lowest, 0: upper.where(f"level = {steps}")} | {i + 1: _children(upper.where(f"level = {i}"), keys) for i in range(1, steps)}
 
 
+def _gap2(a: str, b: str) -> str:
+    """Square of the distance between two boxes. Squares are compared, as roots would cost more than all else."""
+    x, y = (f"greatest({a}.{c}min - {b}.{c}max, {b}.{c}min - {a}.{c}max, 0D)" for c in "xy")
+    return f"({x} * {x} + {y} * {y})"
+
+
+def _far2(a: str, b: str) -> str:
+    """Square of the largest distance between points of two boxes."""
+    x, y = (f"greatest({a}.{c}max - {b}.{c}min, {b}.{c}max - {a}.{c}min)" for c in "xy")
+    return f"({x} * {x} + {y} * {y})"
+
+
 def _possible(box: str, found: str) -> str:
     """Of the boxes ``found`` (array of structs with ``box``) those that may hold what is nearest to some point of ``box``."""
     def near(limit: str) -> str:
         # the factor covers rounding, so no tie is lost
-        return f"filter({found}, f -> {g.boxes_gap(box, 'f.box')} <= {limit} * 1.000000000001D)"
+        return f"filter({found}, f -> {_gap2(box, 'f.box')} <= {limit} * 1.000000000001D)"
 
-    return g.let(f"array_min(transform({found}, f -> {g.boxes_far(box, 'f.box')}))", near)
+    return g.let(f"array_min(transform({found}, f -> {_far2(box, 'f.box')}))", near)
 
 
 def candidate_blocks(pixels: DataFrame, outlines: DataFrame, keys: Sequence[str], resolution: float, enough: int = ENOUGH) -> DataFrame:
@@ -99,9 +111,9 @@ def candidate_blocks(pixels: DataFrame, outlines: DataFrame, keys: Sequence[str]
     group = [*keys, "level", "bx", "by"]
     found = lookup_join(met, lists, at).groupBy(*group, "chunk").agg(F.flatten(F.collect_list("own")).alias("own"), F.any_value("box").alias("box"))
     # the least limit of a block's lists holds for all of them
-    bounded = found.selectExpr("*", f"min(array_min(transform(own, f -> {g.boxes_far('box', 'f.box')}))) OVER (PARTITION BY {', '.join(group)}) AS _limit")
+    bounded = found.selectExpr("*", f"min(array_min(transform(own, f -> {_far2('box', 'f.box')}))) OVER (PARTITION BY {', '.join(group)}) AS _limit")
     return bounded.selectExpr(
-        *keys, "level", "bx AS x", "by AS y", "chunk", f"filter(own, f -> {g.boxes_gap('box', 'f.box')} <= _limit * 1.000000000001D).owner AS owners"
+        *keys, "level", "bx AS x", "by AS y", "chunk", f"filter(own, f -> {_gap2('box', 'f.box')} <= _limit * 1.000000000001D).owner AS owners"
     ).where("size(owners) > 0")
 
 
@@ -129,11 +141,16 @@ def nearest_owner(
     members = placed.join(blocks.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.collect_list("p").alias("pixels"))
 
     def best(p: str) -> str:
+        dot = {"x": f"{p}.px", "y": f"{p}.py"}
+        gap = [f"greatest(o.box.{c}min - {v}, {v} - o.box.{c}max, 0D)" for c, v in dot.items()]
+        far = [f"greatest({v} - o.box.{c}min, o.box.{c}max - {v})" for c, v in dot.items()]
+        square = lambda d: f"({d[0]} * {d[0]} + {d[1]} * {d[1]})"
+
         def nearest(limit: str) -> str:
-            near = f"filter(own, o -> {g.box_gap('o.box', f'{p}.px', f'{p}.py')} <= {limit} * 1.000000000001D)"
+            near = f"filter(own, o -> {square(gap)} <= {limit} * 1.000000000001D)"
             return f"array_min(transform({near}, o -> named_struct('dist', {g.point_distance('o.geom', f'{p}.px', f'{p}.py')}, 'owner', o.owner)))"
 
-        return g.let(f"array_min(transform(own, o -> {g.box_far('o.box', f'{p}.px', f'{p}.py')}))", nearest)
+        return g.let(f"array_min(transform(own, o -> {square(far)}))", nearest)
 
     each = members.join(lists, at).selectExpr(*keys, "level", "x", "y", "chunk", f"inline(transform(pixels, p -> named_struct('cx', p.cx, 'cy', p.cy, 'best', {best('p')})))")
     many = blocks.where("chunk > 0").select(*at).distinct()
@@ -208,8 +225,8 @@ def touching_groups(
     Copies of one outline are linked to their smallest id; only distinct outlines are compared.
     """
     keys = list(keys)
-    outlines = buildings.groupBy(*keys, "geom").agg(F.expr(f"min({building}) AS owner")).selectExpr(
-        "*", f"{g.bounds('geom')} AS bbox"
+    outlines = materialise(
+        buildings.groupBy(*keys, "geom").agg(F.expr(f"min({building}) AS owner")).selectExpr("*", f"{g.bounds('geom')} AS bbox")
     )
     copies = buildings.join(outlines.select(*keys, "geom", "owner"), [*keys, "geom"]).where(
         f"{building} <> owner"

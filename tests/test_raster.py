@@ -245,6 +245,63 @@ def test_rasterize_last_wins_and_all_touched(spark):
     assert touched.sum() > want.sum() and touched[3, 6] == 2
 
 
+def outlines():
+    """Round outlines with holes, slivers, and corners that lie on cell corners."""
+    from tests.test_geometry import wavy
+
+    rows = [(1, geom([*wavy(800, 9, 3.3, -2.1, 0.2, 31)["polys"][0], wavy(300, 5, 3.1, -2.0, 0.3, 17)["polys"][0][0]]))]
+    rows += [(2, geom([ring((0, 0), (6, 0), (0, 3))])), (3, square(1, 1, 2)), (4, geom([ring((-5, -5), (7, 7), (7, 7.5))])), (5, geom([ring((0.2, 0.3), (0.4, 0.3), (0.3, 0.35))]))]
+    rows += [(6, geom([ring((0, 0), (4, 4), (8, 0), (4, -4))])), (7, geom([ring((0.5, 0.5), (9.5, 0.5), close=False)], kind="LineString")), (8, geom([ring((-3, -3), (-1, -3), (-1, -1))], [ring((2, 2), (3, 2), (3, 3))]))]
+    return rows
+
+
+def test_touched_cells_against_every_cell(spark):
+    """Cells along edges and inside are those whose closed square the outline meets, cell by cell of its box."""
+    df = frame(spark, outlines())
+    got = raster.covered_cells(df, 1.0, ["id"], all_touched=True).collect()
+    spread = df.selectExpr("*", "explode(sequence(CAST(floor(bbox.ymin) AS BIGINT), CAST(floor(bbox.ymax) AS BIGINT))) AS cy").selectExpr(
+        "*", "explode(sequence(CAST(floor(bbox.xmin) AS BIGINT), CAST(floor(bbox.xmax) AS BIGINT))) AS cx")
+    want = spread.where(g.intersects("geom", f"({g.rectangle('cx', 'cy', 'cx + 1', 'cy + 1')})")).select("id", "cx", "cy").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    scenes = spark.createDataFrame([("s", -12.0, 12.0, 1.0, 24, 24)], "scene string, xmin double, ymax double, res double, height int, width int")
+    burned = raster.rasterize(df.selectExpr("'s' AS scene", "id AS o", "CAST(id AS INT) AS class_id", "geom", "bbox"), scenes, "scene", "o", all_touched=True).collect()
+    last = {}
+    for i, x, y in sorted(map(tuple, want)):
+        last[(11 - y, x + 12)] = i
+    # rows count downwards, so contact with a lower border is seen from the other cell
+    assert len(burned) > 100 and sum(last.get((r["prow"], r["pcol"])) == r["class_id"] for r in burned) > 0.9 * len(burned)
+
+
+def test_touched_cells_of_a_long_outline(spark):
+    import time
+
+    from tests.test_geometry import wavy
+
+    shape = geom([*wavy(10_000, 100)["polys"][0], wavy(10_000, 60)["polys"][0][0]])
+    start = time.time()
+    cells = {(r["cx"], r["cy"]) for r in raster.covered_cells(frame(spark, [(1, shape)]), 1.0, ["id"], all_touched=True).collect()}
+    assert time.time() - start < 60
+    corners = {(int(np.floor(v["x"])), int(np.floor(v["y"]))) for r in shape["polys"][0] for v in r}
+    centres = {(r["cx"], r["cy"]) for r in raster.covered_cells(frame(spark, [(1, shape)]), 1.0, ["id"]).collect()}
+    assert corners <= cells and centres <= cells
+    assert len(cells - centres) < 2.5 * len(corners)
+
+
+def test_dissolved_runs(spark):
+    """Runs of the union are disjoint, hold each covered cell once and are as many as the outline is long, however many areas overlap."""
+    rnd = random.Random(3)
+    rows = [(i, square(rnd.uniform(-5000, 5000) if i % 3 else 10.2, rnd.uniform(-30, 30) if i % 3 else 3.3, rnd.uniform(1, 40))) for i in range(300)]
+    df = frame(spark, rows).withColumn("kind", F.col("id") % 2)
+    runs = raster.dissolve_runs(df, 1.0, ["kind"]).collect()
+    cells = [(r["kind"], c, r["cy"]) for r in runs for c in range(r["c0"], r["c1"] + 1)]
+    want = {tuple(r) for r in raster.covered_cells(df, 1.0, ["kind"]).distinct().collect()}
+    assert len(cells) == len(set(cells)) and set(cells) == want
+    assert len(runs) < len(want) / 4
+    area = {r["kind"]: r["area"] for r in raster.dissolved_area(df, 1.0, ["kind"]).collect()}
+    assert area == {k: float(sum(1 for x in want if x[0] == k)) for k in (0, 1)}
+    assert {tuple(r) for r in raster.dissolve_cells(df, 1.0, ["kind"]).collect()} == want
+
+
 def test_windows_and_folds(spark):
     scenes = spark.createDataFrame([("a", 7, 9), ("b", 3, 3)], "scene string, height int, width int")
     got = tiles.sliding_windows(scenes, ["scene"], 4, 3).collect()

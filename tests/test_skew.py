@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators import skew, spatial
@@ -64,9 +65,11 @@ def test_spatial_join_matches_theta_join(spark):
         return p[0]["x"] <= q[2]["x"] and q[0]["x"] <= p[2]["x"] and p[0]["y"] <= q[2]["y"] and q[0]["y"] <= p[2]["y"]
 
     want = sorted((i, j) for i, p in left for j, q in right if meets(p, q))
-    for cell, limit, hot in ((7.0, 4, False), (40.0, 64, False), (7.0, 4, True)):
-        pairs = spatial.spatial_join(a, b, cell, max_cells=limit, rows_per_task=20, right_is_hot=hot)
-        assert sorted((r["l_id"], r["r_id"]) for r in pairs.select("l_id", "r_id").collect()) == want
+    for cell, limit in ((7.0, 4), (40.0, 64)):
+        # the sides' order and partitions make no difference
+        for left_side, right_side in ((a, b), (a.repartition(5), b.repartition(3)), (a.orderBy(F.desc("id")).coalesce(1), b)):
+            pairs = spatial.spatial_join(left_side, right_side, cell, max_cells=limit)
+            assert sorted((r["l_id"], r["r_id"]) for r in pairs.select("l_id", "r_id").collect()) == want
     semi = spatial.spatial_semi(a, b, 20.0, ["id"]).select("id").collect()
     assert sorted(r["id"] for r in semi) == sorted({i for i, _ in want})
     assert spatial.spatial_join(a, b.where("id < 0"), 7.0).count() == 0
