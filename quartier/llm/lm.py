@@ -15,7 +15,7 @@ from quartier.llm.common import id_text, spread_join, text_or_empty
 from quartier.session import materialise
 
 #: Hidden units; words with outputs of their own (the end included) and their classes at least, classes of all other words.
-HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 32
+HIDDEN, HEAD, HEAD_CLASSES, TAIL_CLASSES = 16, 1024, 32, 8
 #: Words whose counts each worker holds (the most frequent ones); the others are joined. Times from which a word of the lookup has an output of its own.
 LOOKUP, OFTEN = 200_000, 5_000
 #: Tokens of a window of truncated backpropagation, documents side by side in the fit and in scoring, learning rate, passes.
@@ -23,7 +23,7 @@ WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 512, 512, 0.02, 1
 #: Tokens of a document that a row of the fit reads on from one state; the next ones begin anew, so that no row is left alone with a long text.
 STRETCH = 1_024
 #: One document of so many only judges the weights; weights of a row that is summed, and tokens for each weight that a task trains on at least.
-JUDGES, BLOCK, TOKENS_A_WEIGHT = 10, 16_384, 8
+JUDGES, BLOCK, TOKENS_A_WEIGHT = 25, 16_384, 8
 #: Distinct words a task counts before it hands them on, and code points of the texts scored at once (or one longer text).
 COUNTED, HELD = 200_000, 3_000_000
 
