@@ -9,7 +9,7 @@ from catalogue.tables import lonlat
 from quartier.fixtures import fixture, vector_fixture
 from quartier.functions import geometry as g
 from quartier.functions import projection as proj
-from quartier.operators.raster import covered_cells, dissolved_area
+from quartier.operators.raster import covered_cells, dissolved_area, overlay_area
 from quartier.operators.spatial import spatial_join
 from quartier.plans.boxes import city_boxes
 from quartier.plans.prediction import common_pixel_boxes
@@ -227,6 +227,19 @@ def dissolved(spark, sf):
     return dissolved_area(vector_fixture(spark, sf, "f_settlements"), 100.0, ["country"])
 
 
+@query(
+    "j4_overlay_outlines",
+    ctes("f_cities", "f_settlements", grid=GRID, cov=COVERED)
+    + """SELECT v.sid, c.city, count(*)*10000.0e0 AS area FROM cov v JOIN f_cities c ON v.cx*100+50>=c.xmin AND v.cx*100+50<c.xmax AND v.cy*100+50>=c.ymin AND v.cy*100+50<c.ymax
+ AND NOT (v.cx*100+50>=c.xmin+1730 AND v.cx*100+50<c.xmin+2530 AND v.cy*100+50>=c.ymin+1260) GROUP BY 1,2""",
+)
+def overlay_outlines(spark, sf):
+    """Settlements cut by city outlines with a deep notch."""
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin + 2530", "ymax"), ("xmin + 2530", "ymin + 1260"), ("xmin + 1730", "ymin + 1260"), ("xmin + 1730", "ymax"), ("xmin", "ymax")]
+    cities = fixture(spark, sf, "f_cities").selectExpr("city", f"{g.polygon(*[g.point(*c) for c in corners])} AS geom")
+    return overlay_area(vector_fixture(spark, sf, "f_settlements"), cities, 100.0, ["sid"], ["city"])
+
+
 @query(
     "x7_label_population_share",
     ctes("f_settlements", "f_pop", grid=GRID, cov=COVERED,

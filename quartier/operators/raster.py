@@ -78,6 +78,30 @@ def dissolved_area(df: DataFrame, resolution: float, group: Sequence[str] = ())
     return dissolve_runs(df, resolution, group).groupBy(*group).agg(F.expr(f"sum(c1 - c0 + 1) * {float(resolution) ** 2}D AS area"))
 
 
+def overlay_runs(
+    left: DataFrame, right: DataFrame, resolution: float, left_keys: Sequence[str], right_keys: Sequence[str], equal: Sequence[str] = (),
+) -> DataFrame:
+    """Overlay of areas of any outline as disjoint runs of common grid cells: (equal, left keys, right keys, cy, c0, c1).
+
+    The areas of each set of keys are united first. Runs never cross a stripe, so both sides meet in a row of one stripe, and
+    only runs that overlap make a row. Exact at the resolution, by the centres of cells; no vector is cut.
+    """
+    equal = list(equal)
+    stripe = f"shiftright(c0, {STRIPE_BITS}) AS _stripe"
+    a = dissolve_runs(left, resolution, [*equal, *left_keys]).selectExpr(*equal, *left_keys, stripe, "cy", "c0 AS _a0", "c1 AS _a1")
+    b = dissolve_runs(right, resolution, [*equal, *right_keys]).selectExpr(*equal, *right_keys, stripe, "cy", "c0 AS _b0", "c1 AS _b1")
+    met = a.join(b, [*equal, "_stripe", "cy"]).where("_a0 <= _b1 AND _b0 <= _a1")
+    return met.selectExpr(*equal, *left_keys, *right_keys, "cy", "greatest(_a0, _b0) AS c0", "least(_a1, _b1) AS c1")
+
+
+def overlay_area(
+    left: DataFrame, right: DataFrame, resolution: float, left_keys: Sequence[str], right_keys: Sequence[str], equal: Sequence[str] = (),
+) -> DataFrame:
+    """(equal, left keys, right keys, area) of the areas that overlap; see ``overlay_runs``."""
+    runs = overlay_runs(left, right, resolution, left_keys, right_keys, equal)
+    return runs.groupBy(*equal, *left_keys, *right_keys).agg(F.expr(f"sum(c1 - c0 + 1) * {float(resolution) ** 2}D AS area"))
+
+
 def rasterize(
     features: DataFrame, scenes: DataFrame, scene: str, order: str, all_touched: bool = False,
     window: tuple[int, int, int, int] | None = None, classes: Mapping[int, float] | None = None,

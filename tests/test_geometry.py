@@ -201,3 +201,40 @@ def test_long_outline_validity(spark):
     crossed["polys"][0][0][4000], crossed["polys"][0][0][4001] = crossed["polys"][0][0][4001], crossed["polys"][0][0][4000]
     crossed["polys"][0][0][7000] = {"x": 0.0, "y": 130.0}
     assert not one(spark, g.is_valid("a"), a=crossed)
+
+
+def metric(lon, lat, zone):
+    """UTM position by the power series in the longitude difference."""
+    a, f, k = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    p2, phi, lam = e2 / (1 - e2), math.radians(lat), math.radians(lon - (6 * zone - 183))
+    n, t, c, x = a / math.sqrt(1 - e2 * math.sin(phi) ** 2), math.tan(phi) ** 2, p2 * math.cos(phi) ** 2, math.cos(phi) * lam
+    m = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * phi)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * phi) - 35 * e2**3 / 3072 * math.sin(6 * phi)
+    )
+    east = k * n * (x + (1 - t + c) * x**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * p2) * x**5 / 120) + 500000
+    north = k * (m + n * math.tan(phi) * (x * x / 2 + (5 - t + 9 * c + 4 * c * c) * x**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * p2) * x**6 / 720))
+    return east, north
+
+
+def test_city_boxes(spark):
+    """Each city's box, back in metres, is the envelope of its areas grown by the buffer."""
+    from quartier.plans.boxes import city_boxes
+
+    areas = [("San Pedro", square(-88.05, 15.45, 0.03)), ("San Pedro", square(-88.0, 15.5, 0.02)), ("Guatemala", square(-90.55, 14.6, 0.04))]
+    df = frame(spark, areas, "city string")
+    for buffer in (1000.0, 250.0):
+        got = {r["city"]: r for r in city_boxes(df, "city", buffer).collect()}
+        assert got["San Pedro"]["file_name"] == "San_Pedro" and len(got) == 2
+        for city, (x0, y0, x1, y1) in {"San Pedro": (-88.05, 15.45, -87.98, 15.52), "Guatemala": (-90.55, 14.6, -90.51, 14.64)}.items():
+            points = [metric(x, y, 16) for x in (x0, x1) for y in (y0, y1)]
+            west, east = min(p[0] for p in points) - buffer, max(p[0] for p in points) + buffer
+            south, north = min(p[1] for p in points) - buffer, max(p[1] for p in points) + buffer
+            b = got[city]["bbox"]
+            # each side of the box is set by a corner of the grown envelope
+            sides = [abs(metric(b["xmin"], y, 16)[0] - west) for y in (b["ymin"], b["ymax"])] + [abs(metric(b["xmax"], y, 16)[0] - east) for y in (b["ymin"], b["ymax"])]
+            assert min(sides[:2]) < 2 and min(sides[2:]) < 2
+            assert min(abs(metric(x, b["ymin"], 16)[1] - south) for x in (b["xmin"], b["xmax"])) < 2
+            assert min(abs(metric(x, b["ymax"], 16)[1] - north) for x in (b["xmin"], b["xmax"])) < 2
+            assert b["xmin"] < x0 and b["xmax"] > x1 and b["ymin"] < y0 and b["ymax"] > y1

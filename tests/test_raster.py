@@ -302,6 +302,24 @@ def test_dissolved_runs(spark):
     assert {tuple(r) for r in raster.dissolve_cells(df, 1.0, ["kind"]).collect()} == want
 
 
+def test_overlay_of_outlines(spark):
+    """Common cells of a star-shaped city with a hole and of overlapping districts, cell by cell."""
+    from tests.test_geometry import wavy
+
+    city = geom([*wavy(400, 40, 5.2, -3.7, 0.5, 7)["polys"][0], wavy(90, 12, 5.0, -3.5, 0.3, 5)["polys"][0][0]])
+    left = frame(spark, [(1, city), (2, square(5000, 0, 3))]).selectExpr("id AS city", "geom", "bbox")
+    parts = [(i % 3, square(-40 + 9.3 * i, -30 + 4.1 * i, 14)) for i in range(9)]
+    right = frame(spark, parts).selectExpr("id AS part", "geom", "bbox")
+    cells = lambda df, k: {tuple(r) for r in raster.covered_cells(df, 1.0, [k]).collect()}
+    a, b = cells(left, "city"), cells(right, "part")
+    want = {(c, p, x, y) for c, x, y in a for p in range(3) if (p, x, y) in b}
+    runs = raster.overlay_runs(left, right, 1.0, ["city"], ["part"]).collect()
+    got = [(r["city"], r["part"], x, r["cy"]) for r in runs for x in range(r["c0"], r["c1"] + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
+    area = {(r["city"], r["part"]): r["area"] for r in raster.overlay_area(left, right, 1.0, ["city"], ["part"]).collect()}
+    assert area == {k: float(sum(w[:2] == k for w in want)) for k in {w[:2] for w in want}}
+
+
 def test_windows_and_folds(spark):
     scenes = spark.createDataFrame([("a", 7, 9), ("b", 3, 3)], "scene string, height int, width int")
     got = tiles.sliding_windows(scenes, ["scene"], 4, 3).collect()
