@@ -26,7 +26,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# High-recall generators: what the base leaves out as well as what it takes.
+# High-recall generators: what the base leaves out as well as what it takes. An address's local part has at most 64
+# characters in the mail standard; longer ones are the rules' only.
 WIDE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+\x20?(?:@|[(\[]at[)\]]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?[.,]\x20?[0-9]{1,3}+){3}(?![0-9])",
@@ -135,14 +136,46 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.get(names, x["k"]), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
 
 
-def _base_spans(text: Column) -> Column:
-    arrays = [_numbered(_matches(text, BASE[k], _NEEDS[k][0]), i, lambda f, k=k: _valid(k, f)) for i, k in enumerate(KINDS)]
-    return F.concat(*arrays)
+def _rule_spans(text: Column) -> list[Column]:
+    """The rules' spans of each kind, in order."""
+    return [_numbered(_matches(text, BASE[k], _NEEDS[k][0]), i, lambda f, k=k: _valid(k, f)) for i, k in enumerate(KINDS)]
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of k, s, e by kind, then start) of the rule-based kinds."""
-    return docs.select("doc_id", _base_spans(text_or_empty()).alias("spans"))
+def base_spans(docs: DataFrame, text: bool = False) -> DataFrame:
+    """doc_id, spans (array of k, s, e by kind, then start) of the rule-based kinds; with ``text`` the texts too, for ``redact``."""
+    found = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", F.concat(*_rule_spans(F.col("text"))).alias("spans"))
+    return found if text else found.drop("text")
+
+
+def _last_before(spans: Column, e: Column) -> Column:
+    """The last of sorted ``spans`` that starts before ``e``, found by halving; null where none does."""
+    n = F.size(spans)
+    top = F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    halves = F.transform(F.sequence(F.lit(0), top), lambda j: F.pow(F.lit(2), top - j).cast("int"))
+    step = lambda at, d: F.when((at + d <= n) & (F.get(spans, at + d - 1)["s"] < e), at + d).otherwise(at)
+    return F.get(spans, F.aggregate(halves, F.lit(0), step) - 1)
+
+
+def _marked(wide: Column, bases: list[Column]) -> Column:
+    """Candidates with label (1 for a rule's span of their kind) and meets (whether one meets a rule's span).
+
+    A kind's spans are sorted and apart, so only the last one that starts before a candidate ends can meet it.
+    """
+    def of(c: Column) -> Column:
+        lasts = _struct(**{f"l{i}": _last_before(b, c["e"]) for i, b in enumerate(bases)})
+
+        def told(last: Column) -> Column:
+            own = lambda i: (c["k"] == i) & (last[f"l{i}"]["s"] == c["s"]) & (last[f"l{i}"]["e"] == c["e"])
+            either = lambda tests: F.coalesce(tests[0], F.lit(False)) if len(tests) == 1 else F.coalesce(tests[0], F.lit(False)) | either(tests[1:])
+            n = range(len(bases))
+            return _struct(
+                **{f: c[f] for f in ("k", "s", "e", "found", "before", "after")},
+                label=either([own(i) for i in n]).cast("double"), meets=either([last[f"l{i}"]["e"] > c["s"] for i in n]),
+            )
+
+        return _let(lasts, told)
+
+    return F.transform(wide, of)
 
 
 def candidates(text: Column) -> Column:
@@ -179,20 +212,20 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*[f.cast("double") for f in features])))
 
 
-def read_spans(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, h (hash), base and wide (candidates with label, 1 for a rule's span, and meets, whether one meets a base span)."""
-    number = ["k", "s", "e"]
+def read_spans(docs: DataFrame, text: bool = False) -> DataFrame:
+    """uid, doc_id, h (hash), base and wide (candidates with label, 1 for a rule's span, and meets, whether one meets a base span);
+    with ``text`` the texts too."""
+    rules = {f"b{i}": spans for i, spans in enumerate(_rule_spans(F.col("text")))}
     both = _let(
-        _struct(base=_base_spans(F.col("text")), wide=candidates(F.col("text"))),
-        lambda r: _struct(base=r["base"], wide=F.transform(r["wide"], lambda c: _struct(
-            **{f: c[f] for f in (*number, "found", "before", "after")},
-            label=F.array_contains(r["base"], _struct(**{f: c[f] for f in number})).cast("double"),
-            meets=F.exists(r["base"], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])),
-        ))),
+        _struct(**rules, wide=candidates(F.col("text"))),
+        lambda r: _struct(base=F.concat(*[r[b] for b in rules]), wide=_marked(r["wide"], [r[b] for b in rules])),
     )
     h = F.pmod(F.xxhash64(id_text()), F.lit(1_000_000))
     rows = docs.select("doc_id", h.alias("h"), text_or_empty().alias("text"))
-    return materialise(rows.select("doc_id", "h", both.alias("r"), F.monotonically_increasing_id().alias("uid"))).select("doc_id", "uid", "h", "r.base", "r.wide")
+    kept = ["text"] if text else []
+    return materialise(rows.select("doc_id", "h", *kept, both.alias("r"), F.monotonically_increasing_id().alias("uid"))).select(
+        "doc_id", "uid", "h", *kept, "r.base", "r.wide"
+    )
 
 
 def fit_spans(read: DataFrame, sample: int = SAMPLE):
@@ -223,8 +256,8 @@ def fit_spans(read: DataFrame, sample: int = SAMPLE):
     return trees, limits
 
 
-def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, base, spans of every row of ``docs``: arrays of (k, s, e) by kind, then start; k numbers KINDS, s and e are code points.
+def find_spans(docs: DataFrame, sample: int = SAMPLE, text: bool = False) -> DataFrame:
+    """doc_id, base, spans (with ``text`` the texts too, for ``redact``) of every row of ``docs``: arrays of (k, s, e) by kind, then start; k numbers KINDS, s and e are code points.
 
     ``base`` are the rules' spans, all of which are among ``spans``. Added are candidates of the wide generators that the
     trees score at or above their kind's calibrated threshold and that meet no base span and no better
@@ -232,10 +265,11 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     not used; an empty table gives an empty result. Texts are not shuffled: added spans return to their row by a number.
     """
     # one read: the rules' spans and all candidates
-    read = read_spans(docs)
+    read = read_spans(docs, text)
+    own = ["doc_id", *(["text"] if text else []), "base"]
     trees, limits = fit_spans(read, sample)
     if not limits:
-        return read.select("doc_id", "base", F.col("base").alias("spans"))
+        return read.select(*own, F.col("base").alias("spans"))
     limit = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("k"))
     scored = trees.transform(with_features(read.select("uid", F.explode("wide").alias("c")).select("uid", "c.*").where("NOT meets")))
     scored = scored.withColumn("chance", vector_to_array("probability")[1]).where(F.col("chance") >= limit)
@@ -244,13 +278,14 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     added = best.groupBy("uid").agg(F.collect_list(F.struct("b.k", "s", "b.e")).alias("added"))
     joined = read.join(added, "uid", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:bigint,e:bigint>>"))))
-    return joined.select("doc_id", "base", spans.alias("spans"))
+    return joined.select(*own, spans.alias("spans"))
 
 
-def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text with each span of ``spans`` (doc_id, spans) replaced by its kind in brackets.
+def redact(found: DataFrame) -> DataFrame:
+    """doc_id, text of every row of ``found`` (doc_id, text, spans), each span replaced by its kind in brackets.
 
-    Overlapping spans are replaced once, from the first one's start to the last one's end. doc_id must be unique.
+    Overlapping spans are replaced once, from the first one's start to the last one's end. Spans stand on their row, so
+    rows may share a doc_id or have none; a null text is empty.
     """
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     ordered = F.array_sort(F.transform("spans", lambda x: _struct(s=x["s"], e=x["e"], k=x["k"])))
@@ -267,5 +302,4 @@ def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
         ordered, start, step,
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("_t", (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    rows = docs.select("doc_id", text_or_empty().alias("_t")).join(spans.select("doc_id", "spans"), "doc_id")
-    return rows.select("doc_id", text.alias("text"))
+    return found.select("doc_id", text_or_empty().alias("_t"), "spans").select("doc_id", text.alias("text"))

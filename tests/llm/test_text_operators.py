@@ -181,8 +181,28 @@ def test_op2_has_no_python(spark, docs):
 
 
 def test_redact(spark):
-    df = spark.createDataFrame([(1, "mail a@b.c or 8.8.8.8 now"), (2, None)], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in pii.redact(df, pii.base_spans(df)).collect()} == {1: "mail [email] or [ip] now", 2: ""}
+    rows = [(1, "mail a@b.c or 8.8.8.8 now"), (2, None), (1, "8.8.8.8"), (None, "x@y.zz"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, "[ip]"), (1, "mail [email] or [ip] now"), (2, ""), (None, "[email]"), (None, "none")]
+    assert sorted(map(tuple, pii.redact(pii.base_spans(df, text=True)).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, pii.redact(pii.find_spans(df, text=True)).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_op2_marks_of_candidates(spark, rows):
+    """Whether a candidate is a rule's span, or meets one, as told by looking at all of them; 20,000 spans in one text in seconds."""
+    import time
+
+    texts = [r[1] for r in rows[:60]] + ODD_SPANS + ["a@b.co 1.2.3.4 +49 30 1234567 4111-1111 1111 1111 12.3.4.5@x.yy " * 40]
+    read = pii.read_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(len(r["wide"]) for r in read) > 100
+    for r in read:
+        for c in r["wide"]:
+            assert c["label"] == float(any((b["k"], b["s"], b["e"]) == (c["k"], c["s"], c["e"]) for b in r["base"]))
+            assert c["meets"] == any(b["s"] < c["e"] and c["s"] < b["e"] for b in r["base"])
+    start = time.time()
+    many = spark.createDataFrame([(1, "8.8.8.8 " * 20_000)], "doc_id long, text string")
+    assert pii.read_spans(many).selectExpr("size(base)", "size(wide)").first()[0] == 20_000
+    assert time.time() - start < 40
 
 
 # --- op3 -------------------------------------------------------------------------------------------------------------
