@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from quartier.llm.common import text_or_empty
 
 #: Code points of documents handled at once, distinct pieces in one recursive query, and pieces in each generation that a worker remembers.
-CHUNK, PIECES, REMEMBERED = 1_000_000, 20_000, 80_000
+CHUNK, PIECES, REMEMBERED = 500_000, 20_000, 50_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
 #: Sum of squared bytes of the pieces of one query: its memory, as every step's rows stay (at most half as many rows as this).
-SQUARES = 4_000_000
+SQUARES = 2_000_000
 
 # A position's key p is its piece's number times 1,024 plus its place, a pair's key k is a token times 2^32 plus the next.
 _CONTRACT = """
@@ -79,7 +79,7 @@ class Encoder:
                 if left is not None and right is not None:
                     a.append(left), b.append(right), merged.append(rank)
         self.pairs = dict(zip(zip(a, b, strict=True), merged, strict=True))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
         # all tokens' bytes one after the other, and where each begins
         self.size = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
         for token, rank in ranks.items():
