@@ -378,6 +378,16 @@ def intersects_box(geom: str, bbox: str) -> str:
     return let(envelope(bbox), lambda frame: intersects(geom, frame))
 
 
+def is_box(geom: str, bbox: str) -> str:
+    """The geometry is the rectangle of its bounding box, with an inside: tests against it need its bounds only."""
+    return f"({bbox}.xmin < {bbox}.xmax AND {bbox}.ymin < {bbox}.ymax AND {geom} = {envelope(bbox)})"
+
+
+def box_contains(a: str, b: str) -> str:
+    """Box ``b`` lies in box ``a``."""
+    return f"({a}.xmin <= {b}.xmin AND {b}.xmax <= {a}.xmax AND {a}.ymin <= {b}.ymin AND {b}.ymax <= {a}.ymax)"
+
+
 def box_within(bbox: str, geom: str) -> str:
     """The rectangle of a bounding box lies in the area: its centre does, and no edge enters its interior."""
     def enters(s: str) -> str:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quartier.session import materialise
 
 ROWS_PER_TASK = 4_000_000
+#: Rows that a task unfolds at most from the rows given to it, as far as single rows allow.
+UNFOLDED_PER_TASK = 200_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -64,6 +66,17 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return joined.drop("_tag")
 
 
+def spread_rows(df: DataFrame, unfolded: str, rows_per_task: int = UNFOLDED_PER_TASK) -> DataFrame:
+    """``df`` dealt to tasks so that one unfolds about ``rows_per_task`` rows, where a row gives ``unfolded`` rows.
+
+    A file of a few MB is read by one task, which would unfold, group and sort all that its rows become. Rows are dealt by
+    their own values, so a task that runs again gets its rows again; equal rows stay together.
+    """
+    total = df.selectExpr(f"sum({unfolded}) AS n").first()[0] or 0
+    tasks = -(-int(total) // rows_per_task)
+    return df.repartition(tasks, F.xxhash64(*df.columns)) if tasks > 1 else df
+
+
 def shuffled_rank(
     df: DataFrame, group: Sequence[str], keys: Sequence[str], seed: int, hex_digits: int = 3
 ) -> DataFrame:

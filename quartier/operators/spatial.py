@@ -70,6 +70,10 @@ def spatial_join(
         return tagged.selectExpr(*[c for c in tagged.columns if c != "_used"], f"explode({levels}) AS _level")
 
     a, b = listed(left, right, "l_", "_al"), listed(right, left, "r_", "_bl")
+    if predicate is g.intersects:
+        # where both are boxes, boxes that meet are all
+        a, b = (d.withColumn(f"_{p}", F.expr(g.is_box(f"{p}_geom", f"{p}_bbox"))) for d, p in ((a, "l"), (b, "r")))
+        predicate = lambda x, y: f"(_l AND _r OR {g.intersects(x, y)})"
     a = _spread(a, "l_bbox", cell, "a")
     b = _spread(b, "r_bbox", cell, "b")
     condition = f"_level = greatest(_al, _bl) AND _cx = greatest(_ax, _bx) AND _cy = greatest(_ay, _by) AND {g.boxes_meet('l_bbox', 'r_bbox')}"
@@ -77,8 +81,9 @@ def spatial_join(
         condition = f"{condition} AND {predicate('l_geom', 'r_geom')}"
     keys = [*equal, "_level", "_cx", "_cy"]
     right = b.selectExpr(*[f"{c} AS _k_{c}" if c in keys else c for c in b.columns])
-    joined = a.join(right, F.expr(" AND ".join([*[f"{c} = _k_{c}" for c in keys], condition])))
-    return joined.drop(*[f"_k_{c}" for c in keys], "_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by")
+    # unfolded over cells: Spark's estimate of a side is that of its file, by which it would broadcast all cells of a large one
+    joined = a.hint("merge").join(right, F.expr(" AND ".join([*[f"{c} = _k_{c}" for c in keys], condition])))
+    return joined.drop(*[f"_k_{c}" for c in keys], "_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by", "_l", "_r")
 
 
 def spatial_semi(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.functions.scalars import as_pair
-from quartier.operators.skew import shuffled_rank
+from quartier.operators.skew import shuffled_rank, spread_rows
 from quartier.operators.spatial import spatial_join
 
 # Tile and stride in pixels of the image and of the building raster, and the split seed.
@@ -18,10 +18,14 @@ SEED = 42
 
 
 def _windows(scenes: DataFrame, scene: Sequence[str], rows: str, cols: str, size: tuple, stride: tuple) -> DataFrame:
-    """Explode window starts; the index follows reading order (rows outer, columns inner) by arithmetic."""
+    """Explode window starts; the index follows reading order (rows outer, columns inner) by arithmetic.
+
+    A scene's row becomes many windows, so scenes are spread over tasks by their number of windows first.
+    """
     (h, w), (sy, sx) = size, stride
+    counted = scenes.selectExpr(*scene, f"{rows} AS _r", f"{cols} AS _c")
     return (
-        scenes.selectExpr(*scene, f"{rows} AS _r", f"{cols} AS _c")
+        spread_rows(counted, "CAST(size(_r) AS BIGINT) * size(_c)")
         .selectExpr(*scene, "_c", "posexplode(_r) AS (_i, ymin)")
         .selectExpr(*scene, "_i", "size(_c) AS _n", "ymin", "posexplode(_c) AS (_j, xmin)")
         .selectExpr(
@@ -71,10 +75,16 @@ def windows_in_areas(
     ``areas`` hold scene, geom and bbox in pixels (x: column, y: row). A scene without areas keeps no window. Windows
     and areas meet on grid cells of side ``cell``.
     """
-    corners = ("xmin", "ymin", "xmax", "ymax")
-    framed = windows.selectExpr(*scene, "tile_idx", f"{g.rectangle(*corners)} AS geom", f"{g.box(*corners)} AS bbox")
-    test = (lambda _, area: g.box_within("l_bbox", area)) if within else g.intersects
-    hits = spatial_join(framed, areas.select(*scene, "geom", "bbox"), cell, test, scene)
+    framed = windows.selectExpr(*scene, "tile_idx", f"{g.box('xmin', 'ymin', 'xmax', 'ymax')} AS bbox")
+    shapes = areas.selectExpr(*scene, "geom", "bbox", f"{g.is_box('geom', 'bbox')} AS whole")
+
+    def test(_: str, area: str) -> str:
+        """A window is its box, so none carries an outline; an area that is its box is compared by bounds."""
+        if within:
+            return f"CASE WHEN r_whole THEN {g.box_contains('r_bbox', 'l_bbox')} ELSE {g.box_within('l_bbox', area)} END"
+        return f"(r_whole OR {g.intersects_box(area, 'l_bbox')})"
+
+    hits = spatial_join(framed, shapes, cell, test, scene)
     return windows.join(hits.selectExpr(*scene, "l_tile_idx AS tile_idx").distinct(), [*scene, "tile_idx"], "left_semi")
 
 
@@ -102,7 +112,8 @@ def align_tiles(image: DataFrame, buildings: DataFrame, scene: Sequence[str]) ->
     """Pair the i-th image tile with the i-th building tile of a scene; surplus tiles of either side drop out."""
     keys = [*scene, "tile_idx"]
     other = buildings.selectExpr(*keys, *[f"{c} AS b_{c}" for c in buildings.columns if c not in keys])
-    return image.join(other, keys)
+    # windows are unfolded from few scenes: Spark's estimate is that of the scenes, and it would broadcast all windows
+    return image.hint("merge").join(other, keys)
 
 
 def equal_tile_counts(image: DataFrame, buildings: DataFrame, scene: Sequence[str]) -> DataFrame:

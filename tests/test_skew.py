@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quartier.fixtures import with_box
 from quartier.functions import geometry as g
-from quartier.operators import skew, spatial
+from quartier.operators import skew, spatial, tiles
 from quartier.operators.components import chain_order, connected_components
 from tests.shapes import frame, square
 
@@ -135,3 +136,23 @@ def test_large_features_take_few_cells(spark):
 
 def g_strip():
     return {"type": "Polygon", "polys": [[[{"x": float(x), "y": float(y)} for x, y in ((-500, 0.3), (500, 0.3), (500, 0.4), (-500, 0.4), (-500, 0.3))]]]}
+
+
+def test_unfolded_windows_are_dealt_and_never_broadcast(spark):
+    """A few scenes of many windows: Spark's estimate of the windows is that of the scenes."""
+    scenes = spark.range(40).coalesce(1).selectExpr("id AS scene", "2000L AS height", "400L AS width")
+    windows = tiles.sliding_windows(scenes, ["scene"], 8, 4)
+    assert windows.rdd.getNumPartitions() > 4
+    per_task = [r["n"] for r in windows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 40 * 499 * 99 and max(per_task) < sum(per_task) / 2
+    plan = tiles.align_tiles(windows, windows, ["scene"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    one = spark.createDataFrame([(0, 5, 3, 300, 200)], "scene long, xmin int, ymin int, xmax int, ymax int")
+    for within in (True, False):
+        few = tiles.sliding_windows(scenes.where("scene = 0"), ["scene"], 8, 4)
+        got = {(r["ymin"], r["xmin"]) for r in tiles.windows_in_areas(few, with_box(one), ["scene"], within, 16.0).collect()}
+        starts = [(y, x) for y in range(0, 1993, 4) for x in range(0, 393, 4)]
+        if within:
+            assert got == {(y, x) for y, x in starts if x >= 5 and x + 8 <= 300 and y >= 3 and y + 8 <= 200}
+        else:
+            assert got == {(y, x) for y, x in starts if x <= 300 and x + 8 >= 5 and y <= 200 and y + 8 >= 3}
