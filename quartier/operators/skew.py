@@ -78,19 +78,20 @@ def spread_rows(df: DataFrame, unfolded: str, rows_per_task: int = UNFOLDED_PER_
 
 
 def shuffled_rank(
-    df: DataFrame, group: Sequence[str], keys: Sequence[str], seed: int, hex_digits: int = 3
+    df: DataFrame, group: Sequence[str], keys: Sequence[str], seed: int, hex_digits: int = 3, whole: int = ROWS_PER_TASK // 100
 ) -> DataFrame:
     """Add ``pos`` (0-based place in a seeded shuffle of the group) and ``n`` (group size).
 
-    The order is by md5 of seed, group and keys. The leading hex digits cut every group into
+    The order is by md5 of seed, group and keys. The leading hex digits cut every group of over ``whole`` rows into
     16**hex_digits even buckets; places are counted inside buckets and shifted by the sizes of the
-    earlier ones, so no task ever sorts a whole group.
+    earlier ones, so no task ever sorts a large group. Smaller groups are one bucket, as their buckets would be as many as their rows.
     """
     by = ", ".join(group)
     text = ", ".join(f"CAST({c} AS STRING)" for c in [*group, *keys])
-    tagged = df.selectExpr("*", f"md5(concat_ws('|', '{seed}', {text})) AS _h").selectExpr(
-        "*", f"substring(_h, 1, {hex_digits}) AS _b"
-    )
+    large = df.groupBy(*group).agg(F.expr("count(1) AS _n")).where(f"_n > {whole}")
+    tagged = lookup_join(df, large, group, "left").selectExpr(
+        *df.columns, f"md5(concat_ws('|', '{seed}', {text})) AS _h", "_n IS NOT NULL AS _large"
+    ).selectExpr(*df.columns, "_h", f"CASE WHEN _large THEN substring(_h, 1, {hex_digits}) ELSE '' END AS _b")
     sizes = tagged.groupBy(*group, "_b").agg(F.expr("count(1) AS _c"))
     offsets = sizes.selectExpr(
         *group, "_b",

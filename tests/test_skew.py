@@ -156,3 +156,10 @@ def test_unfolded_windows_are_dealt_and_never_broadcast(spark):
             assert got == {(y, x) for y, x in starts if x >= 5 and x + 8 <= 300 and y >= 3 and y + 8 <= 200}
         else:
             assert got == {(y, x) for y, x in starts if x <= 300 and x + 8 >= 5 and y <= 200 and y + 8 >= 3}
+
+
+def test_small_groups_are_one_bucket(spark):
+    """Whole groups and groups cut into buckets are ranked alike; small groups make no table of their buckets."""
+    df = spark.range(3000).selectExpr("id % 30 AS c", "id AS k")
+    whole, cut = (sorted(skew.shuffled_rank(df, ["c"], ["k"], 42, whole=n).collect()) for n in (1000, 10))
+    assert whole == cut and [r["n"] for r in whole] == [100] * 3000
