@@ -68,11 +68,11 @@ def weak_spans(text: str, rules: list[tuple[int, int, int]]) -> list[tuple[int,
 def text_parts(text: str) -> list[int]:
     """Kind, start, end and scope, one after the other, of the rules' spans and the weak candidates by start.
 
-    Scopes are what blank lines part. Texts without a weak identifier or secret need no scopes.
+    Scopes are what blank lines part. Texts without weak candidates need no scopes.
     """
     rules = rule_spans(text)
     weak = weak_spans(text, rules)
-    borders = [m.start() for m in BLANK.finditer(text)] if any(k < 5 for _, k, _ in weak) else []
+    borders = [m.start() for m in BLANK.finditer(text)] if weak else []
     return [x for s, k, e in sorted(rules + weak) for x in (k, s, e, bisect_right(borders, s))]
 
 
@@ -102,8 +102,9 @@ def part_links(read: DataFrame, reach: int = REACH) -> DataFrame:
 
     An interval join on bins of ``reach`` code points: a candidate meets the parts of the bins that its span, widened by
     the reach, covers. A bin holds a bounded number of parts, as each pattern's matches don't overlap, however many a text has.
+    Texts without weak candidates have no links.
     """
-    given = read.where(F.exists("parts", lambda p: p["k"].between(RULES, RULES + 1))).select("uid", F.explode("parts").alias("p")).select("uid", "p.*")
+    given = read.where(F.exists("parts", lambda p: p["k"] >= RULES)).select("uid", F.explode("parts").alias("p")).select("uid", "p.*")
     sort = lambda k: F.get(F.array(*[F.lit(x) for x in PARTS]), k)
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
     left = given.where(F.col("k") >= RULES).withColumn("bin", bins(F.col("s") - reach, F.col("e") + reach))
@@ -117,11 +118,13 @@ def linked_spans(read: DataFrame, reach: int = REACH) -> DataFrame:
     """uid and added (array of s, k, e): the weak candidates whose complementary parts are there.
 
     A weak identifier needs a secret, a weak secret an identifier: one of the rules' spans, or a weak one if an endpoint is
-    linked too. An endpoint needs both an identifier and a secret.
+    linked too. An endpoint needs both an identifier and a secret. So nothing is added to texts without both, be they weak or
+    the rules' own, and only the others are linked.
     """
     pk = F.col("pk")
     sort = F.get(F.array(*[F.lit(x) for x in PARTS]), pk)
-    flags = part_links(read, reach).groupBy("uid", "s", "k", "e").agg(
+    has = lambda part: F.exists("parts", lambda p: p["k"].isin([k for k, x in enumerate(PARTS) if x == part]))
+    flags = part_links(read.where(has(0) & has(1)), reach).groupBy("uid", "s", "k", "e").agg(
         F.max((sort == 0).cast("int")).alias("id"), F.max((sort == 1).cast("int")).alias("secret"), F.max((sort == 2).cast("int")).alias("endpoint"),
         F.max(((pk < RULES) & (sort != 2)).cast("int")).alias("strong"),
     )
@@ -143,7 +146,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     ``base`` are the rules' spans, all of them among ``spans``; added are weak candidates with their complementary parts,
     which may overlap each other but meet no base span. A null text is empty; empty texts have no spans. Repeated rows get
     equal spans; extra columns are not used; an empty table gives an empty result. Only parts are shuffled, and only those
-    of texts with a weak identifier or secret; one text's spans are one row.
+    of texts with a weak candidate, an identifier and a secret; one text's spans are one row.
     """
     read = read_parts(docs)
     base = F.transform(F.filter("parts", lambda p: p["k"] < RULES), lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e")))
