@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
+from quartier.operators.skew import lookup_join, spread_rows
+from quartier.session import materialise
 
 MAX_CELLS = 64
+#: Features of one cell in one list; how much finer the cells of lists are than those of pairs, so that features contain some.
+CHUNK, FINER = 128, 4
 
 
 def _cell(value: str, size: str) -> str:
@@ -86,13 +90,76 @@ def spatial_join(
     return joined.drop(*[f"_k_{c}" for c in keys], "_level", "_cx", "_cy", "_al", "_ax", "_ay", "_bl", "_bx", "_by", "_l", "_r")
 
 
+def _slim(df: DataFrame) -> DataFrame:
+    """``df`` with ``whole``, whether its geometry is its box; such rows carry no outline (``geom`` is NULL there)."""
+    tagged = df.withColumn("whole", F.expr(f"coalesce({g.is_box('geom', 'bbox')}, false)"))
+    return tagged.withColumn("geom", F.expr("CASE WHEN NOT whole THEN geom END"))
+
+
+def _shape(row: str = "") -> str:
+    """The outline of a row of ``_slim``."""
+    at = f"{row}." if row else ""
+    return f"CASE WHEN {at}whole THEN {g.envelope(f'{at}bbox')} ELSE {at}geom END"
+
+
+def _cell_lists(right: DataFrame, by: list[str], cell: float, levels: DataFrame, max_cells: int) -> DataFrame:
+    """Features by cell of their grid level and of the coarser ``levels``: (by, _level, _cx, _cy, own), lists of CHUNK or so.
+
+    A cell that lies in a feature lists that one only: whatever meets another feature there meets this one too.
+    """
+    at = [*by, "_level", "_cx", "_cy"]
+    # copies say nothing new
+    shapes = _slim(right.select(*by, "geom", "bbox").distinct()).withColumn("_own", F.expr(_level("bbox", cell, max_cells)))
+    listed = shapes.withColumn("_used", levels.scalar()).selectExpr("*", "explode(array_union(array(_own), filter(_used, u -> u > _own))) AS _level")
+    size = f"({cell}D * pow(2D, _level))"
+    cells = " * ".join(f"({_cell(f'bbox.{c}max', size)} - {_cell(f'bbox.{c}min', size)} + 1)" for c in "xy")
+    dealt = spread_rows(listed.drop("_used"), cells)
+    frame = g.box(f"_cx * {size}", f"_cy * {size}", f"(_cx + 1) * {size}", f"(_cy + 1) * {size}")
+    inside = g.let(frame, lambda f: f"{g.box_contains('bbox', f)} AND (whole OR {g.box_within(f, 'geom')})")
+    spread = materialise(_spread(dealt, "bbox", cell, "b").selectExpr(*at, "struct(whole, bbox, geom) AS f", f"coalesce({inside}, false) AS _full"))
+    full = spread.where("_full").groupBy(*at).agg(F.expr("array(any_value(f)) AS own"))
+    rest = lookup_join(spread.where("NOT _full"), full.select(*at), at, "left_anti")
+    many = rest.groupBy(*at).agg(F.expr("count(1) AS _n")).where(f"_n > {CHUNK}")
+    piece = f"CASE WHEN _n IS NULL THEN 0 ELSE CAST(pmod(xxhash64(f), CAST(ceil(_n / {CHUNK}) AS INT)) AS INT) END AS _chunk"
+    lists = lookup_join(rest, many, at, "left").selectExpr(*at, "f", piece).groupBy(*at, "_chunk").agg(F.collect_list("f").alias("own"))
+    return full.unionByName(lists.drop("_chunk"))
+
+
+def met_groups(
+    left: DataFrame, right: DataFrame, cell: float, key: Sequence[str], by: Sequence[str] = (), max_cells: int = MAX_CELLS
+) -> DataFrame:
+    """Rows of ``left`` (unique by ``key``) once for every group ``by`` of ``right`` with a feature that they meet: (by, key, geom, bbox).
+
+    No pairs are made: a row meets lists of features by grid cell and stops at the first hit, and cells that lie in one feature list that one
+    only. So where features lie many deep a row is compared about once. Grid levels are those of ``spatial_join``.
+    """
+    by, key, cell = list(by), list(key), float(cell)
+    own = _level("bbox", cell, max_cells)
+    levels = lambda df: df.selectExpr(f"collect_set({own}) AS used")
+    lists = materialise(_cell_lists(right, by, cell, levels(left), max_cells))
+    rows = _slim(left.select(*key, "geom", "bbox")).withColumn("_used", levels(right).scalar()).selectExpr("*", f"{own} AS _own").selectExpr(
+        *key, "geom", "bbox", "whole", "explode(array_union(array(_own), filter(_used, u -> u > _own))) AS _level"
+    )
+    at = ["_level", "_cx", "_cy"]
+    spread = _spread(rows, "bbox", cell, "a").select(*key, "geom", "bbox", "whole", *at)
+    both, near = "whole AND f.whole", g.boxes_meet("bbox", "f.bbox")
+    exact = g.let(_shape(), lambda a: g.let(_shape("f"), lambda b: g.intersects(a, b)))
+    hit = f"exists(own, f -> {both} AND {near}) OR exists(own, f -> NOT ({both}) AND {near} AND {exact})"
+    met = spread.hint("merge").join(lists, at).where(hit)
+    once = met.groupBy(*by, *key).agg(F.expr("any_value(struct(whole, bbox, geom)) AS _s"))
+    return once.selectExpr(*by, *key, f"{_shape('_s')} AS geom", "_s.bbox AS bbox")
+
+
 def spatial_semi(
     left: DataFrame, right: DataFrame, cell: float, key: Sequence[str],
     predicate: Callable[[str, str], str] | None = g.intersects,
 ) -> DataFrame:
     """Rows of ``left`` (unique by ``key``) that meet any feature of ``right``."""
-    slim = spatial_join(left.select(*key, "geom", "bbox"), right.select("geom", "bbox"), cell, predicate)
-    hits = slim.selectExpr(*[f"l_{c} AS {c}" for c in key]).distinct()
+    if predicate is g.intersects:
+        hits = met_groups(left, right, cell / FINER, key).select(*key)
+    else:
+        slim = spatial_join(left.select(*key, "geom", "bbox"), right.select("geom", "bbox"), cell, predicate)
+        hits = slim.selectExpr(*[f"l_{c} AS {c}" for c in key]).distinct()
     return left.join(hits, list(key), "left_semi")
 
 

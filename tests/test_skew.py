@@ -9,7 +9,7 @@ from quartier.fixtures import with_box
 from quartier.functions import geometry as g
 from quartier.operators import skew, spatial, tiles
 from quartier.operators.components import chain_order, connected_components
-from tests.shapes import frame, square
+from tests.shapes import frame, geom, ring, square
 
 
 def test_salted_join_equals_join(spark):
@@ -163,3 +163,26 @@ def test_small_groups_are_one_bucket(spark):
     df = spark.range(3000).selectExpr("id % 30 AS c", "id AS k")
     whole, cut = (sorted(skew.shuffled_rank(df, ["c"], ["k"], 42, whole=n).collect()) for n in (1000, 10))
     assert whole == cut and [r["n"] for r in whole] == [100] * 3000
+
+
+def test_groups_met_by_lists_of_cells(spark):
+    """Boxes, triangles and areas stacked deep on both sides and of all sizes: the groups met are those of all pairs."""
+    rnd = random.Random(9)
+
+    def shape(i, side):
+        x, y = rnd.uniform(-60, 60), rnd.uniform(-60, 60)
+        return square(x, y, side) if i % 3 else geom([ring((x, y), (x + side, y), (x, y + side))])
+
+    left = frame(spark, [(i, shape(i, rnd.choice([0.5, 2, 70]))) for i in range(400)])
+    deep = [("c", square(-20, -20, 9 + i / 1000)) for i in range(300)] + [("d", shape(0, 1)) for i in range(300)]
+    right = frame(spark, [(f"k{i % 3}", shape(i, rnd.choice([1, 9, 40]))) for i in range(60)] + deep, "k string")
+    pairs = left.selectExpr("id", "geom AS a").crossJoin(right.selectExpr("k", "geom AS b")).where(g.intersects("a", "b"))
+    want = sorted(pairs.select("k", "id").distinct().collect())
+    for cell in (1.0, 30.0):
+        got = spatial.met_groups(left, right, cell, ["id"], ["k"])
+        assert sorted(got.select("k", "id").collect()) == want
+    assert got.selectExpr("id", "geom AS shape").join(left, "id").where("shape <> geom").count() == 0
+    lists = spatial._cell_lists(right.where("k = 'c'"), ["k"], 1.0, spark.sql("SELECT array(0) AS used"), 64)
+    assert lists.selectExpr("max(size(own))").first()[0] <= 2 * spatial.CHUNK
+    assert lists.where("_cx BETWEEN -9 AND -7 AND _cy BETWEEN -9 AND -7 AND size(own) > 1").count() == 0
+    assert {r["id"] for r in spatial.spatial_semi(left, right, 8.0, ["id"]).collect()} == {r["id"] for r in want}
