@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quartier.functions import geometry as g
 from quartier.operators.raster import dissolve_cells
-from quartier.operators.spatial import spatial_join
+from quartier.operators.spatial import FINER, met_groups
 from quartier.operators.stats import box_statistics, drop_outliers, map_names, melt, scale_columns
 from quartier.operators.tessellation import (
     adjacency, cell_areas, contiguity, nearest_owner, neighbour_distance, touching_groups, within_steps,
@@ -27,14 +27,9 @@ MEASURE_NAMES = {
 
 def buildings_in_areas(buildings: DataFrame, areas: DataFrame, city: str, cell: float) -> DataFrame:
     """Valid buildings touching any area of a city, once per city: (city, bid, geom, bbox)."""
-    pairs = spatial_join(
-        buildings.selectExpr("id", "geom", "bbox"), areas.where(g.is_valid("geom")).select(city, "geom", "bbox"), cell
-    )
-    # a building appears once per area it meets; only those few rows are checked for validity
-    once = pairs.groupBy(f"r_{city}", "l_id").agg(F.expr("any_value(struct(l_geom, l_bbox)) AS shape"))
-    return once.selectExpr(f"r_{city} AS {city}", "l_id AS bid", "shape.l_geom AS geom", "shape.l_bbox AS bbox").where(
-        g.is_valid("geom")
-    )
+    # valid areas only; no pairs are made, as a building may meet many areas
+    met = met_groups(buildings, areas.where(g.is_valid("geom")), cell / FINER, ["id"], [city])
+    return met.where(f"{g.is_box('geom', 'bbox')} OR {g.is_valid('geom')}").selectExpr(city, "id AS bid", "geom", "bbox")
 
 
 def tessellate(areas: DataFrame, built: DataFrame, city: str, resolution: float) -> DataFrame:
