@@ -125,7 +125,8 @@ def equal_tile_counts(image: DataFrame, buildings: DataFrame, scene: Sequence[st
 
 def subset(tiles: DataFrame, indices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tiles listed in another table."""
-    return tiles.join(indices, list(keys), "left_semi")
+    # tiles are unfolded from few scenes: by Spark's estimate, that of the scenes, it would broadcast a list of most tiles
+    return tiles.hint("merge").join(indices, list(keys), "left_semi")
 
 
 def fold_split(

@@ -158,6 +158,17 @@ def test_unfolded_windows_are_dealt_and_never_broadcast(spark):
             assert got == {(y, x) for y, x in starts if x <= 300 and x + 8 >= 5 and y <= 200 and y + 8 >= 3}
 
 
+def test_listed_windows_are_never_broadcast(spark, tmp_path):
+    """A list of most windows of a small file comes without broadcasts, which would hold all of them in one place."""
+    spark.range(40).selectExpr("id AS scene", "200L AS height", "44L AS width").write.parquet(f"{tmp_path}/scenes")
+    windows = tiles.sliding_windows(spark.read.parquet(f"{tmp_path}/scenes"), ["scene"], 8, 4)
+    listed = windows.where("tile_idx % 3 > 0").select("scene", "tile_idx")
+    got = tiles.subset(windows, listed, ["scene", "tile_idx"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(got.collect()) == sorted(windows.where("tile_idx % 3 > 0").collect())
+
+
 def test_small_groups_are_one_bucket(spark):
     """Whole groups and groups cut into buckets are ranked alike; small groups make no table of their buckets."""
     df = spark.range(3000).selectExpr("id % 30 AS c", "id AS k")
