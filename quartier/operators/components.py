@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartier.operators.skew import lookup_join
-from quartier.session import materialise
+from quartier.session import materialise, small_tasks
 
 
 def _shrink(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,7 +18,8 @@ def _shrink(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     both = edges.unionByName(edges.selectExpr(*keys, "v AS u", "u AS v"))
     smallest = both.groupBy(*keys, "u").agg(F.expr("least(u, min(v)) AS m"))
-    large = lookup_join(both, smallest, [*keys, "u"]).where("v > u").selectExpr(*keys, "v AS u", "m AS v").distinct()
+    # written once, as a plan would make it for both uses
+    large = materialise(lookup_join(both, smallest, [*keys, "u"]).where("v > u").selectExpr(*keys, "v AS u", "m AS v").distinct())
     parents = large.groupBy(*keys, "u").agg(F.expr("min(v) AS m"))
     joined = lookup_join(large, parents, [*keys, "u"])
     return (
@@ -32,12 +33,13 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] =
     """(keys, node, component) for all nodes of the edge list; the component is its smallest node.
 
     Each round is written to the checkpoint folder; the number of rounds grows with the logarithm of
-    the longest path.
+    the longest path. A task reads a bounded part of a round, however many edges there are (``small_tasks``).
     """
-    keys = list(keys)
-    current = materialise(
-        edges.where(f"{a} <> {b}").selectExpr(*keys, f"greatest({a}, {b}) AS u", f"least({a}, {b}) AS v").distinct()
-    )
+    keys, spark = list(keys), edges.sparkSession
+    with small_tasks(spark):
+        current = materialise(
+            edges.where(f"{a} <> {b}").selectExpr(*keys, f"greatest({a}, {b}) AS u", f"least({a}, {b}) AS v").distinct()
+        )
     hashed = ", ".join([*keys, "u", "v"])
 
     def state(df: DataFrame):
@@ -45,7 +47,8 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] =
 
     before = state(current)
     while before[0]:
-        current = materialise(_shrink(current, keys))
+        with small_tasks(spark, 2 * before[0]):  # every edge in both directions
+            current = materialise(_shrink(current, keys))
         after = state(current)
         if after == before:
             break

@@ -2,10 +2,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Bytes of a file or of a shuffle that a task reads at most inside ``small_tasks``, and rows as far as single keys allow.
+TASK_BYTES, TASK_ROWS = 16 << 20, 500_000
 
 
 def build_session(app: str = "quartier", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -52,3 +56,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so later steps neither recompute it nor lose it with an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Settings for steps that sort or group short rows, which take many times their compressed bytes of memory.
+
+    What runs inside (a checkpoint, say) reads TASK_BYTES a task instead of Spark's 64 or 128 MB, and shuffles of
+    ``rows`` rows have a partition for every TASK_ROWS of them. So a task's memory doesn't grow with the input. Smaller settings of the session stay.
+    """
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    most = {k: TASK_BYTES for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")}
+    wanted = {k: str(v) for k, v in most.items() if as_bytes(spark.conf.get(k)) > v}
+    parts = "spark.sql.shuffle.partitions"
+    wanted |= {parts: str(-(-rows // TASK_ROWS))} if rows > TASK_ROWS * int(spark.conf.get(parts)) else {}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -5,9 +5,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quartier import session
 from quartier.fixtures import with_box
 from quartier.functions import geometry as g
-from quartier.operators import skew, spatial, tiles
+from quartier.operators import components, skew, spatial, tiles
 from quartier.operators.components import chain_order, connected_components
 from tests.shapes import frame, geom, ring, square
 
@@ -107,6 +108,25 @@ def test_components(spark):
     assert len(got) == len(want)
 
 
+def test_rounds_have_tasks_of_bounded_size(spark, monkeypatch):
+    """Settings hold inside only, smaller ones of the session stay, and a contraction round runs under them."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    settings = lambda: [spark.conf.get(k) for k in names]
+    before, seen = settings(), []
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    with session.small_tasks(spark, 10_000):
+        assert settings() == [str(session.TASK_BYTES)] * 2 + ["1000"]
+        with session.small_tasks(spark, 50):
+            assert settings()[2] == "1000"
+    assert settings() == before
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: (seen.append(settings()), write(df))[1])
+    chain = spark.range(100).selectExpr("id AS a", "id + 1 AS b")
+    got = connected_components(chain, "a", "b").collect()
+    assert settings() == before and len(got) == 101 and {r["component"] for r in got} == {0}
+    assert all(s[:2] == [str(session.TASK_BYTES)] * 2 for s in seen) and max(int(s[2]) for s in seen) >= 20
+
+
 def test_chain_order(spark):
     rows = [(1, i, i + 1 if i < 20 else None) for i in range(21)] + [(2, 5, None)]
     got = chain_order(spark.createDataFrame(rows, "k long, node long, following long"), ["k"]).collect()
