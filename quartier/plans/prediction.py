@@ -60,6 +60,15 @@ def region_features(regions: DataFrame, scenes: DataFrame, scene: Sequence[str])
     )
 
 
+def matched_pixels(pixels: DataFrame, found: DataFrame) -> DataFrame:
+    """Pixels of the images of ``found`` (image_path, scene) with their scene.
+
+    The semi-join goes below joins that ``pixels`` are made by, so pixels of the other images are never listed.
+    """
+    wanted = found.select("image_path", "scene")
+    return lookup_join(pixels.join(wanted, "image_path", "left_semi"), wanted, ["image_path"])
+
+
 def predict_cities(
     cities: DataFrame, images: DataFrame, scenes: DataFrame, pixels: DataFrame, buildings: DataFrame,
     models: dict[str, Callable], inputs: Sequence[str], path: str, class_id: int, class_name: str,
@@ -75,7 +84,7 @@ def predict_cities(
     matched = materialise(match_images(cities, images))
     found = matched.where("image_path IS NOT NULL").selectExpr("*", "to_json(struct(country, city)) AS scene")
     placed = materialise(lookup_join(scenes, found.select("image_path", "scene"), ["image_path"]))
-    own = lookup_join(pixels, found.select("image_path", "scene"), ["image_path"])
+    own = matched_pixels(pixels, found)
     tiles = prepare_tiles(placed, own, buildings, None, "scene", size, stride, cell=cell, transform=transform)
     mask, regions = predict(tiles.selectExpr("*", "ymin AS row0", "xmin AS col0"), models, inputs, ["scene"], size, kernel, block)
     names = found.select("scene", "country", "city")

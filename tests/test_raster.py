@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from quartier.functions import geometry as g
 from quartier.operators import focal, raster, regions, scoring, tessellation, tiles, zonal
 from quartier.plans import training
+from quartier.plans.prediction import matched_pixels
 from quartier.plans.preparation import assemble_tiles, tile_pixels
+from quartier.session import materialise
 from tests.shapes import frame, geom, ring, square
 
 
@@ -453,3 +456,16 @@ def test_cross_scores_leave_the_fold_out(spark):
     got = training.cross_score(df, ["b"], 2).groupBy("truth").avg("score").collect()
     means = {r["truth"]: r[1] for r in got}
     assert training.cross_score(df, ["b"], 2).count() == 400 and means[1] < means[0]
+
+
+def test_only_matched_images_list_their_pixels(spark, tmp_path):
+    """Pixels made by a join of images and observations: the images without a city go before that join."""
+    spark.range(200).selectExpr("concat('img/', id) AS image_path", "id % 7 AS image_id").write.parquet(f"{tmp_path}/images")
+    spark.range(7 * 64).selectExpr("id % 7 AS image_id", "id DIV 7 AS prow").write.parquet(f"{tmp_path}/obs")
+    images, obs = spark.read.parquet(f"{tmp_path}/images"), spark.read.parquet(f"{tmp_path}/obs")
+    found = materialise(images.where("image_path IN ('img/3', 'img/10')").selectExpr("image_path", "upper(image_path) AS scene"))
+    own = matched_pixels(images.join(obs, "image_id").drop("image_id"), found)
+    joins = re.findall("Join (Inner|LeftSemi)", own._jdf.queryExecution().optimizedPlan().toString())
+    assert joins == ["Inner", "Inner", "LeftSemi"]  # outermost first
+    want = images.join(obs, "image_id").join(found, "image_path").select("image_path", "prow", "scene").collect()
+    assert sorted(own.select("image_path", "prow", "scene").collect()) == sorted(want) and len(want) == 128
