@@ -234,8 +234,8 @@ J1_SQL = ctes("f_buildings", "f_settlements") + """SELECT b.id, s.sid FROM f_bui
 
 @query("j1_buildings_in_settlements", J1_SQL)
 def j1(spark, sf):
-    pairs = spatial.spatial_join(
-        vector_fixture(spark, sf, "f_buildings"), vector_fixture(spark, sf, "f_settlements"), 500.0
+    pairs = spatial.meeting_ids(
+        vector_fixture(spark, sf, "f_buildings"), vector_fixture(spark, sf, "f_settlements"), 500.0, "id", "sid"
     )
     return pairs.selectExpr("l_id AS id", "r_sid AS sid")
 

@@ -77,6 +77,34 @@ def test_spatial_join_matches_theta_join(spark):
     assert spatial.spatial_join(a, b.where("id < 0"), 7.0).count() == 0
 
 
+def test_meeting_ids_are_those_of_the_join(spark):
+    rnd = random.Random(9)
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    dented = [(0, 0), (1, 0), (1, 1), (0.4, 0.3), (0, 1)]
+    cut = [(0, 0), (1, 0), (1, 0.3), (0.6, 1), (0, 1)]
+    forms = [corners[:i] + corners[i + 1:] for i in range(4)] + [dented, cut, [(0, 0), (0.3, 1), (1, 0.8)], corners, corners]
+
+    def placed(form, side):
+        x, y = rnd.randint(-60, 60), rnd.randint(-60, 60)
+        points = [(x + side * p, y + side * q) for p, q in form]
+        return ring(*(points if rnd.random() < 0.5 else points[::-1]))
+
+    right = [(i, geom([placed(forms[i % 9], rnd.choice([4, 20, 90]))])) for i in range(180)]
+    right += [(200, geom([square(-40, -40, 80)["polys"][0][0], square(-30, -30, 60)["polys"][0][0]])), (201, geom([placed(corners, 3)], [placed(dented, 30)]))]
+    left = [(i, square(rnd.randint(-70, 70), rnd.randint(-70, 70), rnd.choice([1, 3, 40]))) for i in range(300)]
+    left += [(300 + i, geom([placed(forms[i % 9], 8)])) for i in range(40)]
+    a, b = frame(spark, left), frame(spark, right, "sid long")
+    boxes = a.where(g.is_box("geom", "bbox"))
+    plain = b.where("sid % 9 NOT IN (4, 6) AND sid < 200")
+    for x, y, cell in ((a, b, 8.0), (boxes, plain, 2.0), (a, b.where("sid < 0"), 8.0), (boxes, b, 400.0)):
+        want = sorted((r["l_id"], r["r_sid"]) for r in spatial.spatial_join(x, y, cell * 3).collect())
+        got = spatial.meeting_ids(x, y, cell, "id", "sid")
+        assert sorted((r["l_id"], r["r_sid"]) for r in got.collect()) == want
+    # neither side's outlines reach the join of boxes with boxes cut by an edge
+    plan = spatial.meeting_ids(boxes, plain, 8.0, "id", "sid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "geom" not in "".join(line for line in plan.splitlines() if "Project" in line)
+
+
 def test_box_filter_is_pushed_down(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     path = str(tmp_path / "t")
