@@ -117,6 +117,27 @@ def candidate_blocks(pixels: DataFrame, outlines: DataFrame, keys: Sequence[str]
     ).where("size(owners) > 0")
 
 
+def leading_outlines(outlines: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """``outlines`` (keys, owner, geom, box) without those that lie in a box of a smaller owner: it is as near to any point, and wins ties.
+
+    Outlines are compared within the cell of their lower left corner, in lists of about CHUNK by turns of owners: what has led so far is all a
+    list is held against. An outline that other cells or lists would show to be idle stays, which costs time only. Nested copies in one place,
+    which differ in size, so leave a few.
+    """
+    keys = list(keys)
+    placed = outlines.selectExpr(
+        *keys, *[f"CAST(floor(box.{c}min / {float(cell)}) AS BIGINT) AS _{c}" for c in "xy"],
+        f"struct(owner, box, geom, coalesce({g.is_box('geom', 'box')}, false) AS whole) AS o",
+    )
+    at = [*keys, "_x", "_y"]
+    many = placed.groupBy(*at).agg(F.expr("count(1) AS _n")).where(f"_n > {CHUNK}")
+    piece = f"CASE WHEN _n IS NULL THEN 0 ELSE CAST(pmod(xxhash64(o.owner), CAST(ceil(_n / {CHUNK}) AS INT)) AS INT) END AS _chunk"
+    lists = lookup_join(placed, many, at, "left").selectExpr(*at, "o", piece).groupBy(*at, "_chunk").agg(F.expr("array_sort(collect_list(o)) AS own"))
+    idle = f"exists(led, k -> k.whole AND {g.box_contains('k.box', 'o.box')})"
+    led = f"aggregate(own, slice(own, 1, 0), (led, o) -> IF({idle}, led, concat(led, array(o))))"
+    return lists.selectExpr(*keys, f"inline({led})").select(*keys, "owner", "geom", "box")
+
+
 def nearest_owner(
     pixels: DataFrame, buildings: DataFrame, keys: Sequence[str], resolution: float, building: str = "bid", enough: int = ENOUGH,
 ) -> DataFrame:
@@ -124,12 +145,14 @@ def nearest_owner(
 
     ``pixels`` are (keys, cx, cy, px, py), unique by (keys, cx, cy), ``buildings`` (keys, bid, geom, bbox). ``candidate_blocks`` leaves each
     block a short list whatever the density around; a pixel compares box bounds, then the exact distances of the few left.
-    Outlines reach a block once, not each of its pixels. Stacked copies of one outline are reduced to their smallest id first. A pixel without a building under its keys has no row.
+    Outlines reach a block once, not each of its pixels. Stacked copies of one outline are reduced to their smallest id first, nested ones to those
+    that may own a pixel. A pixel without a building under its keys has no row.
     """
     keys = list(keys)
-    outlines = materialise(
+    distinct = materialise(
         buildings.groupBy(*keys, "geom").agg(F.expr(f"min({building}) AS owner")).selectExpr("*", f"{g.bounds('geom')} AS box")
     )
+    outlines = materialise(leading_outlines(distinct, keys, resolution))
     pixels = materialise(pixels.selectExpr(*keys, "cx", "cy", "px", "py"))
     at = [*keys, "level", "x", "y"]
     blocks = materialise(candidate_blocks(pixels, outlines.drop("geom"), keys, resolution, enough))

@@ -191,6 +191,43 @@ def test_nearest_owner(spark):
         assert got == want
 
 
+def test_nearest_owner_nested(spark):
+    """Boxes of many sizes at one corner: those inside one of a smaller id are never compared, whatever else is stacked there."""
+    rnd = random.Random(3)
+    sizes = [(5 + i % 11, 5 + i % 7) for i in range(77)]
+    built = []
+    for n, (x, y) in enumerate([(3, 4), (3, 44), (61, 18), (95, 95)]):
+        rnd.shuffle(sizes)
+        built += [("a", 100 * n + i, geom([ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))])) for i, (w, h) in enumerate(sizes)]
+    # a triangle leads nobody, and one in a box of a greater id stays
+    built += [("a", 0 - 1, geom([ring((3, 4), (33, 4), (3, 34))])), ("a", 900, square(40, 70, 20)), ("a", 800, geom([ring((41, 71), (45, 71), (41, 75))]))]
+    df = frame(spark, built, "city string, bid long")
+    cells = [("a", x, y) for x in range(24) for y in range(24)]
+    px = spark.createDataFrame(cells, "city string, cx long, cy long").selectExpr("*", "cx * 5 + 2.5D AS px", "cy * 5 + 2.5D AS py")
+
+    def gap(s, x, y):
+        p = s["polys"][0][0]
+        a, b, c, d = min(v["x"] for v in p), min(v["y"] for v in p), max(v["x"] for v in p), max(v["y"] for v in p)
+        box = np.hypot(max(a - x, 0, x - c), max(b - y, 0, y - d))
+        if len(p) == 5:
+            return box
+        # beyond the long edge, whose slope is -1, its nearest point decides
+        past = x + y - (c + b)
+        t = min(max((x - a - (y - b) + (c - a)) / 2, 0), c - a)
+        return box if past <= 0 else np.hypot(a + t - x, d - t - y)
+
+    want = {(x, y): min((round(gap(s, x * 5 + 2.5, y * 5 + 2.5), 9), i) for _, i, s in built)[1] for _, x, y in cells}
+    got = {(r["cx"], r["cy"]): r["owner"] for r in tessellation.nearest_owner(px, df, ["city"], 5.0).collect()}
+    assert got == want
+    leading = tessellation.leading_outlines(df.selectExpr("city", "bid AS owner", "geom", "bbox AS box"), ["city"], 5.0)
+    kept = {r["owner"] for r in leading.collect()}
+    inside = lambda p, q: all(u <= v for u, v in zip(q[:2], p[:2])) and all(u >= v for u, v in zip(q[2:], p[2:]))
+    box = {i: (s["polys"][0][0][0]["x"], s["polys"][0][0][0]["y"], s["polys"][0][0][2]["x"], s["polys"][0][0][2]["y"]) for _, i, s in built}
+    corner = [i for i in box if 0 <= i < 800]
+    assert kept == {i for i in corner if not any(j < i and j // 100 == i // 100 and inside(box[i], box[j]) for j in corner)} | {-1, 800, 900}
+    assert len(kept) < 80
+
+
 def test_nearest_owner_dense_and_empty(spark):
     """A dense quarter, a very dense cell and a lone hut in wide empty land: few candidates for every pixel, at every distance."""
     rnd = random.Random(5)
