@@ -100,7 +100,8 @@ def shuffled_rank(
     )
     order = ", ".join(["_h", *keys])
     placed = tagged.selectExpr("*", f"row_number() OVER (PARTITION BY {by}, _b ORDER BY {order}) - 1 AS _p")
-    return placed.join(offsets, [*group, "_b"]).selectExpr(*df.columns, "CAST(_p + _off AS BIGINT) AS pos", "n")
+    # rows unfolded from a small file are taken for few: where a plan wants no other column of theirs, Spark would broadcast all of them
+    return placed.hint("merge").join(offsets, [*group, "_b"]).selectExpr(*df.columns, "CAST(_p + _off AS BIGINT) AS pos", "n")
 
 
 def _range_bucket(df: DataFrame, group: list[str], order: str, buckets: int) -> DataFrame:

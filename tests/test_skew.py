@@ -77,6 +77,17 @@ def test_spatial_join_matches_theta_join(spark):
     assert spatial.spatial_join(a, b.where("id < 0"), 7.0).count() == 0
 
 
+def test_ranked_rows_are_never_broadcast(spark, tmp_path):
+    """Windows of a file of a few rows: Spark takes all that is unfolded from it for few."""
+    spark.range(20).selectExpr("id AS scene", "40 AS height", "44 AS width").write.parquet(str(tmp_path / "scenes"))
+    windows = tiles.sliding_windows(spark.read.parquet(str(tmp_path / "scenes")), ["scene"], 8, 4).select("scene", "tile_idx")
+    sizes = skew.shuffled_rank(windows, ["scene"], ["tile_idx"], 1).groupBy("scene").agg(F.expr("max(pos) + 1 AS n"))
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Inner, Build" not in plan
+    want = {r["scene"]: r["count"] for r in windows.groupBy("scene").count().collect()}
+    assert {r["scene"]: r["n"] for r in sizes.collect()} == want and len(want) == 20
+
+
 def test_meeting_ids_are_those_of_the_join(spark):
     rnd = random.Random(9)
     corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
