@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quartier.llm.common import text_or_empty
 
 #: Code points of documents handled at once, distinct pieces in one recursive query, and pieces in each generation that a worker remembers.
-CHUNK, PIECES, REMEMBERED = 500_000, 20_000, 50_000
+CHUNK, PIECES, REMEMBERED = 500_000, 20_000, 200_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
 #: Sum of squared bytes of the pieces of one query: its memory, as every step's rows stay (at most half as many rows as this).
@@ -78,7 +78,6 @@ class Encoder:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     a.append(left), b.append(right), merged.append(rank)
-        self.pairs = dict(zip(zip(a, b, strict=True), merged, strict=True))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
         # all tokens' bytes one after the other, and where each begins
         self.size = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
@@ -107,25 +106,25 @@ class Encoder:
         return result
 
     def _long(self, piece: bytes) -> list[int]:
-        """The same contraction of one very long piece, by a heap over a linked list."""
+        """The same contraction of one very long piece, by a heap over a linked list of tokens' bytes."""
         import heapq
 
-        tok: list[int | None] = [int(x) for x in self.single[np.frombuffer(piece, dtype=np.uint8)]]
-        after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (r := self.pairs.get((tok[i], tok[i + 1]))) is not None]
+        part: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        heap = [(r, i, part[i], part[i + 1]) for i in range(len(part) - 1) if (r := self.ranks.get(part[i] + part[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            _, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if tok[i] != a or j >= len(tok) or tok[j] != b:
+            if part[i] != a or j >= len(part) or part[j] != b:
                 continue
-            tok[i], tok[j], after[i] = rank, None, after[j]
-            if after[i] < len(tok):
+            part[i], part[j], after[i] = a + b, None, after[j]
+            if after[i] < len(part):
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < len(tok) and (r := self.pairs.get((tok[k], tok[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, tok[k], tok[after[k]]))
-        return [t for t in tok if t is not None]
+                if k >= 0 and after[k] < len(part) and (r := self.ranks.get(part[k] + part[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, part[k], part[after[k]]))
+        return [self.ranks[t] for t in part if t is not None]
 
     def close(self) -> None:
         """Gives back the merge table and what is remembered."""

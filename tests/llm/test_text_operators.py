@@ -243,6 +243,17 @@ def test_many_long_runs(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_pieces_that_return_are_not_contracted_again(monkeypatch):
+    """A task meets far more distinct pieces than are frequent: those of 150,000 that return after all others are still known."""
+    encoder, contracted = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), []
+    monkeypatch.setattr(encoder, "_contract", lambda pieces: contracted.extend(pieces) or [np.array([len(p)]) for p in pieces])
+    texts = [" ".join(str(1_000_000 + i) for i in range(at, at + 10_000)) for at in range(0, 150_000, 10_000)]
+    first = [encoder.encode([t]) for t in texts]
+    assert len(contracted) > 100_000
+    contracted.clear()
+    assert [encoder.encode([t]) for t in texts] == first and contracted == []
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("digest", [True, False])
