@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import duckdb
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quartier.llm.common import text_or_empty
 
-#: Code points of documents handled at once, distinct pieces in one recursive query, and pieces in each generation that a worker remembers.
-CHUNK, PIECES, REMEMBERED = 500_000, 20_000, 200_000
+#: Code points of documents handled at once, distinct pieces in one recursive query, and bytes of pieces and their ids in each generation that a worker remembers.
+CHUNK, PIECES, REMEMBERED = 500_000, 20_000, 20_000_000
 #: Longer pieces (in bytes) take one query each step of which would scan them whole; a linked list does them instead.
 LONG_PIECE = 512
 #: Sum of squared bytes of the pieces of one query: its memory, as every step's rows stay (at most half as many rows as this).
@@ -70,7 +71,7 @@ class Encoder:
     """Encodes and decodes texts; holds one in-memory DuckDB connection with the merge table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.known, self.older = ranks, regex.compile(pattern), {}, {}
+        self.ranks, self.pattern, self.known, self.older, self.held = ranks, regex.compile(pattern), {}, {}, 0
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         a, b, merged = [], [], []
         for token, rank in ranks.items():
@@ -129,7 +130,7 @@ class Encoder:
     def close(self) -> None:
         """Gives back the merge table and what is remembered."""
         self.con.close()
-        self.known, self.older = {}, {}
+        self.known, self.older, self.held = {}, {}, 0
 
     def learn(self, pieces: list[str]) -> dict[str, str]:
         """Decimal ids, joined by spaces, of pieces."""
@@ -161,9 +162,10 @@ class Encoder:
                 own[p] = ids
         own |= self.learn(new)
         # two generations: a piece that doesn't return while the younger one fills is forgotten
+        self.held += sum(sys.getsizeof(p) + sys.getsizeof(ids) for p, ids in own.items() if p not in self.known)
         self.known |= own
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
         return [" ".join(map(own.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -254,6 +255,15 @@ def test_pieces_that_return_are_not_contracted_again(monkeypatch):
     assert [encoder.encode([t]) for t in texts] == first and contracted == []
 
 
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(encoder, "_contract", lambda pieces: [np.arange(1_000, 1_000 + len(p)) for p in pieces])
+    for at in range(0, 40_000, 1_000):
+        encoder.encode([" ".join(str(10**400 + i) for i in range(at, at + 1_000))])
+    chunk = 1_000 * 3_000
+    assert sum(sys.getsizeof(p) + sys.getsizeof(ids) for d in (encoder.known, encoder.older) for p, ids in d.items()) < 2 * (20_000_000 + chunk)
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("digest", [True, False])
