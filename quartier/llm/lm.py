@@ -3,11 +3,13 @@ from __future__ import annotations
 
 import copy
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,28 @@ WINDOW, FIT_ROWS, SCORE_ROWS, RATE, PASSES = 32, 512, 512, 0.02, 1
 STRETCH = 1_024
 #: One document of so many only judges the weights; weights of a row that is summed, and tokens for each weight that a task trains on at least.
 JUDGES, BLOCK, TOKENS_A_WEIGHT = 10, 16_384, 8
-#: Distinct words a task counts before it hands them on, and code points of the texts scored at once (or one longer text).
-COUNTED, HELD = 200_000, 3_000_000
+#: Bytes of the texts counted at once, and code points of the texts numbered or scored at once (or one longer text).
+COUNTED, HELD = 6_000_000, 3_000_000
 
 END = b""
 
 
+def split(texts: Sequence[str] | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of all texts one after the other, and where each text's begin (and the last one's end).
+
+    Tokens are UTF-8 words, A-Z lower-cased, and one end a text: ASCII letters and ASCII white space only.
+    """
+    given = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())))
+    empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    # one space after the last word leaves an empty part, the end; an empty text is one such part
+    given = pc.if_else(pc.equal(pc.binary_length(given), 0), empty, pc.binary_join_element_wise(given, empty, space))
+    parts = pc.ascii_split_whitespace(given)
+    return parts.values.cast(pa.large_binary()), parts.offsets.to_numpy()
+
+
 def tokens(text: str) -> list[bytes]:
     """UTF-8 words, A-Z lower-cased, and one end."""
-    words = text.encode("utf-8").lower().split()  # of bytes: ASCII letters and ASCII white space only
-    words.append(END)
-    return words
+    return split([text])[0].to_pylist()
 
 
 def tail_class(word: bytes) -> int:
@@ -42,6 +55,21 @@ def tail_class(word: bytes) -> int:
     return HEAD_CLASSES + (word[-1] if word else 0) % TAIL_CLASSES
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word, less HEAD_CLASSES."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    if ends[0] == ends[-1]:
+        return np.zeros(len(words), dtype=np.int64)
+    last = np.frombuffer(data, dtype=np.uint8)[np.maximum(ends[1:], 1) - 1]
+    return np.where(np.diff(ends) > 0, last % TAIL_CLASSES, 0).astype(np.int64)
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word in ``among``, or -1."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy().astype(np.int64)
+
+
 def head_side(lookup: list[tuple[bytes, int]]) -> int:
     """Classes of the head words, and words of each: the head grows with the words that occur OFTEN, up to the lookup."""
     often = sum(n >= OFTEN for _, n in lookup)
@@ -52,25 +80,25 @@ def _tail_class_sql() -> str:
     return f"CASE WHEN length(word) = 0 THEN 0 ELSE cast(conv(hex(substring(word, length(word), 1)), 16, 10) AS int) % {TAIL_CLASSES} END"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n: Counter = Counter()
+def _chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    part = batch["text"].str.len().cumsum() // HELD
+    for _, chunk in batch.groupby(part.to_numpy(), sort=False):
+        yield chunk
 
-    def out():
-        return pd.DataFrame({"word": list(n), "n": list(n.values())})
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch["text"]:
-            n.update(tokens(text))
-            if len(n) > COUNTED:
-                yield out()
-                n.clear()
-    if n:
-        yield out()
+        texts = batch.column("text").cast(pa.large_string())
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // COUNTED
+        ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for i, j in pairwise(ends):
+            n = pc.value_counts(split(texts.slice(i, j - i))[0])
+            yield pa.RecordBatch.from_arrays([n.field("values").cast(pa.binary()), n.field("counts")], ["word", "n"])
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``training``; each task counts before the shuffle."""
-    rows = training.select(text_or_empty().alias("text")).mapInPandas(_count, "word binary, n long")
+    rows = training.select(text_or_empty().alias("text")).mapInArrow(_count, "word binary, n long")
     return materialise(rows.groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -89,11 +117,11 @@ class LanguageModel:
         head = [w for w, _ in lookup[: self.head]]
         counts = np.array([c for _, c in lookup], dtype=float)
         # head words side by side in classes, most frequent first
-        self.places = _Places(head, self.head)
+        self.head_words = pa.array(head, pa.large_binary())
         self.tail_z = np.log10(tail_n + tail_v + 1)
         self.base_z = float(np.log10(total + distinct + 1))
         # what a word of the lookup adds: output number and log10(count + 1)
-        self.number = {w: i for i, (w, _) in enumerate(lookup)}
+        self.words = pa.array([w for w, _ in lookup], pa.large_binary())
         self.log_count = np.log10(counts + 1) if len(counts) else np.zeros(0)
         self.output = np.array([i if i < self.head else self.head + tail_class(w) - HEAD_CLASSES for i, (w, _) in enumerate(lookup)], dtype=np.int64)
         rng = np.random.default_rng(seed)
@@ -127,7 +155,10 @@ class LanguageModel:
         np.tanh(new, out=new)
         if keep is not None:
             keep.append((h, z, r, un, new))
-        return new + z * (h - new)
+        after = h - new
+        after *= z
+        after += new
+        return after
 
     def log_chances(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log P(output y | h) of each row, without the tail words' shares; with grads, fills them (those of words by class) and returns d/dh.
@@ -283,11 +314,19 @@ class LanguageModel:
     # --- texts ---------------------------------------------------------------------------------------------------
 
     def input_of(self, word: bytes) -> int:
-        return self.places[word]
+        return int(self.numbers([word])[0])
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: Sequence[bytes] | pa.Array) -> np.ndarray:
         """Outputs of words: head number, or HEAD and the tail class."""
-        return np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        words = pa.array(words, pa.large_binary()) if not isinstance(words, pa.Array) else words
+        n = places(words, self.head_words)
+        return np.where(n < 0, self.head + tail_classes(words), n)
+
+    def documents(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Outputs of each text's tokens."""
+        words, ends = split(texts)
+        n = self.numbers(words)
+        return [n[i:j] for i, j in pairwise(ends.tolist())]
 
     def log_likelihoods(self, documents: list[np.ndarray]) -> np.ndarray:
         """log10 P of each document's outputs; the state is carried from its start to its end."""
@@ -324,49 +363,29 @@ class LanguageModel:
 
     def score(self, texts: list[str]) -> pd.DataFrame:
         """n_tokens, known, base, score of each text, as far as the lookup's counts go, and its other words with their numbers."""
-        get = _Numbers(self.number).__getitem__
-        outputs, rows = [], []
-        for text in texts:
-            words = tokens(text)
-            n = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
-            there = n >= 0
-            out = np.empty(len(n), dtype=np.int64)
-            out[there] = self.output[n[there]]
-            out[~there] = self.head - 1 - n[~there]
-            counted = self.log_count[n[there]]
-            tail = out >= self.head
-            rare = Counter(w for w, i in zip(words, n.tolist(), strict=True) if i < 0) if not there.all() else {}
-            base = counted.sum() - len(n) * self.base_z
-            share = self.log_count[n[there & tail]].sum() - self.tail_z[out[tail] - self.head].sum()
-            rows.append((len(n), int(there.sum()), base, share, list(rare), list(rare.values())))
-            outputs.append(out)
-        frame = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "words", "times"])
-        frame["score"] += self.log_likelihoods(outputs)
-        return frame
-
-
-class _Places(dict):
-    """Output of a word: its place in the head, or after the head its tail class."""
-
-    def __init__(self, head: list[bytes], after: int):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.head, self.after, self.most = head, after, len(head) + 100_000
-
-    def __reduce__(self):
-        return _Places, (self.head, self.after)
-
-    def __missing__(self, word):
-        i = self.after + (tail_class(word) - HEAD_CLASSES)
-        if len(self) < self.most:  # frequent ones among the others are found as fast
-            self[word] = i
-        return i
-
-
-class _Numbers(dict):
-    """Number of a word; of a word that isn't there, -1 less its tail class."""
-
-    def __missing__(self, word):
-        return -1 - (tail_class(word) - HEAD_CLASSES)
+        words, ends = split(texts)
+        n, classes = places(words, self.words), tail_classes(words)
+        there, starts = n >= 0, ends[:-1]
+        out = self.head + classes
+        out[there] = self.output[n[there]]
+        counted = np.zeros(len(n))
+        counted[there] = self.log_count[n[there]]
+        tail = np.flatnonzero(out >= self.head)
+        share = np.zeros(len(n))
+        share[tail] = counted[tail] - self.tail_z[out[tail] - self.head]
+        # words beyond the lookup, counted by text
+        missing = np.flatnonzero(~there)
+        rare = words.take(pa.array(missing)).dictionary_encode()
+        kinds = max(1, len(rare.dictionary))
+        keys, times = np.unique((np.searchsorted(ends, missing, "right") - 1) * kinds + rare.indices.to_numpy(), return_counts=True)
+        cuts = list(pairwise(np.searchsorted(keys, np.arange(len(texts) + 1) * kinds).tolist()))
+        rare, times = rare.dictionary.take(pa.array(keys % kinds)).to_pylist(), times.tolist()
+        return pd.DataFrame({
+            "n_tokens": np.diff(ends), "n_known": np.add.reduceat(there.astype(np.int64), starts),
+            "base_score": np.add.reduceat(counted, starts) - np.diff(ends) * self.base_z,
+            "score": np.add.reduceat(share, starts) + self.log_likelihoods([out[i:j] for i, j in pairwise(ends.tolist())]),
+            "words": [rare[i:j] for i, j in cuts], "times": [times[i:j] for i, j in cuts],
+        })
 
 
 def frequent_words(counts: DataFrame, bound: int) -> list[tuple[bytes, int]]:
@@ -427,13 +446,14 @@ def _fit_pass(rows: DataFrame, shared, weights: dict[str, np.ndarray], tasks: in
 
         def learned() -> Iterator[np.ndarray]:
             for batch in batches:
-                for text, judges in zip(batch["text"], batch["judges"], strict=True):
-                    if not judges:
-                        yield model.numbers(tokens(text))
-                        continue
-                    held.append(model.numbers(tokens(text)))
-                    if len(held) == SCORE_ROWS or sum(map(len, held)) > HELD:
-                        judged()
+                for chunk in _chunks(batch):
+                    for document, judges in zip(model.documents(chunk["text"].tolist()), chunk["judges"], strict=True):
+                        if not judges:
+                            yield document
+                            continue
+                        held.append(document.copy())
+                        if len(held) == SCORE_ROWS or sum(map(len, held)) > HELD:
+                            judged()
 
         seen = model.train(learned())
         if held:
@@ -505,8 +525,7 @@ def likelihoods(docs: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            part = batch["text"].str.len().cumsum() // HELD
-            for _, chunk in batch.groupby(part.to_numpy(), sort=False):
+            for chunk in _chunks(batch):
                 yield pd.concat([chunk[["doc_id"]].reset_index(drop=True).astype({"doc_id": "Int64"}), own.score(chunk["text"].tolist())], axis=1)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"

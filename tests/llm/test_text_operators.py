@@ -5,9 +5,11 @@ import hashlib
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -485,6 +487,36 @@ def test_op8_odd(odd, none):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in lm.likelihoods(odd, none).collect())
 
 
+def test_op8_words_of_many_texts_at_once(rows, monkeypatch):
+    """Tokens, counts, outputs and words beyond the lookup of many texts, as of one text and one word after the other."""
+    odd = ["", " \t", "a b", "  A  b\x0bC\x0c", "x\x1cy\x85z\xa0w", "Straße ÉTÉ\r\n", "\x1f", "a\x00b c", "é" * 40 + " " + "ß " * 9]
+    texts = [*odd, *((r[1] or "") for r in rows[:200]), ""]
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    words, ends = lm.split(texts)
+    assert words.to_pylist() == [w for t in want for w in t] and np.diff(ends).tolist() == [len(t) for t in want]
+    assert [lm.tokens(t) for t in odd] == want[: len(odd)]
+    counts = Counter(w for t in want for w in t)
+    monkeypatch.setattr(lm, "COUNTED", 5_000)
+    got = Counter()
+    batches = list(lm._count(iter([pa.RecordBatch.from_pydict({"text": texts[:50]}), pa.RecordBatch.from_pydict({"text": texts[50:]})])))
+    for batch in batches:
+        got.update(dict(zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True)))
+    assert got == counts and len(batches) > 10
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:1500]
+    for lookup in (top, []):
+        model = lm.LanguageModel(lookup, sum(counts.values()), len(counts), np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
+        head = {w: i for i, (w, _) in enumerate(lookup[: model.head])}
+        outputs = [[head.get(w, model.head + lm.tail_class(w) - lm.HEAD_CLASSES) for w in t] for t in want]
+        assert [d.tolist() for d in model.documents(texts)] == outputs == [model.numbers(t).tolist() for t in want]
+        known, frame = dict(lookup), model.score(texts)
+        for t, r in zip(want, frame.itertuples(), strict=True):
+            assert r.n_tokens == len(t) and r.n_known == sum(w in known for w in t)
+            assert dict(zip(r.words, r.times, strict=True)) == Counter(w for w in t if w not in known)
+            assert r.base_score == pytest.approx(sum(np.log10(known[w] + 1) if w in known else 0 for w in t) - len(t) * model.base_z)
+        tails = [sum((np.log10(known[w] + 1) if w in known else 0) - model.tail_z[lm.tail_class(w) - lm.HEAD_CLASSES] for w in t if w not in head) for t in want]
+        assert frame["score"].tolist() == pytest.approx((np.array(tails) + model.log_likelihoods([np.array(o) for o in outputs])).tolist())
+
+
 # --- op9 -------------------------------------------------------------------------------------------------------------
 
 def test_op9_held_out(spark):
